@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("summaries",)
+FAMILIES = ("summaries", "detection", "vectors")
 
 
 def collect() -> tuple[dict, dict]:

@@ -139,11 +139,11 @@ SQL_VIEWS: dict[str, str] = {
     "probs": """select vec_id, frame_id, a / (a + b + c + d) as p1, b / (a + b + c + d) as p2, c / (a + b + c + d) as p3,
         d / (a + b + c + d) as p4 from raw4""",
     # joint candidates of predictions and labels: same frame, same class, boxes overlap
-    "pair": """select p.pred_id, l.label_id, p.frame_id, p.feature, p.confidence, ix * iy / (p.w * p.h + l.w * l.h - ix * iy) as iou
+    "pair": """select pred_id, label_id, frame_id, feature, confidence, ix * iy / (w * h + lw * lh - ix * iy) as iou
         from (select p.*, l.label_id, l.w as lw, l.h as lh, least(p.x + p.w, l.x + l.w) - greatest(p.x, l.x) as ix,
               least(p.y + p.h, l.y + l.h) - greatest(p.y, l.y) as iy
-              from pred p join gt l on p.frame_id = l.frame_id and p.feature = l.feature) p
-        , lateral (select p.label_id, p.lw as w, p.lh as h) l where ix > 0 and iy > 0""",
+              from pred p join gt l on p.frame_id = l.frame_id and p.feature = l.feature)
+        where ix > 0 and iy > 0""",
     "best": """select pred_id, label_id, frame_id, feature, confidence, iou from (select *, row_number() over
         (partition by pred_id order by iou desc, label_id) as rn from pair) where rn = 1""",
     "matched": """select p.*, b.label_id as match_id, coalesce(b.iou, 0e0) as iou from pred p left join best b on p.pred_id = b.pred_id""",
