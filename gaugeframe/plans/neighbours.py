@@ -100,11 +100,14 @@ def block_pairs(
     side = blocks.rows.select("g", "rid", "u", "cell", "sub")
     a = side if left is None else side.join(left, "rid", "left_semi")
     b = side if right is None else side.join(right, "rid", "left_semi")
-    la = a.join(need, (a["g"] == need["g"]) & (a["cell"] == need["i"])).select(
-        a["g"], "rid", "u", "i", F.col("sub").alias("si"), "j", F.explode(F.sequence(F.lit(0), F.col("j_subs") - 1)).alias("sj"))
-    rb = b.join(need, (b["g"] == need["g"]) & (b["cell"] == need["j"])).select(
-        b["g"], "rid", "u", "i", F.explode(F.sequence(F.lit(0), F.col("i_subs") - 1)).alias("si"), "j", F.col("sub").alias("sj"))
     key = ["g", "i", "si", "j", "sj"]
+    left_rows = a.withColumnsRenamed({"cell": "i", "sub": "si"}).join(need, ["g", "i"])
+    left_rows = left_rows.withColumn("sj", F.explode(F.sequence(F.lit(0), F.col("j_subs") - 1)))
+    right_rows = b.withColumnsRenamed({"cell": "j", "sub": "sj"}).join(need, ["g", "j"])
+    right_rows = right_rows.withColumn("si", F.explode(F.sequence(F.lit(0), F.col("i_subs") - 1)))
+    # fresh aliases keep the two sides of the cogroup apart, as both come from the same rows
+    la = left_rows.select(*[F.col(c).alias(c) for c in (*key, "rid", "u")])
+    rb = right_rows.select(*[F.col(c).alias(c) for c in (*key, "rid", "u")])
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if len(x) == 0 or len(y) == 0:
