@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("summaries", "detection", "vectors")
+FAMILIES = ("summaries", "detection", "vectors", "tables")
 
 
 def collect() -> tuple[dict, dict]:
