@@ -1,3 +1,10 @@
 """gaugeframe: dataset, label and model quality analytics as Spark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions sent to Python workers carry their code, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import BooleanType, DoubleType
 
 RASTER = 256  # cells per side when polygons are not convex
 
@@ -70,95 +71,113 @@ def with_hu_moments(df, points: str, out: str = "hu"):
     return df.drop(*names, "_x", "_y", *[f"_n{k}" for k in mu])
 
 
-def _xy(points) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in points], dtype=float).reshape(-1, 2)
+Points = list[tuple[float, float]]
 
 
-def _orient(o, a, b):
-    return (a[..., 0] - o[..., 0]) * (b[..., 1] - o[..., 1]) - (a[..., 1] - o[..., 1]) * (b[..., 0] - o[..., 0])
+def _turn(o, a, b) -> float:
+    return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
 
-def is_simple(p: np.ndarray) -> bool:
-    """No two non-adjacent edges cross or touch."""
+def _edges(p: Points):
+    return zip(p, p[1:] + p[:1])
+
+
+def _meet(a, b, c, d) -> bool:
+    """Do the segments a-b and c-d share a point?"""
+    if max(min(a[0], b[0]), min(c[0], d[0])) > min(max(a[0], b[0]), max(c[0], d[0])):
+        return False
+    if max(min(a[1], b[1]), min(c[1], d[1])) > min(max(a[1], b[1]), max(c[1], d[1])):
+        return False
+    return _turn(a, b, c) * _turn(a, b, d) <= 0 and _turn(c, d, a) * _turn(c, d, b) <= 0
+
+
+def is_simple(p: Points) -> bool:
+    """At least three points, some area, and no two non-adjacent edges crossing or touching."""
     n = len(p)
-    if n < 3:
+    if n < 3 or _area(p) == 0:
         return False
-    a, b = p, np.roll(p, -1, axis=0)
-    i, j = np.triu_indices(n, 2)
-    keep = ~((i == 0) & (j == n - 1))
-    i, j = i[keep], j[keep]
-    if len(i) == 0:
-        return bool(abs(_orient(p[0], p[1], p[2])) > 0)
-    d1, d2 = _orient(a[i], b[i], a[j]), _orient(a[i], b[i], b[j])
-    d3, d4 = _orient(a[j], b[j], a[i]), _orient(a[j], b[j], b[i])
-    overlap = np.all(np.maximum(np.minimum(a[i], b[i]), np.minimum(a[j], b[j])) <= np.minimum(np.maximum(a[i], b[i]), np.maximum(a[j], b[j])), axis=1)
-    return not bool(np.any((d1 * d2 <= 0) & (d3 * d4 <= 0) & overlap))
+    e = list(_edges(p))
+    return not any(_meet(*e[i], *e[j]) for i in range(n) for j in range(i + 2, n) if not (i == 0 and j == n - 1))
 
 
-def _area(p: np.ndarray) -> float:
-    q = np.roll(p, -1, axis=0)
-    return float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum() / 2)
+def _area(p: Points) -> float:
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in _edges(p)) / 2
 
 
-def _convex(p: np.ndarray) -> bool:
-    turn = _orient(p, np.roll(p, -1, axis=0), np.roll(p, -2, axis=0))
-    return bool(np.all(turn >= 0) or np.all(turn <= 0))
+def _convex(p: Points) -> bool:
+    turns = [_turn(a, b, c) for a, b, c in zip(p, p[1:] + p[:1], p[2:] + p[:2])]
+    return all(t >= 0 for t in turns) or all(t <= 0 for t in turns)
 
 
-def _clip(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
+def _clip(subject: Points, window: Points) -> Points:
     """Part of a polygon inside a convex, counter-clockwise window."""
     out = subject
-    for a, b in zip(window, np.roll(window, -1, axis=0)):
-        if len(out) == 0:
-            break
-        side = _orient(a, b, out)
-        kept = []
-        for k in range(len(out)):
-            p, q, s, t = out[k - 1], out[k], side[k - 1], side[k]
+    for a, b in _edges(window):
+        side = [_turn(a, b, q) for q in out]
+        kept: Points = []
+        for (p, s), (q, t) in zip(zip(out, side), zip(out[1:] + out[:1], side[1:] + side[:1])):
+            if s >= 0:
+                kept.append(p)
             if s * t < 0:
-                kept.append(p + (q - p) * (s / (s - t)))
-            if t >= 0:
-                kept.append(q)
-        out = np.array(kept).reshape(-1, 2)
+                f = s / (s - t)
+                kept.append((p[0] + (q[0] - p[0]) * f, p[1] + (q[1] - p[1]) * f))
+        out = kept
+        if not out:
+            break
     return out
 
 
-def _inside(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _inside(p: Points, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     hit = np.zeros(x.shape, dtype=bool)
-    for (x0, y0), (x1, y1) in zip(p, np.roll(p, -1, axis=0)):
-        spans = (y0 > y) != (y1 > y)
+    for (x0, y0), (x1, y1) in _edges(p):
         if y0 != y1:
-            hit ^= spans & (x < x0 + (y - y0) * (x1 - x0) / (y1 - y0))
+            hit ^= ((y0 > y) != (y1 > y)) & (x < x0 + (y - y0) * (x1 - x0) / (y1 - y0))
     return hit
 
 
-def overlap(p: np.ndarray, q: np.ndarray) -> float:
-    """IoU: exact when one polygon is convex, else counted on a grid over both."""
+def overlap(p: Points, q: Points) -> float:
+    """IoU of valid polygons: exact when one is convex, else counted on a grid over both."""
     if not (is_simple(p) and is_simple(q)):
         return 0.0
-    if _convex(q) or _convex(p):
+    if _convex(p) or _convex(q):
         window, subject = (q, p) if _convex(q) else (p, q)
-        window = window if _area(window) > 0 else window[::-1]
-        cut = _clip(subject, window)
+        cut = _clip(subject, window if _area(window) > 0 else window[::-1])
         inter = abs(_area(cut)) if len(cut) >= 3 else 0.0
         union = abs(_area(p)) + abs(_area(q)) - inter
     else:
-        lo, hi = np.minimum(p.min(0), q.min(0)), np.maximum(p.max(0), q.max(0))
-        gx = lo[0] + (np.arange(RASTER) + 0.5) / RASTER * (hi[0] - lo[0])
-        gy = lo[1] + (np.arange(RASTER) + 0.5) / RASTER * (hi[1] - lo[1])
+        xs, ys = zip(*p, *q)
+        gx = min(xs) + (np.arange(RASTER) + 0.5) / RASTER * (max(xs) - min(xs))
+        gy = min(ys) + (np.arange(RASTER) + 0.5) / RASTER * (max(ys) - min(ys))
         x, y = np.meshgrid(gx, gy)
         a, b = _inside(p, x, y), _inside(q, x, y)
         inter, union = float((a & b).sum()), float((a | b).sum())
     return inter / union if union > 0 else 0.0
 
 
-@F.pandas_udf("boolean")
-def simple_polygon_check(points: pd.Series) -> pd.Series:
+def _split(points: Column) -> tuple[Column, Column]:
+    """Coordinates as two arrays, which cross to Python as plain numbers."""
+    return F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+
+
+def _zip(xs, ys) -> Points:
+    return [] if xs is None else list(zip(xs.tolist(), ys.tolist()))
+
+
+@F.pandas_udf(BooleanType())
+def _simple(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    return pd.Series([is_simple(_zip(x, y)) for x, y in zip(xs, ys)], dtype=bool)
+
+
+@F.pandas_udf(DoubleType())
+def _iou(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+    return pd.Series([overlap(_zip(a, b), _zip(c, d)) for a, b, c, d in zip(ax, ay, bx, by)], dtype=float)
+
+
+def simple_polygon_check(points: Column) -> Column:
     """True for polygons of at least three points without self-intersection."""
-    return points.map(lambda p: p is not None and is_simple(_xy(p)))
+    return _simple(*_split(points))
 
 
-@F.pandas_udf("double")
-def polygon_iou(a: pd.Series, b: pd.Series) -> pd.Series:
+def polygon_iou(a: Column, b: Column) -> Column:
     """IoU of two polygons; 0 when either is invalid."""
-    return pd.Series([overlap(_xy(p), _xy(q)) for p, q in zip(a, b)])
+    return _iou(*_split(a), *_split(b))

@@ -38,14 +38,13 @@ def scan_frames(label_rows: DataFrame) -> DataFrame:
     base = ["project_hash", "label_hash", "data_hash", "data_type", "dataset_title"]
     flat = units.select(*base, F.col("u.data_hash").alias("du_hash"), "u.data_title", "u.data_sequence", "u.width", "u.height", "u.data_fps", "u.labels")
     cols = [*base, "du_hash", "data_title", "width", "height", "data_fps"]
-    stills = flat.where(F.col("data_type").isin("image", "img_group")).select(
-        *cols, F.col("data_sequence").cast("int").alias("frame"), F.from_json("labels", LABELS).alias("l")
-    )
-    video = flat.where(F.col("data_type") == "video").select(
-        *cols, F.explode(F.from_json("labels", f"map<string,{LABELS}>")).alias("f", "l")
-    )
-    frames = stills.unionByName(video.select(*cols, F.col("f").cast("int").alias("frame"), "l"))
-    return frames.select(*cols, "frame", "l.objects", "l.classifications")
+    known = flat.where(F.col("data_type").isin("image", "img_group", "video"))
+    # one parse per unit: a still is a map with a single frame
+    film = F.from_json("labels", f"map<string,{LABELS}>")
+    still = F.create_map(F.col("data_sequence"), F.from_json("labels", LABELS))
+    by_frame = F.when(F.col("data_type") == "video", film).otherwise(still)
+    frames = known.select(*cols, F.explode(by_frame).alias("f", "l"))
+    return frames.select(*cols, F.col("f").cast("int").alias("frame"), "l.objects", "l.classifications")
 
 
 FRAME_KEYS = ["project_hash", "label_hash", "du_hash", "frame"]

@@ -188,15 +188,14 @@ def export_coco(spark, d):
     return ann.unionByName(img).unionByName(cat)
 
 
-@query("coco_document", with_views("ann", """select section, count(*) as lines from (select 2 as section from ann where l_orderkey in (select o_orderkey from orders) union all select 1 from orders union all select 0 from (select distinct feature from ann)
-union all select unnest([0, 1, 2, 3])) group by 1"""))
+@query("coco_document", with_views("ann", """select 'element' as kind, (select count(*) from ann where l_orderkey in (select o_orderkey from orders)) + (select count(*) from orders)
++ (select count(distinct feature) from ann) as lines union all select 'bracket', 4"""))
 def coco_document(spark, d):
     frames, objects, cats = export_inputs(spark, d)
     path = scratch(spark)
-    t = EX.coco_tables(frames, objects, cats)
-    EX.write_coco(t, path)
-    lines = EX.coco_lines(t).groupBy("section").agg(F.count("*").alias("lines"))
-    return lines
+    EX.write_coco(EX.coco_tables(frames, objects, cats), path)
+    kind = F.when(F.col("value").rlike('^,?\\{"id":'), "element").otherwise("bracket")
+    return spark.read.text(path).groupBy(kind.alias("kind")).agg(F.count("*").alias("lines"))
 
 
 @query("nest_metrics", with_views("ann", """select o_orderkey as frame_id, round(o_totalprice, 6) as total, cast(coalesce(n, 0) as int) as objects, round(q, 6) as first_quantity from orders left join
@@ -233,7 +232,7 @@ def write_predictions(spark, d):
 # ---- masks and polygons
 
 @query("rle_round_trip", """select p_partkey, list_sum(m)::bigint as ones, (len(list_filter(range(1, 36), lambda i: m[i] <> m[i + 1])) + 1 + m[1])::bigint as runs, true as same,
-round(list_sum(list_transform(range(1, 37), lambda i: m[i] * k[i])) / list_sum(list_transform(range(1, 37), lambda i: greatest(m[i], k[i]))), 9) as iou from
+round(coalesce(list_sum(list_transform(range(1, 37), lambda i: m[i] * k[i])) / nullif(list_sum(list_transform(range(1, 37), lambda i: greatest(m[i], k[i]))), 0), 0e0), 9) as iou from
 (select p_partkey, list_transform(range(0, 36), lambda i: case when (p_partkey * 7 + i * i) % 5 < 2 then 1 else 0 end) as m,
 list_transform(range(0, 36), lambda i: case when (p_partkey * 3 + i * i) % 4 < 2 then 1 else 0 end) as k from part)""")
 def rle_round_trip(spark, d):
@@ -247,7 +246,7 @@ def rle_round_trip(spark, d):
                     (K.rle_decode(F.col("a")) == F.col("m")).alias("same"), F.round(K.rle_iou(F.col("a"), F.col("b")), 9).alias("iou"))
 
 
-@query("mask_iou", """select p_partkey, round(list_sum(list_transform(range(1, 37), lambda i: m[i] * k[i])) / list_sum(list_transform(range(1, 37), lambda i: greatest(m[i], k[i]))), 9) as iou from
+@query("mask_iou", """select p_partkey, round(coalesce(list_sum(list_transform(range(1, 37), lambda i: m[i] * k[i])) / nullif(list_sum(list_transform(range(1, 37), lambda i: greatest(m[i], k[i]))), 0), 0e0), 9) as iou from
 (select p_partkey, list_transform(range(0, 36), lambda i: case when (p_partkey * 7 + i * i) % 5 < 2 then 1 else 0 end) as m,
 list_transform(range(0, 36), lambda i: case when (p_partkey * 3 + i * i) % 4 < 2 then 1 else 0 end) as k from part)""")
 def mask_iou(spark, d):
@@ -265,13 +264,13 @@ def masks_to_objects(spark, d):
     return MK.masks_to_objects(m, ["vec_id"])
 
 
-@query("polygon_iou", with_views("best", "select pred_id, round(iou, 6) as iou from best"))
+@query("polygon_iou", with_views("best", "select pred_id, round(iou, 9) as iou from best"))
 def polygon_iou(spark, d):
     g = V.gt(spark, d)
     best = best_overlap(V.pred(spark, d), g, ["frame_id", "feature"], "label_id", carry=["x", "y", "w", "h"]).where("iou > 0")
     a = B.box_points(*[F.col(c) for c in "xywh"])
     b = B.box_points(*[F.col(f"best_{c}") for c in "xywh"])
-    return best.select("pred_id", F.round(PG.polygon_iou(a, b), 6).alias("iou"))
+    return best.select("pred_id", F.round(PG.polygon_iou(a, b), 9).alias("iou"))
 
 
 @query("simple_polygon_check", with_views("ann", "select obj_id, l_linenumber % 2 = 1 as simple from ann"))
@@ -373,11 +372,11 @@ def stream_running_stats(spark, d):
 @query("stream_windowed_stats", """select event_type, count(value) as count, round(avg(value), 6) as mean, date_trunc('day', ts) as day from events group by 1, 4""")
 def stream_windowed_stats(spark, d):
     base = scratch(spark)
-    out = SJ.stream_running_stats(event_stream(spark, d), "event_type", "value", "ts", "1 day", "1 hour")
+    out = SJ.stream_running_stats(event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "value", "ts", "1 day", "1 hour")
     drain(out.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{base}/out/batch={i}")), base)
     rows = spark.read.parquet(f"{base}/out")
     latest = rows.groupBy("event_type", F.col("window.start").alias("day")).agg(F.max_by(F.struct("count", "mean"), "batch").alias("s"))
-    return latest.select("event_type", "s.count", F.round("s.mean", 6).alias("mean"), "day")
+    return latest.select("event_type", "s.count", F.round("s.mean", 6).alias("mean"), F.col("day").cast("timestamp_ntz").alias("day"))
 
 
 @query("stream_shape_similarity", """with e as (select event_id, user_id, [value, cast(event_id % 97 as double), 10e0 + value / 3] as v,
