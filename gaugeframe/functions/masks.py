@@ -21,12 +21,21 @@ def rle_decode(rle: Column) -> Column:
     return F.flatten(F.transform(rle["counts"], lambda c, i: F.array_repeat((i % 2).cast("int"), c)))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once instead of once per use inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _ones(rle: Column) -> Column:
-    """(start, stop) of every run of ones."""
-    counts = rle["counts"]
-    ends = F.transform(F.sequence(F.lit(1), F.size(counts)), lambda i: F.aggregate(F.slice(counts, 1, i), F.lit(0).cast("long"), lambda acc, c: acc + c))
-    spans = F.zip_with(counts, ends, lambda c, e: F.struct((e - c).alias("a"), e.alias("b")))
-    return F.filter(spans, lambda s, i: i % 2 == 1)
+    """(a, b) start and stop of every run of ones."""
+    start = F.struct(F.array().cast("array<struct<a:bigint,b:bigint>>").alias("spans"), F.lit(0).cast("bigint").alias("end"))
+    walked = F.aggregate(
+        rle["counts"], start,
+        lambda acc, c: F.struct(
+            F.concat(acc["spans"], F.array(F.struct(acc["end"].alias("a"), (acc["end"] + c).alias("b")))).alias("spans"), (acc["end"] + c).alias("end")),
+        lambda acc: acc["spans"],
+    )
+    return F.filter(walked, lambda s, i: i % 2 == 1)
 
 
 def rle_area(rle: Column) -> Column:
@@ -36,13 +45,12 @@ def rle_area(rle: Column) -> Column:
 
 def rle_iou(a: Column, b: Column) -> Column:
     """Overlap of two encoded masks from their runs, never decoding them; an empty union is 0."""
-    inter = F.aggregate(
-        _ones(a), F.lit(0).cast("long"),
+    zero = F.lit(0).cast("long")
+    inter = _let(_ones(b), lambda other: F.aggregate(
+        _ones(a), zero,
         lambda acc, s: acc + F.aggregate(
-            _ones(b), F.lit(0).cast("long"),
-            lambda got, t: got + F.greatest(F.least(s["b"], t["b"]) - F.greatest(s["a"], t["a"]), F.lit(0)).cast("long"),
-        ),
-    )
+            other, zero, lambda got, t: got + F.greatest(F.least(s["b"], t["b"]) - F.greatest(s["a"], t["a"]), zero)),
+    ))
     union = rle_area(a) + rle_area(b) - inter
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
 

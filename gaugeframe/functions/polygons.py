@@ -40,7 +40,8 @@ def with_hu_moments(df, points: str, out: str = "hu"):
     raw = _raw_moments(F.col(points))
     df = df.withColumns({f"_m{k}": v for k, v in raw.items()})
     sign = F.signum("_m00")
-    df = df.withColumns({n: F.col(n) * sign for n in names[1:]} | {"_m00": F.abs("_m00")})
+    # without area every derived moment is null
+    df = df.withColumns({n: F.col(n) * sign for n in names[1:]} | {"_m00": F.nullif(F.abs("_m00"), F.lit(0.0))})
     df = df.withColumns({"_x": F.col("_m10") / F.col("_m00"), "_y": F.col("_m01") / F.col("_m00")})
     x, y = F.col("_x"), F.col("_y")
     m = {n[2:]: F.col(n) for n in names}

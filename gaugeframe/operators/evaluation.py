@@ -141,8 +141,13 @@ def prediction_summary(evaluated: DataFrame, fns: DataFrame, iou: float, key: st
 def metric_correlation(evaluated: DataFrame, metrics: Sequence[str], iou: float) -> DataFrame:
     """Pearson correlation of the TP flag with each metric over rows having the metric; null without variance."""
     tp = is_tp(iou).cast("double")
-    one = evaluated.agg(*[F.corr(tp, F.col(m).cast("double")).alias(m) for m in metrics])
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.nanvl(F.col(m), F.lit(None)).alias("correlation")) for m in metrics])
+
+    def pearson(m: str) -> Column:
+        x, y = F.col(m).cast("double"), F.when(F.col(m).isNotNull(), tp)
+        return F.try_divide(F.covar_pop(y, x), F.stddev_pop(y) * F.stddev_pop(x))
+
+    one = evaluated.agg(*[pearson(m).alias(m) for m in metrics])
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("correlation")) for m in metrics])
     return one.select(F.explode(pairs).alias("s")).select("s.*")
 
 

@@ -84,7 +84,8 @@ def shape_similarity(vectors: DataFrame, keys: Sequence[str], order: Sequence[Co
     if not 0 < decay < 1:
         raise ValueError("decay must lie strictly between 0 and 1")
     halo = math.ceil(64 * math.log(2) / -math.log(decay))
-    chunk = max(1, min(4096, int(600 * math.log(2) / -math.log(decay)) - halo))
+    # weights stay below 2^480 so that their squares are finite
+    chunk = max(1, min(4096, int(480 * math.log(2) / -math.log(decay)) - halo))
     pos = ranked(vectors, keys, order, "_pos").withColumn("_p", F.col("_pos") - 1)
     inside = (F.col("_p") % chunk).cast("int")
     home = F.floor(F.col("_p") / chunk)
@@ -113,7 +114,7 @@ def shape_similarity(vectors: DataFrame, keys: Sequence[str], order: Sequence[Co
         terms = [x * y for x, y in zip(a, b)]
         return sum(terms[1:], terms[0])
 
-    cosine = dot(m, v) / (F.sqrt(dot(m, m)) * F.sqrt(dot(v, v)))
+    cosine = F.try_divide(dot(m, v), F.sqrt(dot(m, m)) * F.sqrt(dot(v, v)))
     score = F.when(F.col("_p") == 0, F.lit(1.0)).otherwise(cosine)
     helpers = ["_pos", "_p", "_s", "c", "e", "own", *[f"_m{i}" for i in range(dims)]]
     return rows.withColumn("score", score).drop(*helpers)
@@ -156,7 +157,8 @@ def shape_outlier(vectors: DataFrame, id_col: str, cls: str, vector: str, dims:
     # the overall mean cancels in a distance between standardised points
     centre = flat.groupBy(cls).agg(*[F.avg(f"v{i}").alias(f"c{i}") for i in range(dims)])
     j = flat.join(centre, cls).withColumn("_s", stats.scalar())
-    parts = [((F.col(f"v{i}") - F.col(f"c{i}")) / F.col("_s")[f"s{i}"]) for i in range(dims)]
+    # a component that never varies adds nothing
+    parts = [F.coalesce(F.try_divide(F.col(f"v{i}") - F.col(f"c{i}"), F.col("_s")[f"s{i}"]), F.lit(0.0)) for i in range(dims)]
     squares = [p * p for p in parts]
     dist = j.select(id_col, cls, F.sqrt(sum(squares[1:], squares[0])).alias("_d"))
     floor = dist.where("_d > 0").agg(F.min("_d"))

@@ -51,7 +51,7 @@ def place(units: DataFrame, block_rows: int = 2048) -> Blocks:
     wanted = max(1, min(MAX_PIVOTS, math.ceil(n / block_rows)))
     # bounded: at most MAX_PIVOTS vectors, chosen by hash so that any rerun picks the same ones
     picked = distinct.select(F.xxhash64("rid").alias("h"), "rid", "u").orderBy("h", "rid").limit(wanted).collect()
-    pivots = np.array([r["u"] for r in picked], dtype=np.float64).reshape(len(picked), -1)
+    pivots = np.array([r["u"] for r in picked], dtype=np.float64)
     result = StructType([StructField("cell", IntegerType()), StructField("far", DoubleType())])
 
     @F.pandas_udf(result)

@@ -1,0 +1,14 @@
+"""Use all cores on inputs that come as a handful of files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan that has fewer files than the cluster has cores; any larger input is left alone.
+
+    Meant ahead of CPU-heavy row functions, where one unsplittable file would keep a single core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

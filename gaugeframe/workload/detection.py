@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions import boxes as B
 from gaugeframe.operators import density as D, evaluation as E, filters as X, matching as M, sequences as Q
+from gaugeframe.plans.spread import spread
 from gaugeframe.session import cut_lineage
 from gaugeframe.workload import views as V
 from gaugeframe.workload.views import with_views
@@ -356,20 +357,21 @@ def track_ids(spark, d):
     return Q.track_ids(V.ann(spark, d).select("obj_id", "l_partkey"), "l_partkey", ["obj_id"])
 
 
-BOXCOLS = tuple(F.col(c) for c in "xywh")
+def box_columns():
+    return tuple(F.col(c) for c in "xywh")
 
 
 @query("box_geometry", with_views("ann", """select obj_id, w * h * 100e0 as relative_area, cast(floor(1920e0 * 1080e0 * (w * h)) as bigint) as absolute_area,
 (w * 1920e0) / (h * 1080e0) as aspect, greatest(x + w, y + h, 1e0 - x, 1e0 - y) as closeness, x + w <= 1 and y + h <= 1 as valid,
 round(w * h, 9) as polygon_area, x + w as x2, y + h as y2, floor(x * 1920e0 * 100e0 + 0.5e0) / 100e0 as px from ann"""))
 def box_geometry(spark, d):
-    pts = B.box_points(*BOXCOLS)
+    pts = B.box_points(*box_columns())
     W_, H_ = F.lit(1920.0), F.lit(1080.0)
-    a = V.ann(spark, d).withColumn("pts", pts)
+    a = spread(V.ann(spark, d)).withColumn("pts", pts)
     return a.select(
         "obj_id", B.relative_area(F.col("w") * F.col("h")).alias("relative_area"), B.absolute_area(F.col("w") * F.col("h"), W_, H_).alias("absolute_area"),
         B.object_aspect_ratio(F.col("w"), F.col("h"), W_, H_).alias("aspect"), B.border_closeness(F.col("pts")).alias("closeness"),
-        B.box_valid(*BOXCOLS).alias("valid"), F.round(B.polygon_area(F.col("pts")), 9).alias("polygon_area"),
+        B.box_valid(*box_columns()).alias("valid"), F.round(B.polygon_area(F.col("pts")), 9).alias("polygon_area"),
         B.polygon_bounds(F.col("pts"))["x2"].alias("x2"), B.polygon_bounds(F.col("pts"))["y2"].alias("y2"),
         B.pixel_bounds(F.col("pts"), W_, H_)["x1"].alias("px"),
     )
@@ -379,8 +381,8 @@ def box_geometry(spark, d):
 (select obj_id, radians(l_suppkey % 360) as t, x * 1920e0 + w * 1920e0 / 2 as cx, y * 1080e0 + h * 1080e0 / 2 as cy, -(w * 1920e0) / 2 as dx, -(h * 1080e0) / 2 as dy from ann)"""))
 def rotated_box_points(spark, d):
     theta = (F.col("l_suppkey") % 360).cast("double")
-    p = B.rotated_box_points(*BOXCOLS, theta, F.lit(1920.0), F.lit(1080.0))
-    return V.ann(spark, d).select("obj_id", F.round(p[0]["x"], 6).alias("x1"), F.round(p[0]["y"], 6).alias("y1"))
+    p = B.rotated_box_points(*box_columns(), theta, F.lit(1920.0), F.lit(1080.0))
+    return spread(V.ann(spark, d)).select("obj_id", F.round(p[0]["x"], 6).alias("x1"), F.round(p[0]["y"], 6).alias("y1"))
 
 
 @query("frame_shape", with_views("unit", """select unit_id, case when m_chars > 0 and m_spaces > 0 then m_chars * m_spaces end as area,
