@@ -33,14 +33,13 @@ def match_duplicate_iou(matched: DataFrame, pred_id: str = "pred_id", confidence
     that of everything more confident; it then loses to the most overlapping of those, so that IoU is its
     lower end.  All others are never true positives.  TP at t is: iou >= t and match_duplicate_iou < t.
     """
-    hits = matched.where(F.col("match_id").isNotNull()).select(pred_id, "match_id", confidence, "iou")
+    # unmatched predictions ride along under a key of their own, so nothing is computed twice or joined back
+    keyed = matched.withColumns({"_none": F.col("match_id").isNull(), "_label": F.coalesce(F.col("match_id").cast("string"), F.lit(""))})
     order = [F.desc(confidence), F.desc("iou"), F.desc(pred_id)]
-    scanned = running(hits, ["match_id"], order, prior_maxes={"prior": F.col("iou")})
-    open_ = F.col("prior").isNull() | (F.col("iou") > F.col("prior"))
-    ends = scanned.select(
-        pred_id, F.when(open_, F.coalesce("prior", F.lit(ALWAYS_TP))).otherwise(F.lit(ALWAYS_FP)).alias("match_duplicate_iou")
-    )
-    return matched.join(ends, pred_id, "left").withColumn("match_duplicate_iou", F.coalesce("match_duplicate_iou", F.lit(ALWAYS_FP)))
+    scanned = running(keyed, ["_none", "_label"], order, prior_maxes={"_prior": F.col("iou")})
+    open_ = ~F.col("_none") & (F.col("_prior").isNull() | (F.col("iou") > F.col("_prior")))
+    end = F.when(open_, F.coalesce("_prior", F.lit(ALWAYS_TP))).otherwise(F.lit(ALWAYS_FP))
+    return scanned.withColumn("match_duplicate_iou", end).drop("_none", "_label", "_prior")
 
 
 def is_tp(iou: float) -> Column:
@@ -82,9 +81,9 @@ def annotation_duplicates(objects: DataFrame, keys: Sequence[str] = ("frame_id",
     """Best IoU partner of every object within frame and class; mutual duplicates are reported by the smaller id only."""
     scored = best_other(objects.select(*keys, id_col, "x", "y", "w", "h"), keys, id_col, cell)
     scored = scored.withColumn("partner", F.when(F.col("iou") >= F.lit(DUPLICATE_IOU), F.col("partner")))
-    flagged = scored.where(F.col("partner").isNotNull())
-    mutual = flagged.select(F.col("partner").alias(id_col), F.col(id_col).alias("partner"), F.lit(True).alias("_seen"))
-    # (b, a) is dropped when (a, b) with a < b exists
-    out = scored.join(mutual.where(F.col("partner") < F.col(id_col)), [id_col, "partner"], "left").where(F.col("_seen").isNull())
+    # (a, b) and (b, a) meet in one group of at most two rows and the smaller id stays; other rows are alone in theirs
+    pair = {"_lo": F.least(id_col, "partner"), "_hi": F.greatest(id_col, "partner")}
+    kept = F.min(F.struct(id_col, "partner", *keys, F.col("iou").alias("score")))
+    out = scored.withColumns(pair).groupBy("_lo", F.when(F.col("partner").isNotNull(), F.col("_hi")).alias("_hi")).agg(kept.alias("r")).select("r.*")
     note = F.when(F.col("partner").isNull(), "Possible non duplicated object").otherwise("Possible duplicates")
-    return out.select(*keys, id_col, "partner", F.col("iou").alias("score"), note.alias("description"))
+    return out.select(*keys, id_col, "partner", "score", note.alias("description"))

@@ -34,8 +34,8 @@ def matched(spark, d):
 
 def evaluated(spark, d):
     """Matched predictions with their intervals and labels with their thresholds; matching runs once."""
-    m = cut_lineage(matched(spark, d))
-    return M.match_duplicate_iou(m), M.fn_threshold(V.gt(spark, d), m)
+    ev = cut_lineage(M.match_duplicate_iou(matched(spark, d)))
+    return ev, M.fn_threshold(V.gt(spark, d), ev)
 
 
 @query("iou_match", with_views("matched", "select pred_id, match_id, iou from matched"))
@@ -138,7 +138,6 @@ group by 1, 2) group by 1)"""
 
 def _curve(spark, d):
     ev, fn = evaluated(spark, d)
-    ev = cut_lineage(ev)
     return E.pr_curve(ev, E.confusion_counts(ev, fn, IOU), IOU)
 
 
@@ -178,7 +177,7 @@ round(avg(precision), 9) as mP, round(avg(recall), 9) as mR, round(avg(f1_clampe
 cast(sum(fn) as bigint) as tFN, (select count(distinct frame_id) from fn) as num_frames from scored join ap using (feature)""", CURVE))
 def prediction_summary(spark, d):
     ev, fn = evaluated(spark, d)
-    out = E.prediction_summary(cut_lineage(ev), fn, IOU).drop("classification_tTN", "classification_accuracy")
+    out = E.prediction_summary(ev, fn, IOU).drop("classification_tTN", "classification_accuracy")
     return rounded(out, "mAP", "mAR", "mP", "mR", "mF1")
 
 

@@ -16,7 +16,7 @@ def ann(spark: SparkSession, d: str) -> DataFrame:
     """Boxes with metrics; 30 orders make a frame, so frames grow with the data, not their content."""
     li = table(spark, d, "lineitem")
     return li.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("obj_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.rint(F.col("l_extendedprice") * 100).cast("long")).alias("obj_id"),
         F.expr("l_orderkey div 30").alias("frame_id"),
         "l_orderkey",
         F.col("l_linenumber").cast("long").alias("l_linenumber"),
@@ -112,7 +112,7 @@ def probs(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL_VIEWS: dict[str, str] = {
-    "ann": """select concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as obj_id,
+    "ann": """select concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', cast(round(l_extendedprice * 100) as bigint)) as obj_id,
         l_orderkey // 30 as frame_id, l_orderkey, cast(l_linenumber as bigint) as l_linenumber, l_partkey, l_suppkey,
         l_returnflag as feature, l_linestatus as kind, l_quantity / cast(50 as double) as m_quantity,
         l_discount as m_discount, l_tax as m_tax, l_extendedprice as m_price,
