@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugeframe.functions.vectors import cosine_similarity, dot, entropy, l2_norm, least_confidence, margin, max_prob, variance
+from gaugeframe.functions.vectors import cosine_similarity, entropy, least_confidence, margin, max_prob, variance
 from gaugeframe.plans.neighbours import adjacent_earlier, knn_join, nearest_beyond, place, unit_vectors
 from gaugeframe.plans.scan import ranked
 from gaugeframe.session import cut_lineage
@@ -150,6 +150,3 @@ def frame_acquisition(frames: DataFrame, predictions: DataFrame, frame: str, pro
     """Frame means of every acquisition score over its predicted objects; an empty frame has confidence 0 and no others."""
     per = predictions.groupBy(frame).agg(*[F.avg(fn(F.col(probs))).alias(name) for name, fn in ACQUISITION.items()])
     return frames.select(frame).join(per, frame, "left").withColumn("max_prob", F.coalesce("max_prob", F.lit(0.0)))
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]

@@ -15,7 +15,7 @@ high dimensions costs that much.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd

@@ -17,7 +17,7 @@ RESULT = "image_id long, category_id int, score double, bbox array<double>, segm
 
 
 def _as_struct(ddl: str) -> str:
-    return "struct<" + ",".join(":".join(c.strip().split(" ", 1)) for c in ddl.replace("struct<rotation:double>", "struct<rotation:double>").split(", ")) + ">"
+    return "struct<" + ",".join(":".join(c.strip().split(" ", 1)) for c in ddl.split(", ")) + ">"
 
 
 def read_coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:

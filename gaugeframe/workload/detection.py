@@ -97,7 +97,6 @@ def annotation_duplicates(spark, d):
     return M.annotation_duplicates(V.ann(spark, d))
 
 
-_LEFT = "left join (select feature, count(*) filter (where iou_threshold < 0.5e0) as fn from fn group by 1) using (feature)"
 COUNTS = f"""counts as (select feature, tp, n - tp as fp, coalesce(fn, 0) as fn, t0, t1, t2, t3, t4, t5 from (select feature,
 count(*) filter (where tp) as tp, count(*) as n, {', '.join(
     f"count(*) filter (where iou >= {t}e0 and match_duplicate_iou < {t}e0) as t{i}" for i, t in enumerate(E.RECALL_IOUS))}

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import boxes as B, images as I, masks as K, polygons as PG
-from gaugeframe.functions.vectors import entropy
 from gaugeframe.operators import extensions as X
 from gaugeframe.plans.spatial import best_overlap
 from gaugeframe.plans.spread import spread

@@ -9,7 +9,6 @@ from gaugeframe.functions.vectors import entropy
 from gaugeframe.operators import selection as T, tables as P, tags as G
 from gaugeframe.registry import ANNOTATION_REGISTRY, DATA_REGISTRY
 from gaugeframe.workload import views as V
-from gaugeframe.workload.summaries import merged
 from gaugeframe.workload.views import with_views
 
 QUERIES, ORACLES = {}, {}
