@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeframe.llm import substrings
+from gaugeframe.llm import contamination, substrings
 from gaugeframe.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -16,3 +16,8 @@ def query(fn):
 @query
 def op3_substring_dedup(spark, sf_dir):
     return substrings.op3(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_decontamination(spark, sf_dir):
+    return contamination.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
