@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeframe.llm import contamination, substrings
+from gaugeframe.llm import contamination, mixing, substrings
 from gaugeframe.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -21,3 +21,8 @@ def op3_substring_dedup(spark, sf_dir):
 @query
 def op4_decontamination(spark, sf_dir):
     return contamination.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_source_mix(spark, sf_dir):
+    return mixing.op8(table(spark, sf_dir, "documents"))
