@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeframe.llm import contamination, mixing, substrings
+from gaugeframe.llm import chat, contamination, mixing, substrings, warc
 from gaugeframe.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -26,3 +26,13 @@ def op4_decontamination(spark, sf_dir):
 @query
 def op8_source_mix(spark, sf_dir):
     return mixing.op8(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_warc(spark, sf_dir):
+    return warc.op9(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_chat_format(spark, sf_dir):
+    return chat.op2(table(spark, sf_dir, "conversations"))
