@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeframe.llm import chat, contamination, mixing, substrings, warc
+from gaugeframe.llm import chat, contamination, gif, mixing, substrings, warc
 from gaugeframe.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -36,3 +36,8 @@ def op9_warc(spark, sf_dir):
 @query
 def op2_chat_format(spark, sf_dir):
     return chat.op2(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op1_gif(spark, sf_dir):
+    return gif.op1(table(spark, sf_dir, "documents"))
