@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeframe.llm import chat, contamination, gif, mixing, substrings, warc
+from gaugeframe.llm import chat, contamination, gif, lines, mixing, substrings, warc
 from gaugeframe.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -41,3 +41,8 @@ def op2_chat_format(spark, sf_dir):
 @query
 def op1_gif(spark, sf_dir):
     return gif.op1(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_line_dedup(spark, sf_dir):
+    return lines.op7(table(spark, sf_dir, "documents"))
