@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeframe.llm import chat, contamination, gif, lines, mixing, substrings, warc
+from gaugeframe.llm import chat, contamination, gif, jaccard, lines, mixing, substrings, warc
 from gaugeframe.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -46,3 +46,8 @@ def op1_gif(spark, sf_dir):
 @query
 def op7_line_dedup(spark, sf_dir):
     return lines.op7(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard.op5(table(spark, sf_dir, "documents"))
