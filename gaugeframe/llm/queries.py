@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeframe.llm import chat, contamination, gif, jaccard, lines, mixing, substrings, warc
+from gaugeframe.llm import chat, contamination, gif, jaccard, lines, mixing, substrings, toxicity, warc
 from gaugeframe.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -51,3 +51,8 @@ def op7_line_dedup(spark, sf_dir):
 @query
 def op5_jaccard_join(spark, sf_dir):
     return jaccard.op5(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    return toxicity.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
