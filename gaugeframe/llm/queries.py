@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeframe.llm import chat, contamination, gif, jaccard, lines, mixing, substrings, toxicity, warc
+from gaugeframe.llm import chat, contamination, gif, jaccard, lines, mixing, privacy, substrings, toxicity, warc
 from gaugeframe.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -56,3 +56,8 @@ def op5_jaccard_join(spark, sf_dir):
 @query
 def op10_toxicity(spark, sf_dir):
     return toxicity.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_sanitise(spark, sf_dir):
+    return privacy.op6(table(spark, sf_dir, "documents"))
