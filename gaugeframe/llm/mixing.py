@@ -109,11 +109,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     return parts.join(slots, ["src", "rank"]).select("slot", "doc_id", "_row", "epoch", "from", "to"), sized
 
 
-def op8(docs: DataFrame) -> DataFrame:
-    """Digest of :func:`mix`: words taken of every document."""
+def taken(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and first_slot of every document row."""
     mixed, sized = mix(docs)
     used = mixed.groupBy("_row").agg(F.sum(F.col("to") - F.col("from")).alias("_taken"), F.min("slot").alias("first_slot"))
     copies = sized.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
     return sized.join(used.join(copies, "_row"), "_row", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce((F.col("_taken") / F.col("_n")).cast("long"), F.lit(0)).alias("taken"), "first_slot",
+        "doc_id", "source", "size", "source_size", "target", F.coalesce((F.col("_taken") / F.col("_n")).cast("long"), F.lit(0)).alias("taken"), "first_slot",
     )
+
+
+def op8(docs: DataFrame) -> DataFrame:
+    """Digest of :func:`mix`: words taken of every document."""
+    return taken(docs).drop("source")
