@@ -23,10 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = lines.dedup_lines(docs)
-    left = cut.where((F.col("_gf_removed") == 0) | (F.col("_gf_removed") < F.col("_gf_lines")))
+    cut, total, removed = lines.dedup_lines(docs)
+    left = cut.where((F.col(removed) == 0) | (F.col(removed) < F.col(total)))
     # n_chars describes the text, so it follows the cut
-    chars = F.when(F.col("_gf_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    chars = F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", chars).select(*docs.columns)
 
 

@@ -52,6 +52,18 @@ def row_key() -> list[Column]:
     return [F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(F.col("text").isNull(), "text").alias("_tk")]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Helper column names that no column of ``df`` has (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def byte_class(separators: bytes, lower: bool = False) -> np.ndarray:
     """256 entries: 0 for a separator, else the (folded) byte plus one."""
     out = np.arange(1, 257, dtype=np.uint16)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugeframe.llm.common import FOLDED, Words, column, ids_of, row_key, slices, stored
+from gaugeframe.llm.common import FOLDED, Words, column, fresh, ids_of, row_key, slices, stored
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -205,9 +205,10 @@ def flag_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    gone = flag_documents(docs, benchmark, window).where("contaminated").select(F.col("_id").alias("_gone_id"), F.col("_tk").alias("_gone_tk"))
+    names = fresh(docs, "_gf_id", "_gf_tk")
+    gone = flag_documents(docs, benchmark, window).where("contaminated").select("_id", "_tk").toDF(*names)
     key = row_key()
-    return docs.join(gone, (key[0] == F.col("_gone_id")) & (key[1] == F.col("_gone_tk")), "left_anti")
+    return docs.join(gone, (key[0] == F.col(names[0])) & (key[1] == F.col(names[1])), "left_anti")
 
 
 def op4(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

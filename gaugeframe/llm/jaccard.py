@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gaugeframe.llm.common import Words, column, ids_of, mix, row_key, slices, stored
+from gaugeframe.llm.common import Words, column, fresh, ids_of, mix, row_key, slices, stored
 from gaugeframe.llm.components import components
 
 N, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity 4/5, kept as integers so that the comparison is exact
@@ -213,11 +213,11 @@ def near_classes(docs: DataFrame, n: int = N, recall: float = RECALL) -> DataFra
 def keep_one(docs: DataFrame, n: int = N) -> DataFrame:
     """One row of each class, that with the smallest (id, text hash), with all its columns."""
     first = near_classes(docs, n).groupBy("group").agg(F.min(F.struct("_id", "_tk")).alias("k"))
-    first = first.select(F.col("k._id").alias("_gf_id"), F.col("k._tk").alias("_gf_tk"))
-    key = row_key()
-    keyed = docs.select("*", key[0].alias("_gf_id"), key[1].alias("_gf_tk"))
+    names = fresh(docs, "_gf_id", "_gf_tk")
+    first = first.select("k._id", "k._tk").toDF(*names)
+    keyed = docs.select("*", *[k.alias(n) for k, n in zip(row_key(), names)])
     # the join has put equal rows side by side: dropping repeats of the chosen row needs no further shuffle
-    return keyed.join(first, ["_gf_id", "_gf_tk"], "left_semi").dropDuplicates(["_gf_id", "_gf_tk"]).drop("_gf_id", "_gf_tk")
+    return keyed.join(first, names, "left_semi").dropDuplicates(names).drop(*names)
 
 
 def op5(docs: DataFrame) -> DataFrame:

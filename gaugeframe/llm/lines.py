@@ -14,7 +14,7 @@ line hashes travel to the alignment.  Decisions fall on the input, and the first
 Defined results.  Lines end at ``\\n``; they are compared without white space at their ends; blank lines are never compared or deleted.
 Order is by doc_id (null last), then text hash; rows with equal id and text are one document and are treated alike.  A null text has no
 lines and stays null.  An empty table gives an empty result.  All columns are kept, whatever their names, except that ``text`` is
-rewritten; helper columns begin with ``_gf_``.
+rewritten.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gaugeframe.llm.common import WORD, row_key, stored
+from gaugeframe.llm.common import WORD, fresh, row_key, stored
 
 RARE, MIN_WORDS = 64, 10
 
@@ -153,24 +153,26 @@ def removed_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS)
     return united.mapInArrow(masked, "_id long, _tk long, mask binary, n long")
 
 
-def dedup_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the repeated blocks cut out of ``text``, plus ``_gf_lines`` and ``_gf_removed`` (lines not blank, lines deleted)."""
-    gone = removed_lines(docs, rare, min_words).toDF("_gf_id", "_gf_tk", "_gf_mask", "_gf_n")
+def dedup_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> tuple[DataFrame, str, str]:
+    """``docs`` with the repeated blocks cut out of ``text`` and two columns more; their names: lines that are not blank, lines deleted."""
+    gone_id, gone_tk, mask, n, doc, tk, total, removed = fresh(docs, *(f"_gf_{x}" for x in ("id", "tk", "mask", "n", "doc", "text", "lines", "removed")))
+    gone = removed_lines(docs, rare, min_words).toDF(gone_id, gone_tk, mask, n)
     key = row_key()
-    keyed = docs.select("*", key[0].alias("_gf_doc"), key[1].alias("_gf_text"))
-    joined = keyed.join(gone, (F.col("_gf_doc") == F.col("_gf_id")) & (F.col("_gf_text") == F.col("_gf_tk")), "left")
+    keyed = docs.select("*", key[0].alias(doc), key[1].alias(tk))
+    joined = keyed.join(gone, (F.col(doc) == F.col(gone_id)) & (F.col(tk) == F.col(gone_tk)), "left")
     every = F.split("text", "\n")
-    kept = F.array_join(F.filter(every, lambda x, i: F.substring(F.col("_gf_mask"), i + 1, F.lit(1)) != F.lit(b"\x01")), "\n")
+    kept = F.array_join(F.filter(every, lambda x, i: F.substring(F.col(mask), i + 1, F.lit(1)) != F.lit(b"\x01")), "\n")
     lines = F.size(F.filter(every, lambda x: F.btrim(x, F.lit(" \t\r\x0b\f")) != ""))
     return joined.select(
-        *[F.when(F.col("_gf_mask").isNull(), F.col("text")).otherwise(kept).alias("text") if n == "text" else F.col(f"`{n}`") for n in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("_gf_lines"), F.coalesce("_gf_n", F.lit(0)).alias("_gf_removed"),
-    )
+        *[F.when(F.col(mask).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias(total), F.coalesce(n, F.lit(0)).alias(removed),
+    ), total, removed
 
 
 def op7(docs: DataFrame) -> DataFrame:
     """Digest of :func:`dedup_lines`."""
-    return dedup_lines(docs).select(
-        "doc_id", F.col("_gf_lines").alias("n_lines"), F.col("_gf_removed").alias("n_removed"),
+    cut, total, removed = dedup_lines(docs)
+    return cut.select(
+        "doc_id", F.col(total).alias("n_lines"), F.col(removed).alias("n_removed"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gaugeframe.llm.common import row_key, stored
+from gaugeframe.llm.common import fresh, row_key, stored
 
 # Entity kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -139,9 +139,9 @@ def _listed(spans_: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with entities replaced by their kind in brackets, disclosing terms generalised to their class or removed."""
-    marked = spans(docs).select(F.col("_id").alias("_gf_id"), F.col("_tk").alias("_gf_tk"), F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPANS)))).alias("_gf_spans"))
-    key = row_key()
-    joined = docs.select("*", key[0].alias("_gf_doc"), key[1].alias("_gf_text")).join(marked, (F.col("_gf_doc") == F.col("_gf_id")) & (F.col("_gf_text") == F.col("_gf_tk")), "left")
+    doc, tk, found = fresh(docs, "_gf_id", "_gf_tk", "_gf_spans")
+    marked = spans(docs).select("_id", "_tk", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPANS))))).toDF(doc, tk, found)
+    joined = docs.select("*", *[k.alias(n) for k, n in zip(row_key(), (doc, tk))]).join(marked, [doc, tk], "left")
 
     def put(acc: Column, s: Column) -> Column:
         word = F.when(s["kind"] == "generalise", F.concat(F.substring(s["value"], 1, PREFIX), F.lit("*"))).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
@@ -149,7 +149,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
         kept = F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), word)
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], kept).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("_gf_spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), put,
+    clean = F.aggregate(found, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), put,
                         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
     return joined.select(*[F.coalesce(clean, F.col("text")).alias("text") if n == "text" else F.col(f"`{n}`") for n in docs.columns])
 

@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, steps: i
                 })
 
     got = texts.mapInArrow(featurise, "doc_id long, toxic int, features binary, begin binary").toArrow().sort_by("doc_id")
-    empty = Model(np.zeros(SPACE, dtype=np.float32), -50.0)
+    empty = Model(np.zeros(SPACE, dtype=np.float32), -np.inf)
     if got.num_rows == 0:
         return empty
     label = got["toxic"].to_numpy()
