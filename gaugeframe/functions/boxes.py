@@ -28,12 +28,12 @@ def rotated_box_points(x: Column, y: Column, w: Column, h: Column, theta: Column
 
 
 def box_iou(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:
-    """Intersection over union; 0 when the boxes do not overlap with positive area."""
+    """Intersection over union; 0 when the boxes do not overlap with positive area, never above 1 by rounding."""
     (ax, ay, aw, ah), (bx, by, bw, bh) = a, b
     ix = F.least(ax + aw, bx + bw) - F.greatest(ax, bx)
     iy = F.least(ay + ah, by + bh) - F.greatest(ay, by)
     inter = ix * iy
-    return F.when((ix > 0) & (iy > 0), inter / (aw * ah + bw * bh - inter)).otherwise(F.lit(0.0))
+    return F.when((ix > 0) & (iy > 0), F.least(inter / (aw * ah + bw * bh - inter), F.lit(1.0))).otherwise(F.lit(0.0))
 
 
 def polygon_area(points: Column) -> Column:

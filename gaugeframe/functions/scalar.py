@@ -27,7 +27,7 @@ def split_identifier(c: Column) -> Column:
         parts[0].alias("label_hash"),
         parts[1].alias("du_hash"),
         parts[2].cast("int").alias("frame"),
-        F.slice(parts, 4, 1 << 20).alias("object_hashes"),
+        F.slice(parts, 4, F.greatest(F.size(parts), F.lit(1))).alias("object_hashes"),
     )
 
 
@@ -73,9 +73,17 @@ def path_to_uri(path: Column, root: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key under which embedded numbers compare numerically: digit runs padded to 20 places."""
+    """Sort key under which embedded numbers of any length compare numerically: a digit run is led by its length.
+
+    Leading zeros do not count; the length takes ten places, as many as a string can have.
+    """
     runs = F.regexp_extract_all(c, F.lit("(\\d+|\\D+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^\\d+$"), F.lpad(r, 20, "0")).otherwise(F.lower(r))), "")
+
+    def number(r: Column) -> Column:
+        digits = F.regexp_replace(r, "^0+(?=.)", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^\\d+$"), number(r)).otherwise(F.lower(r))), "")
 
 
 def drop_nan(c: Column) -> Column:

@@ -15,19 +15,19 @@ from gaugeframe.plans.scan import ranked
 from gaugeframe.session import cut_lineage
 
 # Duplicate and near-duplicate cosine distances, neighbours and certainty of the label vote,
-# default cluster count, largest similarity result.
+# default cluster count.
 DUPLICATE_DISTANCE, NEAR_DUPLICATE_DISTANCE = 1e-5, 0.03
 QUALITY_NEIGHBOURS, CERTAINTY_RATIO = 9, 0.6
 DEFAULT_CLUSTERS = 10
-MAX_SIMILAR = 1001
 
 
-def similarity_search(df: DataFrame, id_col: str, vector: str, item, limit: int = MAX_SIMILAR) -> DataFrame:
-    """The items most similar to one item, itself excluded."""
+def similarity_search(df: DataFrame, id_col: str, vector: str, item, limit: int | None = None) -> DataFrame:
+    """The items most similar to one item, itself excluded; all of them in order unless ``limit`` is given."""
     target = df.where(F.col(id_col) == F.lit(item)).select(vector).limit(1)
     others = df.where(F.col(id_col) != F.lit(item)).withColumn("_q", target.scalar())
     scored = others.select(id_col, cosine_similarity(F.col(vector), F.col("_q")).alias("similarity")).where("similarity is not null")
-    return scored.orderBy(F.desc("similarity"), id_col).limit(limit)
+    ordered = scored.orderBy(F.desc("similarity"), id_col)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def semantic_rank(df: DataFrame, id_col: str, vector: str, query: Sequence[float], allowed: DataFrame | None = None, limit: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from gaugeframe.functions.scalar import bucket_round
 from gaugeframe.operators.matching import is_tp
 from gaugeframe.plans.quantiles import linear_quantiles, long_metrics
+from gaugeframe.plans.joins import null_safe_join
 from gaugeframe.plans.scan import running
 
 # Thresholds of average recall, 11-point and 101-point precision, float epsilon.
@@ -69,7 +70,7 @@ def pr_curve(evaluated: DataFrame, counts: DataFrame, iou: float, key: str = "fe
     flags = evaluated.select(key, confidence, pred_id, is_tp(iou).cast("long").alias("_tp"))
     seen = running(flags, [key], [F.desc(confidence), F.asc(pred_id)], sums={"rn": F.lit(1).cast("long"), "ctp": F.col("_tp")})
     steps = seen.groupBy(key, "ctp").agg(F.max("rn").alias("rn"))
-    at = steps.join(counts.select(key, (F.col("tp") + F.col("fn")).alias("_labels")), key)
+    at = null_safe_join(steps, counts.select(key, (F.col("tp") + F.col("fn")).alias("_labels")), [key])
     recall = F.when(F.col("_labels") > 0, F.col("ctp") / F.col("_labels")).otherwise(F.lit(0.0))
     return at.groupBy(key, bucket_round(recall, 2).alias("recall")).agg(F.max(F.col("ctp") / F.col("rn")).alias("precision"))
 
@@ -99,7 +100,7 @@ def map_mar_101pt(greedy: DataFrame, labels: DataFrame, key: str = "feature", pr
     n = counted.groupBy(key).agg(F.count("*").alias("_labels"))
     flags = greedy.select(key, confidence, pred_id, F.col("tp").cast("long").alias("_tp"))
     seen = running(flags, [key], [F.desc(confidence), F.asc(pred_id)], sums={"rn": F.lit(1).cast("long"), "ctp": F.col("_tp")})
-    at = seen.join(n, key)
+    at = null_safe_join(seen, n, [key])
     rc = F.col("ctp") / (F.col("_labels") + F.lit(EPS))
     pr = F.col("ctp") / (F.col("rn") + F.lit(EPS))
     near = F.least(F.floor(rc * 100 + F.lit(0.5)), F.lit(100)).cast("int")
@@ -108,7 +109,7 @@ def map_mar_101pt(greedy: DataFrame, labels: DataFrame, key: str = "feature", pr
     points = slots.select(key, "p", "rc", F.explode(F.sequence(F.lit(0), F.col("slot"))).alias("i"))
     envelope = points.groupBy(key, "i").agg(F.max("p").alias("p"), F.max("rc").alias("rc"))
     found = envelope.groupBy(key).agg((F.sum("p") / 101).alias("_ap"), F.max("rc").alias("_ar"))
-    per_class = n.join(found, key, "left").select(
+    per_class = null_safe_join(n, found, [key], "left").select(
         F.col(key).alias("class_name"), F.coalesce("_ap", F.lit(0.0)).alias("ap"), F.coalesce("_ar", F.lit(0.0)).alias("ar")
     )
     mean = per_class.agg(F.avg("ap").alias("ap"), F.avg("ar").alias("ar")).select(F.lit("Mean").alias("class_name"), "ap", "ar")
@@ -124,7 +125,7 @@ def prediction_summary(evaluated: DataFrame, fns: DataFrame, iou: float, key: st
     """Class means (mAP, mAR, mP, mR, mF1), totals, frame count and, for classification, TN and accuracy."""
     counts = confusion_counts(evaluated, fns, iou, key)
     ap = average_precision_11pt(pr_curve(evaluated, counts, iou, key), key)
-    scored = average_recall(precision_recall_f1(counts)).join(ap, key, "left").fillna(0.0, ["average_precision"])
+    scored = null_safe_join(average_recall(precision_recall_f1(counts)), ap, [key], "left").fillna(0.0, ["average_precision"])
     row = scored.agg(
         F.avg("average_precision").alias("mAP"), F.avg("average_recall").alias("mAR"), F.avg("precision").alias("mP"),
         F.avg("recall").alias("mR"), F.avg("f1_clamped").alias("mF1"),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gaugeframe.registry import MetricRegistry, UnknownMetricError
 
@@ -96,11 +96,22 @@ def apply_search(
     return out
 
 
+def _known(frame: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in frame])
+
+
+def _in_frame(flag: Column, frame: Sequence[str]) -> Column:
+    """Whether any row of the frame has the flag; rows of no frame never do.
+
+    A window reads its input once, so a chain of filters scans its table once; the rows of one frame meet in one task and spill there.
+    """
+    return _known(frame) & F.coalesce(F.max(F.coalesce(flag, F.lit(False))).over(W.partitionBy(*frame)), F.lit(False))
+
+
 def _keep_na(df: DataFrame, column: str, hit: Column, frame: Sequence[str]) -> DataFrame:
     """Rows that hit, plus rows lacking the column whose frame has a hit. NULL is tested, not NaN."""
-    survivors = df.where(hit)
-    missing = df.where(F.col(column).isNull())
-    return survivors.unionByName(missing.join(survivors.select(*frame), list(frame), "left_semi"))
+    flagged = df.withColumns({"_hit": F.coalesce(hit, F.lit(False)), "_frame_hit": _in_frame(hit, frame)})
+    return flagged.where(F.col("_hit") | (F.col(column).isNull() & F.col("_frame_hit"))).drop("_hit", "_frame_hit")
 
 
 def filter_categorical_keep_na(df: DataFrame, column: str, values: Sequence, frame: Sequence[str]) -> DataFrame:
@@ -116,6 +127,7 @@ def filter_text(df: DataFrame, column: str, pattern: str) -> DataFrame:
     return df.where(F.col(column).cast("string").rlike(pattern))
 
 
+# Pseudo-classes and pseudo-tags.
 NO_CLASS = "No class"
 
 
@@ -126,12 +138,13 @@ def filter_object_class(
 
     "No class" adds frame rows without any label row; scope "data" returns the frame rows of matching labels.
     """
-    labels, frames = merged.where(F.col(column).isNotNull()), merged.where(F.col(column).isNull())
-    hit = labels.where(F.col(column).isin([c for c in classes if c != NO_CLASS]))
-    out = frames.join(hit.select(*frame), list(frame), "left_semi") if scope == "data" else hit
+    label = F.col(column).isNotNull()
+    listed = label & F.col(column).isin([c for c in classes if c != NO_CLASS])
+    flagged = merged.withColumns({"_listed": listed, "_frame_listed": _in_frame(listed, frame), "_labelled": _in_frame(label, frame)})
+    keep = (~label & F.col("_frame_listed")) if scope == "data" else F.col("_listed")
     if NO_CLASS in classes:
-        out = out.unionByName(frames.join(labels.select(*frame), list(frame), "left_anti"))
-    return out
+        keep = keep | (~label & ~F.col("_labelled"))
+    return flagged.where(keep).drop("_listed", "_frame_listed", "_labelled")
 
 
 def filter_workflow_stage(df: DataFrame, label_rows: DataFrame, stages: Sequence[str], keys: Sequence[str], column: str = "stage") -> DataFrame:
@@ -149,22 +162,20 @@ def filter_tags_grouped(
 
     An empty list of names does not restrict. The pseudo-tags select items with no tag at all.
     """
+    def allowed(df: DataFrame, tags: DataFrame, key: str, names: Sequence[str], untagged: str) -> DataFrame:
+        """Adds ``_ok``: one of the names, or no tag at all where the pseudo-tag is listed."""
+        own = tags.groupBy(key).agg(F.max(F.coalesce(F.col("tag").isin(list(names)), F.lit(False))).alias("_ok"))
+        return df.join(own, key, "left").withColumn("_ok", F.coalesce("_ok", F.lit(untagged in names)))
+
     out = merged
     if data_names:
-        listed = frame_tags.where(F.col("tag").isin(list(data_names))).select(frame)
-        kept = out.join(listed, frame, "left_semi")
-        if UNTAGGED_FRAMES in data_names:
-            kept = kept.unionByName(out.join(frame_tags.select(frame), frame, "left_anti"))
-        out = kept
+        out = allowed(out, frame_tags, frame, data_names, UNTAGGED_FRAMES).where("_ok").drop("_ok")
     if label_names:
-        labels = out.where(F.col(label).isNotNull())
-        listed = label_tags.where(F.col("tag").isin(list(label_names))).select(label)
-        kept = labels.join(listed, label, "left_semi")
-        if UNTAGGED_ANNOTATIONS in label_names:
-            kept = kept.unionByName(labels.join(label_tags.select(label), label, "left_anti"))
-        frames = out.where(F.col(label).isNull()).join(kept.select(frame), frame, "left_semi")
-        out = frames.unionByName(kept)
-    return out
+        out = allowed(out, label_tags, label, label_names, UNTAGGED_ANNOTATIONS)
+        own = F.col(label).isNotNull() & F.col("_ok")
+        out = out.withColumns({"_own": own, "_frame_ok": _in_frame(own, [frame])})
+        out = out.where(F.col("_own") | (F.col(label).isNull() & F.col("_frame_ok"))).drop("_ok", "_own", "_frame_ok")
+    return out.select(*merged.columns)
 
 
 def apply_filters(df: DataFrame, steps: Sequence) -> DataFrame:

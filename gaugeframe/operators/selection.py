@@ -12,7 +12,7 @@ from gaugeframe.registry import UnknownMetricError
 from gaugeframe.session import cut_lineage
 
 
-def search(df: DataFrame, keys: Sequence[str], order_by: str | None = None, desc: bool = False, offset: int = 0, limit: int = 1000) -> DataFrame:
+def search(df: DataFrame, keys: Sequence[str], order_by: str | None = None, desc: bool = False, offset: int = 0, *, limit: int) -> DataFrame:
     """One page of keys in order, with its position and whether more rows follow."""
     if order_by is not None and order_by not in df.columns:
         raise UnknownMetricError(order_by)

@@ -83,14 +83,14 @@ def embedding_density(points: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, metrics: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Per row and metric: distance outside [Q1, Q3] (linear quartiles) and severity."""
+    """Per row and metric: distance outside [Q1, Q3] (linear quartiles) and severity, farthest first."""
     q = linear_quantiles(df, metrics, {"q1": 0.25, "q3": 0.75}).select("metric", "q1", "q3")
     v = F.col("value")
     distance = F.when(v > F.col("q3"), v - F.col("q3")).when(v < F.col("q1"), F.col("q1") - v).otherwise(F.lit(0.0))
     # bounded: one row per registered metric
     return long_metrics(df, metrics, keep).join(F.broadcast(q), "metric").select(
         *keep, "metric", "value", distance.alias("distance"), severity(v, F.col("q1"), F.col("q3")).alias("status")
-    )
+    ).orderBy("metric", F.desc("distance"))
 
 
 def all_metric_outliers(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -113,7 +113,7 @@ def unique_outlier_items(df: DataFrame, metrics: Sequence[str], key: Sequence[st
     tagged = df.select(*key, *metrics).withColumn("_f", fences.scalar())
     statuses = F.array(
         *[
-            F.when(F.col(m).isNotNull(), severity(F.col(m).cast("double"), F.col("_f")[m]["q1"], F.col("_f")[m]["q3"])).otherwise("Low")
+            F.when(F.col(m).isNotNull() & ~F.isnan(F.col(m).cast("double")), severity(F.col(m).cast("double"), F.col("_f")[m]["q1"], F.col("_f")[m]["q3"])).otherwise("Low")
             for m in metrics
         ]
     )
@@ -238,7 +238,7 @@ def metric_catalog(df: DataFrame, metrics: Sequence[str], registry: MetricRegist
     def entry(m: str) -> Column:
         title = registry.metrics[m].title if registry else m
         kind = registry.kind(m) if registry else "normal"
-        c = F.col(m).cast("double")
+        c = F.when(~F.isnan(F.col(m).cast("double")), F.col(m).cast("double"))
         return F.struct(
             F.lit(m).alias("metric"), F.lit(title).alias("title"), F.lit(kind).alias("kind"),
             F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("count"),

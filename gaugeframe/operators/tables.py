@@ -179,7 +179,7 @@ def remap_ids(df: DataFrame, mapping: DataFrame, columns: Sequence[str]) -> Data
 def remap_identifiers(df: DataFrame, mapping: DataFrame, column: str = "identifier") -> DataFrame:
     """Replace the label-row and unit parts of composite identifiers."""
     parts = F.split(F.col(column), "_")
-    split = df.withColumns({"_a": parts[0], "_b": parts[1], "_rest": F.slice(parts, 3, 1 << 20)})
+    split = df.withColumns({"_a": parts[0], "_b": parts[1], "_rest": F.slice(parts, 3, F.greatest(F.size(parts), F.lit(1)))})
     renamed = remap_ids(split, mapping, ["_a", "_b"])
     return renamed.withColumn(column, F.concat_ws("_", "_a", "_b", F.array_join("_rest", "_"))).drop("_a", "_b", "_rest")
 

@@ -2,8 +2,9 @@
 
 Pass 1 is a single aggregate row: counts, extremes and an approximate bracket around each wanted
 position.  Pass 2 counts rows per exact value inside the brackets and lumps everything between two
-brackets together, so its shuffle carries about ``marks / accuracy`` of the distinct values.  Up to
-``10 * accuracy`` rows the bracket is the whole range, which also covers small tables exactly.
+brackets together, so its shuffle carries about ``marks / accuracy`` of the distinct values.  Each lump
+keeps its extremes: in a small table a bracket can miss its position by one place, and the value there is
+the nearest end of the lump beside it.
 """
 
 from __future__ import annotations
@@ -57,15 +58,7 @@ def _brackets(df: DataFrame, metrics: Sequence[str], marks: dict[str, Mark], acc
             ).alias(f"s_{m}")
         )
     row = df.agg(*aggs)
-    flat = row.select(F.explode(F.array(*[f"s_{m}" for m in metrics])).alias("s")).select("s.*")
-    small = F.col("n") <= 10 * accuracy
-    whole_lo = F.array_repeat(F.col("min"), len(marks))
-    whole_hi = F.array_repeat(F.col("max"), len(marks))
-    return flat.where("n > 0").select(
-        "metric", "n", "min", "max",
-        F.when(small, whole_lo).otherwise(F.col("lows")).alias("lows"),
-        F.when(small, whole_hi).otherwise(F.col("highs")).alias("highs"),
-    )
+    return row.select(F.explode(F.array(*[f"s_{m}" for m in metrics])).alias("s")).select("s.*").where("n > 0")
 
 
 def order_statistics(df: DataFrame, metrics: Sequence[str], marks: dict[str, Mark] | None = None, accuracy: int = 10_000) -> DataFrame:
@@ -79,12 +72,16 @@ def order_statistics(df: DataFrame, metrics: Sequence[str], marks: dict[str, Mar
     )
     gap = F.size(F.filter("highs", lambda h: h < F.col("value")))
     cells = probed.groupBy("metric", "n", "min", "max", gap.alias("gap"), F.when(inside, F.col("value")).alias("exact")).agg(
-        F.count("*").alias("c"), F.min("value").alias("v")
+        F.count("*").alias("c"), F.min("value").alias("v"), F.max("value").alias("last")
     )
     # values inside the brackets only: a few parts per ten thousand of a large column
     upto = W.partitionBy("metric").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     cum = cells.withColumn("cum", F.sum("c").over(upto))
-    picks = [F.min(F.when(F.col("cum") > index(F.col("n")), F.col("v"))).alias(name) for name, (_, index) in marks.items()]
+    def pick(index: Column) -> Column:
+        at = F.min(F.when(F.col("cum") > index, F.struct("v", "last", "cum", "c")))
+        return F.when((at["cum"] - 1 == index) & (at["c"] > 1), at["last"]).otherwise(at["v"])
+
+    picks = [pick(index(F.col("n"))).alias(name) for name, (_, index) in marks.items()]
     return cum.groupBy("metric", "n", "min", "max").agg(*picks)
 
 

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gaugeframe.plans.joins import null_safe_join
 from gaugeframe.session import cut_lineage
 
 SLICE = "_slice"
@@ -35,7 +36,7 @@ def running(
     """Add inclusive running sums and exclusive running maxima (rows strictly before) per key.
 
     ``order`` must be total within a key (end it with a unique id), else ties are cut arbitrarily.
-    Key columns must not be null.
+    A NULL key is a key of its own.
     """
     sums, prior_maxes = sums or {}, prior_maxes or {}
     keys = list(keys)
@@ -58,7 +59,7 @@ def running(
         {f"_l_{n}": F.sum(c).over(upto) for n, c in sums.items()}
         | {f"_l_{n}": F.max(c).over(prior) for n, c in prior_maxes.items()}
     )
-    joined = local.join(carried, [SLICE, *keys])
+    joined = null_safe_join(local, carried, [SLICE, *keys])
     out = {n: F.col(f"_l_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
     out |= {n: F.greatest(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in prior_maxes}
     helper = [f"_{p}_{n}" for p in "lc" for n in (*sums, *prior_maxes)]

@@ -30,7 +30,7 @@ def read_label_rows(spark: SparkSession, path: str) -> DataFrame:
 def scan_frames(label_rows: DataFrame) -> DataFrame:
     """One row per frame with its object and classification arrays.
 
-    Images and groups number frames by ``data_sequence``; videos key their labels by frame number.
+    Images and groups number frames by ``data_sequence`` (0 without one); videos key their labels by frame number.
     """
     units = label_rows.select(
         "project_hash", "label_hash", "data_hash", "data_type", "dataset_title", F.explode(F.map_values("data_units")).alias("u")
@@ -41,7 +41,7 @@ def scan_frames(label_rows: DataFrame) -> DataFrame:
     known = flat.where(F.col("data_type").isin("image", "img_group", "video"))
     # one parse per unit: a still is a map with a single frame
     film = F.from_json("labels", f"map<string,{LABELS}>")
-    still = F.create_map(F.col("data_sequence"), F.from_json("labels", LABELS))
+    still = F.create_map(F.coalesce("data_sequence", F.lit("0")), F.from_json("labels", LABELS))
     by_frame = F.when(F.col("data_type") == "video", film).otherwise(still)
     frames = known.select(*cols, F.explode(by_frame).alias("f", "l"))
     return frames.select(*cols, F.col("f").cast("int").alias("frame"), "l.objects", "l.classifications")

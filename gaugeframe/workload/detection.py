@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions import boxes as B
 from gaugeframe.operators import density as D, evaluation as E, filters as X, matching as M, sequences as Q
-from gaugeframe.plans.spread import spread
 from gaugeframe.session import cut_lineage
 from gaugeframe.workload import views as V
 from gaugeframe.workload.views import with_views
@@ -365,7 +364,7 @@ round(w * h, 9) as polygon_area, x + w as x2, y + h as y2, floor(x * 1920e0 * 10
 def box_geometry(spark, d):
     pts = B.box_points(*box_columns())
     W_, H_ = F.lit(1920.0), F.lit(1080.0)
-    a = spread(V.ann(spark, d)).withColumn("pts", pts)
+    a = V.dealt(V.ann(spark, d)).withColumn("pts", pts)
     return a.select(
         "obj_id", B.relative_area(F.col("w") * F.col("h")).alias("relative_area"), B.absolute_area(F.col("w") * F.col("h"), W_, H_).alias("absolute_area"),
         B.object_aspect_ratio(F.col("w"), F.col("h"), W_, H_).alias("aspect"), B.border_closeness(F.col("pts")).alias("closeness"),
@@ -380,7 +379,7 @@ def box_geometry(spark, d):
 def rotated_box_points(spark, d):
     theta = (F.col("l_suppkey") % 360).cast("double")
     p = B.rotated_box_points(*box_columns(), theta, F.lit(1920.0), F.lit(1080.0))
-    return spread(V.ann(spark, d)).select("obj_id", F.round(p[0]["x"], 6).alias("x1"), F.round(p[0]["y"], 6).alias("y1"))
+    return V.dealt(V.ann(spark, d)).select("obj_id", F.round(p[0]["x"], 6).alias("x1"), F.round(p[0]["y"], 6).alias("y1"))
 
 
 @query("frame_shape", with_views("unit", """select unit_id, case when m_chars > 0 and m_spaces > 0 then m_chars * m_spaces end as area,

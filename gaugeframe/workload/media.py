@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from gaugeframe.functions import boxes as B, images as I, masks as K, polygons as PG
 from gaugeframe.operators import extensions as X
 from gaugeframe.plans.spatial import best_overlap
-from gaugeframe.plans.spread import spread
 from gaugeframe.registry import Metric, MetricRegistry, NORMAL
 from gaugeframe.session import ensure_checkpoint_dir
 from gaugeframe.sources import coco as CO, export as EX, kitti as KI, label_rows as LR, masks as MK, tables as ST
@@ -40,7 +39,7 @@ def scratch(spark) -> str:
 
 def label_row_json(spark, d):
     """One label-row document per box: an image (kind F) or a video (kind O) holding it at frame l_linenumber."""
-    a = spread(V.ann(spark, d))
+    a = V.dealt(V.ann(spark, d))
     box = F.struct("x", "y", "w", "h")
     pts = B.box_points(*[F.col(c) for c in "xywh"])
     polygon = F.map_from_entries(F.transform(pts, lambda p, i: F.struct(i.cast("string").alias("key"), p.alias("value"))))
@@ -240,7 +239,7 @@ def rle_round_trip(spark, d):
         return F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: F.when((F.col("p_partkey") * mult + i * i) % mod < 2, 1).otherwise(0))
 
     six = F.lit(6)
-    p = spread(V.table(spark, d, "part").select("p_partkey")).select("p_partkey", mask(7, 5).alias("m"), mask(3, 4).alias("k"))
+    p = V.dealt(V.table(spark, d, "part").select("p_partkey")).select("p_partkey", mask(7, 5).alias("m"), mask(3, 4).alias("k"))
     e = p.select("*", K.rle_encode(F.col("m"), six, six).alias("a"), K.rle_encode(F.col("k"), six, six).alias("b"))
     return e.select("p_partkey", K.rle_area(F.col("a")).alias("ones"), F.size("a.counts").cast("long").alias("runs"),
                     (K.rle_decode(F.col("a")) == F.col("m")).alias("same"), F.round(K.rle_iou(F.col("a"), F.col("b")), 9).alias("iou"))
@@ -277,12 +276,12 @@ def polygon_iou(spark, d):
 def simple_polygon_check(spark, d):
     p = B.box_points(*[F.col(c) for c in "xywh"])
     crossed = F.array(p[0], p[2], p[1], p[3])
-    return spread(V.ann(spark, d)).select("obj_id", PG.simple_polygon_check(F.when(F.col("l_linenumber") % 2 == 0, crossed).otherwise(p)).alias("simple"))
+    return V.dealt(V.ann(spark, d)).select("obj_id", PG.simple_polygon_check(F.when(F.col("l_linenumber") % 2 == 0, crossed).otherwise(p)).alias("simple"))
 
 
 @query("hu_moments", with_views("ann", """select obj_id, round(w / (12 * h) + h / (12 * w), 6) as hu1, round((w / (12 * h) - h / (12 * w)) ** 2, 6) as hu2 from ann"""))
 def hu_moments(spark, d):
-    a = spread(V.ann(spark, d)).select("obj_id", B.box_points(*[F.col(c) for c in "xywh"]).alias("points"))
+    a = V.dealt(V.ann(spark, d)).select("obj_id", B.box_points(*[F.col(c) for c in "xywh"]).alias("points"))
     return PG.with_hu_moments(a, "points").select("obj_id", F.round(F.col("hu")[0], 6).alias("hu1"), F.round(F.col("hu")[1], 6).alias("hu2"))
 
 
@@ -291,7 +290,7 @@ def hu_moments(spark, d):
 def images(spark, d):
     raw = F.encode("text", "utf-8")
     height = F.greatest(F.ceil(F.octet_length(raw) / 48), F.lit(1)).cast("int")
-    return spread(V.table(spark, d, "documents")).select("doc_id", F.struct(
+    return V.dealt(V.table(spark, d, "documents")).select("doc_id", F.struct(
         F.col("source").alias("origin"), height.alias("height"), F.lit(16).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"),
         F.rpad(raw, height * 48, F.unhex(F.lit("00"))).alias("data")).alias("image"))
 

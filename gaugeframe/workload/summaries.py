@@ -295,14 +295,16 @@ cast(null as double) as label_score, o_orderdate as edited from orders union all
 select l_orderkey, obj_id, feature, null, m_price, l_shipdate from ann)"""
 
 
-@query("filter_categorical_keep_na", with_views("ann", """select frame_id, obj_id, object_class from merged where object_class = 'R' or
-(object_class is null and frame_id in (select frame_id from merged where object_class = 'R'))""", MERGED_SQL))
+@query("filter_categorical_keep_na", with_views("ann", """select frame_id, obj_id, object_class from (
+select *, max(case when object_class = 'R' then 1 else 0 end) over (partition by frame_id) as hit from merged) where object_class = 'R'
+or (object_class is null and hit = 1)""", MERGED_SQL))
 def filter_categorical_keep_na(spark, d):
     return X.filter_categorical_keep_na(merged(spark, d), "object_class", ["R"], ["frame_id"]).select("frame_id", "obj_id", "object_class")
 
 
-@query("filter_range_keep_na", with_views("ann", """select frame_id, obj_id, label_score from merged where label_score between 1000e0 and 20000e0 or
-(label_score is null and frame_id in (select frame_id from merged where label_score between 1000e0 and 20000e0))""", MERGED_SQL))
+@query("filter_range_keep_na", with_views("ann", """select frame_id, obj_id, label_score from (
+select *, max(case when label_score between 1000e0 and 20000e0 then 1 else 0 end) over (partition by frame_id) as hit from merged)
+where label_score between 1000e0 and 20000e0 or (label_score is null and hit = 1)""", MERGED_SQL))
 def filter_range_keep_na(spark, d):
     return X.filter_range_keep_na(merged(spark, d), "label_score", 1000.0, 20000.0, ["frame_id"]).select("frame_id", "obj_id", "label_score")
 
@@ -340,12 +342,12 @@ def filter_workflow_stage(spark, d):
 
 
 @query("filter_tags_grouped", with_views("ann label_tag", """select frame_id, obj_id from (
-select * from kept union all select * from merged where obj_id is null and frame_id in (select frame_id from kept) and frame_id in (select frame_id from passing))""",
+select *, max(case when own then 1 else 0 end) over (partition by frame_id) as frame_ok from flagged) where own or (obj_id is null and frame_ok = 1)""",
 MERGED_SQL + """, frame_tag as (select o_orderkey as frame_id, concat('p', o_custkey % 3) as tag from orders where o_custkey % 2 = 0),
-passing as (select frame_id from frame_tag where tag = 'p1' union select o_orderkey from orders where o_orderkey not in (select frame_id from frame_tag)
-union select frame_id from merged where frame_id not in (select frame_id from frame_tag)),
-kept as (select * from merged where obj_id is not null and frame_id in (select frame_id from passing)
-and (obj_id in (select obj_id from label_tag where tag = 'd0') or obj_id not in (select obj_id from label_tag)))"""))
+frame_ok as (select frame_id, max(case when tag = 'p1' then 1 else 0 end) as ok from frame_tag group by frame_id),
+label_ok as (select obj_id, max(case when tag = 'd0' then 1 else 0 end) as ok from label_tag group by obj_id),
+flagged as (select m.frame_id, m.obj_id, m.obj_id is not null and coalesce(l.ok, 1) = 1 as own from merged m
+left join frame_ok f on m.frame_id = f.frame_id left join label_ok l on m.obj_id = l.obj_id where coalesce(f.ok, 1) = 1)"""))
 def filter_tags_grouped(spark, d):
     frame_tags = V.table(spark, d, "orders").where("o_custkey % 2 = 0").select(
         F.col("o_orderkey").alias("frame_id"), F.concat(F.lit("p"), (F.col("o_custkey") % 3).cast("string")).alias("tag"))
@@ -354,10 +356,11 @@ def filter_tags_grouped(spark, d):
     ).select("frame_id", "obj_id")
 
 
-@query("apply_filters", with_views("ann", """select frame_id, obj_id from ranged where object_class = 'R' or
-(object_class is null and frame_id in (select frame_id from ranged where object_class = 'R'))""", MERGED_SQL + """,
-ranged as (select * from merged where label_score between 5000e0 and 60000e0 or
-(label_score is null and frame_id in (select frame_id from merged where label_score between 5000e0 and 60000e0)))"""))
+@query("apply_filters", with_views("ann", """select frame_id, obj_id from (
+select *, max(case when object_class = 'R' then 1 else 0 end) over (partition by frame_id) as own from ranged)
+where object_class = 'R' or (object_class is null and own = 1)""", MERGED_SQL + """,
+ranged as (select * from (select *, max(case when label_score between 5000e0 and 60000e0 then 1 else 0 end) over (partition by frame_id) as hit from merged)
+where label_score between 5000e0 and 60000e0 or (label_score is null and hit = 1))"""))
 def apply_filters(spark, d):
     return X.apply_filters(merged(spark, d), [
         lambda x: X.filter_range_keep_na(x, "label_score", 5000.0, 60000.0, ["frame_id"]),

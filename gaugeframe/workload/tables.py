@@ -316,7 +316,7 @@ def uri_to_path(spark, d):
 @query("search", with_views("ann", """select obj_id, m_price, cast(row_number() over (order by m_price desc, obj_id) - 20 as int) as position, true as truncated from ann
 order by m_price desc, obj_id limit 100 offset 20"""))
 def search(spark, d):
-    return T.search(V.ann(spark, d), ["obj_id"], "m_price", True, 20, 100)
+    return T.search(V.ann(spark, d), ["obj_id"], "m_price", True, 20, limit=100)
 
 
 @query("sort_by_metric", with_views("ann", "select obj_id, m_price as value from ann where obj_id in (select obj_id from ann where m_tax = 0.02e0)"))
@@ -342,7 +342,7 @@ def random_score(spark, d):
     return T.random_score(V.ann(spark, d).select("obj_id"), "obj_id")
 
 
-@query("natural_sort_key", """select doc_id, concat(source, '_', lpad(cast(doc_id as varchar), 20, '0')) as key from (select doc_id, 'img' as source from documents)""")
+@query("natural_sort_key", """select doc_id, concat(source, '_', lpad(cast(length(cast(doc_id as varchar)) as varchar), 10, '0'), cast(doc_id as varchar)) as key from (select doc_id, 'img' as source from documents)""")
 def natural_sort_key(spark, d):
     docs = V.table(spark, d, "documents").select("doc_id", F.concat(F.lit("img_"), F.col("doc_id").cast("string")).alias("name"))
     return T.natural_sort(docs, "name").select("doc_id", S.natural_key(F.col("name")).alias("key"))

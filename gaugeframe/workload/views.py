@@ -12,6 +12,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt over the shuffle partitions, at any size: each fixture table is one file, which one core would have to read and work on."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ann(spark: SparkSession, d: str) -> DataFrame:
     """Boxes with metrics; 30 orders make a frame, so frames grow with the data, not their content."""
     li = table(spark, d, "lineitem")

@@ -132,7 +132,7 @@ def test_unknown_metric_and_filter_shapes(spark):
     with pytest.raises(UnknownMetricError):
         X.filter_metric_range(df, {"nope": (0, 1)})
     with pytest.raises(UnknownMetricError):
-        T.search(df, ["id"], "nope")
+        T.search(df, ["id"], "nope", limit=5)
     data = X.Domain("data", df, ("id",), DATA_REGISTRY)
     with pytest.raises(ValueError):
         X.apply_search(data, data, annotation_filters=X.Filters())
@@ -140,9 +140,9 @@ def test_unknown_metric_and_filter_shapes(spark):
 
 def test_search_pages(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(10)], "id int, m double")
-    page = T.search(df, ["id"], "m", True, 2, 3).orderBy("position").collect()
+    page = T.search(df, ["id"], "m", True, 2, limit=3).orderBy("position").collect()
     assert [r["id"] for r in page] == [7, 6, 5] and page[0]["truncated"]
-    last = T.search(df, ["id"], "m", False, 7, 3).collect()
+    last = T.search(df, ["id"], "m", False, 7, limit=3).collect()
     assert len(last) == 3 and not last[0]["truncated"]
 
 
