@@ -163,7 +163,8 @@ def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n: int = N, b
     parts = member.groupBy("root").agg(F.ceil(F.sum(F.greatest("n", F.lit(256))) / block).cast("int").alias("parts"))
     cut = member.join(parts, "root").select("_id", "_tk", "node", "root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     key = row_key()
-    texts = docs.select("text", *key).join(cut, ["_id", "_tk"]).select("text", "node", "root", "parts", "part")
+    # always a shuffle: the members grow with the documents, so a broadcast would only suit small inputs
+    texts = docs.select("text", *key).join(cut.hint("merge"), ["_id", "_tk"]).select("text", "node", "root", "parts", "part")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +218,7 @@ def keep_one(docs: DataFrame, n: int = N) -> DataFrame:
     first = first.select("k._id", "k._tk").toDF(*names)
     keyed = docs.select("*", *[k.alias(n) for k, n in zip(row_key(), names)])
     # the join has put equal rows side by side: dropping repeats of the chosen row needs no further shuffle
-    return keyed.join(first, names, "left_semi").dropDuplicates(names).drop(*names)
+    return keyed.join(first.hint("merge"), names, "left_semi").dropDuplicates(names).drop(*names)
 
 
 def op5(docs: DataFrame) -> DataFrame:
