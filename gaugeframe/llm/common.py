@@ -52,6 +52,15 @@ def row_key() -> list[Column]:
     return [F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(F.col("text").isNull(), "text").alias("_tk")]
 
 
+def smallest_hashes(df: DataFrame, key: Column, count: int, rows: int) -> DataFrame:
+    """Rows of ``df`` (``rows`` in number) whose 64-bit hash ``key`` is among about the ``4 * count`` smallest.
+
+    Ahead of ``orderBy(key).limit(count)`` this keeps what tasks send there in all near ``4 * count`` rows, not ``count`` rows a task.
+    """
+    share = min(1.0, 4 * count / max(rows, 1))
+    return df.where(key <= F.lit(min(-(1 << 63) + int(share * 2.0**64), (1 << 63) - 1)))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Helper column names that no column of ``df`` has (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}

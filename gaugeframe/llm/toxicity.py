@@ -4,8 +4,8 @@ A document is a bag of sentences.  A sentence has a linear score over hashed wor
 the noisy-or 1 - prod(1 - p), so only document labels are needed and the sentences with a high p are the offending ones.
 
 Training takes at most ``PER_CLASS`` labelled documents per class, those with the smallest hash of the id among training rows and texts of at
-most ``MAX_TEXT`` bytes (documented bounds of the sample; class weights restore the label frequencies of all training rows).  Words are
-counted on the executors; the driver fits the weights with full-batch Adam.  Scoring is one pass without a shuffle over every whole text.
+most ``MAX_TEXT`` bytes (documented bounds of the sample; class weights restore the label frequencies of all training rows).  Spark counts
+which words go with the label (a likelihood ratio screens them); the driver fits the weights of the words that pass with full-batch Adam.  Scoring is one pass without a shuffle over every whole text.
 
 Inputs of a score are the text's words only.  Defined results.  A text without words (null, empty) scores 0.  Label rows with a null id or
 label are ignored; several labels of a document count as toxic if one does.  Without a training document of each class the score is 0.
@@ -17,12 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugeframe.llm.common import FOLDED, Words, column, mix, slices, span_sums
+from gaugeframe.llm.common import FOLDED, Words, column, mix, slices, smallest_hashes, span_sums, stored
 
 PER_CLASS, MAX_TEXT = 3000, 32 << 10
 SPACE = 1 << 19
@@ -75,89 +76,103 @@ def noisy_or(logits: np.ndarray, doc: np.ndarray, count: int) -> np.ndarray:
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[DataFrame, dict[int, int]]:
     """Training texts (doc_id, text, toxic) and the number of training labels per class."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64("doc_id", F.lit(3))
-    # at most 2 * per_class ids: a proven bound for the broadcast
-    ids = known.where("toxic = 1").orderBy(order, "doc_id").limit(per_class).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(per_class))
+    # at most per_class ids of each class: a proven bound for the broadcast
+    some = [smallest_hashes(known.where(F.col("toxic") == c), order, per_class, n).orderBy(order, "doc_id").limit(per_class) for c, n in sorted(counts.items())]
+    ids = reduce(DataFrame.unionByName, some) if some else known
     texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, MAX_TEXT)).join(F.broadcast(ids), "doc_id")
     return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), counts
 
 
+def telling(texts: DataFrame, least: float = SIGNIFICANT) -> np.ndarray:
+    """Sorted features whose presence goes with the toxic label: a log-likelihood ratio of ``least`` or more, in the toxic direction.
+
+    Counted by Spark; only the features that pass reach the driver, and there are at most ``SPACE``.
+    """
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch):
+                s = Sentences(column(rows, "text"))
+                doc = np.repeat(s.words.doc, s.features.shape[1]).astype(np.int64)
+                pairs = np.unique(doc * SPACE + s.features.ravel())
+                toxic = column(rows, "toxic").to_numpy()[pairs // SPACE]
+                yield pa.record_batch({"feature": pa.array(pairs % SPACE, pa.int32()), "toxic": pa.array(toxic, pa.int32())})
+
+    kinds = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(kinds) < 2:
+        return np.zeros(0, dtype=np.int32)
+    na, nb = float(kinds[1]), float(kinds[0])
+    a, b = F.col("a"), F.col("n") - F.col("a")
+    share = F.col("n") / (na + nb)
+
+    def term(x: Column, expected: Column) -> Column:
+        return F.when(x > 0, x * F.ln(x / expected)).otherwise(0.0)
+
+    ratio = 2 * (term(a, share * na) + term(b, share * nb) + term(na - a, (1 - share) * na) + term(nb - b, (1 - share) * nb))
+    counted = texts.mapInArrow(present, "feature int, toxic int").groupBy("feature").agg(
+        F.sum("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("n"))
+    found = counted.where((a / na > b / nb) & (ratio >= least)).select("feature").toArrow()
+    return np.sort(found["feature"].to_numpy())
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, steps: int = 120, rate: float = 0.1, decay: float = 3e-5) -> Model:
     """Train on document labels."""
     texts, counts = sample(docs, labels, per_class)
+    texts = stored(texts)
+    kept = telling(texts)
 
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch):
                 s = Sentences(column(rows, "text"))
-                w = s.words
+                number = np.minimum(np.searchsorted(kept, s.features), max(len(kept) - 1, 0))
+                use = kept[number] == s.features if len(kept) else np.zeros(s.features.shape, dtype=bool)
+                sentence = np.cumsum(np.bincount(s.begin, minlength=len(s.words))) - 1
                 where = np.searchsorted(s.doc, np.arange(rows.num_rows + 1))
+                first, numbers, own = s.words.first, [], []
+                for d in range(rows.num_rows):
+                    part = slice(first[d], first[d + 1])
+                    numbers.append(number[part][use[part]].astype(np.int32).tobytes())
+                    own.append((np.broadcast_to(sentence[part, None], use[part].shape)[use[part]] - where[d]).astype(np.int32).tobytes())
                 yield pa.record_batch({
-                    "doc_id": column(rows, "doc_id"), "toxic": column(rows, "toxic"),
-                    "features": pa.array([s.features[a:b].tobytes() for a, b in zip(w.first, w.first[1:])], pa.binary()),
-                    "begin": pa.array([(s.begin[a:b] - f).astype(np.int32).tobytes() for a, b, f in zip(where, where[1:], w.first)], pa.binary()),
+                    "doc_id": column(rows, "doc_id"), "toxic": column(rows, "toxic"), "sentences": pa.array(np.diff(where), pa.int32()),
+                    "features": pa.array(numbers, pa.binary()), "sentence": pa.array(own, pa.binary()),
                 })
 
-    got = texts.mapInArrow(featurise, "doc_id long, toxic int, features binary, begin binary").toArrow().sort_by("doc_id")
-    empty = Model(np.zeros(SPACE, dtype=np.float32), -np.inf)
-    if got.num_rows == 0:
-        return empty
-    label = got["toxic"].to_numpy()
-    bags = [np.frombuffer(x, dtype=np.int32).reshape(-1, 1 + len(PREFIXES)) for x in got["features"].to_pylist()]
-    begins = [np.frombuffer(x, dtype=np.int32) for x in got["begin"].to_pylist()]
-    kinds = {int(x): int((label == x).sum()) for x in np.unique(label)}
-    if len(kinds) < 2 or not sum(map(len, bags)):
-        return empty
-    weight = np.array([counts[int(x)] / kinds[int(x)] for x in label])
-    return _descend(bags, begins, label, weight / weight.sum(), steps, rate, decay)
-
-
-def _telling(bags: list[np.ndarray], label: np.ndarray, least: float = SIGNIFICANT) -> np.ndarray:
-    """Features whose presence goes with the toxic label: a log-likelihood ratio of ``least`` or more, in the toxic direction."""
-    distinct = [np.unique(b) for b in bags]
-    a, b = (np.bincount(np.concatenate([d for d, y in zip(distinct, label) if y == k] or [np.zeros(0, int)]), minlength=SPACE).astype(float) for k in (1, 0))
-    na, nb = float((label == 1).sum()), float((label == 0).sum())
-
-    def term(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
-
-    share = (a + b) / (na + nb)
-    ratio = 2 * (term(a, share * na) + term(b, share * nb) + term(na - a, (1 - share) * na) + term(nb - b, (1 - share) * nb))
-    return np.flatnonzero((ratio >= least) & (a / na > b / nb))
-
-
-def _descend(bags: list[np.ndarray], begins: list[np.ndarray], label: np.ndarray, weight: np.ndarray, steps: int, rate: float, decay: float) -> Model:
-    """Adam on the weighted negative log likelihood of the noisy-or."""
-    first = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
-    doc_of_sentence = np.repeat(np.arange(len(bags)), [len(b) for b in begins])
-    begin = np.concatenate([b + f for b, f in zip(begins, first)]) if len(doc_of_sentence) else np.zeros(0, dtype=np.int64)
-    flat = np.concatenate(bags)
-    kept = _telling(bags, label)
-    number = np.full(SPACE, len(kept), dtype=np.int32)
-    number[kept] = np.arange(len(kept))
-    flat = number[flat]
-    sentence_of_word = np.cumsum(np.bincount(begin, minlength=len(flat))) - 1
-    use = flat < len(kept)
-    column_, row = flat[use], np.broadcast_to(sentence_of_word[:, None], flat.shape)[use]
-    begin_use = np.searchsorted(row, np.arange(len(begin)))
-    some = np.flatnonzero(np.diff(np.append(begin_use, len(row))))
-    w, bias = np.zeros(len(kept)), float(np.log(max(weight[label == 1].sum(), 1e-6) / max(np.median([len(b) for b in begins]), 1)))
-    m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    got = texts.mapInArrow(bags, "doc_id long, toxic int, sentences int, features binary, sentence binary").toArrow().sort_by("doc_id")
+    if not len(kept):
+        return Model(np.zeros(SPACE, dtype=np.float32), -np.inf)
+    label, sentences = got["toxic"].to_numpy(), got["sentences"].to_numpy()
+    features = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in got["features"].to_pylist()])
+    begin = np.concatenate([[0], np.cumsum(sentences)])
+    row = np.concatenate([np.frombuffer(x, dtype=np.int32) + f for x, f in zip(got["sentence"].to_pylist(), begin)]).astype(np.int64)
+    weight = np.array([counts[int(x)] / (label == x).sum() for x in label])
+    w, bias = _descend(features, row, np.repeat(np.arange(len(label)), sentences), label, weight / weight.sum(), len(kept), steps, rate, decay)
+    weights = np.zeros(SPACE, dtype=np.float32)
+    weights[kept] = w
+    return Model(weights, bias)
+
+
+def _descend(feature: np.ndarray, row: np.ndarray, doc: np.ndarray, label: np.ndarray, weight: np.ndarray, size: int, steps: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
+    """Adam on the weighted negative log likelihood of the noisy-or.
+
+    ``feature`` and ``row`` list which of ``size`` features stands in which sentence, ``doc`` names each sentence's document.
+    """
+    w = np.zeros(size)
+    bias = float(np.log(max(weight[label == 1].sum(), 1e-6) / max(np.median(np.bincount(doc, minlength=len(label))), 1)))
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
-        z = np.full(len(begin), bias)
-        z[some] += np.add.reduceat(w[column_], begin_use[some])
-        total = np.maximum(np.bincount(doc_of_sentence, weights=np.logaddexp(0, z), minlength=len(bags)), 1e-9)
+        z = bias + np.bincount(row, weights=w[feature], minlength=len(doc))
+        total = np.maximum(np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(label)), 1e-9)
         slope = weight * np.where(label == 1, -1 / np.expm1(np.minimum(total, 500)), 1.0)
-        dz = slope[doc_of_sentence] / (1 + np.exp(-np.clip(z, -500, 500)))
-        g = np.append(np.bincount(column_, weights=dz[row], minlength=len(kept)) + decay * w, dz.sum())
+        dz = slope[doc] / (1 + np.exp(-np.clip(z, -500, 500)))
+        g = np.append(np.bincount(feature, weights=dz[row], minlength=size) + decay * w, dz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
-    weights = np.zeros(SPACE, dtype=np.float32)
-    weights[kept] = w
-    return Model(weights, float(bias))
+    return w, float(bias)
 
 
 _SCORED = "doc_id long, score double, offending array<struct<start: int, end: int, p: double>>"
