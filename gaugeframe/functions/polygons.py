@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
-RASTER = 256  # cells per side when polygons are not convex
-
 
 def _raw_moments(points: Column) -> dict[str, Column]:
     """Moments up to order three by Green's theorem; orientation does not matter."""
@@ -128,31 +128,91 @@ def _clip(subject: Points, window: Points) -> Points:
     return out
 
 
-def _inside(p: Points, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    hit = np.zeros(x.shape, dtype=bool)
-    for (x0, y0), (x1, y1) in _edges(p):
-        if y0 != y1:
-            hit ^= ((y0 > y) != (y1 > y)) & (x < x0 + (y - y0) * (x1 - x0) / (y1 - y0))
-    return hit
-
-
-def overlap(p: Points, q: Points) -> float:
-    """IoU of valid polygons: exact when one is convex, else counted on a grid over both."""
-    if not (is_simple(p) and is_simple(q)):
+def slabs(shapes: Sequence[Points]) -> Iterator[tuple[float, list[list[tuple[float, float]]]]]:
+    """Width and, per shape, the intervals covered at mid-slab, for vertical slabs in which no two edges cross.
+
+    Inside such a slab all interval ends are linear in x, so any union or intersection of the intervals has an area of width times
+    its length at the middle: sums over slabs are exact.
+    """
+    edges = np.array([(*a, *b, k) for k, p in enumerate(shapes) for a, b in _edges(p)], dtype=float).reshape(-1, 5)
+    x0, y0, x1, y1, owner = edges.T
+    # crossings of all edge pairs at once
+    dx, dy = x1 - x0, y1 - y0
+    det = dx[:, None] * dy[None, :] - dy[:, None] * dx[None, :]
+    ox, oy = x0[None, :] - x0[:, None], y0[None, :] - y0[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (ox * dy[None, :] - oy * dx[None, :]) / det
+        u = (ox * dy[:, None] - oy * dx[:, None]) / det
+    i, j = np.nonzero((det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1))
+    xs = np.unique(np.concatenate([x0, x0[i] + t[i, j] * dx[i]]))
+    for a, b in zip(xs, xs[1:]):
+        mid = (a + b) / 2
+        over = (np.minimum(x0, x1) < mid) & (np.maximum(x0, x1) > mid)
+        y = y0[over] + (mid - x0[over]) * dy[over] / dx[over]
+        own = owner[over]
+        cuts = [np.sort(y[own == k]) for k in range(len(shapes))]
+        yield b - a, [list(zip(c[::2], c[1::2])) for c in cuts]
+
+
+def union_area(shapes: Sequence[Points]) -> float:
+    """Area under at least one of the polygons."""
+    total = 0.0
+    for width, parts in slabs([p for p in shapes if len(p) >= 3]):
+        reach = -np.inf
+        for a, b in sorted(x for part in parts for x in part):
+            total += width * max(0.0, b - max(a, reach))
+            reach = max(reach, b)
+    return total
+
+
+def covered(shapes: Sequence[Points], x0: float, y0: float, x1: float, y1: float, depth: int = 0, edges: int = 200) -> float:
+    """Area of a rectangle under at least one polygon; a crowded rectangle is quartered, so edge pairs stay few."""
+    window = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    parts = [c for c in (_clip(list(s), window) for s in shapes) if len(c) >= 3 and _area(c) != 0]
+    whole = (x1 - x0) * (y1 - y0)
+    if any(abs(_area(c)) >= whole * (1 - 1e-12) for c in parts):
+        return whole
+    if sum(map(len, parts)) <= edges or depth >= 10:
+        return union_area(parts)
+    x, y = (x0 + x1) / 2, (y0 + y1) / 2
+    return sum(covered(parts, *q, depth + 1, edges) for q in ((x0, y0, x, y), (x, y0, x1, y), (x0, y, x, y1), (x, y, x1, y1)))
+
+
+def _traits(p: Points, known: dict) -> tuple[bool, bool, float]:
+    """Whether a polygon is simple, whether it is convex, and its signed area; a batch meets the same polygons again and again."""
+    key = tuple(p)
+    if key not in known:
+        simple = is_simple(p)
+        known[key] = (simple, simple and _convex(p), _area(p))
+    return known[key]
+
+
+def _fan_overlap(p: Points, q: Points) -> float:
+    """Signed area of the intersection: q is the signed sum of the triangles at its first corner, and each clips p as a convex window."""
+    total = 0.0
+    for b, c in zip(q[1:], q[2:]):
+        turn = _turn(q[0], b, c)
+        if turn:
+            cut = _clip(p, [q[0], b, c] if turn > 0 else [q[0], c, b])
+            if len(cut) >= 3:
+                total += abs(_area(cut)) if turn > 0 else -abs(_area(cut))
+    return total
+
+
+def overlap(p: Points, q: Points, known: dict | None = None) -> float:
+    """IoU of valid polygons, exact: clipping at the convex one, or at the triangles of one when both are concave."""
+    known = {} if known is None else known
+    (simple_p, convex_p, area_p), (simple_q, convex_q, area_q) = _traits(p, known), _traits(q, known)
+    if not (simple_p and simple_q):
         return 0.0
-    if _convex(p) or _convex(q):
-        window, subject = (q, p) if _convex(q) else (p, q)
-        cut = _clip(subject, window if _area(window) > 0 else window[::-1])
+    if convex_p or convex_q:
+        window, subject, turned = (q, p, area_q) if convex_q else (p, q, area_p)
+        cut = _clip(subject, window if turned > 0 else window[::-1])
         inter = abs(_area(cut)) if len(cut) >= 3 else 0.0
-        union = abs(_area(p)) + abs(_area(q)) - inter
     else:
-        xs, ys = zip(*p, *q)
-        gx = min(xs) + (np.arange(RASTER) + 0.5) / RASTER * (max(xs) - min(xs))
-        gy = min(ys) + (np.arange(RASTER) + 0.5) / RASTER * (max(ys) - min(ys))
-        x, y = np.meshgrid(gx, gy)
-        a, b = _inside(p, x, y), _inside(q, x, y)
-        inter, union = float((a & b).sum()), float((a | b).sum())
-    return inter / union if union > 0 else 0.0
+        inter = abs(_fan_overlap(p, q))
+    union = abs(area_p) + abs(area_q) - inter
+    return min(inter / union, 1.0) if union > 0 else 0.0
 
 
 def _split(points: Column) -> tuple[Column, Column]:
@@ -171,7 +231,12 @@ def _simple(xs: pd.Series, ys: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def _iou(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
-    return pd.Series([overlap(_zip(a, b), _zip(c, d)) for a, b, c, d in zip(ax, ay, bx, by)], dtype=float)
+    known: dict = {}
+    return pd.Series([overlap(_zip(a, b), _zip(c, d), known) for a, b, c, d in zip(ax, ay, bx, by)], dtype=float)
+
+
+# else a filter on the result would be planned below it, with a second run of its own
+_iou = _iou.asNondeterministic()
 
 
 def simple_polygon_check(points: Column) -> Column:

@@ -1,22 +1,28 @@
-"""Share of a frame covered by the union of its boxes."""
+"""Share of a frame covered by the union of its objects."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from gaugeframe.plans.spatial import BOX
+from gaugeframe.functions.boxes import box_points
+from gaugeframe.functions.polygons import covered
+from gaugeframe.plans.joins import null_safe_join
+from gaugeframe.plans.spatial import BOX, has_area, with_bounds
 
 
 def frame_object_density(frames: DataFrame, objects: DataFrame, keys: Sequence[str], cell: float = 0.125) -> DataFrame:
-    """Per cent of each frame under at least one box, exact.
+    """Per cent of each frame under at least one box or polygon (``points``), exact.
 
     Boxes are clipped to grid cells and de-duplicated there: everything that covers a cell whole becomes one row,
     so a crowded frame is spread over its cells and shrinks to their partly covered rims.  Inside a cell the area
     is summed over vertical slabs between neighbouring box edges.
     """
     keys = list(keys)
+    if "points" in objects.columns:
+        return _polygon_density(frames, objects, keys, cell)
     size = F.lit(cell)
 
     def span(lo: str, extent: str):
@@ -47,3 +53,28 @@ def frame_object_density(frames: DataFrame, objects: DataFrame, keys: Sequence[s
     rims = rows.groupBy(*keys).agg(F.sum(F.col("len") * (F.col("xb") - F.col("xa"))).alias("area"))
     total = whole.unionByName(rims).groupBy(*keys).agg(F.sum("area").alias("area"))
     return frames.select(*keys).join(total, keys, "left").select(*keys, (F.coalesce("area", F.lit(0.0)) * 100).alias("density"))
+
+
+def _polygon_density(frames: DataFrame, objects: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    """The same over shapes: distinct shapes are cut at grid cells, and each cell's union is one small task group."""
+    size = F.lit(cell)
+    shaped = with_bounds(objects).where(has_area())
+    outline = F.coalesce("points", box_points(*[F.col(c) for c in BOX]))
+    shapes = shaped.select(*keys, *BOX, F.transform(outline, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("outline")).distinct()
+
+    def span(lo: str, extent: str):
+        return F.sequence(F.floor(F.col(lo) / size), F.floor((F.col(lo) + F.col(extent)) / size))
+
+    split = shapes.withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h"))).select(*keys, "cx", "cy", "outline")
+    fields = split.select(*keys).schema
+    schema = T.StructType([*fields, T.StructField("area", T.DoubleType())])
+
+    def area(rows):
+        cx, cy = rows["cx"][0].as_py(), rows["cy"][0].as_py()
+        polygons = [[(p["x"], p["y"]) for p in o] for o in rows["outline"].to_pylist()]
+        found = covered(polygons, cx * cell, cy * cell, (cx + 1) * cell, (cy + 1) * cell)
+        return rows.select(keys).slice(0, 1).append_column("area", pa.array([found], pa.float64()))
+
+    total = split.groupBy(*keys, "cx", "cy").applyInArrow(area, schema).groupBy(*keys).agg(F.sum("area").alias("area"))
+    joined = null_safe_join(frames.select(*keys), total, keys, "left")
+    return joined.select(*keys, (F.coalesce("area", F.lit(0.0)) * 100).alias("density"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeframe.plans.scan import running
-from gaugeframe.plans.spatial import DEFAULT_CELL, best_other, best_overlap
+from gaugeframe.plans.spatial import DEFAULT_CELL, best_other, best_overlap, geometry, with_bounds
 
 # Interval ends of predictions that are never / always true positives.
 ALWAYS_FP, ALWAYS_TP = 1.0, -1.0
@@ -17,7 +17,7 @@ DUPLICATE_IOU = 0.6
 
 def iou_match(predictions: DataFrame, labels: DataFrame, keys: Sequence[str] = ("frame_id", "feature"), label_id: str = "label_id", cell: float = DEFAULT_CELL) -> DataFrame:
     """Each prediction with its best label of the same frame and class: ``match_id`` (null without overlap), ``iou``."""
-    return best_overlap(predictions, labels, keys, label_id, cell).withColumnRenamed(f"best_{label_id}", "match_id")
+    return best_overlap(with_bounds(predictions), with_bounds(labels), keys, label_id, cell).withColumnRenamed(f"best_{label_id}", "match_id")
 
 
 def classification_pairs(predictions: DataFrame, labels: DataFrame, keys: Sequence[str], label_id: str = "label_id") -> DataFrame:
@@ -63,6 +63,7 @@ def greedy_tp(matched: DataFrame, iou: float | None = None, pred_id: str = "pred
     first = reach.groupBy("match_id").agg(F.min(F.struct((-F.col(confidence)).alias("neg"), F.col(pred_id).alias("id"))).alias("win"))
     own = F.struct((-F.col(confidence)).alias("neg"), F.col(pred_id).alias("id"))
     tp = F.coalesce(own == F.col("win"), F.lit(False))
+    # The texts of the reasons.
     reason = (
         F.when(tp, "")
         .when(F.col("match_id").isNull(), F.concat(F.lit("No overlapping label of class `"), F.col("feature"), F.lit("`.")))
@@ -78,8 +79,10 @@ def false_negatives(labels: DataFrame, greedy: DataFrame, label_id: str = "label
 
 
 def annotation_duplicates(objects: DataFrame, keys: Sequence[str] = ("frame_id", "feature"), id_col: str = "obj_id", cell: float = DEFAULT_CELL) -> DataFrame:
-    """Best IoU partner of every object within frame and class; mutual duplicates are reported by the smaller id only."""
-    scored = best_other(objects.select(*keys, id_col, "x", "y", "w", "h"), keys, id_col, cell)
+    """Best IoU partner of every object (box, or polygon in ``points``) within frame and class; mutual duplicates are reported by
+    the smaller id only.  A NULL class is a class; objects without geometry have no partner."""
+    shaped = with_bounds(objects)
+    scored = best_other(shaped.select(*keys, id_col, *geometry(shaped)), keys, id_col, cell)
     scored = scored.withColumn("partner", F.when(F.col("iou") >= F.lit(DUPLICATE_IOU), F.col("partner")))
     # (a, b) and (b, a) meet in one group of at most two rows and the smaller id stays; other rows are alone in theirs
     pair = {"_lo": F.least(id_col, "partner"), "_hi": F.greatest(id_col, "partner")}

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gaugeframe.functions.polygons import simple_polygon_check
+from gaugeframe.plans.joins import null_safe_join
 from gaugeframe.plans.scan import ranked
-from gaugeframe.plans.spatial import BOX, DEFAULT_CELL, best_overlap
+from gaugeframe.plans.spatial import DEFAULT_CELL, best_overlap, geometry, has_area, with_bounds
 
 # IoU limits of the track metrics and distance limits of the occlusion levels.
 TRACK_IOU, MISSING_IOU = 0.8, 0.5
@@ -21,6 +23,13 @@ def frame_positions(frames: DataFrame, seq: str = "seq_id", frame: str = "frame"
     return ranked(frames.select(seq, frame).distinct(), [seq], [F.asc(frame)], "pos")
 
 
+def _valid(shape: Sequence[str]) -> Column:
+    """A box or polygon with area; polygons must not cross themselves.  Never NULL, so no object is lost."""
+    if "points" not in shape:
+        return has_area()
+    return has_area() & (F.col("points").isNull() | simple_polygon_check(F.coalesce("points", F.array().cast("array<struct<x:double,y:double>>"))))
+
+
 def track_consistency(objects: DataFrame, frames: DataFrame | None = None, seq: str = "seq_id", frame: str = "frame", id_col: str = "obj_id", track: str = "track_id", cls: str = "feature", cell: float = DEFAULT_CELL) -> DataFrame:
     """Best-overlapping object of the previous frame decides: same track or weak overlap is 1, a strong overlap with
     another track or class is 1 - IoU. Degenerate boxes score 0; the first frame of a sequence scores nothing else.
@@ -28,18 +37,20 @@ def track_consistency(objects: DataFrame, frames: DataFrame | None = None, seq:
     ``frames`` lists all frames when some hold no objects.
     """
     pos = frame_positions(objects if frames is None else frames, seq, frame)
-    placed = objects.join(pos, [seq, frame]).select(seq, frame, "pos", id_col, track, cls, *BOX)
-    valid = placed.where("w > 0 and h > 0")
+    shaped = with_bounds(objects)
+    shape = geometry(shaped)
+    placed = null_safe_join(shaped, pos, [seq, frame]).select(seq, frame, "pos", id_col, track, cls, *shape)
+    valid = placed.where(_valid(shape))
     now = valid.where("pos > 1").withColumn("_ref", F.col("pos") - 1)
-    before = valid.select(seq, F.col("pos").alias("_ref"), id_col, track, cls, *BOX)
-    hit = best_overlap(now, before, [seq, "_ref"], id_col, cell, carry=[track, cls])
+    before = valid.select(seq, F.col("pos").alias("_ref"), id_col, track, cls, *shape)
+    hit = best_overlap(now, before, [seq, "_ref"], id_col, cell, carry=[track, cls], least=TRACK_IOU)
     suspicious = (F.col("iou") > F.lit(TRACK_IOU)) & (F.col(f"best_{track}") != F.col(track))
     note = F.when(~suspicious, "").when(F.col(f"best_{cls}") != F.col(cls), "overlaps with another class").otherwise("different track ids")
     scored = hit.select(
         seq, frame, id_col, F.when(F.coalesce(suspicious, F.lit(False)), 1 - F.col("iou")).otherwise(F.lit(1.0)).alias("score"),
         F.coalesce(note, F.lit("")).alias("description"),
     )
-    invalid = placed.where("not (w > 0 and h > 0)").select(seq, frame, id_col, F.lit(0.0).alias("score"), F.lit("Invalid polygon").alias("description"))
+    invalid = placed.where(~_valid(shape)).select(seq, frame, id_col, F.lit(0.0).alias("score"), F.lit("Invalid polygon").alias("description"))
     return scored.unionByName(invalid)
 
 
@@ -49,15 +60,17 @@ def missing_or_broken_tracks(objects: DataFrame, seq: str = "seq_id", frame: str
     A same-class object two frames back (IoU >= 0.25) without one in between (IoU > 0.5) is marked 0 as missing on
     the next frame; with one in between, three equal track ids score 1 and any break 0.5; no object two back is 1.
     """
-    all_objects = objects.select(seq, frame, id_col, track, cls, *BOX)
-    valid = all_objects.where("w > 0 and h > 0")
-    placed = valid.join(frame_positions(valid, seq, frame), [seq, frame])
+    shaped = with_bounds(objects)
+    shape = geometry(shaped)
+    all_objects = shaped.select(seq, frame, id_col, track, cls, *shape)
+    valid = all_objects.where(_valid(shape))
+    placed = null_safe_join(valid, frame_positions(valid, seq, frame), [seq, frame])
     keys = [seq, cls, "_ref"]
 
     def at(df: DataFrame, back: int, name: str) -> DataFrame:
         found = best_overlap(
             df.withColumn("_ref", F.col("pos") - back),
-            placed.select(seq, cls, F.col("pos").alias("_ref"), id_col, track, *BOX), keys, id_col, cell, carry=[track],
+            placed.select(seq, cls, F.col("pos").alias("_ref"), id_col, track, *shape), keys, id_col, cell, carry=[track], least=MISSING_IOU / 2,
         )
         renames = {"iou": f"{name}_iou", f"best_{id_col}": f"{name}_id", f"best_{track}": f"{name}_track"}
         return found.drop("_ref").withColumnsRenamed(renames)
@@ -70,7 +83,7 @@ def missing_or_broken_tracks(objects: DataFrame, seq: str = "seq_id", frame: str
         F.when(similar & ~bridged, F.col("old_id")).otherwise(F.col(id_col)).alias(id_col),
         F.when(~similar, 1.0).when(~bridged, 0.0).when(whole, 1.0).otherwise(0.5).alias("score"),
     )
-    invalid = all_objects.where("not (w > 0 and h > 0)").select(id_col, F.lit(0.0).alias("score"))
+    invalid = all_objects.where(~_valid(shape)).select(id_col, F.lit(0.0).alias("score"))
     return own.unionByName(invalid).groupBy(id_col).agg(F.min("score").alias("score"))
 
 
@@ -140,6 +153,7 @@ def occlusion(boxes: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
     dr = scaled("_r", F.col("_r")) - scaled("_r", F.col("_r_mean"))
     j = j.withColumns({"_d": F.sqrt(da * da + dr * dr), "_small": da < 0})
     hidden = (F.col("_d") > F.lit(OCCLUSION_LOW)) & F.col("_small")
+    # The texts of the levels.
     level = (
         F.when(~hidden, "There is no occlusion")
         .when(F.col("_d") > F.lit(OCCLUSION_HIGH), "There is a high probability of occlusion")

@@ -4,60 +4,115 @@ Copies collapse first: boxes equal in key and geometry are one row for the pairi
 number.  The remaining boxes meet on (keys, grid cell), so only neighbours become candidates and a
 frame holding a third of all boxes is spread over its cells.  A pair sharing several cells counts in
 the one that holds the upper-left corner of its intersection.
+
+Objects may be polygons: rows with a ``points`` column that is not NULL.  Their bounding box finds the candidates and the exact
+polygon overlap decides.  Rows without any geometry pair with nothing but stay in every result, and NULL is a key like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gaugeframe.functions.boxes import box_iou
+from gaugeframe.functions.boxes import box_iou, box_points, polygon_area, polygon_bounds
+from gaugeframe.functions.polygons import polygon_iou
+from gaugeframe.plans.joins import null_safe_join
 
 BOX = ("x", "y", "w", "h")
 DEFAULT_CELL = 0.25
 
 
+def with_bounds(objects: DataFrame) -> DataFrame:
+    """Objects whose polygons also have x, y, w, h (their bounds); boxes keep theirs and lose ``points``.
+
+    A polygon that fills its bounds is a box, and pairs of boxes need no Python.
+    """
+    if "points" not in objects.columns:
+        return objects
+    polygon = F.col("x").isNull() & (F.size("points") > 0)
+    b = polygon_bounds(F.col("points"))
+    full = polygon_area(F.col("points")) >= (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) * (1 - 1e-12)
+    sides = {"x": b["x1"], "y": b["y1"], "w": b["x2"] - b["x1"], "h": b["y2"] - b["y1"]}
+    return objects.withColumns({**{c: F.when(polygon, v).otherwise(F.col(c)) for c, v in sides.items()}, "points": F.when(polygon & ~full, F.col("points"))})
+
+
+def geometry(*frames: DataFrame) -> list[str]:
+    """Columns that tell shapes apart."""
+    return [*BOX, "points"] if all("points" in f.columns for f in frames) else list(BOX)
+
+
+def has_area() -> Column:
+    """False, never NULL, for rows without a positive box."""
+    return F.coalesce((F.col("w") > 0) & (F.col("h") > 0), F.lit(False))
+
+
+def _shape_iou(polygons: bool) -> Column:
+    box = box_iou(tuple(F.col(c) for c in BOX), tuple(F.col(f"r_{c}") for c in BOX))
+    if not polygons:
+        return box
+    some = F.col("points").isNotNull() | F.col("r_points").isNotNull()
+    left = F.coalesce("points", box_points(*[F.col(c) for c in BOX]))
+    right = F.coalesce("r_points", box_points(*[F.col(f"r_{c}") for c in BOX]))
+    # pairs of boxes send nothing to Python
+    return F.when(some, polygon_iou(F.when(some, left), F.when(some, right))).otherwise(box)
+
+
 def _cells(df: DataFrame, cell: float) -> DataFrame:
     size = F.lit(cell)
 
     def span(lo: str, extent: str):
         return F.sequence(F.floor(F.col(lo) / size), F.floor((F.col(lo) + F.col(extent)) / size))
 
-    flat = df.where("w > 0 and h > 0")
+    flat = df.where(has_area())
     return flat.withColumn("_cx", F.explode(span("x", "w"))).withColumn("_cy", F.explode(span("y", "h")))
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: float = DEFAULT_CELL) -> DataFrame:
-    """Pairs with positive overlap: keys, both boxes (right prefixed ``r_``), other columns of both, ``iou``."""
+def _iou_bound() -> Column:
+    """No IoU is larger: the overlap of the bounds over the larger area."""
+    inter = (F.least(F.col("x") + F.col("w"), F.col("r_x") + F.col("r_w")) - F.greatest("x", "r_x")) * (
+        F.least(F.col("y") + F.col("h"), F.col("r_y") + F.col("r_h")) - F.greatest("y", "r_y"))
+    larger = F.greatest(*[F.coalesce(polygon_area(F.col(f"{p}points")), F.col(f"{p}w") * F.col(f"{p}h")) for p in ("", "r_")])
+    return F.when(larger > 0, inter / larger).otherwise(F.lit(0.0))
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: float = DEFAULT_CELL, least: float = 0.0) -> DataFrame:
+    """Pairs with positive overlap: keys, both boxes (right prefixed ``r_``), other columns of both, ``iou``.
+
+    Pairs with polygons whose IoU is sure to stay below ``least`` may be left out before the exact overlap is taken.
+    """
     keys = list(keys)
     lc = _cells(left, cell)
     rc = _cells(right, cell)
     rc = rc.select(*keys, "_cx", "_cy", *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
-    both = lc.join(rc, [*keys, "_cx", "_cy"])
+    both = null_safe_join(lc, rc, [*keys, "_cx", "_cy"])
     home = (F.col("_cx") == F.floor(F.greatest("x", "r_x") / F.lit(cell))) & (
         F.col("_cy") == F.floor(F.greatest("y", "r_y") / F.lit(cell))
     )
-    iou = box_iou(tuple(F.col(c) for c in BOX), tuple(F.col(f"r_{c}") for c in BOX))
-    return both.where(home).withColumn("iou", iou).where("iou > 0").drop("_cx", "_cy")
+    met = both.where(home)
+    polygons = "points" in geometry(left, right)
+    if polygons and least > 0:
+        met = met.where(_iou_bound() >= F.lit(least - 1e-9))
+    return met.withColumn("iou", _shape_iou(polygons)).where("iou > 0").drop("_cx", "_cy")
 
 
-def best_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], right_id: str, cell: float = DEFAULT_CELL, carry: Sequence[str] = ()) -> DataFrame:
+def best_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], right_id: str, cell: float = DEFAULT_CELL, carry: Sequence[str] = (), least: float = 0.0) -> DataFrame:
     """Every left row with ``iou`` (0 without overlap) and the id (and carried columns) of its best right row.
 
-    Equal IoUs go to the smallest right id.  The result keeps all left columns.
+    Equal IoUs go to the smallest right id.  The result keeps all left columns.  Below ``least`` a polygon's overlap may count as none.
     """
     keys = list(keys)
-    lboxes = left.select(*keys, *BOX).distinct()
+    shape = geometry(left, right)
+    lboxes = left.select(*keys, *shape).distinct()
     payload = F.struct(F.col(right_id), *carry)
-    rboxes = right.groupBy(*keys, *BOX).agg(F.min(payload).alias("p"))
-    pairs = overlapping(lboxes, rboxes, keys, cell)
-    best = pairs.groupBy(*keys, *BOX).agg(F.min(F.struct((-F.col("iou")).alias("neg"), F.col("r_p"))).alias("b"))
+    rboxes = right.groupBy(*keys, *shape).agg(F.min(payload).alias("p"))
+    pairs = overlapping(lboxes, rboxes, keys, cell, least)
+    best = pairs.groupBy(*keys, *shape).agg(F.min(F.struct((-F.col("iou")).alias("neg"), F.col("r_p"))).alias("b"))
     found = best.select(
-        *keys, *BOX, (-F.col("b.neg")).alias("iou"), F.col(f"b.r_p.{right_id}").alias(f"best_{right_id}"),
+        *keys, *shape, (-F.col("b.neg")).alias("iou"), F.col(f"b.r_p.{right_id}").alias(f"best_{right_id}"),
         *[F.col(f"b.r_p.{c}").alias(f"best_{c}") for c in carry],
     )
-    return left.join(found, [*keys, *BOX], "left").withColumn("iou", F.coalesce("iou", F.lit(0.0)))
+    return null_safe_join(left, found, [*keys, *shape], "left").withColumn("iou", F.coalesce("iou", F.lit(0.0)))
 
 
 def best_other(df: DataFrame, keys: Sequence[str], id_col: str, cell: float = DEFAULT_CELL) -> DataFrame:
@@ -66,7 +121,8 @@ def best_other(df: DataFrame, keys: Sequence[str], id_col: str, cell: float = DE
     An exact copy is an IoU of 1; the two smallest ids of a copy group are enough to name everyone's partner.
     """
     keys = list(keys)
-    group = [*keys, *BOX]
+    shape = geometry(df)
+    group = [*keys, *shape]
     # the rank filter is applied before the shuffle, so a hot copy group sends two rows per task
     two = (
         df.select(*group, id_col)
@@ -76,12 +132,12 @@ def best_other(df: DataFrame, keys: Sequence[str], id_col: str, cell: float = DE
         .agg(F.min(id_col).alias("first"), F.max(F.when(F.col("_r") == 2, F.col(id_col))).alias("second"))
     )
     pairs = overlapping(two.select(*group, "first"), two.select(*group, "first"), keys, cell)
-    distinct_boxes = F.struct(*BOX) != F.struct(*[F.col(f"r_{c}").alias(c) for c in BOX])
+    distinct_boxes = ~F.struct(*shape).eqNullSafe(F.struct(*[F.col(f"r_{c}").alias(c) for c in shape]))
     best = pairs.where(distinct_boxes).groupBy(*group).agg(
         F.min(F.struct((-F.col("iou")).alias("neg"), F.col("r_first").alias("id"))).alias("b")
     )
-    info = two.join(best, group, "left")
-    copied = F.col("second").isNotNull() & (F.col("w") > 0) & (F.col("h") > 0)
+    info = null_safe_join(two, best, group, "left")
+    copied = F.col("second").isNotNull() & has_area()
     partner = F.when(copied, F.when(F.col(id_col) == F.col("first"), F.col("second")).otherwise(F.col("first"))).otherwise(F.col("b.id"))
     iou = F.when(copied, F.lit(1.0)).otherwise(F.coalesce(-F.col("b.neg"), F.lit(0.0)))
-    return df.join(info, group).withColumns({"partner": partner, "iou": iou}).drop("first", "second", "b")
+    return null_safe_join(df, info, group).withColumns({"partner": partner, "iou": iou}).drop("first", "second", "b")

@@ -316,6 +316,58 @@ def missing_or_broken_tracks(spark, d):
     return Q.missing_or_broken_tracks(V.trk(spark, d))
 
 
+def _best_shape(name: str, back: int, same_class: bool, where: str = "") -> str:
+    """Best partner among mixed shapes: overlaps are summed over the disjoint rectangles of both."""
+    cond = "and a.cls is not distinct from b.cls" if same_class else ""
+    return f"""{name} as (select * from (select *, row_number() over (partition by obj_id order by round(iou, 9) desc, other) as rn from (
+select obj_id, other, track, cls, sum(ix * iy) / (max(aa) + max(ba) - sum(ix * iy)) as iou from (
+select a.obj_id, b.obj_id as other, b.track_id as track, b.cls as cls, a.area as aa, b.area as ba,
+least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) as ix, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) as iy
+from prect a join prect b on a.seq_id = b.seq_id and a.pos - {back} = b.pos {cond} {where}) where ix > 0 and iy > 0 group by 1, 2, 3, 4)) where rn = 1)"""
+
+
+POSED = V.SHAPE_SQL + """, place as (select seq_id, frame, row_number() over (partition by seq_id order by frame) as pos from (select distinct seq_id, frame from obj)),
+prect as (select r.*, pos from rect r join place using (seq_id, frame)), pobj as (select o.*, pos from obj o join place using (seq_id, frame))"""
+
+
+@query("annotation_duplicates_polygons", with_views("trk", """select seq_id, frame, cls as feature, o.obj_id, round(score, 6) as score,
+case when o.partner is null then 'Possible non duplicated object' else 'Possible duplicates' end as description from flag o
+where not exists (select 1 from flag b where b.obj_id = o.partner and b.partner = o.obj_id and b.obj_id < o.obj_id)""",
+POSED + ", " + _best_shape("top", 0, True, "and a.obj_id <> b.obj_id") + """,
+flag as (select o.seq_id, o.frame, o.cls, o.obj_id, case when t.iou >= 0.6e0 then t.other end as partner, coalesce(t.iou, 0e0) as score
+from pobj o left join top t on o.obj_id = t.obj_id)"""))
+def annotation_duplicates_polygons(spark, d):
+    got = M.annotation_duplicates(V.shapes(spark, d), ["seq_id", "frame", "feature"])
+    return rounded(got.drop("partner"), "score", digits=6)
+
+
+@query("track_consistency_polygons", with_views("trk", """select seq_id, frame, p.obj_id,
+round(case when v.iou > 0.8e0 and v.track <> p.track_id then 1 - v.iou else 1e0 end, 6) as score from pobj p left join v on p.obj_id = v.obj_id where pos > 1""",
+POSED + ", " + _best_shape("v", 1, False)))
+def track_consistency_polygons(spark, d):
+    return rounded(Q.track_consistency(V.shapes(spark, d)).drop("description"), "score", digits=6)
+
+
+@query("missing_tracks_polygons", with_views("trk", """select obj_id, min(score) as score from (select
+case when o.iou >= 0.25e0 and not coalesce(m.iou > 0.5e0, false) then o.other else p.obj_id end as obj_id,
+case when not coalesce(o.iou >= 0.25e0, false) then 1e0 when not coalesce(m.iou > 0.5e0, false) then 0e0
+when o.track = p.track_id and m.track = p.track_id then 1e0 else 0.5e0 end as score
+from pobj p left join o on p.obj_id = o.obj_id left join m on p.obj_id = m.obj_id where pos > 2) group by 1""",
+POSED + ", " + _best_shape("o", 2, True) + ", " + _best_shape("m", 1, True)))
+def missing_tracks_polygons(spark, d):
+    return Q.missing_or_broken_tracks(V.shapes(spark, d))
+
+
+@query("density_polygons", with_views("trk", """select seq_id, frame, round(coalesce(100 * sum((xb - xa) * len), 0e0), 6) as density from
+(select seq_id, frame, xa, xb, greatest(y1 - greatest(y0, coalesce(max(y1) over (partition by seq_id, frame, xa order by y0, y1 rows between unbounded preceding and 1 preceding), y0)), 0) as len
+from (select s.seq_id, s.frame, xa, xb, b.y as y0, b.y + b.h as y1 from slab s join box b on s.seq_id = b.seq_id and s.frame = b.frame and b.x <= xa and b.x + b.w >= xb)) group by 1, 2""",
+V.SHAPE_SQL + """, box as (select distinct seq_id, frame, x, y, w, h from rect),
+slab as (select seq_id, frame, xa, lead(xa) over (partition by seq_id, frame order by xa) as xb from (select seq_id, frame, x as xa from box union select seq_id, frame, x + w from box))"""))
+def density_polygons(spark, d):
+    a = V.shapes(spark, d)
+    return rounded(D.frame_object_density(a.select("seq_id", "frame").distinct(), a, ["seq_id", "frame"]), "density", digits=6)
+
+
 @query("shape_similarity", """with e as (select event_id, user_id, [value, cast(event_id % 97 as double), 10e0 + value / 3] as v,
 row_number() over (partition by user_id order by ts, event_id) - 1 as p from events where user_id is not null),
 s as (select event_id, p, v, sum(v[1] * k) over w as a, sum(v[2] * k) over w as b, sum(v[3] * k) over w as c from

@@ -5,7 +5,7 @@ Each view exists twice: as a DataFrame and as the SQL text of a common table exp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -41,6 +41,29 @@ def ann(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def shapes(spark: SparkSession, d: str) -> DataFrame:
+    """The boxes of ``ann`` as objects of three kinds: boxes, rectangles given as polygons, and concave L shapes (three quarters of the box)."""
+    digit = F.substring("obj_id", -1, 1).cast("int")
+    kind = digit % 3
+    # heights of a finer grain, so that no overlap lies on a threshold
+    a = trk(spark, d).withColumn("h", F.col("h") * (1 + F.substring("obj_id", -4, 4).cast("int") * 0.0000017))
+    x, y, w, h = (F.col(c) for c in "xywh")
+
+    def ring(*corners) -> Column:
+        return F.array(*[F.struct(px.alias("x"), py.alias("y")) for px, py in corners])
+
+    rectangle = ring((x, y), (x + w / 2, y), (x + w, y), (x + w, y + h), (x, y + h))
+    ell = ring((x, y), (x + w, y), (x + w, y + h / 2), (x + w / 2, y + h / 2), (x + w / 2, y + h), (x, y + h))
+    box = {c: F.when(kind == 0, F.col(c)) for c in "xywh"}
+    return a.withColumns({**box, "points": F.when(kind == 1, rectangle).when(kind == 2, ell), "feature": F.when(F.col("feature") != "N", F.col("feature"))})
+
+
+#: The same objects as disjoint rectangles: an L is its lower half and the left part of its upper half; class N is NULL.
+SHAPE_SQL = """obj as (select * replace (h * (1 + cast(right(obj_id, 4) as int) * 0.0000017e0) as h), cast(right(obj_id, 1) as int) % 3 as shape, case when feature <> 'N' then feature end as cls from trk),
+rect as (select seq_id, frame, obj_id, cls, track_id, x, y, w, case when shape = 2 then h / 2 else h end as h, w * h * case when shape = 2 then 0.75e0 else 1e0 end as area from obj
+union all select seq_id, frame, obj_id, cls, track_id, x, y + h / 2, w / 2, h / 2, w * h * 0.75e0 from obj where shape = 2)"""
+
+
 def pred(spark: SparkSession, d: str) -> DataFrame:
     return ann(spark, d).where("kind = 'O'").select(
         F.col("obj_id").alias("pred_id"), "frame_id", "feature", "x", "y", "w", "h",

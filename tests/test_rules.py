@@ -1,10 +1,13 @@
 """Rules that hold at every size and for missing values: NULL keys, NaN, long numbers, one read per filter chain."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeframe.functions import boxes as B, scalar as S
-from gaugeframe.operators import evaluation as E, filters as X, sequences as Q, summary as A
+from gaugeframe.functions import boxes as B, polygons as PG, scalar as S
+from gaugeframe.operators import density as D, evaluation as E, filters as X, matching as M, sequences as Q, summary as A
 from gaugeframe.plans.quantiles import linear_quantiles, order_statistics
 from gaugeframe.plans.scan import running
 
@@ -81,3 +84,37 @@ def test_filter_chain_reads_each_table_once(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 3
     assert sorted((r.frame_id or 0, r.obj_id or "") for r in out.collect()) == [(0, "c"), (1, "a")]
+
+
+def _star(rng, n):
+    turns = sorted(rng.random() for _ in range(n))
+    size = [0.2 + rng.random() for _ in range(n)]
+    cx, cy = rng.random(), rng.random()
+    return [(cx + r * math.cos(2 * math.pi * t), cy + r * math.sin(2 * math.pi * t)) for t, r in zip(turns, size)]
+
+
+def test_concave_overlap_agrees_with_the_union():
+    rng = random.Random(5)
+    checked = 0
+    while checked < 60:
+        p, q = _star(rng, 7), _star(rng, 9)
+        if PG.is_simple(p) and PG.is_simple(q):
+            inter = abs(PG._area(p)) + abs(PG._area(q)) - PG.union_area([p, q])
+            assert PG.overlap(p, q) == pytest.approx(inter / PG.union_area([p, q]), abs=1e-9)
+            assert PG.covered([p, q], -2, -2, 3, 3, edges=4) == pytest.approx(PG.union_area([p, q]), abs=1e-9)
+            checked += 1
+
+
+def test_objects_without_box_or_class_stay(spark):
+    square = [{"x": x, "y": y} for x, y in ((0.0, 0.0), (0.5, 0.0), (0.5, 0.5), (0.0, 0.5))]
+    tri = [{"x": x, "y": y} for x, y in ((0.0, 0.0), (0.5, 0.0), (0.0, 0.5))]
+    rows = [("f", None, "a", None, square), ("f", None, "b", 0.0, None), ("f", "c", "c", None, tri), ("f", "c", "d", None, tri), ("f", "c", "e", None, None)]
+    rows = [(f, c, i, x, x, None if x is None else 0.5, None if x is None else 0.5, p) for f, c, i, x, p in rows]
+    df = spark.createDataFrame(rows, "frame_id string, feature string, obj_id string, x double, y double, w double, h double, points array<struct<x:double,y:double>>")
+    got = {r.obj_id: (r.partner, r.score) for r in M.annotation_duplicates(df).collect()}
+    assert got == {"a": ("b", 1.0), "c": ("d", 1.0), "e": (None, 0.0)}
+    placed = df.select(F.lit("s").alias("seq_id"), F.lit(1).alias("frame"), "obj_id", F.lit(1).alias("track_id"), "feature", *"xywh", "points")
+    placed = placed.unionByName(placed.withColumns({"frame": F.lit(2), "obj_id": F.concat("obj_id", F.lit("2"))}))
+    scored = {r.obj_id: r.score for r in Q.track_consistency(placed).collect()}
+    assert scored == {"a2": 1.0, "b2": 1.0, "c2": 1.0, "d2": 1.0, "e": 0.0, "e2": 0.0}
+    assert D.frame_object_density(df.select("frame_id").distinct(), df, ["frame_id"]).first().density == pytest.approx(25.0)
