@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame, functions as F
 
-from gaugeframe.llm.common import stored
+from gaugeframe.llm.common import smallest_hashes, stored
 
 # Frame magics of the WARC Zstandard format.
 DICTIONARY_FRAME, ZSTD_FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
@@ -37,7 +37,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample; empty when the sample is too small to train on."""
-    sample = pages.where("octet_length(html) > 0").select("html", F.xxhash64("page_id", "html").alias("h")).orderBy("h", "html").limit(SAMPLE)
+    some = pages.where("octet_length(html) > 0").select("html", F.xxhash64("page_id", "html").alias("h"))
+    sample = smallest_hashes(some, F.col("h"), SAMPLE, some.count()).orderBy("h", "html").limit(SAMPLE)
     texts = [r["html"].encode()[: 32 << 10] for r in sample.collect()]
     try:
         return zstd.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
