@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def rle_encode(mask: Column, height: Column, width: Column) -> Column:
@@ -21,40 +24,65 @@ def rle_decode(rle: Column) -> Column:
     return F.flatten(F.transform(rle["counts"], lambda c, i: F.array_repeat((i % 2).cast("int"), c)))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once instead of once per use inside a lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def rle_area(rle: Column) -> Column:
+    ones = F.filter(rle["counts"], lambda c, i: i % 2 == 1)
+    return F.aggregate(ones, F.lit(0).cast("long"), lambda acc, c: acc + c)
 
 
-def _ones(rle: Column) -> Column:
-    """(a, b) start and stop of every run of ones."""
-    start = F.struct(F.array().cast("array<struct<a:bigint,b:bigint>>").alias("spans"), F.lit(0).cast("bigint").alias("end"))
-    walked = F.aggregate(
-        rle["counts"], start,
-        lambda acc, c: F.struct(
-            F.concat(acc["spans"], F.array(F.struct(acc["end"].alias("a"), (acc["end"] + c).alias("b")))).alias("spans"), (acc["end"] + c).alias("end")),
-        lambda acc: acc["spans"],
-    )
-    return F.filter(walked, lambda s, i: i % 2 == 1)
+def _both(a: np.ndarray, b: np.ndarray) -> int:
+    """Ones that two run lists share: one merge of their edges."""
+    ends_a, ends_b = np.cumsum(a), np.cumsum(b)
+    edges = np.union1d(ends_a, ends_b)
+    in_a, in_b = np.searchsorted(ends_a, edges), np.searchsorted(ends_b, edges)
+    on = (in_a % 2 == 1) & (in_b % 2 == 1) & (in_a < len(ends_a)) & (in_b < len(ends_b))
+    return int(np.diff(edges, prepend=0)[on].sum())
 
 
-def rle_area(rle: Column) -> Column:
-    ones = F.filter(rle["counts"], lambda c, i: i % 2 == 1)
-    return F.aggregate(ones, F.lit(0).cast("long"), lambda acc, c: acc + c)
+# running sums over runs have no linear form among the array functions
+@F.pandas_udf(LongType())
+def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else _both(x, y) for x, y in zip(a, b)], dtype="Int64")
+
+
+# else a filter on the result would be planned below it, with a second run of its own
+_shared = _shared.asNondeterministic()
 
 
 def rle_iou(a: Column, b: Column) -> Column:
     """Overlap of two encoded masks from their runs, never decoding them; an empty union is 0."""
-    zero = F.lit(0).cast("long")
-    inter = _let(_ones(b), lambda other: F.aggregate(
-        _ones(a), zero,
-        lambda acc, s: acc + F.aggregate(
-            other, zero, lambda got, t: got + F.greatest(F.least(s["b"], t["b"]) - F.greatest(s["a"], t["a"]), zero)),
-    ))
+    inter = _shared(a["counts"], b["counts"])
     union = rle_area(a) + rle_area(b) - inter
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
 
 
+def _extent(counts: np.ndarray, width: int) -> dict | None:
+    ends = np.cumsum(counts)
+    first, last = ends[0:-1:2], ends[1::2] - 1  # of every run of ones
+    some = last >= first
+    if not some.any():
+        return None
+    first, last = first[some], last[some]
+    wraps = bool((first // width != last // width).any())
+    return {
+        "x": 0 if wraps else int((first % width).min()), "y": int(first.min() // width),
+        "x2": width if wraps else int((last % width).max()) + 1, "y2": int(last.max() // width) + 1,
+    }
+
+
+_BOUNDS = StructType([StructField(side, LongType()) for side in ("x", "y", "x2", "y2")])
+
+
+@F.pandas_udf(_BOUNDS)
+def _extents(counts: pd.Series, width: pd.Series) -> pd.DataFrame:
+    rows = [None if c is None else _extent(c, int(w)) for c, w in zip(counts, width)]
+    return pd.DataFrame([r or dict.fromkeys(_BOUNDS.names) for r in rows], columns=_BOUNDS.names, dtype="Int64")
+
+
+def rle_bounds(rle: Column) -> Column:
+    """STRUCT<x, y, x2, y2> in pixels, ends exclusive; null fields for a mask without ones."""
+    return _extents(rle["counts"], rle["size"][1])
+
+
 def mask_iou(a: Column, b: Column) -> Column:
     """Overlap of two flat 0/1 arrays."""
     both = F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("long")), F.lit(0).cast("long"), lambda acc, v: acc + v)

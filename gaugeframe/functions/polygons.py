@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
+from gaugeframe.functions.boxes import polygon_area
+
 
 def _raw_moments(points: Column) -> dict[str, Column]:
     """Moments up to order three by Green's theorem; orientation does not matter."""
@@ -247,3 +249,21 @@ def simple_polygon_check(points: Column) -> Column:
 def polygon_iou(a: Column, b: Column) -> Column:
     """IoU of two polygons; 0 when either is invalid."""
     return _iou(*_split(a), *_split(b))
+
+
+def simple_area(points: Column) -> Column:
+    """Shoelace area; fewer than three points have none, and a polygon that crosses itself gives NULL.
+
+    Up to four corners that all turn the same way cannot cross, so triangles and boxes stay out of Python.
+    """
+    n = F.size(points)
+
+    def turn(i: Column) -> Column:
+        p, q, r = (F.get(points, (i + k) % 4) for k in range(3))
+        return (q["x"] - p["x"]) * (r["y"] - q["y"]) - (q["y"] - p["y"]) * (r["x"] - q["x"])
+
+    turns = F.transform(F.array(*[F.lit(i) for i in range(4)]), turn)
+    one_way = F.forall(turns, lambda t: t > 0) | F.forall(turns, lambda t: t < 0)
+    plain = F.coalesce((n < 4) | F.when(n == 4, one_way).otherwise(False), F.lit(False))
+    simple = plain | F.coalesce(simple_polygon_check(F.when(~plain, points)), F.lit(False))
+    return F.when(simple, polygon_area(points))

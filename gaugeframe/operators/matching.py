@@ -16,7 +16,10 @@ DUPLICATE_IOU = 0.6
 
 
 def iou_match(predictions: DataFrame, labels: DataFrame, keys: Sequence[str] = ("frame_id", "feature"), label_id: str = "label_id", cell: float = DEFAULT_CELL) -> DataFrame:
-    """Each prediction with its best label of the same frame and class: ``match_id`` (null without overlap), ``iou``."""
+    """Each prediction with its best label of the same frame and class: ``match_id`` (null without overlap), ``iou``.
+
+    Objects are boxes, polygons (``points``) or run-length masks (``rle``), where both tables have the column.
+    """
     return best_overlap(with_bounds(predictions), with_bounds(labels), keys, label_id, cell).withColumnRenamed(f"best_{label_id}", "match_id")
 
 

@@ -6,7 +6,8 @@ frame holding a third of all boxes is spread over its cells.  A pair sharing sev
 the one that holds the upper-left corner of its intersection.
 
 Objects may be polygons: rows with a ``points`` column that is not NULL.  Their bounding box finds the candidates and the exact
-polygon overlap decides.  Rows without any geometry pair with nothing but stay in every result, and NULL is a key like any other.
+polygon overlap decides.  Objects may also be run-length masks (column ``rle``): masks meet masks only, and the runs decide.
+Rows without any geometry pair with nothing but stay in every result, and NULL is a key like any other.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gaugeframe.functions.boxes import box_iou, box_points, polygon_area, polygon_bounds
+from gaugeframe.functions.masks import rle_area, rle_bounds, rle_iou
 from gaugeframe.functions.polygons import polygon_iou
 from gaugeframe.plans.joins import null_safe_join
 
@@ -24,10 +26,12 @@ DEFAULT_CELL = 0.25
 
 
 def with_bounds(objects: DataFrame) -> DataFrame:
-    """Objects whose polygons also have x, y, w, h (their bounds); boxes keep theirs and lose ``points``.
+    """Objects whose polygons and masks also have x, y, w, h (their bounds); boxes keep theirs and lose ``points``.
 
-    A polygon that fills its bounds is a box, and pairs of boxes need no Python.
+    A polygon that fills its bounds is a box, and pairs of boxes need no Python.  A mask goes before any other shape of its row.
     """
+    if "rle" in objects.columns:
+        objects = _with_mask_bounds(objects)
     if "points" not in objects.columns:
         return objects
     polygon = F.col("x").isNull() & (F.size("points") > 0)
@@ -37,9 +41,20 @@ def with_bounds(objects: DataFrame) -> DataFrame:
     return objects.withColumns({**{c: F.when(polygon, v).otherwise(F.col(c)) for c, v in sides.items()}, "points": F.when(polygon & ~full, F.col("points"))})
 
 
+def _with_mask_bounds(objects: DataFrame) -> DataFrame:
+    columns = objects.columns
+    masked = F.col("rle").isNotNull()
+    size = F.col("rle.size")
+    b = objects.withColumn("_mask_bounds", rle_bounds(F.when(masked, F.col("rle"))))
+    m = {k: F.col(f"_mask_bounds.{k}") for k in ("x", "y", "x2", "y2")}
+    sides = {"x": m["x"] / size[1], "y": m["y"] / size[0], "w": (m["x2"] - m["x"]) / size[1], "h": (m["y2"] - m["y"]) / size[0]}
+    out = b.withColumns({c: F.when(masked, v).otherwise(F.col(c)) if c in columns else v for c, v in sides.items()})
+    return out.withColumns({"points": F.when(~masked, F.col("points"))} if "points" in columns else {}).drop("_mask_bounds")
+
+
 def geometry(*frames: DataFrame) -> list[str]:
     """Columns that tell shapes apart."""
-    return [*BOX, "points"] if all("points" in f.columns for f in frames) else list(BOX)
+    return [*BOX, *[c for c in ("points", "rle") if all(c in f.columns for f in frames)]]
 
 
 def has_area() -> Column:
@@ -47,8 +62,11 @@ def has_area() -> Column:
     return F.coalesce((F.col("w") > 0) & (F.col("h") > 0), F.lit(False))
 
 
-def _shape_iou(polygons: bool) -> Column:
+def _shape_iou(polygons: bool, masks: bool) -> Column:
     box = box_iou(tuple(F.col(c) for c in BOX), tuple(F.col(f"r_{c}") for c in BOX))
+    if masks:
+        masked = F.col("rle").isNotNull()
+        return F.when(masked, rle_iou(F.col("rle"), F.col("r_rle"))).otherwise(_shape_iou(polygons, False))
     if not polygons:
         return box
     some = F.col("points").isNotNull() | F.col("r_points").isNotNull()
@@ -68,18 +86,23 @@ def _cells(df: DataFrame, cell: float) -> DataFrame:
     return flat.withColumn("_cx", F.explode(span("x", "w"))).withColumn("_cy", F.explode(span("y", "h")))
 
 
-def _iou_bound() -> Column:
+def _iou_bound(polygons: bool, masks: bool) -> Column:
     """No IoU is larger: the overlap of the bounds over the larger area."""
     inter = (F.least(F.col("x") + F.col("w"), F.col("r_x") + F.col("r_w")) - F.greatest("x", "r_x")) * (
         F.least(F.col("y") + F.col("h"), F.col("r_y") + F.col("r_h")) - F.greatest("y", "r_y"))
-    larger = F.greatest(*[F.coalesce(polygon_area(F.col(f"{p}points")), F.col(f"{p}w") * F.col(f"{p}h")) for p in ("", "r_")])
+
+    def area(p: str) -> Column:
+        mask = [rle_area(F.col(f"{p}rle")) / (F.col(f"{p}rle.size")[0] * F.col(f"{p}rle.size")[1])] if masks else []
+        return F.coalesce(*mask, *([polygon_area(F.col(f"{p}points"))] if polygons else []), F.col(f"{p}w") * F.col(f"{p}h"))
+
+    larger = F.greatest(area(""), area("r_"))
     return F.when(larger > 0, inter / larger).otherwise(F.lit(0.0))
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: float = DEFAULT_CELL, least: float = 0.0) -> DataFrame:
     """Pairs with positive overlap: keys, both boxes (right prefixed ``r_``), other columns of both, ``iou``.
 
-    Pairs with polygons whose IoU is sure to stay below ``least`` may be left out before the exact overlap is taken.
+    Pairs with polygons or masks whose IoU is sure to stay below ``least`` may be left out before the exact overlap is taken.
     """
     keys = list(keys)
     lc = _cells(left, cell)
@@ -90,10 +113,12 @@ def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: fl
         F.col("_cy") == F.floor(F.greatest("y", "r_y") / F.lit(cell))
     )
     met = both.where(home)
-    polygons = "points" in geometry(left, right)
-    if polygons and least > 0:
-        met = met.where(_iou_bound() >= F.lit(least - 1e-9))
-    return met.withColumn("iou", _shape_iou(polygons)).where("iou > 0").drop("_cx", "_cy")
+    polygons, masks = (c in geometry(left, right) for c in ("points", "rle"))
+    if masks:
+        met = met.where(F.col("rle").isNull() == F.col("r_rle").isNull())
+    if (polygons or masks) and least > 0:
+        met = met.where(_iou_bound(polygons, masks) >= F.lit(least - 1e-9))
+    return met.withColumn("iou", _shape_iou(polygons, masks)).where("iou > 0").drop("_cx", "_cy")
 
 
 def best_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], right_id: str, cell: float = DEFAULT_CELL, carry: Sequence[str] = (), least: float = 0.0) -> DataFrame:

@@ -1,10 +1,20 @@
-"""COCO ground truth and results."""
+"""COCO ground truth and results.
+
+A run-length segmentation becomes the outline of its regions, one label per region as for several segments.  Where the annotation's box and the
+extent of its mask differ in whole pixels, or no region has three corners, the annotation is invalid and dropped.
+"""
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from gaugeframe.functions.boxes import crop_box
+from gaugeframe.sources.masks import outline, regions
 
 # ``segmentation`` stays JSON text: it is a flat list, a list of lists or an RLE object
 ANNOTATION = (
@@ -32,7 +42,7 @@ def read_coco_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def segments(segmentation: Column) -> Column:
-    """List of flat coordinate lists; null for a missing or RLE segmentation."""
+    """List of flat coordinate lists; null for a missing or run-length segmentation."""
     nested = F.from_json(segmentation, "array<array<double>>")
     flat = F.from_json(segmentation, "array<double>")
     is_nested = segmentation.rlike(r"^\s*\[\s*\[")
@@ -40,6 +50,69 @@ def segments(segmentation: Column) -> Column:
     return F.when(is_nested, nested).when(is_flat, F.array(flat))
 
 
+def is_rle(segmentation: Column) -> Column:
+    return F.coalesce(segmentation.rlike(r"^\s*\{"), F.lit(False))
+
+
+def run_lengths(counts: str | list[int]) -> list[int]:
+    """Run lengths of a COCO mask; text holds five bits a character, from the fourth run on as differences to the run before the last."""
+    if not isinstance(counts, str):
+        return counts
+    runs: list[int] = []
+    value = shift = 0
+    for ch in counts.encode():
+        bits = ch - 48
+        value |= (bits & 31) << shift
+        shift += 5
+        if not bits & 32:
+            value -= 1 << shift if bits & 16 else 0
+            runs.append(value + (runs[-2] if len(runs) > 2 else 0))
+            value = shift = 0
+    return runs
+
+
+def decode_rle(segmentation: str) -> np.ndarray | None:
+    """Boolean (height, width) array; runs go down the columns. None if the object is malformed."""
+    try:
+        rle = json.loads(segmentation)
+        height, width = map(int, rle["size"])
+        runs = np.asarray(run_lengths(rle["counts"]), dtype=np.int64)
+    except (ValueError, KeyError, TypeError):
+        return None
+    if (runs < 0).any() or runs.sum() != height * width:
+        return None
+    return np.repeat(np.arange(len(runs)) % 2 == 1, runs).reshape(width, height).T
+
+
+@F.pandas_udf(StructType([StructField("box", ArrayType(LongType())), StructField("parts", ArrayType(ArrayType(DoubleType())))]))
+def _outlined(segmentation: pd.Series) -> pd.DataFrame:
+    boxes, parts = [], []
+    for text in segmentation:
+        mask = None if text is None else decode_rle(text)
+        if mask is None or not mask.any():
+            boxes.append(None)
+            parts.append(None)
+            continue
+        ys, xs = np.nonzero(mask)
+        boxes.append([int(xs.min()), int(ys.min()), int(xs.max() - xs.min()) + 1, int(ys.max() - ys.min()) + 1])
+        labelled = regions(mask, diagonal=True)
+        rings = (outline(labelled == k) for k in np.unique(labelled[labelled > 0]))
+        parts.append([[float(v) for p in ring for v in p] for ring in rings if len(ring) >= 3])
+    return pd.DataFrame({"box": boxes, "parts": parts})
+
+
+def _segmented(rows: DataFrame) -> DataFrame:
+    """``rows`` once per segment of their polygon or mask (column ``segment``, NULL without); ``bbox`` of a mask without one is its extent."""
+    coded = is_rle(F.col("segmentation"))
+    out = rows.withColumn("_mask", _outlined(F.when(coded, F.col("segmentation"))))
+    corner = F.transform("bbox", lambda v: v.cast("long"))
+    valid = F.coalesce((F.size("_mask.parts") > 0) & (F.col("bbox").isNull() | (corner == F.col("_mask.box"))), F.lit(False))
+    kept = out.where(~coded | valid).withColumns({
+        "bbox": F.when(coded, F.coalesce("bbox", F.col("_mask.box").cast("array<double>"))).otherwise(F.col("bbox")),
+        "_parts": F.when(coded, F.col("_mask.parts")).otherwise(segments(F.col("segmentation")))})
+    return kept.withColumn("segment", F.explode_outer("_parts")).drop("_mask", "_parts")
+
+
 def _points(segment: Column, width: Column, height: Column) -> Column:
     pairs = F.sequence(F.lit(0), (F.size(segment) / 2 - 1).cast("int"))
     return F.transform(pairs, lambda i: F.struct((F.get(segment, i * 2) / width).alias("x"), (F.get(segment, i * 2 + 1) / height).alias("y")))
@@ -52,7 +125,7 @@ def scan_coco_annotations(annotations: DataFrame, images: DataFrame) -> DataFram
     """
     sized = annotations.where(F.coalesce("iscrowd", F.lit(0)) != 1).join(
         images.select(F.col("id").alias("image_id"), "width", "height"), "image_id")
-    parts = sized.withColumn("segment", F.explode_outer(segments(F.col("segmentation"))))
+    parts = _segmented(sized)
     polygon = F.col("segment").isNotNull() & (F.size("segment") >= 6)
     box = crop_box(*[F.get("bbox", F.lit(i)) for i in range(4)], F.col("width").cast("double"), F.col("height").cast("double"))
     shaped = parts.withColumns({
@@ -70,7 +143,7 @@ def scan_coco_annotations(annotations: DataFrame, images: DataFrame) -> DataFram
 
 def coco_category_shapes(annotations: DataFrame) -> DataFrame:
     """Shapes each category needs: polygon, and a plain or rotatable box."""
-    seg = F.coalesce(F.size(segments(F.col("segmentation"))) > 0, F.lit(False))
+    seg = F.coalesce(F.size(segments(F.col("segmentation"))) > 0, F.lit(False)) | is_rle(F.col("segmentation"))
     has_box = F.coalesce(F.size("bbox") == 4, F.lit(False))
     turned = F.coalesce(F.col("attributes.rotation") != 0, F.lit(False))
     flags = annotations.where(F.coalesce("iscrowd", F.lit(0)) != 1).groupBy("category_id").agg(
@@ -84,7 +157,7 @@ def scan_coco_results(results: DataFrame, images: DataFrame, mapping: DataFrame,
     ``mapping`` is (category_id, shape, feature_hash); ``units`` restricts images and adds its own columns by image_id.
     """
     sized = results.join(images.select(F.col("id").alias("image_id"), "width", "height"), "image_id")
-    parts = sized.withColumn("segment", F.explode_outer(segments(F.col("segmentation"))))
+    parts = _segmented(sized)
     polygon = F.col("segment").isNotNull() & (F.size("segment") >= 6)
     rows = parts.withColumns({
         "shape": F.when(polygon, "polygon").otherwise("bounding_box"),

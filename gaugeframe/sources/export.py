@@ -4,41 +4,82 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from gaugeframe.functions.boxes import polygon_area, polygon_bounds
 from gaugeframe.plans.scan import ranked
 from gaugeframe.session import cut_lineage
 
 # Fixed value: rows of this partition are not exported.
 UNASSIGNED = "Unassigned"
+# Shapes given by points, and the fewest points each needs.
+LEAST_POINTS = {"polygon": 3, "polyline": 2, "point": 1, "skeleton": 1}
+
+
+def _drawn(objects: DataFrame) -> DataFrame:
+    """Objects with enough geometry to be drawn, and all of ``shape``, ``theta`` and ``points``."""
+    missing = {"points": "array<struct<x:double,y:double>>", "theta": "double"}
+    out = objects.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in objects.columns})
+    if "shape" not in objects.columns:
+        out = out.withColumn("shape", F.when(F.col("points").isNotNull(), "polygon").otherwise("bounding_box"))
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull()
+    enough = F.coalesce(*[F.when(F.col("shape") == s, F.coalesce(F.size("points"), F.lit(0)) >= n) for s, n in LEAST_POINTS.items()], placed)
+    return out.where(enough)
+
+
+def _measures(objects: DataFrame) -> DataFrame:
+    """``_bbox``, ``_area``, ``_segmentation``, ``_keypoints`` and ``_rotation`` in pixels.
+
+    A polyline is drawn forth and back, so its polygon has no area; points and skeletons are key points, all visible.
+    """
+    of = {s: F.col("shape") == s for s in (*LEAST_POINTS, "rotatable_bounding_box")}
+    pointed = F.col("shape").isin(*LEAST_POINTS)
+    scaled = F.transform("points", lambda p: F.struct((p["x"] * F.col("width")).alias("x"), (p["y"] * F.col("height")).alias("y")))
+    px = objects.withColumn("_px", F.when(of["point"], F.slice(scaled, 1, 1)).when(pointed, scaled))
+    at = F.col("_px")
+    b = polygon_bounds(at)
+    x, y, w, h = F.col("x") * F.col("width"), F.col("y") * F.col("height"), F.col("w") * F.col("width"), F.col("h") * F.col("height")
+    right, low = (F.col("x") + F.col("w")) * F.col("width"), (F.col("y") + F.col("h")) * F.col("height")
+
+    def flat(points: Column) -> Column:
+        return F.flatten(F.transform(points, lambda p: F.array(p["x"], p["y"])))
+
+    ring = flat(at)
+    drawn = (
+        F.when(of["polyline"], F.array(F.concat(ring, flat(F.reverse(at)))))
+        .when(of["skeleton"], F.array().cast("array<array<double>>"))
+        .when(pointed, F.array(ring))
+        .otherwise(F.array(F.array(x, y, right, y, right, low, x, low))))
+    return px.withColumns({
+        "_bbox": F.when(pointed, F.array(b["x1"], b["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"])).otherwise(F.array(x, y, w, h)),
+        "_area": F.when(of["polygon"], polygon_area(at)).when(pointed, 0.0).otherwise(w * h),
+        "_segmentation": drawn,
+        "_keypoints": F.when(of["point"] | of["skeleton"], F.flatten(F.transform(at, lambda p: F.array(p["x"], p["y"], F.lit(2.0))))),
+        "_rotation": F.when(of["rotatable_bounding_box"], F.col("theta")),
+    })
 
 
 def coco_tables(frames: DataFrame, objects: DataFrame, categories: DataFrame, frame_metrics: Sequence[str] = (), object_metrics: Sequence[str] = ()) -> dict[str, DataFrame]:
     """categories, images and annotations as rows of (id, json).
 
     ``frames``: frame_id, file_name, width, height, metrics; ``objects``: frame_id, obj_id, track, feature, x, y, w, h
-    (relative), optional points, metrics; ``categories``: feature, name, supercategory.  Categories count from 1 in
-    feature order, images and annotations from 1 in key order; track ids from 0.
+    (relative), optional shape, points and theta, metrics; ``categories``: feature, name, supercategory.  Categories count from 1 in
+    feature order, images and annotations from 1 in key order; track ids from 0.  Without ``shape`` an object with points is a polygon and
+    any other a box; objects with too few points or an incomplete box are left out.
     """
+    objects = _drawn(objects)
     cats = cut_lineage(ranked(categories, [], [F.asc("feature")], "id"))
     imgs = cut_lineage(ranked(frames, [], [F.asc("frame_id")], "id"))
     anns = ranked(objects, [], [F.asc("frame_id"), F.asc("obj_id")], "id")
     tracks = ranked(objects.select("track").distinct(), [], [F.asc("track")], "track_no")
     sized = anns.join(imgs.select("frame_id", F.col("id").alias("image_id"), "width", "height"), "frame_id")
-    named = sized.join(cats.select("feature", F.col("id").alias("category_id")), "feature").join(tracks, "track")
-    px = {"x": "width", "y": "height", "w": "width", "h": "height"}
-    bbox = F.array(*[F.col(c) * F.col(s) for c, s in px.items()])
-    if "points" in objects.columns:
-        flat = F.flatten(F.transform("points", lambda p: F.array(p["x"] * F.col("width"), p["y"] * F.col("height"))))
-        segmentation = F.when(F.col("points").isNotNull(), F.array(flat)).otherwise(F.array().cast("array<array<double>>"))
-    else:
-        x0, y0, x1, y1 = F.col("x") * F.col("width"), F.col("y") * F.col("height"), (F.col("x") + F.col("w")) * F.col("width"), (F.col("y") + F.col("h")) * F.col("height")
-        segmentation = F.array(F.array(x0, y0, x1, y0, x1, y1, x0, y1))
+    named = _measures(sized.join(cats.select("feature", F.col("id").alias("category_id")), "feature").join(tracks, "track"))
     metrics = [F.struct(*object_metrics).alias("metrics")] if object_metrics else []
     ann_json = F.to_json(F.struct(
-        "id", "image_id", "category_id", bbox.alias("bbox"), (F.col("w") * F.col("width") * F.col("h") * F.col("height")).alias("area"),
-        segmentation.alias("segmentation"), F.lit(0).alias("iscrowd"),
-        F.struct((F.col("track_no") - 1).alias("track_id"), *metrics).alias("attributes"),
+        "id", "image_id", "category_id", F.col("_bbox").alias("bbox"), F.col("_area").alias("area"),
+        F.col("_segmentation").alias("segmentation"), F.lit(0).alias("iscrowd"), F.col("_keypoints").alias("keypoints"),
+        F.when(F.col("_keypoints").isNotNull(), (F.size("_keypoints") / 3).cast("int")).alias("num_keypoints"),
+        F.struct((F.col("track_no") - 1).alias("track_id"), F.col("_rotation").alias("rotation"), *metrics).alias("attributes"),
     ))
     img_metrics = [F.struct(*frame_metrics).alias("metrics")] if frame_metrics else []
     img_json = F.to_json(F.struct("id", "file_name", "width", "height", *img_metrics))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Column order and types of a row; further columns follow, the first of them the confidence.
 COLUMNS = (
@@ -20,27 +23,39 @@ def read_kitti(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.lower("file_name").rlike(r"\.(txt|csv)$"))
 
 
-def parse_kitti(lines: DataFrame) -> DataFrame:
-    """Typed columns, confidence, and unit title and frame from the file name; empty lines and other files are dropped."""
+def parse_kitti(lines: DataFrame, file_name: str = FILE_NAME) -> DataFrame:
+    """Typed columns, confidence, and unit title and frame from the file name; empty lines and other files are dropped.
+
+    ``file_name`` is a pattern whose first group is the unit's title and whose second, if it has one, is the frame.
+    """
     parts = F.split(F.trim("line"), " +")
-    rows = lines.where((F.trim("line") != "") & F.col("file_name").rlike(FILE_NAME)).withColumn("_p", parts)
-    frame = F.regexp_extract("file_name", FILE_NAME, 2)
+    rows = lines.where((F.trim("line") != "") & F.col("file_name").rlike(file_name)).withColumn("_p", parts)
+    frame = F.regexp_extract("file_name", file_name, 2) if re.compile(file_name).groups > 1 else F.lit("")
     cols = [F.get("_p", F.lit(i)).try_cast(t).alias(n) for i, (n, t) in enumerate(COLUMNS)]
     keep = [c for c in lines.columns if c not in ("line", "file_name")]
     return rows.select(
         *keep, *cols, F.get("_p", F.lit(len(COLUMNS))).try_cast("double").alias("confidence"),
-        F.regexp_extract("file_name", FILE_NAME, 1).alias("data_title"), F.when(frame != "", frame.cast("int")).alias("frame"),
+        F.regexp_extract("file_name", file_name, 1).alias("data_title"), F.when(frame != "", frame.cast("int")).alias("frame"),
     )
 
 
-def scan_kitti(lines: DataFrame, units: DataFrame, mapping: DataFrame) -> DataFrame:
+def scan_kitti(lines: DataFrame, units: DataFrame, mapping: DataFrame, file_name: str = FILE_NAME, unit_of: Callable[[Column], tuple[Column, Column]] | None = None) -> DataFrame:
     """Box predictions in relative coordinates. ``units`` is (data_title, frame, du_hash, img_width, img_height); a file
-    matching no unit or several is skipped. ``mapping`` is (class_name, feature_hash)."""
-    rows = parse_kitti(lines)
-    titled = units.groupBy("data_title").agg(F.count("*").alias("_n"), F.min(F.struct("du_hash", F.col("frame").alias("unit_frame"), "img_width", "img_height")).alias("_u"))
-    framed = units.groupBy("data_title", "frame").agg(F.count("*").alias("_n"), F.min(F.struct("du_hash", F.col("frame").alias("unit_frame"), "img_width", "img_height")).alias("_u"))
-    whole = rows.where("frame is null").join(titled.where("_n = 1"), "data_title")
-    single = rows.where("frame is not null").join(framed.where("_n = 1"), ["data_title", "frame"])
+    matching no unit or several is skipped. ``mapping`` is (class_name, feature_hash).
+
+    ``unit_of`` turns the file name into (du_hash, frame or NULL) and then finds the unit instead of the title in the name.
+    """
+    if unit_of is None:
+        rows, name = parse_kitti(lines, file_name), "data_title"
+    else:
+        du, frame = unit_of(F.col("file_name"))
+        named = lines.withColumns({"_unit": du, "_unit_frame": frame.cast("int")}).where("_unit is not null")
+        rows, name = parse_kitti(named, r"^(.*)$").withColumns({"du_hash": F.col("_unit"), "frame": F.col("_unit_frame")}).drop("_unit", "_unit_frame"), "du_hash"
+    unit = F.struct("du_hash", F.col("frame").alias("unit_frame"), "img_width", "img_height")
+    titled = units.groupBy(name).agg(F.count("*").alias("_n"), F.min(unit).alias("_u"))
+    framed = units.groupBy(name, "frame").agg(F.count("*").alias("_n"), F.min(unit).alias("_u"))
+    whole = rows.where("frame is null").join(titled.where("_n = 1"), name)
+    single = rows.where("frame is not null").join(framed.where("_n = 1"), [name, "frame"])
     both = whole.unionByName(single).join(mapping, "class_name")
     keep = [c for c in lines.columns if c not in ("line", "file_name")]
     w, h = F.col("_u.img_width"), F.col("_u.img_height")

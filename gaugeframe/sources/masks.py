@@ -62,6 +62,35 @@ def fill_holes(region: np.ndarray) -> np.ndarray:
     return (outside != outside[0, 0])[1:-1, 1:-1]
 
 
+# East, north-east, north and on around, as steps in (x, y) with y growing downwards.
+_STEPS = ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))
+
+
+def outline(region: np.ndarray) -> list[tuple[int, int]]:
+    """Corners (x, y) of the outer border of one region, through pixel centres; straight runs keep their ends only.
+
+    The walk starts at the first pixel in reading order, leaves it downwards and keeps the background on its right.
+    """
+    r = np.pad(region, 1)
+    y, x = (int(v[0]) for v in np.nonzero(r))
+    start, came, first = (x, y), 6, None
+    corners: list[tuple[int, int]] = []
+    last = -1
+    while True:
+        turn = next((k % 8 for k in range(came - 2, came + 6) if r[y + _STEPS[k % 8][1], x + _STEPS[k % 8][0]]), None)
+        if turn is None:  # a single pixel
+            return [(x - 1, y - 1)]
+        if (x, y) == start and turn == first:
+            break
+        if turn != last:
+            corners.append((x - 1, y - 1))
+        first = turn if first is None else first
+        last = came = turn
+        x, y = x + _STEPS[turn][0], y + _STEPS[turn][1]
+    # the start is a corner only if the walk turns there
+    return corners[1:] if last == first and len(corners) > 1 else corners
+
+
 def contour_area(region: np.ndarray) -> float:
     """Area inside the contour through pixel centres: four set corners fill a unit cell, three half of it."""
     r = region.astype(np.int8)

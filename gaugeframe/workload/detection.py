@@ -369,13 +369,13 @@ def density_polygons(spark, d):
 
 
 @query("shape_similarity", """with e as (select event_id, user_id, [value, cast(event_id % 97 as double), 10e0 + value / 3] as v,
-row_number() over (partition by user_id order by ts, event_id) - 1 as p from events where user_id is not null),
+row_number() over (partition by user_id order by ts, event_id) - 1 as p from events),
 s as (select event_id, p, v, sum(v[1] * k) over w as a, sum(v[2] * k) over w as b, sum(v[3] * k) over w as c from
 (select *, power(2e0, p) * (case when p = 0 then 2e0 else 1e0 end) as k from e)
 window w as (partition by user_id order by p rows between unbounded preceding and 1 preceding))
 select event_id, round(case when p = 0 then 1e0 else (a * v[1] + b * v[2] + c * v[3]) / (sqrt(a * a + b * b + c * c) * sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3])) end, 6) as score from s""")
 def shape_similarity(spark, d):
-    e = V.table(spark, d, "events").where("user_id is not null").select(
+    e = V.table(spark, d, "events").select(
         "event_id", "user_id", "ts", F.array(F.col("value"), (F.col("event_id") % 97).cast("double"), F.lit(10.0) + F.col("value") / 3).alias("v"))
     return rounded(Q.shape_similarity(e, ["user_id"], [F.asc("ts"), F.asc("event_id")], "v", 3), "score", digits=6).select("event_id", "score")
 

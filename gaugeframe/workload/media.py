@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import boxes as B, images as I, masks as K, polygons as PG
-from gaugeframe.operators import extensions as X
+from gaugeframe.operators import extensions as X, matching as M
 from gaugeframe.plans.spatial import best_overlap
 from gaugeframe.registry import Metric, MetricRegistry, NORMAL
 from gaugeframe.session import ensure_checkpoint_dir
@@ -96,6 +96,15 @@ def scan_answers(spark, d):
     return LR.scan_answers(label_rows(spark, d)).select("classification_hash", "question", radio_answer(F.col("answers")).alias("answer"))
 
 
+@query("read_label_rows", with_views("ann", """select label_hash, count(*) as frames, sum(case when kind = 'O' then 25e0 end) as fps from (select cast(l_orderkey as varchar) as label_hash, kind from ann) group by 1"""))
+def read_label_rows(spark, d):
+    """Documents written as JSON lines and read back by the file reader."""
+    path = scratch(spark)
+    label_row_json(spark, d).write.text(path)
+    frames = LR.scan_frames(LR.read_label_rows(spark, path))
+    return frames.groupBy("label_hash").agg(F.count(F.lit(1)).alias("frames"), F.sum("data_fps").alias("fps"))
+
+
 # ---- COCO and KITTI
 
 def coco_images(spark, d):
@@ -140,6 +149,62 @@ def scan_coco_results(spark, d):
     return out.select("image_id", "feature_hash", "confidence", "x", F.col("points")[0]["y"].alias("py"))
 
 
+#: Rectangles of at least two pixels a side on a raster of 20 rows and 30 columns, one per part.
+RECTANGLE_SQL = """rectangle as (select p_partkey, p_partkey % 21 as rx, p_partkey % 13 as ry, 2 + p_size % 8 as rw, 2 + p_partkey % 6 as rh from part)"""
+
+
+def rectangles(spark, d):
+    k = F.col("p_partkey")
+    return V.dealt(V.table(spark, d, "part").select("p_partkey", "p_size")).select(
+        k, (k % 21).alias("rx"), (k % 13).alias("ry"), (2 + F.col("p_size") % 8).alias("rw"), (2 + k % 6).alias("rh"))
+
+
+def run_list(across, start, long, gap, count):
+    """Run lengths of a rectangle: ``count`` runs of ``long`` ones, ``gap`` zeros apart; ``across`` is the raster's size."""
+    body = F.flatten(F.array_repeat(F.array(long, gap), (count - 1).cast("int")))
+    return F.concat(F.array(start), body, F.array(long, across - start - long * count - gap * (count - 1)))
+
+
+@query("coco_masks", f"""with {RECTANGLE_SQL} select p_partkey as id, 'polygon' as shape, 4 as corners, round(rx / 30, 9) as left_x, round((rx + rw - 1) / 30, 9) as right_x,
+round((ry + rh - 1) / 20, 9) as low_y from rectangle where p_partkey % 7 <> 0""")
+def coco_masks(spark, d):
+    """Run-length ground truth; the box of every seventh annotation contradicts its mask."""
+    r = rectangles(spark, d)
+    x, y, w, h = (F.col(f"r{c}").cast("long") for c in "xywh")
+    counts = run_list(F.lit(600), x * 20 + y, h, 20 - h, w)
+    wrong = F.when(F.col("p_partkey") % 7 == 0, 1).otherwise(0)
+    notes = r.select(
+        F.col("p_partkey").alias("id"), F.lit(1).cast("long").alias("image_id"), F.lit(1).alias("category_id"), F.array(*[c.cast("double") for c in (x + wrong, y, w, h)]).alias("bbox"),
+        F.to_json(F.struct(F.array(F.lit(20), F.lit(30)).alias("size"), counts.alias("counts"))).alias("segmentation"), (w * h).cast("double").alias("area"), F.lit(0).alias("iscrowd"),
+        F.struct(F.lit(None).cast("double").alias("rotation")).alias("attributes"))
+    images = V.table(spark, d, "region").where("r_regionkey = 1").select(F.col("r_regionkey").cast("long").alias("id"), F.lit(20).alias("height"), F.lit(30).alias("width"))
+    out = CO.scan_coco_annotations(notes, images)
+    xs, ys = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
+    return out.select("id", "shape", F.size("points").alias("corners"), F.round(F.array_min(xs), 9).alias("left_x"), F.round(F.array_max(xs), 9).alias("right_x"), F.round(F.array_max(ys), 9).alias("low_y"))
+
+
+#: Masks of predictions and labels: rectangles on a raster of 20 x 20.
+MASK_SQL = """mask as (select obj_id, frame_id, feature, kind, l_partkey % 15 as rx, l_suppkey % 14 as ry, 1 + l_linenumber % 5 as rw, 1 + l_orderkey % 6 as rh from ann),
+met as (select p.obj_id as pred_id, g.obj_id as label_id, p.rw * p.rh as pa, g.rw * g.rh as ga, least(p.rx + p.rw, g.rx + g.rw) - greatest(p.rx, g.rx) as ix, least(p.ry + p.rh, g.ry + g.rh) - greatest(p.ry, g.ry) as iy
+from mask p join mask g on p.kind = 'O' and g.kind = 'F' and p.frame_id = g.frame_id and p.feature = g.feature),
+scored as (select pred_id, label_id, ix * iy / (pa + ga - ix * iy) as iou from met where ix > 0 and iy > 0),
+first as (select pred_id, label_id, iou from (select *, row_number() over (partition by pred_id order by iou desc, label_id) as rn from scored) where rn = 1)"""
+
+
+def mask_objects(spark, d, kind, name):
+    a = V.dealt(V.ann(spark, d).where(F.col("kind") == kind))
+    x, y = (F.col("l_partkey") % 15).cast("long"), (F.col("l_suppkey") % 14).cast("long")
+    w, h = (1 + F.col("l_linenumber") % 5).cast("long"), (1 + F.col("l_orderkey") % 6).cast("long")
+    runs = F.transform(run_list(F.lit(400), y * 20 + x, w, 20 - w, h), lambda c: c.cast("int"))
+    return a.select(F.col("obj_id").alias(name), "frame_id", "feature", F.struct(F.array(F.lit(20), F.lit(20)).alias("size"), runs.alias("counts")).alias("rle"))
+
+
+@query("mask_match", with_views("ann", "select obj_id as pred_id, label_id as match_id, coalesce(iou, 0e0) as iou from mask left join first on obj_id = pred_id where kind = 'O'", MASK_SQL))
+def mask_match(spark, d):
+    m = M.iou_match(mask_objects(spark, d, "O", "pred_id"), mask_objects(spark, d, "F", "label_id"))
+    return m.select("pred_id", "match_id", "iou")
+
+
 @query("scan_kitti", with_views("ann", """select obj_id, concat('d', u.s_suppkey, '_', u.frame) as du_hash, u.frame, concat('h', feature) as feature_hash, m_price as confidence, round(x, 9) as x, round(h, 9) as h
 from ann join (select s_suppkey, unnest(case when s_suppkey % 2 = 0 then [1] else [1, 2] end) as frame from supplier) u on l_suppkey = u.s_suppkey
 and ((l_linenumber <= 3 and l_linenumber = u.frame) or (l_linenumber > 3 and l_suppkey % 2 = 0)) where feature <> 'N'"""))
@@ -187,6 +252,42 @@ def export_coco(spark, d):
     return ann.unionByName(img).unionByName(cat)
 
 
+#: Shape of every object by its line number, with the number of its points.
+SHAPES = ("bounding_box", "rotatable_bounding_box", "polygon", "polyline", "point", "skeleton")
+
+
+@query("export_shapes", with_views("ann", """select id, round(case when k = 2 then w * 640 * h * 480 * 0.5e0 when k < 2 then w * 640 * h * 480 else 0e0 end, 4) as area,
+round(case when k = 4 then 0e0 else w * 640 end, 4) as box_width, case k when 4 then 1 when 5 then 3 end as keypoints, case when k = 1 then (l_suppkey % 360)::double end as rotation,
+case k when 3 then 12 when 4 then 2 when 5 then 0 when 2 then 6 else 8 end as coordinates
+from (select *, row_number() over (order by l_orderkey, obj_id) as id, l_linenumber % 6 as k from ann)"""))
+def export_shapes(spark, d):
+    """Annotations of every shape: areas, boxes, key points and rotation as exported."""
+    frames, _, cats = export_inputs(spark, d)
+    x, y, w, h = (F.col(c) for c in "xywh")
+    k = F.col("l_linenumber") % 6
+    corners = [F.struct(px.alias("x"), py.alias("y")) for px, py in ((x, y), (x + w, y), (x + w, y + h))]
+    objects = V.ann(spark, d).select(
+        F.col("l_orderkey").alias("frame_id"), "obj_id", F.col("l_suppkey").alias("track"), "feature", *[F.when(k < 2, F.col(c)).alias(c) for c in "xywh"],
+        F.get(F.array(*[F.lit(n) for n in SHAPES]), k.cast("int")).alias("shape"), F.when(k >= 2, F.array(*corners)).alias("points"), (F.col("l_suppkey") % 360).cast("double").alias("theta"))
+    note = F.from_json("json", "bbox array<double>, area double, segmentation array<array<double>>, keypoints array<double>, num_keypoints int, attributes struct<rotation:double>")
+    out = EX.coco_tables(frames, objects, cats)["annotations"].select("id", note.alias("a"))
+    return out.select("id", F.round("a.area", 4).alias("area"), F.round(F.col("a.bbox")[2], 4).alias("box_width"), F.col("a.num_keypoints").alias("keypoints"), F.col("a.attributes.rotation").alias("rotation"),
+                      F.size(F.flatten("a.segmentation")).alias("coordinates"))
+
+
+@query("export_partitions", """select c_mktsegment as part, count(distinct o_orderkey) as images, count(l_orderkey) as annotations from orders join customer on o_custkey = c_custkey
+left join lineitem on l_orderkey = o_orderkey where c_mktsegment in ('BUILDING', 'MACHINERY') group by 1""")
+def export_partitions(spark, d):
+    """Two named partitions written as documents of their own and read back."""
+    frames, objects, cats = export_inputs(spark, d)
+    parts = V.table(spark, d, "orders").join(V.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("frame_id"), F.col("c_mktsegment").alias("partition"))
+    path = scratch(spark)
+    EX.export_partitions(frames, objects, cats, parts, ["BUILDING", "MACHINERY"], path)
+    line = F.col("value")
+    return spark.read.text(path).groupBy(F.col("partition").alias("part")).agg(
+        F.count(F.when(F.contains(line, F.lit('"file_name":')), 1)).alias("images"), F.count(F.when(F.contains(line, F.lit('"image_id":')), 1)).alias("annotations"))
+
+
 @query("coco_document", with_views("ann", """select 'element' as kind, (select count(*) from ann where l_orderkey in (select o_orderkey from orders)) + (select count(*) from orders)
 + (select count(distinct feature) from ann) as lines union all select 'bracket', 4"""))
 def coco_document(spark, d):
@@ -272,6 +373,21 @@ def polygon_iou(spark, d):
     return best.select("pred_id", F.col("iou").alias("box_iou"), (F.abs(PG.polygon_iou(a, b) - F.col("iou")) < 1e-9).alias("agrees"))
 
 
+@query("polygon_area", with_views("ann", """select obj_id, round(case l_linenumber % 4 when 0 then null when 1 then w * h when 2 then w * h * 0.75e0 else w * h * 0.5e0 end, 9) as area from ann"""))
+def polygon_area(spark, d):
+    """Rectangles, L shapes, triangles, and rectangles drawn crosswise, which have no area."""
+    x, y, w, h = (F.col(c) for c in "xywh")
+
+    def ring(*corners):
+        return F.array(*[F.struct(px.alias("x"), py.alias("y")) for px, py in corners])
+
+    a, b, c, e = (x, y), (x + w, y), (x + w, y + h), (x, y + h)
+    k = F.col("l_linenumber") % 4
+    ell = ring(a, b, (x + w, y + h / 2), (x + w / 2, y + h / 2), (x + w / 2, y + h), e)
+    points = F.when(k == 0, ring(a, c, b, e)).when(k == 1, ring(a, b, c, e)).when(k == 2, ell).otherwise(ring(a, b, c))
+    return V.dealt(V.ann(spark, d)).select("obj_id", F.round(PG.simple_area(points), 9).alias("area"))
+
+
 @query("simple_polygon_check", with_views("ann", "select obj_id, l_linenumber % 2 = 1 as simple from ann"))
 def simple_polygon_check(spark, d):
     p = B.box_points(*[F.col(c) for c in "xywh"])
@@ -295,9 +411,24 @@ def images(spark, d):
         F.rpad(raw, height * 48, F.unhex(F.lit("00"))).alias("data")).alias("image"))
 
 
-@query("image_metrics")
+#: Bytes of every image with their neighbours, and the sums that the pixel metrics need.
+PIXEL_SQL = """with raw as (select doc_id, greatest(ceil(octet_length(encode(text)) / 48e0), 1)::bigint as h, hex(encode(text)) as hx from documents),
+byte as (select doc_id, h, unnest(range(h * 48)) as i, ('0x' || unnest(regexp_extract_all(rpad(hx, (h * 96)::int, '0'), '..')))::int as c from raw),
+near as (select *, lead(c) over w as g, lead(c, 2) over w as r, lag(c, 48) over w as up, lead(c, 48) over w as down, case when i % 48 >= 3 then lag(c, 3) over w end as l, case when i % 48 < 45 then lead(c, 3) over w end as e
+from byte window w as (partition by doc_id order by i)),
+lap as (select doc_id, case when h = 1 then coalesce(l, c) + coalesce(e, c) - 2 * c else coalesce(up, down) + coalesce(down, up) + coalesce(l, e) + coalesce(e, l) - 4 * c end as z, c from near),
+sh as (select doc_id, sum(z * z) / count(*) - (sum(z) / count(*)) ** 2 as sharp, sum(c) / count(*) as m, sum(c * c) / count(*) as q from lap group by 1),
+px as (select doc_id, c as b, g, r, greatest(c, g, r) as v, greatest(c, g, r) - least(c, g, r) as span from near where i % 3 = 0),
+hue as (select *, 60 * case when span = 0 then 0e0 when v = r then (g - b) / span when v = g then 2 + (b - r) / span else 4 + (r - g) / span end as a, v >= 40 and round_even(span / greatest(v, 1) * 255, 0) >= 50 as strong from px),
+col as (select doc_id, avg((strong and (hu <= 10 or hu >= 170))::int) as red, avg((strong and hu between 35 and 75)::int) as green, avg((strong and hu between 90 and 130)::int) as blue
+from (select *, round_even((case when a < 0 then a + 360 else a end) / 2, 0) % 180 as hu from hue) group by 1)"""
+
+
+@query("image_metrics", PIXEL_SQL + """
+select doc_id, round(m / 255, 6) as brightness, round(sqrt(q - m * m) / 255, 6) as contrast, round(red, 6) as red, round(green, 6) as green, round(blue, 6) as blue, round(sharp, 4) as sharpness, round(1 - sharp, 4) as blur from col join sh using (doc_id)""")
 def image_metrics(spark, d):
-    return I.image_metrics(images(spark, d), ["doc_id"])
+    rows = I.image_metrics(images(spark, d), ["doc_id"])
+    return rows.select("doc_id", *[F.round(c, 4 if c in ("sharpness", "blur") else 6).alias(c) for c in I.IMAGE_METRICS])
 
 
 @query("object_crops", """select d.doc_id, cast(cast(floor(0.6e0 * h) as int) - cast(floor(0.1e0 * h) as int) as int) as height, cast(8 as int) as width,
@@ -319,12 +450,22 @@ def custom_metrics(spark, d):
     return X.run_metrics(V.ann(spark, d), r, ["squareness", "lower_edge"], ["obj_id"])
 
 
-@query("custom_image_metrics")
+@query("custom_image_metrics", PIXEL_SQL + """
+select doc_id, round(avg(case when i < 48 then c end) / 255, 9) as top_row, round((max(c) - min(c)) / 255, 9) as spread from byte group by 1""")
 def custom_image_metrics(spark, d):
     r = MetricRegistry()
     r.register(Metric("top_row", NORMAL, "Top row", image_fn=lambda bgr: float(bgr[0].mean() / 255)))
     r.register(Metric("spread", NORMAL, "Spread", image_fn=lambda bgr: float((int(bgr.max()) - int(bgr.min())) / 255)))
-    return X.run_image_metrics(images(spark, d), r, ["top_row", "spread"], ["doc_id"])
+    return X.run_image_metrics(images(spark, d), r, ["top_row", "spread"], ["doc_id"]).select("doc_id", F.round("top_row", 9).alias("top_row"), F.round("spread", 9).alias("spread"))
+
+
+@query("metrics_by_scope", with_views("ann", "select obj_id, 'width' as metric, w as score from ann union all select obj_id, 'reach', x + w from ann"))
+def metrics_by_scope(spark, d):
+    """The registry is asked for the metrics that apply to objects, and all of them run."""
+    r = MetricRegistry()
+    for name, scope, score in (("width", "object", F.col("w")), ("reach", "object", F.col("x") + F.col("w")), ("frame_price", "frame", F.col("m_price"))):
+        r.register(Metric(name, NORMAL, name.title(), scope, lambda df, score=score: df.select("obj_id", score.alias("score"))))
+    return X.run_metrics(V.ann(spark, d), r, [m.name for m in r.by_scope("object")], ["obj_id"])
 
 
 @query("model_predictions", with_views("ann", "select obj_id, case when m_price > 50000e0 then 'high' else 'low' end as predicted from ann"))
@@ -379,14 +520,14 @@ def stream_windowed_stats(spark, d):
 
 
 @query("stream_shape_similarity", """with e as (select event_id, user_id, [value, cast(event_id % 97 as double), 10e0 + value / 3] as v,
-row_number() over (partition by user_id order by ts, event_id) - 1 as p from events where user_id is not null),
+row_number() over (partition by user_id order by ts, event_id) - 1 as p from events),
 s as (select event_id, p, v, sum(v[1] * k) over w as a, sum(v[2] * k) over w as b, sum(v[3] * k) over w as c from
 (select *, power(2e0, p) * (case when p = 0 then 2e0 else 1e0 end) as k from e)
 window w as (partition by user_id order by p rows between unbounded preceding and 1 preceding))
 select event_id, round(case when p = 0 then 1e0 else (a * v[1] + b * v[2] + c * v[3]) / (sqrt(a * a + b * b + c * c) * sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3])) end, 6) as score from s""")
 def stream_shape_similarity(spark, d):
     base = scratch(spark)
-    s = event_stream(spark, d).where("user_id is not null").select(
+    s = event_stream(spark, d).select(
         "user_id", "event_id", "ts", F.array(F.col("value"), (F.col("event_id") % 97).cast("double"), F.lit(10.0) + F.col("value") / 3).alias("v"))
     out = SJ.stream_shape_similarity(s, "user_id", "event_id", ["ts", "event_id"], "v")
     drain(out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out"), base)

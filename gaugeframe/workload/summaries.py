@@ -137,9 +137,9 @@ def annotator_stats(spark, d):
 
 
 @query("annotation_counts", """select p_partkey as class_id, p_name as class_name, coalesce(c, 0) as count from part
-left join (select l_partkey, count(*) as c from lineitem where l_discount >= 0.09e0 group by 1) on p_partkey = l_partkey""")
+left join (select l_partkey, count(*) as c from lineitem group by 1) on p_partkey = l_partkey""")
 def annotation_counts(spark, d):
-    labels = V.table(spark, d, "lineitem").where(F.col("l_discount") >= 0.09).select(F.col("l_partkey").alias("class_id"))
+    labels = V.table(spark, d, "lineitem").select(F.col("l_partkey").alias("class_id"))
     ontology = V.table(spark, d, "part").select(F.col("p_partkey").alias("class_id"), F.col("p_name").alias("class_name"))
     return A.annotation_counts(labels, ontology, "class_id")
 
@@ -152,15 +152,14 @@ def image_size_median(spark, d):
     return A.image_size_median(V.unit(spark, d), "m_chars", "m_spaces")
 
 
-@query("undersampled_classes", """with c as (select p_brand as class, count(*) as count from lineitem join part on l_partkey = p_partkey
-where l_discount >= 0.05e0 and p_size < 12 group by 1),
+@query("undersampled_classes", """with c as (select concat(p_brand, ' ', p_size) as class, count(*) as count from lineitem join part on l_partkey = p_partkey group by 1),
 m as (select quantile_cont(count, 0.5) as med, max(case when i = n // 2 then count end) as mid from
 (select count, row_number() over (order by count desc) - 1 as i, count(*) over () as n from c))
 select class, count, count <= med / 2e0 as undersampled, count <= mid / 2e0 as undersampled_by_middle from c, m""")
 def undersampled_classes(spark, d):
-    p = V.table(spark, d, "part").where("p_size < 12").select("p_partkey", "p_brand")
-    li = V.table(spark, d, "lineitem").where(F.col("l_discount") >= 0.05).select("l_partkey")
-    return A.undersampled_classes(li.join(p, li.l_partkey == p.p_partkey), "p_brand")
+    p = V.table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_size").alias("class"))
+    li = V.table(spark, d, "lineitem").select("l_partkey")
+    return A.undersampled_classes(li.join(p, li.l_partkey == p.p_partkey), "class")
 
 
 @query("project_stats", with_views("unit", """select u.project, u.units, u.frames, coalesce(l.annotations, 0) as annotations,

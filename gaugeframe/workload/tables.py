@@ -268,10 +268,10 @@ def object_dataset(spark, d):
 
 
 @query("image_metrics_table", with_views("tag", """select u.unit_id, m_chars, source as uri, coalesce(tags, '') as tags from unit u left join
-(select unit_id, string_agg(distinct tag, ',' order by tag) as tags from tag where tag <> 't1' group by 1) t on u.unit_id = t.unit_id"""))
+(select unit_id, string_agg(distinct tag, ',' order by tag) as tags from tag group by 1) t on u.unit_id = t.unit_id"""))
 def image_metrics_table(spark, d):
     u = V.unit(spark, d)
-    return joined(P.image_metrics_table(u.select("unit_id", "m_chars"), ["unit_id"], u.select("unit_id", F.col("source").alias("uri")), V.tag(spark, d).where("tag <> 't1'")), "tags")
+    return joined(P.image_metrics_table(u.select("unit_id", "m_chars"), ["unit_id"], u.select("unit_id", F.col("source").alias("uri")), V.tag(spark, d)), "tags")
 
 
 @query("prediction_metrics_table", with_views("clf", "select unit_id, confidence, gt_class = pred_class as true_positive from clf"))

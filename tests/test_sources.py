@@ -1,6 +1,7 @@
 """File readers, exports, masks, polygons, pixels and streams."""
 
 import json
+import math
 import struct
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions import masks as K, polygons as PG
 from gaugeframe.functions.images import image_metrics
+from gaugeframe.operators import matching as M
 from gaugeframe.operators.extensions import apply_label_transformer
 from gaugeframe.sources import coco as CO, export as EX, kitti as KI, label_rows as LR, masks as MK, tables as ST
 from gaugeframe.streaming import jobs as SJ
@@ -55,6 +57,139 @@ def test_coco_file(spark, tmp_path):
     assert shapes[3]["polygon"] and shapes[3]["bounding_box"] and shapes[4]["rotatable_bounding_box"] and not shapes[4]["bounding_box"]
 
 
+def packed(runs):
+    """Run lengths as COCO text, by the format's definition."""
+    out = ""
+    for i, run in enumerate(runs):
+        value = run - runs[i - 2] if i > 2 else run
+        while True:
+            bits, value = value & 31, value >> 5
+            more = value != (-1 if bits & 16 else 0)
+            out += chr(48 + bits + 32 * more)
+            if not more:
+                break
+    return out
+
+
+def test_coco_run_lengths():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        runs = rng.integers(0, 5000, rng.integers(1, 12)).tolist()
+        assert CO.run_lengths(packed(runs)) == runs and CO.run_lengths(runs) == runs
+    mask = rng.random((7, 5)) < 0.5
+    flat = mask.T.ravel()
+    edges = np.flatnonzero(np.diff(flat)) + 1
+    runs = np.diff(np.concatenate([[0], edges, [35]])).tolist()
+    runs = [0, *runs] if flat[0] else runs
+    for counts in (runs, packed(runs)):
+        assert (CO.decode_rle(json.dumps({"size": [7, 5], "counts": counts})) == mask).all()
+    assert all(CO.decode_rle(t) is None for t in ("{", "{}", '{"size":[2,2],"counts":[3]}', '{"size":[2,2],"counts":[-1,5]}'))
+
+
+def test_outlines():
+    def of(*rows):
+        return MK.outline(np.array([[c == "#" for c in r] for r in rows]))
+
+    assert of(".....", ".###.", ".###.") == [(1, 1), (1, 2), (3, 2), (3, 1)]
+    assert of("#") == [(0, 0)] and of("###") == [(0, 0), (2, 0)]
+    assert of(".#.", "###", ".#.") == [(1, 0), (0, 1), (1, 2), (2, 1)]
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        labelled = MK.regions(rng.random((9, 11)) < 0.6, diagonal=True)
+        for k in np.unique(labelled[labelled > 0]):
+            region = labelled == k
+            ring = MK.outline(region)
+            xs, ys = np.array(ring).T
+            rows, cols = np.nonzero(region)
+            assert (xs.min(), xs.max(), ys.min(), ys.max()) == (cols.min(), cols.max(), rows.min(), rows.max())
+            assert region[ys, xs].all()
+            area = abs(np.dot(xs, np.roll(ys, -1)) - np.dot(ys, np.roll(xs, -1))) / 2
+            assert area == MK.contour_area(MK.fill_holes(region))
+
+
+def test_coco_masks_and_results(spark, tmp_path):
+    square = {"size": [4, 6], "counts": packed([5, 2, 2, 2, 2, 2, 9])}  # rows 1-2, columns 1-3
+    two = {"size": [4, 6], "counts": [0, 2, 2, 2, 6, 2, 2, 2, 6]}  # columns 0-1 and 3-4
+    doc = {"images": [{"id": 1, "width": 6, "height": 4, "file_name": "a"}], "categories": [], "annotations": [
+        {"id": i, "image_id": 1, "category_id": 1, "bbox": b, "segmentation": m, "area": 6, "iscrowd": 0}
+        for i, (b, m) in enumerate([([1, 1, 3, 2], square), ([1.4, 1.2, 3, 2], square), ([0, 1, 3, 2], square), ([0, 0, 5, 2], two), ([0, 0, 1, 1], {"size": [4, 6]}), (None, square)])]}
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "c.json").write_text(json.dumps(doc))
+    t = CO.read_coco(spark, str(tmp_path / "a"))
+    got = {}
+    for r in CO.scan_coco_annotations(t["annotations"], t["images"]).collect():
+        got.setdefault(r["id"], []).append((r["shape"], len(r["points"])))
+    assert got == {0: [("polygon", 4)], 1: [("polygon", 4)], 3: [("polygon", 4)] * 2, 5: [("polygon", 4)]}
+    results = [{"image_id": 1, "category_id": 1, "score": 0.5, "segmentation": square}, {"image_id": 1, "category_id": 1, "score": 0.25, "bbox": [0, 0, 3, 2]},
+               {"image_id": 1, "category_id": 1, "score": 0.1, "bbox": [3, 3, 1, 1], "segmentation": square}]
+    (tmp_path / "r.json").write_text(json.dumps(results))
+    mapping = spark.createDataFrame([(1, "polygon", "p"), (1, "bounding_box", "b")], "category_id int, shape string, feature_hash string")
+    rows = {r["confidence"]: r for r in CO.scan_coco_results(CO.read_coco_results(spark, str(tmp_path / "r.json")), t["images"], mapping).collect()}
+    assert set(rows) == {0.5, 0.25} and rows[0.5]["feature_hash"] == "p" and rows[0.25]["w"] == 0.5
+    assert [(round(p["x"] * 6), round(p["y"] * 4)) for p in rows[0.5]["points"]] == [(1, 1), (1, 2), (3, 2), (3, 1)]
+
+
+def test_masks_meet_masks_only(spark):
+    """Random masks and boxes of one class: brute force over the pixels."""
+    rng = np.random.default_rng(9)
+    masks = rng.random((14, 6, 8)) < 0.35
+    flat = [m.ravel() for m in masks]
+    runs = [MK._counts(f.astype(np.int8)) for f in flat]
+    rle = "struct<size:array<int>,counts:array<int>>"
+    rows = [(f"m{i}", 1, "a", None, None, None, None, {"size": [6, 8], "counts": r}) for i, r in enumerate(runs)]
+    rows += [("empty", 1, "a", None, None, None, None, {"size": [6, 8], "counts": [48]}), ("box", 1, "a", 0.0, 0.0, 1.0, 1.0, None)]
+    cols = f"frame_id int, feature string, x double, y double, w double, h double, rle {rle}"
+    left = spark.createDataFrame(rows, "pred_id string, " + cols).where("pred_id in ('m0', 'm1', 'm2', 'm3', 'm4', 'empty', 'box')")
+    right = spark.createDataFrame(rows, "label_id string, " + cols).where("label_id not in ('m0', 'm1', 'm2', 'm3', 'm4')")
+    got = {r["pred_id"]: r for r in M.iou_match(left, right, cell=0.5).collect()}
+    for i in range(5):
+        ious = {f"m{j}": (flat[i] & flat[j]).sum() / (flat[i] | flat[j]).sum() for j in range(5, 14)}
+        assert got[f"m{i}"]["iou"] == pytest.approx(max(ious.values())) and ious[got[f"m{i}"]["match_id"]] == pytest.approx(max(ious.values()))
+    assert got["box"]["match_id"] == "box" and got["empty"]["match_id"] is None and got["empty"]["iou"] == 0
+
+
+def test_export_of_every_shape(spark):
+    frames = spark.createDataFrame([(1, "a.png", 100, 50)], "frame_id int, file_name string, width int, height int")
+    cats = spark.createDataFrame([("f", "F", "o")], "feature string, name string, supercategory string")
+    p = [{"x": 0.1, "y": 0.2}, {"x": 0.3, "y": 0.2}, {"x": 0.3, "y": 0.6}]
+    rows = [("a", "bounding_box", 0.1, 0.2, 0.3, 0.4, None, None), ("b", "rotatable_bounding_box", 0.1, 0.2, 0.3, 0.4, 30.0, None), ("c", "polygon", None, None, None, None, None, p),
+            ("d", "polyline", None, None, None, None, None, p), ("e", "point", None, None, None, None, None, p[:1]), ("f", "skeleton", None, None, None, None, None, p),
+            ("g", "polygon", None, None, None, None, None, p[:2]), ("h", "polyline", None, None, None, None, None, p[:1]), ("i", "bounding_box", 0.1, 0.2, None, 0.4, None, None),
+            ("j", "skeleton", None, None, None, None, None, None), ("k", None, 0.1, 0.2, 0.3, 0.4, None, None)]
+    objects = spark.createDataFrame([(1, o, "t", "f", x, y, w, h, s, t, q) for o, s, x, y, w, h, t, q in rows],
+                                    "frame_id int, obj_id string, track string, feature string, x double, y double, w double, h double, shape string, theta double, points array<struct<x:double,y:double>>")
+    out = [json.loads(r["json"]) for r in EX.coco_tables(frames, objects, cats)["annotations"].orderBy("id").collect()]
+    assert len(out) == 7 and [r["id"] for r in out] == list(range(1, 8))
+    assert [r["area"] for r in out] == pytest.approx([600, 600, 200, 0, 0, 0, 600])
+    assert out[1]["attributes"]["rotation"] == 30 and "rotation" not in out[0]["attributes"]
+    assert out[2]["bbox"] == pytest.approx([10, 10, 20, 20]) and out[2]["segmentation"][0] == pytest.approx([10, 10, 30, 10, 30, 30])
+    assert out[3]["segmentation"][0] == pytest.approx([10, 10, 30, 10, 30, 30, 30, 30, 30, 10, 10, 10])
+    assert (out[4]["keypoints"], out[4]["num_keypoints"], out[4]["bbox"][2:]) == ([10, 10, 2], 1, [0, 0])
+    assert out[5]["num_keypoints"] == 3 and out[5]["segmentation"] == [] and out[5]["bbox"] == pytest.approx([10, 10, 20, 20])
+
+
+def test_area_of_crossing_polygons(spark):
+    star = [(math.cos(4 * math.pi * k / 5), math.sin(4 * math.pi * k / 5)) for k in range(5)]
+    cases = {"bow": ([(0, 0), (1, 1), (1, 0), (0, 1)], None), "square": ([(0, 0), (1, 0), (1, 1), (0, 1)], 1), "dart": ([(0, 0), (2, 0), (2, 2), (1, 0.5)], 1.5 / 2 + 0.25),
+             "star": (star, None), "two": ([(0, 0), (1, 1)], 0), "none": ([], 0), "flat": ([(0, 0), (1, 1), (2, 2)], 0)}
+    df = spark.createDataFrame([(k, [{"x": float(x), "y": float(y)} for x, y in p]) for k, (p, _) in cases.items()], "k string, p array<struct<x:double,y:double>>")
+    got = {r["k"]: r["a"] for r in df.select("k", PG.simple_area(F.col("p")).alias("a")).collect()}
+    shoelace = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(cases["dart"][0], cases["dart"][0][1:] + cases["dart"][0][:1]))) / 2
+    assert got["dart"] == pytest.approx(shoelace) and {k: v for k, v in got.items() if k != "dart"} == {k: v for k, (_, v) in cases.items() if k != "dart"}
+
+
+def test_kitti_names_and_units_are_parameters(spark):
+    row = "car 0.0 1 -1.5 10 20 30 60 0 0 0 0 0 0 0 0.75"
+    lines = spark.createDataFrame([(row, "cam-A.txt"), (row, "cam-B.txt"), (row, "other.txt")], "line string, file_name string")
+    units = spark.createDataFrame([("A", 0, "ha"), ("B", 0, "hb"), ("B", 1, "hb")], "data_title string, frame int, du_hash string").withColumns({"img_width": F.lit(100), "img_height": F.lit(200)})
+    mapping = spark.createDataFrame([("car", "f")], "class_name string, feature_hash string")
+    named = KI.scan_kitti(lines, units, mapping, file_name=r"^cam-(.*)\.txt$").collect()
+    assert [(r["du_hash"], r["frame"]) for r in named] == [("ha", 0)]  # B names two units
+    found = KI.scan_kitti(lines, units, mapping, unit_of=lambda n: (
+        F.when(n.startswith("cam-"), F.concat(F.lit("h"), F.lower(F.substring(n, 5, 1)))), F.when(n.contains("B"), 1))).collect()
+    assert sorted((r["du_hash"], r["frame"]) for r in found) == [("ha", 0), ("hb", 1)]
+
+
 def test_kitti_files(spark, tmp_path):
     row = "car 0.0 1 -1.5 10 20 30 60 0 0 0 0 0 0 0 0.75"
     for name, text in {"a.jpg__2.txt": row, "b.csv": row + "\n\n", "c.txt": "", "twice.txt": row, "notes.md": row}.items():
