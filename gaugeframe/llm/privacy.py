@@ -11,7 +11,8 @@ Positions come from the lengths of matches and of the text between them, summed
 personal data are scanned once and never shuffled.  Patterns are the contract's with possessive loops and look-behinds that change no match but
 keep every scan linear.
 
-Defined results.  A null text is empty.  Rows with equal id and text are one document for counting and get equal results; a null ``doc_id`` is an
+Defined results.  A null text is empty.  Rows with equal id and text get equal results; they are one document among an entity's documents, and
+rows of their own in the counts of terms and of the corpus; a null ``doc_id`` is an
 id like any other.  An empty table gives an empty result.  All columns are kept by :func:`sanitise`, whatever their names.
 """
 
@@ -31,7 +32,7 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to match at all; spares most texts the scan.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"  # of a run of digits
 WORDS = r"\p{L}++"
 CONTEXT, LETTERS, PREFIX = 120, 4, 4
 SUPPORT, DISCLOSURE = 3, 0.9
