@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
 def rle_encode(mask: Column, height: Column, width: Column) -> Column:
@@ -29,30 +29,30 @@ def rle_area(rle: Column) -> Column:
     return F.aggregate(ones, F.lit(0).cast("long"), lambda acc, c: acc + c)
 
 
-def _both(a: np.ndarray, b: np.ndarray) -> int:
-    """Ones that two run lists share: one merge of their edges."""
+def _overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """IoU of two run lists by one merge of their edges; an empty union is 0."""
     ends_a, ends_b = np.cumsum(a), np.cumsum(b)
-    edges = np.union1d(ends_a, ends_b)
+    edges = np.sort(np.concatenate([ends_a, ends_b]))
     in_a, in_b = np.searchsorted(ends_a, edges), np.searchsorted(ends_b, edges)
     on = (in_a % 2 == 1) & (in_b % 2 == 1) & (in_a < len(ends_a)) & (in_b < len(ends_b))
-    return int(np.diff(edges, prepend=0)[on].sum())
+    inter = int(np.diff(edges, prepend=0)[on].sum())
+    union = int(a[1::2].sum()) + int(b[1::2].sum()) - inter
+    return inter / union if union else 0.0
 
 
 # running sums over runs have no linear form among the array functions
-@F.pandas_udf(LongType())
-def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else _both(x, y) for x, y in zip(a, b)], dtype="Int64")
+@F.pandas_udf(DoubleType())
+def _iou(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else _overlap(x, y) for x, y in zip(a, b)], dtype=float)
 
 
 # else a filter on the result would be planned below it, with a second run of its own
-_shared = _shared.asNondeterministic()
+_iou = _iou.asNondeterministic()
 
 
 def rle_iou(a: Column, b: Column) -> Column:
     """Overlap of two encoded masks from their runs, never decoding them; an empty union is 0."""
-    inter = _shared(a["counts"], b["counts"])
-    union = rle_area(a) + rle_area(b) - inter
-    return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
+    return _iou(a["counts"], b["counts"])
 
 
 def _extent(counts: np.ndarray, width: int) -> dict | None:
