@@ -272,9 +272,9 @@ def class_union(spark, d):
     return E.class_union(V.pred(spark, d), V.gt(spark, d))
 
 
-@query("frame_intersection", with_views("pred gt", "select frame_id, feature from pred where m_discount > 0.05e0 intersect select frame_id, feature from gt where m_discount < 0.02e0"))
+@query("frame_intersection", with_views("pred gt", "select frame_id, feature from pred intersect select frame_id, feature from gt"))
 def frame_intersection(spark, d):
-    p, g = V.pred(spark, d).where(F.col("m_discount") > 0.05), V.gt(spark, d).where(F.col("m_discount") < 0.02)
+    p, g = V.pred(spark, d), V.gt(spark, d)
     return E.frame_intersection(p, g, ["frame_id", "feature"])
 
 

@@ -377,9 +377,9 @@ def skip_labeled(spark, d):
     return X.unlabeled_frames(units, objects, answers, ["frame_id"]).select("frame_id")
 
 
-@query("labels_on_predicted_frames", with_views("pred gt", "select label_id from gt where frame_id in (select frame_id from pred where m_discount > 0.095e0)"))
+@query("labels_on_predicted_frames", with_views("pred gt", "select label_id from gt where frame_id in (select frame_id from pred)"))
 def labels_on_predicted_frames(spark, d):
-    p = V.pred(spark, d).where(F.col("m_discount") > 0.095)
+    p = V.pred(spark, d)
     return X.labels_on_predicted_frames(V.gt(spark, d), p, ["frame_id"]).select("label_id")
 
 
