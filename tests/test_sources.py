@@ -148,6 +148,16 @@ def test_masks_meet_masks_only(spark):
     assert got["box"]["match_id"] == "box" and got["empty"]["match_id"] is None and got["empty"]["iou"] == 0
 
 
+def test_duplicate_masks(spark):
+    def mask(*counts):
+        return {"size": [4, 4], "counts": list(counts)}
+
+    rows = [("a", mask(0, 4, 12)), ("b", mask(0, 4, 12)), ("c", mask(0, 3, 13)), ("d", mask(12, 4)), ("e", mask(16)), ("f", None)]
+    df = spark.createDataFrame([(1, "k", i, m) for i, m in rows], "frame_id int, feature string, obj_id string, rle struct<size:array<int>,counts:array<int>>")
+    got = {r["obj_id"]: (r["partner"], r["score"]) for r in M.annotation_duplicates(df).collect()}
+    assert got == {"a": ("b", 1.0), "c": ("a", 0.75), "d": (None, 0.0), "e": (None, 0.0), "f": (None, 0.0)}
+
+
 def test_export_of_every_shape(spark):
     frames = spark.createDataFrame([(1, "a.png", 100, 50)], "frame_id int, file_name string, width int, height int")
     cats = spark.createDataFrame([("f", "F", "o")], "feature string, name string, supercategory string")
