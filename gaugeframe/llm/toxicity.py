@@ -1,10 +1,12 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences.  A sentence has a linear score over hashed words and word beginnings, p = sigmoid(z); the document's score is
-the noisy-or 1 - prod(1 - p), so only document labels are needed and the sentences with a high p are the offending ones.
+A document is a bag of sentences.  A sentence with telling words has a linear score over hashed words and word beginnings, p = sigmoid(z); one
+without any has p = 0.  The document's score is the noisy-or 1 - prod(1 - p), so only document labels are needed and the sentences with a
+high p are the offending ones.  Of the sentences below ``THRESHOLD`` only the strongest counts: weak hints, of which clean text has some in
+every megabyte, do not add up, so texts that each stay below the threshold stay below it when joined, however long that is.
 
-Training takes at most ``PER_CLASS`` labelled documents per class, those with the smallest hash of the id among training rows and texts of at
-most ``MAX_TEXT`` bytes (documented bounds of the sample; class weights restore the label frequencies of all training rows).  Spark counts
+Training takes at most ``PER_CLASS`` labelled documents per class, those with the smallest hash of the id among training rows, with their whole
+texts (a documented bound of the sample; class weights restore the label frequencies of all training rows).  Spark counts
 which words go with the label (a likelihood ratio screens them); the driver fits the weights of the words that pass with full-batch Adam.  Scoring is one pass without a shuffle over every whole text.
 
 Inputs of a score are the text's words only.  Defined results.  A text without words (null, empty) scores 0.  Label rows with a null id or
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeframe.llm.common import FOLDED, Words, column, mix, slices, smallest_hashes, span_sums, stored
 
-PER_CLASS, MAX_TEXT = 3000, 32 << 10
+PER_CLASS = 3000
 SPACE = 1 << 19
 PREFIXES = (4, 5)
 SIGNIFICANT = 12.0
@@ -61,11 +63,12 @@ class Sentences:
         self.features = np.stack([(mix(p) % np.uint64(SPACE)).astype(np.int32) for p in parts], axis=1)
 
     def scores(self, model: Model) -> np.ndarray:
-        """Logit of each sentence."""
+        """Logit of each sentence; -inf without a telling word."""
         if not len(self.begin):
             return np.zeros(0)
-        per_word = model.weights[self.features].sum(axis=1, dtype=np.float64)
-        return np.add.reduceat(per_word, self.begin) + model.bias
+        each = model.weights[self.features]
+        tells = np.logical_or.reduceat((each != 0).any(axis=1), self.begin)
+        return np.where(tells, np.add.reduceat(each.sum(axis=1, dtype=np.float64), self.begin) + model.bias, -np.inf)
 
 
 def noisy_or(logits: np.ndarray, doc: np.ndarray, count: int) -> np.ndarray:
@@ -82,7 +85,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
     # at most per_class ids of each class: a proven bound for the broadcast
     some = [smallest_hashes(known.where(F.col("toxic") == c), order, per_class, n).orderBy(order, "doc_id").limit(per_class) for c, n in sorted(counts.items())]
     ids = reduce(DataFrame.unionByName, some) if some else known
-    texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, MAX_TEXT)).join(F.broadcast(ids), "doc_id")
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") > 0).join(F.broadcast(ids), "doc_id")
     return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), counts
 
 
@@ -149,7 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, steps: i
     begin = np.concatenate([[0], np.cumsum(sentences)])
     row = np.concatenate([np.frombuffer(x, dtype=np.int32) + f for x, f in zip(got["sentence"].to_pylist(), begin)]).astype(np.int64)
     weight = np.array([counts[int(x)] / (label == x).sum() for x in label])
-    w, bias = _descend(features, row, np.repeat(np.arange(len(label)), sentences), label, weight / weight.sum(), len(kept), steps, rate, decay)
+    # only sentences with telling words are part of the model
+    tells, row = np.unique(row, return_inverse=True)
+    w, bias = _descend(features, row, np.repeat(np.arange(len(label)), sentences)[tells], label, weight / weight.sum(), len(kept), steps, rate, decay)
     weights = np.zeros(SPACE, dtype=np.float32)
     weights[kept] = w
     return Model(weights, bias)
@@ -182,9 +187,10 @@ def score_batch(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[di
     """Score of each text, and the offending sentences (code points, end exclusive) of those at the threshold."""
     s = Sentences(texts)
     z = s.scores(model)
-    score = np.clip(noisy_or(z, s.doc, len(texts)), 0, 1)
+    p = np.where(np.isneginf(z), 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))))
+    score = np.clip(noisy_or(np.where(p >= THRESHOLD, z, -np.inf), s.doc, len(texts)), 0, 1)
+    np.maximum.at(score, s.doc, p)  # the strongest sentence alone
     where: list[list[dict]] = [[] for _ in range(len(texts))]
-    p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     hot = np.flatnonzero((p >= SENTENCE) & (score[s.doc] >= THRESHOLD))
     if len(hot):
         w = s.words

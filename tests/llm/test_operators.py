@@ -636,6 +636,25 @@ def test_toxicity_ignores_other_columns_and_keeps_columns(spark, make_docs):
     assert toxicity.keep_clean(make_docs([]), model).count() == 0
 
 
+def test_toxicity_of_long_clean_texts(spark, make_docs):
+    rows, labels = toxic_corpus()
+    model = toxicity.fit(make_docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    clean = [t for (_, t), (*_, bad) in zip(rows, labels) if not bad]
+    short = toxicity.score_batch(pa.array(clean), model)[0]
+    stay = [t for t, x in zip(clean, short) if x < toxicity.THRESHOLD]
+    assert len(stay) > 0.99 * len(clean)
+    long = "\n".join(stay * 12)
+    score, _ = toxicity.score_batch(pa.array([long, "nothing telling here.\n" * 100_000, f"{long}\nyou idiotic scum w1 w2."]), model)
+    assert len(long) > 1 << 20 and score[0] == max(x for x in short if x < toxicity.THRESHOLD) and score[1] == 0 and score[2] > 0.5
+
+
+def test_toxicity_trains_on_long_texts(spark, make_docs):
+    rows = [(i, ("you scum w1. " if i % 2 else "plain words. ") + f"filler {i}. " * 4000) for i in range(120)]
+    table = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = toxicity.op10(make_docs(rows), table).collect()
+    assert all(len(t) > 32 << 10 for _, t in rows) and all(r.predicted == r.doc_id % 2 for r in got)
+
+
 def test_toxicity_without_labels(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.op10(make_docs([(1, "a b c")]), none).collect()} == {0.0}
