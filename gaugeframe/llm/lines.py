@@ -4,8 +4,9 @@ Documents that share a line are aligned with a patience diff, and the common blo
 
 Partners: a line that several documents hold links each of them to the *first* document that holds it, so a line in a third of all documents
 costs one pair per document and no pair of later holders is formed.  Rare lines (``RARE`` occurrences at most) always propose their pair.  A
-common line proposes where a block around it can reach ``min_words``: it has them alone, or the line before or after it is shared too.  This
-leaves out only pairs that cannot lose a block through that line, so no cap drops a case.
+common line proposes where a block around it can reach ``min_words``: it has them alone, or the line before or after it is shared too.  So that
+a block is found whose lines each stood alone elsewhere first, runs of lines have a first holder too: from each line, and up to each line,
+the shortest run of ``min_words`` words.  Such runs cover every block, so no pair that can lose one is left out.
 
 Alignment: unique common lines are ordered by their longest increasing run, stretches between them are aligned again, and equal lines
 next to an anchor join it.  Runs that are consecutive in both documents are blocks; blocks of ``min_words`` words or more are deleted.  Only
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gaugeframe.llm.common import WORD, fresh, row_key, stored
+from gaugeframe.llm.common import WORD, fresh, mix, row_key, span_sums, stored
 
 RARE, MIN_WORDS = 64, 10
 
@@ -46,9 +47,40 @@ def sequences(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").isNotNull()).select(*key, _lines(F.col("text")).alias("lines")).where(F.size("lines") > 0).dropDuplicates(["_id", "_tk"])
 
 
+def least_runs(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the shortest run of ``min_words`` words from each line and up to each line, as far as there is one."""
+    upto = np.concatenate([[0], np.cumsum(words)])
+    n = len(words)
+    ends = np.maximum(np.searchsorted(upto, upto[:-1] + min_words), np.arange(1, n + 1))
+    starts = np.minimum(np.searchsorted(upto, upto[1:] - min_words, "right") - 1, np.arange(n))
+    spans = np.concatenate([np.stack([np.arange(n), ends], axis=1)[ends <= n], np.stack([starts, np.arange(1, n + 1)], axis=1)[starts >= 0]])
+    codes = np.unique(spans[:, 0] * (n + 1) + spans[:, 1])
+    return codes // (n + 1), codes % (n + 1)
+
+
+def line_runs(seq: DataFrame, min_words: int) -> DataFrame:
+    """doc, h, g and words of the :func:`least_runs` of two lines or more."""
+    lists = seq.select("_id", "_tk", F.col("lines.h").alias("h"), F.col("lines.g").alias("g"), F.col("lines.words").alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch["words"].value_lengths().to_numpy()
+            doc = np.repeat(np.arange(len(size)), size)
+            words = batch["words"].flatten().to_numpy().astype(np.int64)
+            start, end = least_runs(words, min_words)
+            own = (doc[start] == doc[end - 1]) & (end - start > 1)
+            start, end = start[own], end[own]
+            hashes = [mix(span_sums(batch[c].flatten().to_numpy().view(np.uint64), start, end, b)).view(np.int64) for c, b in (("h", 0x9E3779B97F4A7C15), ("g", 0xC2B2AE3D27D4EB4F))]
+            rows = pa.array(doc[start])
+            total = np.concatenate([[0], np.cumsum(words)])
+            yield pa.record_batch([batch["_id"].take(rows), batch["_tk"].take(rows), *map(pa.array, hashes), pa.array((total[end] - total[start]).astype(np.int32))], names=["_id", "_tk", "h", "g", "words"])
+
+    return lists.mapInArrow(run, "_id long, _tk long, h long, g long, words int").select(F.struct("_id", "_tk").alias("doc"), F.lit(None).cast("int").alias("at"), "h", "g", "words")
+
+
 def partners(seq: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
-    """Distinct pairs (earlier, later) of row keys that share a line worth aligning."""
-    line = seq.select(F.struct("_id", "_tk").alias("doc"), F.posexplode("lines").alias("at", "x")).select("doc", "at", "x.h", "x.g", "x.words")
+    """Distinct pairs (earlier, later) of row keys that share a line or a run of lines worth aligning."""
+    line = seq.select(F.struct("_id", "_tk").alias("doc"), F.posexplode("lines").alias("at", "x")).select("doc", "at", "x.h", "x.g", "x.words").unionByName(line_runs(seq, min_words))
     held = line.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     shared = line.join(held, ["h", "g"]).select("doc", "at", "words", "n", "first")
     order = W.partitionBy("doc").orderBy("at")

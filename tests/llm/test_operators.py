@@ -481,6 +481,22 @@ def test_lines_common_short_lines_still_form_blocks(make_docs, rare):
     assert all(got[i] == (4, f"own beginning of {i}\nown end {i}") for i in range(1, 30))
 
 
+@pytest.mark.parametrize("rare", [0, 64])
+def test_lines_block_whose_lines_stood_alone_before(make_docs, rare):
+    short = [f"part {k} of four" for k in range(4)]
+    rows = [(k, f"first holder {k}\n{x}\nend of {k}") for k, x in enumerate(short)]
+    rows += [(10 + k, "\n".join([f"beginning {k}", *short, f"end number {k}"])) for k in range(2)] + [(20, rows[0][1] + "\nmore")]
+    cut, _, removed = lines.dedup_lines(make_docs(rows), rare=rare)
+    got = {r.doc_id: (r[removed], r.text) for r in cut.collect()}
+    assert all(got[i] == (0, t) for i, t in rows[:5]) and got[11] == (4, "beginning 1\nend number 1") and got[20] == (3, "more")
+
+
+def test_lines_random_short_lines(make_docs):
+    rng = random.Random(4)
+    rows = [(i, "\n".join(" ".join([f"l{rng.randrange(7)}"] * rng.randrange(1, 5)) for _ in range(rng.randrange(1, 12)))) for i in range(80)]
+    assert rows_of(lines.op7(make_docs(rows)), "doc_id", "n_lines", "n_removed", "kept_sha256") == brute_lines(rows)
+
+
 def test_lines_keep_extra_columns_and_null_text(make_docs):
     docs = make_docs([(1, None), (2, "x")])
     cut, total, removed = lines.dedup_lines(docs)
