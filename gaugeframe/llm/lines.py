@@ -9,8 +9,9 @@ a block is found whose lines each stood alone elsewhere first, runs of lines hav
 the shortest run of ``min_words`` words.  Such runs cover every block, so no pair that can lose one is left out.
 
 Alignment: unique common lines are ordered by their longest increasing run, stretches between them are aligned again, and equal lines
-next to an anchor join it.  Runs that are consecutive in both documents are blocks; blocks of ``min_words`` words or more are deleted.  Only
-line hashes travel to the alignment.  Decisions fall on the input, and the first holder of a line never loses it.
+next to an anchor join it.  Runs that are consecutive in both documents are blocks; blocks of ``min_words`` words or more are deleted.  So is
+every other run of lines of that many words which the earlier document holds too: one that moved, or stands several times.  Only line hashes
+travel to the alignment.  Decisions fall on the input, and the first holder of a line never loses it.
 
 Defined results.  Lines end at ``\\n``; they are compared without white space at their ends; blank lines are never compared or deleted.
 Order is by doc_id (null last), then text hash; rows with equal id and text are one document and are treated alike.  A null text has no
@@ -23,6 +24,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +137,7 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], min_words: int) -> list[int]:
-    """Positions of ``b`` in aligned blocks of at least ``min_words`` words."""
+    """Positions of ``b`` in common blocks of at least ``min_words`` words: aligned ones, then those that no alignment in order reaches."""
     gone: list[int] = []
     block: list[int] = []
     last = (-2, -2)
@@ -146,7 +148,28 @@ def common_blocks(a: Sequence[int], b: Sequence[int], words: Sequence[int], min_
             block = []
         block.append(pair[1])
         last = pair
-    return gone
+    return sorted({*gone, *_elsewhere(a, b, words, min_words, set(gone))})
+
+
+def _elsewhere(a: Sequence[int], b: Sequence[int], words: Sequence[int], min_words: int, gone: set[int]) -> Iterator[int]:
+    """Positions of ``b`` in runs of ``min_words`` words that stand anywhere in ``a``; of stretches of common lines with one that is not ``gone``."""
+    theirs = set(a)
+    stretches: list[range] = []
+    at = 0
+    for common, group in groupby(b, theirs.__contains__):
+        n = sum(1 for _ in group)
+        part = range(at, at + n)
+        if common and any(j not in gone for j in part) and sum(words[at : at + n]) >= min_words:
+            stretches.append(part)
+        at += n
+    if not stretches:
+        return
+    size = dict(zip(b, words))
+    held = {tuple(a[i:k]) for i, k in zip(*least_runs(np.array([size.get(x, 1) for x in a]), min_words))}
+    for part in stretches:
+        for i, k in zip(*least_runs(np.array(words[part.start : part.stop]), min_words)):
+            if tuple(b[part.start + i : part.start + k]) in held:
+                yield from range(part.start + i, part.start + k)
 
 
 def removed_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:

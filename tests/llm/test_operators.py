@@ -515,6 +515,34 @@ def test_patience_is_an_alignment(a, b):
         assert len(pairs) == len(a)
 
 
+def test_common_blocks_repeated_and_swapped():
+    words = {1: 12, 2: 2, 3: 2, 4: 12, 8: 1, 9: 1}
+
+    def cut(a, b):
+        return lines.common_blocks(a, b, [words.get(x, 1) for x in b], 10)
+
+    assert cut([1, 2, 3], [2, 3, 1]) == [2]
+    assert cut([8, 1, 9], [7, 1, 6, 1, 5]) == [1, 3]
+    assert cut([8, 1, 9, 1], [7, 1, 6]) == [1]
+    assert cut([1, 7, 4], [4, 6, 1]) == [0, 2]
+
+
+@given(st.lists(st.integers(0, 5), max_size=15), st.lists(st.integers(0, 5), max_size=15), st.integers(1, 8))
+@settings(max_examples=300, deadline=None)
+def test_common_blocks_are_all_common_runs(a, b, least):
+    words = [1 + x % 4 for x in b]
+    want = {j for i in range(len(b)) for k in range(i + 1, len(b) + 1) for j in range(i, k)
+            if sum(words[i:k]) >= least and any(a[x : x + k - i] == b[i:k] for x in range(len(a)))}
+    assert lines.common_blocks(a, b, words, least) == sorted(want)
+
+
+def test_lines_moved_and_repeated_passages(make_docs):
+    long = " ".join(f"p{k}" for k in range(15))
+    rows = [(1, f"{long}\nshort one\nshort two"), (2, f"short one\nshort two\n{long}"), (3, f"x\n{long}\ny\n{long}\nz")]
+    cut, _, _ = lines.dedup_lines(make_docs(rows))
+    assert {r.doc_id: r.text for r in cut.collect()} == {1: rows[0][1], 2: "short one\nshort two", 3: "x\ny\nz"}
+
+
 def test_patience_keeps_unique_anchors():
     assert lines.patience([1, 9, 2, 3, 9, 4], [1, 2, 9, 3, 4]) == [(0, 0), (2, 1), (3, 3), (5, 4)]
 
