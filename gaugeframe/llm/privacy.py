@@ -1,11 +1,12 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
 Base entities (email, ip, card, phone) are found by pattern.  The method then asks which other words of a document give such an entity away:
-over all documents it counts how often a term stands near an entity and how many documents hold the term at all.  With
+over all documents it counts in how many an entity and a term stand together, at any distance, and how many hold the term at all.  With
 IC(e) = -log2 p(e), a term discloses log2(p(t, e) / (p(t) p(e))) bits of entity e; at ``DISCLOSURE`` times IC(e) or more the term is
 sanitised wherever the entity's document uses it.  Terms also have a class, their first four letters; if the class discloses less than the
 threshold the term is generalised to it, else it is removed.  ``SUPPORT`` distinct contexts are needed, so that copies of one passage, which
-are one observation, prove nothing.
+are one observation, prove nothing: a document counts with one of its contexts (the text beside a mention), or a term stands in that many
+contexts itself.
 
 Positions come from the lengths of matches and of the text between them, summed by a window inside one document; texts of documents without
 personal data are scanned once and never shuffled.  Patterns are the contract's with possessive loops and look-behinds that change no match but
@@ -34,7 +35,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"  # of a run of digits
 WORDS = r"\p{L}++"
-CONTEXT, LETTERS, PREFIX = 120, 4, 4
+CONTEXT, PREFIX = 120, 4
 SUPPORT, DISCLOSURE = 3, 0.9
 SPANS = "array<struct<start:bigint,rank:bigint,end:bigint,kind:string,value:string>>"
 
@@ -82,8 +83,8 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    """Distinct lower-case words of ``LETTERS`` letters or more, and their classes."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)), lambda w: F.length(w) >= LETTERS)
+    """Distinct lower-case words and their classes."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)))
     return F.array_distinct(F.concat(words, F.transform(words, lambda w: F.concat(F.substring(w, 1, PREFIX), F.lit("*")))))
 
 
@@ -92,10 +93,15 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclo
     near = found.select("_id", "_tk", "kind", "value", F.concat_ws(" ", "before", "after").alias("near"), F.xxhash64("before", "after").alias("context"))
     entities = near.groupBy("kind", "value").agg(
         F.countDistinct("context").alias("contexts"), F.countDistinct("_id", "_tk").alias("e_docs")).where(F.col("contexts") >= support).drop("contexts")
-    pairs = near.join(entities, ["kind", "value"]).select("_id", "_tk", "kind", "value", "e_docs", "context", F.explode(_terms(F.col("near"))).alias("term"))
-    joint = stored(pairs.groupBy("kind", "value", "term").agg(
-        F.countDistinct("context").alias("contexts"), F.countDistinct("_id", "_tk").alias("t_e_docs"), F.max("e_docs").alias("e_docs"),
-    ).where(F.col("contexts") >= support).drop("contexts"))
+    told = near.join(entities, ["kind", "value"])
+    close = told.select("kind", "value", "context", F.explode(_terms(F.col("near"))).alias("term")).groupBy("kind", "value", "term").agg(
+        F.countDistinct("context").alias("close")).where(F.col("close") >= support)
+    owners = stored(told.groupBy("_id", "_tk", "kind", "value").agg(F.min("context").alias("context"), F.max("e_docs").alias("e_docs")))
+    texts = docs.select("text", *row_key()).join(owners.select("_id", "_tk").distinct(), ["_id", "_tk"]).dropDuplicates(["_id", "_tk"])
+    pairs = texts.select("_id", "_tk", F.explode(_terms(F.col("text"))).alias("term")).join(owners, ["_id", "_tk"])
+    together = pairs.groupBy("kind", "value", "term").agg(
+        F.countDistinct("context").alias("contexts"), F.count(F.lit(1)).alias("t_e_docs"), F.max("e_docs").alias("e_docs"))
+    joint = stored(together.join(close, ["kind", "value", "term"], "left").where((F.col("contexts") >= support) | F.col("close").isNotNull()).drop("contexts", "close"))
     wanted = joint.select("term").distinct()
     spread = docs.select(F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("t_docs"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))

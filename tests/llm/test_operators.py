@@ -436,6 +436,20 @@ def test_privacy_disclosing_terms(make_docs):
     assert clean[501] == "Zaphodes in Zaphodtown" and all(clean[10 + i] == rows[5 + i][1] for i in range(200))
 
 
+def test_privacy_term_far_from_the_mention(make_docs):
+    far = "common words in between " * 40
+    rows = [(i, f"letter {'abcdef'[i] * 5} from zap@h2g2.org {far} signed by Zaphodia and Kai") for i in range(5)]
+    rows += [(10 + i, f"letter {far} signed by someone and no more from here") for i in range(100)]
+    # one document proves nothing, however often it mentions the entity, nor do passages copied into others
+    rows += [(200, " ".join(f"{w * 5} to one@alone.org about {w * 4}" for w in "abcdef") + f" {far} Solitude")]
+    rows += [(300 + i, f"{'ghijk'[i] * 5} {far} as sent to me@copy.org {far} Marmalade") for i in range(5)]
+    docs = make_docs(rows)
+    clean = {r.doc_id: r.text for r in privacy.sanitise(docs).collect()}
+    assert all("Zaph" not in clean[i].replace("Zaph*", "") and "Kai" not in clean[i] and far in clean[i] and "signed by" in clean[i] for i in range(5))
+    assert "Solitude" in clean[200] and all("Marmalade" in clean[300 + i] for i in range(5))
+    assert all(clean[10 + i] == rows[5 + i][1] for i in range(100))
+
+
 def test_privacy_copies_prove_nothing(make_docs):
     text = "the quick Marmalade sends to someone@example.org every evening"
     docs = make_docs([(i, text) for i in range(6)] + [(50 + i, f"other words number {i}") for i in range(20)])
