@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeframe.llm import chat, contamination, gif, jaccard, lines, mixing, privacy, substrings, toxicity, warc
+from gaugeframe.llm import chat, contamination, gif, jaccard, lines, mixing, ordermin, privacy, substrings, toxicity, warc
 from gaugeframe.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -61,3 +61,8 @@ def op10_toxicity(spark, sf_dir):
 @query
 def op6_sanitise(spark, sf_dir):
     return privacy.op6(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_order_minhash(spark, sf_dir):
+    return ordermin.op13(table(spark, sf_dir, "documents"))
