@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeframe.llm import chat, contamination, gif, jaccard, lines, mixing, ordermin, privacy, substrings, toxicity, warc
+from gaugeframe.llm import chat, contamination, gif, jaccard, lines, mixing, ordermin, privacy, substrings, toxicity, warc, whitening
 from gaugeframe.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -66,3 +66,8 @@ def op6_sanitise(spark, sf_dir):
 @query
 def op13_order_minhash(spark, sf_dir):
     return ordermin.op13(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_feast_whitening(spark, sf_dir):
+    return whitening.op11(table(spark, sf_dir, "embeddings"))
