@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeframe.llm import chat, contamination, gif, jaccard, lines, mixing, ordermin, privacy, substrings, toxicity, warc, whitening
+from gaugeframe.llm import chat, contamination, gif, jaccard, lines, mixing, ordermin, prefixtrie, privacy, substrings, toxicity, warc, whitening
 from gaugeframe.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -71,3 +71,8 @@ def op13_order_minhash(spark, sf_dir):
 @query
 def op11_feast_whitening(spark, sf_dir):
     return whitening.op11(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    return prefixtrie.op12(table(spark, sf_dir, "conversations"))
