@@ -26,7 +26,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from gaugeframe.llm.common import LAST_ID, column, slices, stored
 
@@ -139,9 +139,14 @@ def signatures(texts: Sequence[str], k: int = K, tuple_size: int = TUPLE) -> np.
     return out
 
 
-def written(texts: Sequence[str], components: np.ndarray) -> list[str]:
-    """Fingerprints as lowercase hex, eight digits a component; empty for an empty text."""
-    return [c.tobytes().hex() if t else "" for t, c in zip(texts, components.astype(">u4"))]
+def packed(texts: Sequence[str], components: np.ndarray) -> list[bytes]:
+    """Fingerprints as bytes, four a component, the highest first; empty for an empty text."""
+    return [c.tobytes() if t else b"" for t, c in zip(texts, components.astype(">u4"))]
+
+
+def written(binary: Column) -> Column:
+    """Lowercase hex, eight digits a component."""
+    return F.lower(F.hex(binary))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -152,23 +157,23 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, name: str = "fingerprint", k: int = K, tuple_size: int = TUPLE) -> DataFrame:
     """``docs`` with a column ``name``: the fingerprint of ``text``.  One pass, no shuffle."""
-    schema = StructType([*docs.schema.fields, StructField(name, StringType())])
+    schema = StructType([*docs.schema.fields, StructField(name, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, limit=CHUNK_BYTES):
                 texts = [t or "" for t in column(rows, "text").to_pylist()]
-                marks = pa.array(written(texts, signatures(texts, k, tuple_size)), pa.string())
+                marks = pa.array(packed(texts, signatures(texts, k, tuple_size)), pa.binary())
                 yield pa.record_batch([*(column(rows, i) for i in range(rows.num_columns)), marks], names=[*rows.column_names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).withColumn(name, written(F.col(f"`{name}`")))
 
 
 RESULT = (
-    ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+    ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()),
     ("near_edited", pa.float64()), ("near_next", pa.float64()),
 )
-_KINDS = {pa.int64(): "long", pa.string(): "string", pa.float64(): "double"}
+_KINDS = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary", pa.float64(): "double"}
 _EDGE = (("part", pa.int64()), ("kind", pa.string()), ("id", pa.int64()), ("hash", pa.int64()), ("times", pa.int64()), ("text", pa.string()))
 
 
@@ -183,7 +188,7 @@ def _compared(pairs: list[tuple[str, str]], chained: bool) -> list[tuple]:
     others = [pairs[-1][1]] if chained else [b for _, b in pairs]
     texts = own + others + edited
     marks = signatures(texts)
-    hexed = written(texts, marks)
+    bytes_ = packed(texts, marks)
     n, out = len(own), []
     for i in range(n):
         follower, changed = (i + 1 if chained else n + i), n + len(others) + i
@@ -191,8 +196,8 @@ def _compared(pairs: list[tuple[str, str]], chained: bool) -> list[tuple]:
         def near(x: int) -> float:
             return float(np.mean(marks[i] == marks[x])) if texts[i] and texts[x] else float(texts[i] == texts[x])
 
-        sha = hashlib.sha256(texts[changed].encode()).hexdigest()
-        out.append((len(own[i]), sha, hexed[i], hexed[changed], near(changed), near(follower)))
+        sha = hashlib.sha256(texts[changed].encode()).digest()
+        out.append((len(own[i]), sha, bytes_[i], bytes_[changed], near(changed), near(follower)))
     return out
 
 
@@ -276,4 +281,5 @@ def op13(docs: DataFrame) -> DataFrame:
     tails = walked.where("kind = 'tail'").select("part", "id", "times", "text").join(after, "part").join(heads, ["next_part", "next_kind"])
     last = tails.select("id", "times", "text", "follower").mapInArrow(_finish, _schema((("id", pa.int64()), ("times", pa.int64()), *RESULT)))
     rows = done.unionByName(last).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    return rows.select(F.nullif("id", F.lit(LAST_ID)).cast(docs.schema["doc_id"].dataType).alias("doc_id"), *columns)
+    return rows.select(F.nullif("id", F.lit(LAST_ID)).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
+                       *[written(F.col(n)).alias(n) if k == pa.binary() else F.col(n) for n, k in RESULT])
