@@ -82,15 +82,16 @@ def embedding_density(points: DataFrame, digits: int = 2) -> DataFrame:
     return cells.select("*", points.agg(F.count("*")).scalar().alias("total"))
 
 
-def iqr_outliers(df: DataFrame, metrics: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Per row and metric: distance outside [Q1, Q3] (linear quartiles) and severity, farthest first."""
+def iqr_outliers(df: DataFrame, metrics: Sequence[str], keep: Sequence[str], ordered: bool = False) -> DataFrame:
+    """Per row and metric: distance outside [Q1, Q3] (linear quartiles) and severity; on request in order, farthest first."""
     q = linear_quantiles(df, metrics, {"q1": 0.25, "q3": 0.75}).select("metric", "q1", "q3")
     v = F.col("value")
     distance = F.when(v > F.col("q3"), v - F.col("q3")).when(v < F.col("q1"), F.col("q1") - v).otherwise(F.lit(0.0))
     # bounded: one row per registered metric
-    return long_metrics(df, metrics, keep).join(F.broadcast(q), "metric").select(
+    out = long_metrics(df, metrics, keep).join(F.broadcast(q), "metric").select(
         *keep, "metric", "value", distance.alias("distance"), severity(v, F.col("q1"), F.col("q3")).alias("status")
-    ).orderBy("metric", F.desc("distance"))
+    )
+    return out.orderBy("metric", F.desc("distance")) if ordered else out
 
 
 def all_metric_outliers(df: DataFrame, metrics: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ the one that holds the upper-left corner of its intersection.
 
 Objects may be polygons: rows with a ``points`` column that is not NULL.  Their bounding box finds the candidates and the exact
 polygon overlap decides.  Objects may also be run-length masks (column ``rle``): masks meet masks only, and the runs decide.
-Rows without any geometry pair with nothing but stay in every result, and NULL is a key like any other.
+IoUs have nine digits.  Rows without any geometry pair with nothing but stay in every result, and NULL is a key like any other.
 """
 
 from __future__ import annotations
@@ -62,6 +62,11 @@ def has_area() -> Column:
     return F.coalesce((F.col("w") > 0) & (F.col("h") > 0), F.lit(False))
 
 
+def overlap(iou: Column) -> Column:
+    """IoU to nine digits: ties and thresholds do not hang on the order of an overlap's arithmetic."""
+    return F.floor(iou * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)
+
+
 def _shape_iou(polygons: bool, masks: bool) -> Column:
     box = box_iou(tuple(F.col(c) for c in BOX), tuple(F.col(f"r_{c}") for c in BOX))
     if masks:
@@ -118,7 +123,7 @@ def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: fl
         met = met.where(F.col("rle").isNull() == F.col("r_rle").isNull())
     if (polygons or masks) and least > 0:
         met = met.where(_iou_bound(polygons, masks) >= F.lit(least - 1e-9))
-    return met.withColumn("iou", _shape_iou(polygons, masks)).where("iou > 0").drop("_cx", "_cy")
+    return met.withColumn("iou", overlap(_shape_iou(polygons, masks))).where("iou > 0").drop("_cx", "_cy")
 
 
 def best_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], right_id: str, cell: float = DEFAULT_CELL, carry: Sequence[str] = (), least: float = 0.0) -> DataFrame:

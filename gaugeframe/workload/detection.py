@@ -84,7 +84,7 @@ def greedy_false_negatives(spark, d):
 @query("annotation_duplicates", with_views("ann", """select frame_id, feature, o.obj_id, o.partner, score,
 case when o.partner is null then 'Possible non duplicated object' else 'Possible duplicates' end as description from flag o
 where not exists (select 1 from flag b where b.obj_id = o.partner and b.partner = o.obj_id and b.obj_id < o.obj_id)""",
-"""cand as (select a.obj_id, b.obj_id as other, ix * iy / (a.w * a.h + b.w * b.h - ix * iy) as iou from ann a join ann b
+f"""cand as (select a.obj_id, b.obj_id as other, {V.overlap("ix * iy / (a.w * a.h + b.w * b.h - ix * iy)")} as iou from ann a join ann b
  on a.frame_id = b.frame_id and a.feature = b.feature and a.obj_id <> b.obj_id,
  lateral (select least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) as ix, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) as iy)
  where ix > 0 and iy > 0),
@@ -294,7 +294,7 @@ TRACKS = """p as (select *, dense_rank() over (partition by seq_id order by fram
 def _best(name: str, back: int, same_class: bool) -> str:
     cond = "and a.feature = b.feature" if same_class else ""
     return f"""{name} as (select * from (select obj_id, other, track, cls, iou, row_number() over (partition by obj_id order by iou desc, other) as rn from
-(select a.obj_id, b.obj_id as other, b.track_id as track, b.feature as cls, ix * iy / (a.w * a.h + b.w * b.h - ix * iy) as iou from p a join p b
+(select a.obj_id, b.obj_id as other, b.track_id as track, b.feature as cls, {V.overlap("ix * iy / (a.w * a.h + b.w * b.h - ix * iy)")} as iou from p a join p b
 on a.seq_id = b.seq_id and a.pos - {back} = b.pos {cond},
 lateral (select least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) as ix, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) as iy) where ix > 0 and iy > 0)) where rn = 1)"""
 
@@ -319,8 +319,8 @@ def missing_or_broken_tracks(spark, d):
 def _best_shape(name: str, back: int, same_class: bool, where: str = "") -> str:
     """Best partner among mixed shapes: overlaps are summed over the disjoint rectangles of both."""
     cond = "and a.cls is not distinct from b.cls" if same_class else ""
-    return f"""{name} as (select * from (select *, row_number() over (partition by obj_id order by round(iou, 9) desc, other) as rn from (
-select obj_id, other, track, cls, sum(ix * iy) / (max(aa) + max(ba) - sum(ix * iy)) as iou from (
+    return f"""{name} as (select * from (select *, row_number() over (partition by obj_id order by iou desc, other) as rn from (
+select obj_id, other, track, cls, {V.overlap("sum(ix * iy) / (max(aa) + max(ba) - sum(ix * iy))")} as iou from (
 select a.obj_id, b.obj_id as other, b.track_id as track, b.cls as cls, a.area as aa, b.area as ba,
 least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) as ix, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) as iy
 from prect a join prect b on a.seq_id = b.seq_id and a.pos - {back} = b.pos {cond} {where}) where ix > 0 and iy > 0 group by 1, 2, 3, 4)) where rn = 1)"""

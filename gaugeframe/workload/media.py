@@ -184,10 +184,10 @@ def coco_masks(spark, d):
 
 
 #: Masks of predictions and labels: rectangles on a raster of 20 x 20.
-MASK_SQL = """mask as (select obj_id, frame_id, feature, kind, l_partkey % 15 as rx, l_suppkey % 14 as ry, 1 + l_linenumber % 5 as rw, 1 + l_orderkey % 6 as rh from ann),
+MASK_SQL = f"""mask as (select obj_id, frame_id, feature, kind, l_partkey % 15 as rx, l_suppkey % 14 as ry, 1 + l_linenumber % 5 as rw, 1 + l_orderkey % 6 as rh from ann),
 met as (select p.obj_id as pred_id, g.obj_id as label_id, p.rw * p.rh as pa, g.rw * g.rh as ga, least(p.rx + p.rw, g.rx + g.rw) - greatest(p.rx, g.rx) as ix, least(p.ry + p.rh, g.ry + g.rh) - greatest(p.ry, g.ry) as iy
 from mask p join mask g on p.kind = 'O' and g.kind = 'F' and p.frame_id = g.frame_id and p.feature = g.feature),
-scored as (select pred_id, label_id, ix * iy / (pa + ga - ix * iy) as iou from met where ix > 0 and iy > 0),
+scored as (select pred_id, label_id, {V.overlap("ix * iy / (pa + ga - ix * iy)")} as iou from met where ix > 0 and iy > 0),
 first as (select pred_id, label_id, iou from (select *, row_number() over (partition by pred_id order by iou desc, label_id) as rn from scored) where rn = 1)"""
 
 

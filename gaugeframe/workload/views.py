@@ -12,6 +12,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def overlap(iou: str) -> str:
+    """SQL of an IoU to nine digits."""
+    return f"floor(({iou}) * 1e9 + 0.5e0) / 1e9"
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """Rows dealt over the shuffle partitions, at any size: each fixture table is one file, which one core would have to read and work on."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -167,7 +172,7 @@ SQL_VIEWS: dict[str, str] = {
     "probs": """select vec_id, frame_id, a / (a + b + c + d) as p1, b / (a + b + c + d) as p2, c / (a + b + c + d) as p3,
         d / (a + b + c + d) as p4 from raw4""",
     # joint candidates of predictions and labels: same frame, same class, boxes overlap
-    "pair": """select pred_id, label_id, frame_id, feature, confidence, ix * iy / (w * h + lw * lh - ix * iy) as iou
+    "pair": f"""select pred_id, label_id, frame_id, feature, confidence, {overlap("ix * iy / (w * h + lw * lh - ix * iy)")} as iou
         from (select p.*, l.label_id, l.w as lw, l.h as lh, least(p.x + p.w, l.x + l.w) - greatest(p.x, l.x) as ix,
               least(p.y + p.h, l.y + l.h) - greatest(p.y, l.y) as iy
               from pred p join gt l on p.frame_id = l.frame_id and p.feature = l.feature)

@@ -11,6 +11,7 @@ from gaugeframe.functions.boxes import box_iou
 from gaugeframe.operators import summary as A
 from gaugeframe.operators.embeddings import label_quality, singularity
 from gaugeframe.plans.neighbours import knn_join
+from gaugeframe.plans import quantiles
 from gaugeframe.plans.quantiles import linear_quantiles, order_statistics
 from gaugeframe.plans.scan import ranked, running
 from gaugeframe.plans.spatial import best_other, best_overlap
@@ -47,19 +48,53 @@ def test_index_quartiles_of_few_rows(spark, n):
     assert (r["n"], r["q1"], r["median"], r["q3"]) == (n, s[n // 4], s[n // 2], s[3 * n // 4])
 
 
-def test_brackets_are_exact_beyond_the_small_table_limit(spark):
+def test_order_statistics_are_exact(spark):
     rng = random.Random(3)
     a = [rng.gauss(0, 1) for _ in range(6000)]
     b = [5.0 if rng.random() < 0.4 else float(rng.randrange(1000)) for _ in range(6000)]
     df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
-    got = {r["metric"]: r for r in order_statistics(df, ["a", "b"], accuracy=100).collect()}
+    got = {r["metric"]: r for r in order_statistics(df, ["a", "b"]).collect()}
     for name, values in (("a", sorted(a)), ("b", sorted(b))):
         assert [got[name][q] for q in ("q1", "median", "q3")] == [values[1500], values[3000], values[4500]]
-    lin = {r["metric"]: r for r in linear_quantiles(df, ["a", "b"], {"p": 0.37}, accuracy=100).collect()}
+    lin = {r["metric"]: r for r in linear_quantiles(df, ["a", "b"], {"p": 0.37}).collect()}
     assert lin["a"]["p"] == pytest.approx(np.quantile(a, 0.37), abs=1e-12)
     assert lin["b"]["p"] == pytest.approx(np.quantile(b, 0.37), abs=1e-12)
 
 
+@pytest.mark.parametrize("cells", [4, 64, 1 << 16])
+def test_order_statistics_in_several_passes(spark, monkeypatch, cells):
+    monkeypatch.setattr(quantiles, "CELLS", cells)
+    rng = random.Random(cells)
+    columns = {
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(3000)], "near": [1.0 + i * 2.0**-52 for i in range(3000)],
+        "ties": [rng.choice([0.0, -0.0, 5e-324, -1.5, 7.25, float("inf")]) for _ in range(3000)], "normal": [rng.gauss(3, 1) for _ in range(3000)],
+    }
+    for values in columns.values():
+        rng.shuffle(values)
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    marks = {f"p{k}": quantiles.index_mark(k, 40) for k in range(40)}
+    if cells < 1 << 16:
+        # four passes narrow a cell of 2 ** 48 doubles only with all 2 ** 16 cells; fewer ones do for narrower data
+        df = df.drop("wide", "normal")
+    got = {r["metric"]: r for r in order_statistics(df, df.columns, marks).collect()}
+    for name in df.columns:
+        s = sorted(columns[name])
+        assert [got[name][f"p{k}"] for k in range(40)] == [s[3000 * k // 40] for k in range(40)]
+
+
+def test_order_statistics_give_no_task_many_rows(spark):
+    """Rows that a window task sees: cells, never values."""
+    n = 400_000
+    df = spark.range(n).select((F.rand(3) * F.col("id")).alias("m"))
+    values = quantiles.long_metrics(df, ["m"]).withColumn("c0", quantiles._logarithmic(F.col("value")))
+    cells = values.groupBy("c0").agg(F.count(F.lit(1)).alias("n"))
+    assert cells.count() < n / 500
+    widest = cells.orderBy(F.desc("n")).first()
+    left = values.where(F.col("c0") == widest.c0)
+    lo, hi = left.agg(F.min("value"), F.max("value")).first()
+    assert left.withColumn("c1", quantiles._linear(F.col("value"), F.lit(lo), F.lit(hi))).select("c1").distinct().count() <= quantiles.CELLS + 1
+
+
 def test_summary_of_empty_null_constant_and_nan_columns(spark):
     df = spark.createDataFrame([(None, 2.0, 1.0), (None, 2.0, float("nan"))], "x double, y double, z double")
     rows = {r["metric"]: r for r in A.metric_summary(df, ["x", "y", "z"]).collect()}
