@@ -9,11 +9,12 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from gaugeframe.functions.boxes import crop_box
+from gaugeframe.sources.json_arrays import RANGE_BYTES, read_arrays, spans
 from gaugeframe.sources.masks import outline, regions
 
 # ``segmentation`` stays JSON text: it is a flat list, a list of lists or an RLE object
@@ -30,14 +31,29 @@ def _as_struct(ddl: str) -> str:
     return "struct<" + ",".join(":".join(c.strip().split(" ", 1)) for c in ddl.split(", ")) + ">"
 
 
-def read_coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """images, categories and annotations of one or many annotation files; every file is one read task."""
-    schema = f"images array<{_as_struct(IMAGE)}>, categories array<{_as_struct(CATEGORY)}>, annotations array<{_as_struct(ANNOTATION)}>"
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
-    return {name: doc.select(F.explode(name).alias("r")).select("r.*") for name in ("images", "categories", "annotations")}
+#: Stores that Python workers can open by themselves; files of others are read whole, one task each.
+OPENED = ("file", "hdfs", "s3", "gs")
 
 
-def read_coco_results(spark: SparkSession, path: str) -> DataFrame:
+def _in_ranges(spark: SparkSession, path: str) -> bool:
+    found = spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
+    return all(f.path.split(":", 1)[0] in OPENED and not f.path.endswith((".gz", ".bz2", ".zst")) for f in found)
+
+
+def read_coco(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> dict[str, DataFrame]:
+    """images, categories and annotations of one or many annotation files; a large file is read by one task per ``range_bytes``."""
+    kinds = {"images": IMAGE, "categories": CATEGORY, "annotations": ANNOTATION}
+    if _in_ranges(spark, path):
+        found = spans(spark, path, 2, range_bytes)
+        return {name: read_arrays(spark, found, schema, 2, name) for name, schema in kinds.items()}
+    doc = spark.read.schema(", ".join(f"{n} array<{_as_struct(k)}>" for n, k in kinds.items())).option("multiLine", True).json(path)
+    return {name: doc.select(F.explode(name).alias("r")).select("r.*") for name in kinds}
+
+
+def read_coco_results(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Detections of result files, each one array; cut into ranges likewise."""
+    if _in_ranges(spark, path):
+        return read_arrays(spark, spans(spark, path, 1, range_bytes), RESULT, 1)
     return spark.read.schema(RESULT).option("multiLine", True).json(path)
 
 
@@ -84,21 +100,29 @@ def decode_rle(segmentation: str) -> np.ndarray | None:
     return np.repeat(np.arange(len(runs)) % 2 == 1, runs).reshape(width, height).T
 
 
-@F.pandas_udf(StructType([StructField("box", ArrayType(LongType())), StructField("parts", ArrayType(ArrayType(DoubleType())))]))
-def _outlined(segmentation: pd.Series) -> pd.DataFrame:
-    boxes, parts = [], []
-    for text in segmentation:
-        mask = None if text is None else decode_rle(text)
-        if mask is None or not mask.any():
-            boxes.append(None)
-            parts.append(None)
-            continue
-        ys, xs = np.nonzero(mask)
-        boxes.append([int(xs.min()), int(ys.min()), int(xs.max() - xs.min()) + 1, int(ys.max() - ys.min()) + 1])
-        labelled = regions(mask, diagonal=True)
-        rings = (outline(labelled == k) for k in np.unique(labelled[labelled > 0]))
-        parts.append([[float(v) for p in ring for v in p] for ring in rings if len(ring) >= 3])
-    return pd.DataFrame({"box": boxes, "parts": parts})
+OUTLINE = StructType([StructField("box", ArrayType(LongType())), StructField("parts", ArrayType(ArrayType(DoubleType())))])
+_OUTLINE_ARROW = pa.struct([("box", pa.list_(pa.int64())), ("parts", pa.list_(pa.list_(pa.float64())))])
+
+
+def _outline_of(text: str | None) -> dict | None:
+    mask = None if text is None else decode_rle(text)
+    if mask is None or not mask.any():
+        return None
+    ys, xs = np.nonzero(mask)
+    labelled = regions(mask, diagonal=True)
+    rings = (outline(labelled == k) for k in np.unique(labelled[labelled > 0]))
+    return {
+        "box": [int(xs.min()), int(ys.min()), int(xs.max() - xs.min()) + 1, int(ys.max() - ys.min()) + 1],
+        "parts": [[float(v) for p in ring for v in p] for ring in rings if len(ring) >= 3],
+    }
+
+
+@F.arrow_udf(OUTLINE)
+def _outlined(segmentation: pa.Array) -> pa.Array:
+    """Box and outlines of the masks; a batch without any costs nothing."""
+    if segmentation.null_count == len(segmentation):
+        return pa.nulls(len(segmentation), _OUTLINE_ARROW)
+    return pa.array([_outline_of(t) for t in segmentation.to_pylist()], _OUTLINE_ARROW)
 
 
 def _segmented(rows: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gaugeframe.functions import boxes as B, images as I, masks as K, polygons as PG
 from gaugeframe.operators import extensions as X, matching as M
@@ -131,6 +132,37 @@ def scan_coco_annotations(spark, d):
     return out.select("image_id", "id", "category_id", "shape", "x", "w", F.col("points")[0]["x"].alias("px"))
 
 
+COCO_FILE_SQL = """select 'image' as kind, o_orderkey as id, concat('a]}"[{', chr(92), ' ', o_orderkey, chr(92), chr(92), '".jpg') as name, null as category_id, null as right_x from orders
+union all select 'label', l_partkey, shape, cast(l_suppkey % 9 as int), round(case when shape = 'polygon' then bx + bw else least(bx + bw, 1000e0) end / 1000, 9) from
+(select *, case when feature = 'R' then 'bounding_box' else 'polygon' end as shape, x * 1000 + 500 as bx, w * 1000 as bw from ann where l_linenumber <> 7 and l_orderkey in (select o_orderkey from orders)),
+(select unnest([1, 2]) as copy) where (feature = 'A' or copy = 1) and (shape = 'polygon' or bx <= 1000)"""
+
+
+@query("coco_file_ranges", with_views("ann", COCO_FILE_SQL))
+def coco_file_ranges(spark, d):
+    """One annotation file, read in byte ranges by many tasks; file names hold brackets, quotes and backslashes."""
+    path = scratch(spark)
+    images = coco_images(spark, d).withColumn("file_name", F.concat(F.lit('a]}"[{\\ '), F.col("id").cast("string"), F.lit('\\\\".jpg')))
+    notes = coco_annotations(spark, d).drop("obj_id")
+    text = F.col("segmentation")
+    note = F.struct(*[F.when(text.isNotNull(), F.parse_json(text)).alias(c) if c == "segmentation" else F.col(c) for c in notes.columns])
+    parts = [
+        spark.createDataFrame([(0, '{"info": {"a": [{"id": "]"}]}, "images": [')], "at int, value string"),
+        images.select(F.lit(1).alias("at"), F.concat(F.to_json(F.struct("*")), F.lit(",")).alias("value")),
+        spark.createDataFrame([(2, '{"id": null}], "categories": [], "annotations": [')], "at int, value string"),
+        notes.select(F.lit(3).alias("at"), F.concat(F.to_json(note), F.lit(",")).alias("value")),
+        spark.createDataFrame([(4, '{"id": null, "iscrowd": 1}]}')], "at int, value string"),
+    ]
+    # the fixture is one file, so one task writes it
+    reduce(DataFrame.unionByName, parts).orderBy("at").coalesce(1).select("value").write.text(path)
+    t = CO.read_coco(spark, path, range_bytes=256 << 10)
+    seen = t["images"].where("id is not null")
+    labels = CO.scan_coco_annotations(t["annotations"], seen)
+    right = F.coalesce(F.col("x") + F.col("w"), F.array_max(F.transform("points", lambda p: p["x"])))
+    return seen.select(F.lit("image").alias("kind"), "id", F.col("file_name").alias("name"), F.lit(None).cast("int").alias("category_id"), F.lit(None).cast("double").alias("right_x")).unionByName(
+        labels.select(F.lit("label").alias("kind"), "id", F.col("shape").alias("name"), "category_id", F.round(right, 9).alias("right_x")))
+
+
 @query("coco_category_shapes", with_views("ann", """select cast(l_suppkey % 9 as int) as category_id, bool_or(feature in ('A', 'N')) as polygon, l_suppkey % 9 <> 4 as bounding_box, l_suppkey % 9 = 4 as rotatable_bounding_box
 from ann where l_linenumber <> 7 group by 1, 3, 4"""))
 def coco_category_shapes(spark, d):
