@@ -45,7 +45,7 @@ def singularity(df: DataFrame, id_col: str, vector: str, block_rows: int = 2048)
     Kept items are decided in id order: an item without an earlier neighbour below the duplicate distance is
     kept, an item next to an earlier kept one is a duplicate, and what remains goes another round.
     """
-    units = cut_lineage(unit_vectors(df, id_col, vector))
+    units = unit_vectors(df, id_col, vector)
     blocks = place(units, block_rows)
     ids = blocks.rows.select("rid")
     close = cut_lineage(adjacent_earlier(blocks, DUPLICATE_DISTANCE))
@@ -80,13 +80,13 @@ def singularity(df: DataFrame, id_col: str, vector: str, block_rows: int = 2048)
 def label_quality(df: DataFrame, id_col: str, vector: str, label: str, k: int = QUALITY_NEIGHBOURS, group: str | None = None, block_rows: int = 2048) -> DataFrame:
     """Share of the k nearest items (within ``group``, e.g. a question) carrying the same label, and a verdict.
 
-    correct / wrong when one label holds more than int(k * 0.6) neighbours, else unsure.  Groups of at most k
-    rows are not scored.
+    correct / wrong when one label holds more than int(k * 0.6) neighbours, else unsure.  Rows of groups of at most k
+    rows, which have fewer neighbours, get a NULL score and verdict, and so do rows of no group.
     """
     rows = df
     if group is not None:
-        big = df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > k)
-        rows = df.join(big.select(group), group, "left_semi")
+        big = df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > k).select(group)
+        rows = df.join(big, group, "left_semi")
     near = knn_join(rows, id_col, vector, k, group, block_rows).select(id_col, "neighbor")
     names = rows.select(id_col, F.col(label).alias("label"))
     votes = near.join(names.select(F.col(id_col).alias("neighbor"), F.col("label").alias("vote")), "neighbor")
@@ -98,7 +98,11 @@ def label_quality(df: DataFrame, id_col: str, vector: str, label: str, k: int =
     same = F.coalesce(F.element_at("counts", F.col("label")), F.lit(0))
     sure = -F.col("t.neg") > F.floor(F.col("n") * F.lit(CERTAINTY_RATIO))
     verdict = F.when(~sure, "unsure").when(F.col("t.vote") == F.col("label"), "correct").otherwise("wrong")
-    return top.join(names, id_col).select(id_col, "label", (same / F.col("n")).alias("score"), verdict.alias("verdict"))
+    scored = top.join(names, id_col).select(id_col, "label", (same / F.col("n")).alias("score"), verdict.alias("verdict"))
+    if group is None:
+        return scored
+    few = df.join(big, group, "left_anti").select(id_col, F.col(label).alias("label"))
+    return scored.unionByName(few.withColumns({"score": F.lit(None).cast("double"), "verdict": F.lit(None).cast("string")}))
 
 
 def diversity_clusters(df: DataFrame, id_col: str, vector: str, k: int | None = None, seed: int = 0) -> DataFrame:

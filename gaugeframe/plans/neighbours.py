@@ -3,24 +3,26 @@
 1. Exact copies become one vector, however many there are.
 2. A bounded number of pivots splits the vectors into cells; crowded cells are split further by id
    hash, so that a block never holds much more than ``block_rows`` vectors.
-3. Each block alone yields an upper bound of its k-th distance.  A cell can only improve another one when
-   the gap between the two balls is within that bound (triangle inequality on the unit sphere), so
-   only those block pairs meet, each in one task that keeps k rows per vector.
+3. Every vector gets a limit of its own: the distance it has reached inside its block, or to the pivots, which are vectors of the
+   table themselves.  A cell is worth a visit only where its ball reaches into that limit (triangle inequality on the unit sphere), so each
+   vector is sent to the few cells of its ring, and only blocks that some vector asks for meet.
 4. Copies are put back from the k + 1 smallest ids of every copy group.
 
-Without any cluster structure nothing is pruned and every block meets every other: exact search in
-high dimensions costs that much.
+The driver sees the pivots and one radius per cell, never a list that grows with groups or vectors.  Without any cluster structure nothing is pruned and
+every block meets every other: exact search in high dimensions costs that much.  :mod:`gaugeframe.plans.ann` trades a measured recall for it.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from gaugeframe.functions.vectors import l2_norm
 from gaugeframe.session import cut_lineage
@@ -28,12 +30,17 @@ from gaugeframe.session import cut_lineage
 MAX_PIVOTS = 1024
 SLACK = 1e-6  # covers rounding of chord lengths near zero
 
+Limit = Callable[[np.ndarray, "np.ndarray | None"], np.ndarray]
 
+
+@dataclass
 class Blocks:
-    """Unit vectors (g, rid, u, cell, sub) placed in blocks, with the bounded per-cell facts on the driver."""
+    """Unit vectors (g, rid, u, cell, sub, subs) placed in blocks; pivots and radii of the cells."""
 
-    def __init__(self, rows: DataFrame, pivots: np.ndarray, block_rows: int):
-        self.rows, self.pivots, self.block_rows = rows, pivots, block_rows
+    rows: DataFrame
+    pivots: np.ndarray
+    radii: np.ndarray
+    grouped: bool
 
 
 def unit_vectors(df: DataFrame, id_col: str, vector: str, group: str | None = None) -> DataFrame:
@@ -44,138 +51,146 @@ def unit_vectors(df: DataFrame, id_col: str, vector: str, group: str | None = No
     return flat.select("g", "id", F.transform("v", lambda x: x.cast("double") / F.col("n")).alias("u"))
 
 
-def place(units: DataFrame, block_rows: int = 2048) -> Blocks:
+def place(units: DataFrame, block_rows: int = 2048, pivots: int = MAX_PIVOTS, grouped: bool = False) -> Blocks:
     """Assign distinct unit vectors (g, rid, u) to pivot cells and blocks; written once."""
     distinct = cut_lineage(units.groupBy("g", "u").agg(F.min("id").alias("rid")))
     n = distinct.count()
-    wanted = max(1, min(MAX_PIVOTS, math.ceil(n / block_rows)))
-    # bounded: at most MAX_PIVOTS vectors, chosen by hash so that any rerun picks the same ones
+    wanted = max(1, min(pivots, math.ceil(n / block_rows)))
+    # bounded: at most ``pivots`` vectors, chosen by hash so that any rerun picks the same ones
     picked = distinct.select(F.xxhash64("rid").alias("h"), "rid", "u").orderBy("h", "rid").limit(wanted).collect()
-    pivots = np.array([r["u"] for r in picked], dtype=np.float64)
+    at = np.array([r["u"] for r in picked], dtype=np.float64)
     result = StructType([StructField("cell", IntegerType()), StructField("far", DoubleType())])
 
     @F.pandas_udf(result)
     def nearest(u: pd.Series) -> pd.DataFrame:
         x = np.stack(u.to_numpy())
-        d2 = np.maximum(2.0 - 2.0 * (x @ pivots.T), 0.0)
+        d2 = np.maximum(2.0 - 2.0 * (x @ at.T), 0.0)
         cell = d2.argmin(axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "far": np.sqrt(d2[np.arange(len(x)), cell])})
 
     celled = distinct.withColumn("_p", nearest("u")).select("g", "rid", "u", "_p.cell", "_p.far")
-    size = celled.groupBy("g", "cell").agg(F.count("*").alias("m"), F.max("far").alias("radius"))
+    size = celled.groupBy("g", "cell").agg(F.count("*").alias("m"))
     subs = F.ceil(F.col("m") / F.lit(block_rows)).cast("int")
-    placed = celled.join(size.select("g", "cell", "radius", subs.alias("subs")), ["g", "cell"])
-    placed = placed.withColumn("sub", F.expr("pmod(xxhash64(rid), subs)").cast("int"))
-    return Blocks(cut_lineage(placed.select("g", "rid", "u", "cell", "sub", "subs", "radius")), pivots, block_rows)
-
-
-def _needed(blocks: Blocks, bound: dict[tuple, float]) -> DataFrame:
-    """(g, i, j, i_subs, j_subs): cells that must meet, from the balls and bounds of at most MAX_PIVOTS cells per group."""
-    spark = blocks.rows.sparkSession
-    cells = blocks.rows.groupBy("g", "cell").agg(F.max("subs").alias("subs"), F.max("radius").alias("radius")).collect()
-    by_group: dict = {}
-    for c in cells:
-        by_group.setdefault(c["g"], []).append(c)
-    out = []
-    for g, members in by_group.items():
-        at = blocks.pivots[[c["cell"] for c in members]]
-        radius = np.array([c["radius"] for c in members])
-        limit = np.array([bound.get((g, c["cell"]), math.inf) for c in members])
-        between = np.sqrt(np.maximum(2.0 - 2.0 * at @ at.T, 0.0))
-        meets = between - radius[:, None] - radius[None, :] <= limit[:, None] + SLACK
-        for a, b in zip(*np.nonzero(meets)):
-            x, y = members[a], members[b]
-            out.append((g, x["cell"], y["cell"], x["subs"], y["subs"]))
-    kind = blocks.rows.schema["g"].dataType.simpleString()
-    return spark.createDataFrame(out, f"g {kind}, i int, j int, i_subs int, j_subs int")
-
-
-def block_pairs(
-    blocks: Blocks, bound: dict[tuple, float], fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
-    left: DataFrame | None = None, right: DataFrame | None = None,
-) -> DataFrame:
-    """Apply ``fn(left block, right block)`` to every pair of blocks the bounds cannot rule out.
-
-    ``left`` / ``right`` may narrow the two sides to (rid) subsets of the placed rows.
+    placed = celled.join(size.select("g", "cell", subs.alias("subs")), ["g", "cell"])
+    rows = cut_lineage(placed.withColumn("sub", F.expr("pmod(xxhash64(rid), subs)").cast("int")))
+    radii = np.zeros(len(at))
+    for r in rows.groupBy("cell").agg(F.max("far").alias("radius")).collect():  # bounded: one row per pivot
+        radii[r["cell"]] = r["radius"]
+    return Blocks(rows, at, radii, grouped)
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    return t["u"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+
+
+def _between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return 1.0 - x @ y.T
+
+
+def queries(blocks: Blocks, limit: Limit, left: DataFrame | None = None) -> DataFrame:
+    """(g, rid, u, i, si, cells): every vector with its block and the cells within its limit.
+
+    ``limit(own, pivots)`` turns the distances inside a block (itself on the diagonal) and to the pivots into one distance per vector; pivots of
+    other groups say nothing, so it gets None for them where there are groups.
     """
-    need = _needed(blocks, bound)
-    side = blocks.rows.select("g", "rid", "u", "cell", "sub")
-    a = side if left is None else side.join(left, "rid", "left_semi")
-    b = side if right is None else side.join(right, "rid", "left_semi")
+    pivots, radii, grouped = blocks.pivots, blocks.radii, blocks.grouped
+    rows = blocks.rows if left is None else blocks.rows.join(left, "rid", "left_semi")
+    rows = rows.select("g", "rid", "u", F.col("cell").alias("i"), F.col("sub").alias("si"))
+
+    def run(t: pa.Table) -> pa.Table:
+        u = _matrix(t)
+        to_pivots = _between(u, pivots)
+        reach = np.sqrt(2.0 * np.maximum(limit(_between(u, u), None if grouped else to_pivots), 0.0))
+        ring = np.sqrt(np.maximum(2.0 * to_pivots, 0.0)) - radii <= reach[:, None] + SLACK
+        offsets = np.concatenate([[0], np.cumsum(ring.sum(axis=1))]).astype(np.int32)
+        return t.append_column("cells", pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(ring)[1].astype(np.int32))))
+
+    schema = StructType([*rows.schema.fields, StructField("cells", ArrayType(IntegerType()))])
+    return cut_lineage(rows.groupBy("g", "i", "si").applyInArrow(run, schema))
+
+
+def block_pairs(blocks: Blocks, asked: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, right: DataFrame | None = None) -> DataFrame:
+    """Apply ``fn(left block, right block)`` to every pair of blocks that some query asks for; ``right`` may narrow that side to (rid)."""
     key = ["g", "i", "si", "j", "sj"]
-    left_rows = a.withColumnsRenamed({"cell": "i", "sub": "si"}).join(need, ["g", "i"])
-    left_rows = left_rows.withColumn("sj", F.explode(F.sequence(F.lit(0), F.col("j_subs") - 1)))
-    right_rows = b.withColumnsRenamed({"cell": "j", "sub": "sj"}).join(need, ["g", "j"])
-    right_rows = right_rows.withColumn("si", F.explode(F.sequence(F.lit(0), F.col("i_subs") - 1)))
+    other = blocks.rows if right is None else blocks.rows.join(right, "rid", "left_semi")
+    sizes = blocks.rows.groupBy("g", F.col("cell").alias("j")).agg(F.max("subs").alias("subs"))
+    sent = asked.withColumn("j", F.explode("cells")).join(sizes, ["g", "j"]).withColumn("sj", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    need = sent.select(*key).distinct()
+    right_rows = other.select("g", F.col("cell").alias("j"), F.col("sub").alias("sj"), "rid", "u").join(need, ["g", "j", "sj"])
     # fresh aliases keep the two sides of the cogroup apart, as both come from the same rows
-    la = left_rows.select(*[F.col(c).alias(c) for c in (*key, "rid", "u")])
+    la = sent.select(*[F.col(c).alias(c) for c in (*key, "rid", "u")])
     rb = right_rows.select(*[F.col(c).alias(c) for c in (*key, "rid", "u")])
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if len(x) == 0 or len(y) == 0:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            kind = (x if x.num_rows else y)["rid"].type
+            return pa.table({n: pa.array([], pa.float64() if n == "distance" else kind) for n in names})
         return fn(x, y)
 
-    return la.groupBy(*key).cogroup(rb.groupBy(*key)).applyInPandas(run, schema)
+    return la.groupBy(*key).cogroup(rb.groupBy(*key)).applyInArrow(run, schema)
 
 
-def _distances(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
-    return 1.0 - np.stack(x["u"].to_numpy()) @ np.stack(y["u"].to_numpy()).T
+def _ids(t: pa.Table) -> np.ndarray:
+    return t["rid"].combine_chunks().to_numpy(zero_copy_only=False)
 
 
-def _top(x: pd.DataFrame, y: pd.DataFrame, k: int) -> pd.DataFrame:
-    d = _distances(x, y)
-    xi, yi = x["rid"].to_numpy(), y["rid"].to_numpy()
+def _top(x: pa.Table, y: pa.Table, k: int) -> pa.Table:
+    """The k nearest of every left row; among equally far ones the smaller ids."""
+    d = _between(_matrix(x), _matrix(y))
+    xi, yi = _ids(x), _ids(y)
     d[xi[:, None] == yi[None, :]] = np.inf
-    rows, cols = [], []
-    for r in range(len(xi)):
-        order = np.lexsort((yi, d[r]))[:k]
-        order = order[np.isfinite(d[r][order])]
-        rows.append(np.full(len(order), r))
-        cols.append(order)
-    r, c = np.concatenate(rows), np.concatenate(cols)
-    return pd.DataFrame({"rid": xi[r], "nid": yi[c], "distance": np.maximum(d[r, c], 0.0)})
-
-
-def _own_bound(blocks: Blocks, k: int) -> dict[tuple, float]:
-    """Largest k-th chord length inside each cell's own blocks; cells with a block of at most k vectors have none."""
-    kind = blocks.rows.schema["g"].dataType.simpleString()
-
-    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        if len(pdf) <= k:
-            worst = math.inf
-        else:
-            d = _distances(pdf, pdf)
-            kth = np.partition(d, k, axis=1)[:, k]  # the vector itself takes position 0
-            worst = math.sqrt(max(2.0 * kth.max(), 0.0))
-        return pd.DataFrame({"g": [head["g"]], "cell": [head["cell"]], "bound": [worst]})
-
-    per_block = blocks.rows.select("g", "cell", "sub", "u").groupBy("g", "cell", "sub").applyInPandas(bound, f"g {kind}, cell int, bound double")
-    rows = per_block.groupBy("g", "cell").agg(F.max("bound").alias("b")).collect()  # bounded: one row per cell
-    return {(r["g"], r["cell"]): r["b"] for r in rows}
+    last = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(d), np.inf)
+    r, c = np.nonzero((d <= last[:, None]) & np.isfinite(d))
+    order = np.lexsort((yi[c], d[r, c], r))
+    r, c = r[order], c[order]
+    place_ = np.arange(len(r)) - np.searchsorted(r, r)
+    r, c = r[place_ < k], c[place_ < k]
+    return pa.table({"rid": x["rid"].combine_chunks().take(pa.array(r)), "nid": y["rid"].combine_chunks().take(pa.array(c)), "distance": np.maximum(d[r, c], 0.0)})
+
+
+def _kth(k: int) -> Limit:
+    """Distance of the k-th other vector in the block or among the pivots."""
+    def limit(own: np.ndarray, pivots: np.ndarray | None) -> np.ndarray:
+        seen = [m for m in (own, pivots) if m is not None and m.shape[1] > k]
+        # the vector itself takes one of the k + 1 places
+        return np.min([np.partition(m, k, axis=1)[:, k] for m in seen], axis=0) if seen else np.full(len(own), np.inf)
+    return limit
+
+
+def _beyond(eps: float) -> Limit:
+    """Distance of the nearest vector at ``eps`` or more in the block or among the pivots."""
+    def limit(own: np.ndarray, pivots: np.ndarray | None) -> np.ndarray:
+        seen = own if pivots is None else np.hstack([own, pivots])
+        return np.where(seen >= eps, seen, np.inf).min(axis=1)
+    return limit
 
 
 def knn_join(df: DataFrame, id_col: str, vector: str, k: int, group: str | None = None, block_rows: int = 2048) -> DataFrame:
     """The k nearest other rows of every row: (id, neighbor, distance, rank), ties by neighbour id, within ``group``."""
-    units = cut_lineage(unit_vectors(df, id_col, vector, group))
-    blocks = place(units, block_rows)
+    units = unit_vectors(df, id_col, vector, group)
+    blocks = place(units, block_rows, grouped=group is not None)
     kind = units.schema["id"].dataType.simpleString()
-    found = block_pairs(blocks, _own_bound(blocks, k), lambda x, y: _top(x, y, k), f"rid {kind}, nid {kind}, distance double")
+    found = block_pairs(blocks, queries(blocks, _kth(k)), lambda x, y: _top(x, y, k), f"rid {kind}, nid {kind}, distance double")
     best = found.withColumn("_r", F.row_number().over(W.partitionBy("rid").orderBy("distance", "nid"))).where(F.col("_r") <= k)
+    return with_copies(units, blocks.rows, best, id_col, k)
+
 
-    # copies: every distinct vector names its k + 1 smallest ids; the rank filter runs before the shuffle
-    rep = blocks.rows.select("g", "u", "rid")
-    owned = units.join(rep, ["g", "u"]).select("id", "rid")
+def with_copies(units: DataFrame, rows: DataFrame, best: DataFrame, id_col: str, k: int) -> DataFrame:
+    """Neighbours (rid, nid, distance) of distinct vectors turned into those of all rows.
+
+    Every distinct vector names its k + 1 smallest ids; the rank filter runs before the shuffle.
+    """
+    owned = units.join(rows.select("g", "u", "rid"), ["g", "u"]).select("id", "rid")
     members = owned.withColumn("_r", F.row_number().over(W.partitionBy("rid").orderBy("id"))).where(F.col("_r") <= k + 1).drop("_r")
     near = best.join(members.select(F.col("rid").alias("nid"), F.col("id").alias("neighbor")), "nid").select("rid", "neighbor", "distance")
     own = members.select("rid", F.col("id").alias("neighbor"), F.lit(0.0).alias("distance"))
     ranked = near.unionByName(own).withColumn("_r", F.row_number().over(W.partitionBy("rid").orderBy("distance", "neighbor"))).where(F.col("_r") <= k + 1)
     # bounded: k + 1 entries per distinct vector
     lists = ranked.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbor"))).alias("l"))
-    rows = owned.join(lists, "rid")
+    joined = owned.join(lists, "rid")
     others = F.slice(F.filter("l", lambda e: e["neighbor"] != F.col("id")), 1, k)
-    return rows.select("id", F.posexplode(others).alias("p", "e")).select(
+    return joined.select("id", F.posexplode(others).alias("p", "e")).select(
         F.col("id").alias(id_col), F.col("e.neighbor").alias("neighbor"), F.col("e.distance").alias("distance"), (F.col("p") + 1).alias("rank")
     )
 
@@ -184,12 +199,12 @@ def nearest_beyond(blocks: Blocks, eps: float) -> DataFrame:
     """(rid, distance): the closest other distinct vector at a distance of at least eps; null if none."""
     kind = blocks.rows.schema["rid"].dataType.simpleString()
 
-    def closest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        d = _distances(x, y)
+    def closest(x: pa.Table, y: pa.Table) -> pa.Table:
+        d = _between(_matrix(x), _matrix(y))
         d[d < eps] = np.inf
-        return pd.DataFrame({"rid": x["rid"], "distance": d.min(axis=1)})
+        return pa.table({"rid": x["rid"], "distance": d.min(axis=1)})
 
-    found = block_pairs(blocks, {}, closest, f"rid {kind}, distance double")
+    found = block_pairs(blocks, queries(blocks, _beyond(eps)), closest, f"rid {kind}, distance double")
     return found.groupBy("rid").agg(F.min("distance").alias("distance")).withColumn(
         "distance", F.when(F.col("distance") < F.lit(math.inf), F.col("distance"))
     )
@@ -198,16 +213,15 @@ def nearest_beyond(blocks: Blocks, eps: float) -> DataFrame:
 def adjacent_earlier(blocks: Blocks, eps: float, left: DataFrame | None = None, right: DataFrame | None = None) -> DataFrame:
     """(rid, original): vectors with an earlier vector of ``right`` closer than eps, and the earliest such one."""
     kind = blocks.rows.schema["rid"].dataType.simpleString()
-    chord = math.sqrt(2.0 * eps)
-    cells = blocks.rows.select("g", "cell").distinct().collect()  # bounded: one row per cell
-    bound = {(c["g"], c["cell"]): chord for c in cells}
 
-    def earliest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        xi, yi = x["rid"].to_numpy(), y["rid"].to_numpy()
+    def earliest(x: pa.Table, y: pa.Table) -> pa.Table:
+        xi, yi = _ids(x), _ids(y)
         order = np.argsort(yi, kind="stable")
-        hit = (_distances(x, y)[:, order] < eps) & (yi[order][None, :] < xi[:, None])
+        hit = (_between(_matrix(x), _matrix(y))[:, order] < eps) & (yi[order][None, :] < xi[:, None])
         any_ = hit.any(axis=1)
-        return pd.DataFrame({"rid": xi[any_], "original": yi[order][hit.argmax(axis=1)[any_]]})
+        return pa.table({
+            "rid": x["rid"].combine_chunks().filter(pa.array(any_)), "original": y["rid"].combine_chunks().take(pa.array(order[hit.argmax(axis=1)[any_]]))})
 
-    found = block_pairs(blocks, bound, earliest, f"rid {kind}, original {kind}", left, right)
+    asked = queries(blocks, lambda own, pivots: np.full(len(own), eps), left)
+    found = block_pairs(blocks, asked, earliest, f"rid {kind}, original {kind}", right)
     return found.groupBy("rid").agg(F.min("original").alias("original"))

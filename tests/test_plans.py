@@ -11,7 +11,7 @@ from gaugeframe.functions.boxes import box_iou
 from gaugeframe.operators import summary as A
 from gaugeframe.operators.embeddings import label_quality, singularity
 from gaugeframe.plans.neighbours import knn_join
-from gaugeframe.plans import quantiles
+from gaugeframe.plans import ann, neighbours, quantiles
 from gaugeframe.plans.quantiles import linear_quantiles, order_statistics
 from gaugeframe.plans.scan import ranked, running
 from gaugeframe.plans.spatial import best_other, best_overlap
@@ -241,4 +241,65 @@ def test_label_quality_verdicts(spark):
     assert rows[0]["verdict"] == "wrong" and rows[0]["score"] == 0
     assert rows[25]["verdict"] == "correct" and rows[25]["score"] == 1
     small = frame(spark, v[:5], labels[:5]).withColumn("q", F.lit(1))
-    assert label_quality(small, "id", "v", "label", group="q").count() == 0
+    assert {(r.score, r.verdict) for r in label_quality(small, "id", "v", "label", group="q").collect()} == {(None, None)}
+
+
+def test_singularity_visits_few_blocks_of_clustered_vectors(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((24, 16))
+    v = np.concatenate([c + 0.05 * rng.standard_normal((50, 16)) for c in centres])
+    blocks = neighbours.place(neighbours.unit_vectors(frame(spark, v), "id", "v"), 50)
+    asked = neighbours.queries(blocks, neighbours._beyond(1e-5))
+    cells = blocks.rows.select("cell").distinct().count()
+    met = asked.select("i", F.explode("cells").alias("j")).distinct().count()
+    assert cells > 12 and met <= cells * cells / 2
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    d = 1 - u @ u.T
+    d[d < 1e-5] = np.inf
+    got = {r.rid: r.distance for r in neighbours.nearest_beyond(blocks, 1e-5).collect()}
+    assert np.allclose([got[i] for i in range(len(v))], d.min(axis=1), atol=1e-9)
+
+
+def clustered(n, dims, seed):
+    rng = np.random.default_rng(seed)
+    return rng.standard_normal((40, dims))[rng.integers(0, 40, n)] + 0.4 * rng.standard_normal((n, dims))
+
+
+def test_stored_index_reaches_its_recall(spark, tmp_path):
+    v = clustered(3000, 32, 1)
+    v[100:140] = v[100]
+    df = frame(spark, v)
+    index = ann.build(df, "id", "v", str(tmp_path / "index"), tables=6, bucket_rows=64)
+    probes = ann.tuned_probes(index, 10, 0.9)
+    assert probes < (1 << index.bits) - 1
+    got = {}
+    for r in ann.search(ann.Index(spark, index.path), df, "id", "v", 10, probes).collect():
+        got.setdefault(r.id, {})[r["rank"]] = (r.neighbor, r.distance)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    d = 1 - u @ u.T
+    np.fill_diagonal(d, np.inf)
+    hits = 0
+    for i in range(len(v)):
+        kth = np.sort(d[i])[9]
+        near = got[i]
+        assert list(near) == sorted(near) and all(abs(x - max(d[i, n], 0)) < 1e-9 for n, x in near.values())
+        hits += sum(x <= kth + 1e-9 for _, x in near.values())
+    assert hits / (10 * len(v)) >= 0.9
+
+
+def test_index_with_all_codes_is_exact(spark, tmp_path):
+    v = np.vstack([vectors(90, 6, 4), np.zeros((1, 6))])
+    v[20:50] = v[20]
+    index = ann.build(frame(spark, v), "id", "v", str(tmp_path / "i"), tables=1, bucket_rows=16)
+    got = {}
+    for r in ann.search(index, frame(spark, v), "id", "v", 5, probes=(1 << index.bits) - 1).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbor)
+    assert got == brute(v[:90], 5)[1]
+
+
+def test_probe_sets_come_by_rising_margin():
+    rng = np.random.default_rng(2)
+    margins = np.sort(rng.random(7))
+    weights = np.int64(1) << np.arange(7)
+    every = sorted(range(1 << 7), key=lambda s: sum(margins[i] ** 2 for i in range(7) if s >> i & 1))
+    assert ann._flips(margins, weights, 127) == every
