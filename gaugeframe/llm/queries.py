@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from gaugeframe.llm import chat, contamination, gif, jaccard, lines, mixing, ordermin, prefixtrie, privacy, substrings, toxicity, warc, whitening
 from gaugeframe.llm.common import table
+from gaugeframe.llm.oracles import ORACLES  # noqa: F401
 
-QUERIES, ORACLES = {}, {}
+QUERIES = {}
 
 
 def query(fn):
