@@ -3,7 +3,8 @@
 An archive is the leading skippable frame (magic 0x184D2A5D) that holds the dictionary, then one Zstandard frame per record.  Tasks write
 archives of at most about ``ARCHIVE_BYTES`` of payload each; an archive is one row (path, content), the shape of Spark's ``binaryFile``
 source, so ``read_archives(spark.read.format("binaryFile").load(...))`` reads ``.warc.zst`` files and the written table alike.  The
-dictionary is trained on the ``SAMPLE`` pages with the smallest hash (a documented bound, it changes sizes only, never content); pages are
+dictionary is trained on one piece of at most ``PIECE`` characters, cut at a place that its hash chooses, of each of the ``SAMPLE`` pages with the smallest
+hash (documented bounds; they change the size of archives only, never what is written or read); pages are
 deduplicated by payload digest with a hash aggregate, so no window collects the copies of a page, and each archive stands alone.
 
 The reader checks frame and record layout: record length against ``Content-Length``, mandatory headers, block digest, and payload length.  A frame that
@@ -28,7 +29,8 @@ from gaugeframe.llm.common import smallest_hashes, stored
 
 # Frame magics of the WARC Zstandard format.
 DICTIONARY_FRAME, ZSTD_FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
-MIN_BYTES, SAMPLE, DICTIONARY_BYTES, ARCHIVE_BYTES = 100, 256, 64 << 10, 8 << 20
+MIN_BYTES, ARCHIVE_BYTES = 100, 8 << 20
+SAMPLE, PIECE, DICTIONARY_BYTES = 256, 16 << 10, 64 << 10
 
 _RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, error string"
 # Fixed value: the revisit profile of the WARC 1.1 format.
@@ -38,8 +40,9 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample; empty when the sample is too small to train on."""
     some = pages.where("octet_length(html) > 0").select("html", F.xxhash64("page_id", "html").alias("h"))
-    sample = smallest_hashes(some, F.col("h"), SAMPLE, some.count()).orderBy("h", "html").limit(SAMPLE)
-    texts = [r["html"].encode()[: 32 << 10] for r in sample.collect()]
+    begin = F.pmod(F.col("h"), F.greatest(F.length("html") - PIECE, F.lit(0)) + 1).cast("int")
+    pieces = smallest_hashes(some, F.col("h"), SAMPLE, some.count()).select("h", F.substring("html", begin + 1, F.lit(PIECE)).alias("piece"))
+    texts = [r["piece"].encode() for r in pieces.orderBy("h", "piece").limit(SAMPLE).collect()]
     try:
         return zstd.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
     except zstd.ZstdError:
