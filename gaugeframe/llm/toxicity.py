@@ -1,9 +1,10 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  A sentence with telling words has a linear score over hashed words and word beginnings, p = sigmoid(z); one
-without any has p = 0.  The document's score is the noisy-or 1 - prod(1 - p), so only document labels are needed and the sentences with a
-high p are the offending ones.  Of the sentences below ``THRESHOLD`` only the strongest counts: weak hints, of which clean text has some in
-every megabyte, do not add up, so texts that each stay below the threshold stay below it when joined, however long that is.
+without any has p = 0.  The document's score is the noisy-or 1 - prod(1 - p) over its decisive sentences, so only document labels are needed and the
+sentences with a high p are the offending ones.  Decisive are all sentences at ``THRESHOLD`` or above, and the strongest one: weak hints, of which
+clean text has some in every megabyte, do not add up, so texts that each stay below the threshold stay below it when joined, however long that is.
+The weights are fitted to this very score: the set of decisive sentences is taken anew in every step of the descent.
 
 Training takes at most ``PER_CLASS`` labelled documents per class, those with the smallest hash of the id among training rows, with their whole
 texts (a documented bound of the sample; class weights restore the label frequencies of all training rows).  Spark counts
@@ -32,6 +33,7 @@ SPACE = 1 << 19
 PREFIXES = (4, 5)
 SIGNIFICANT = 12.0
 THRESHOLD, SENTENCE = 0.3, 0.5
+_LOGIT = np.log(THRESHOLD / (1 - THRESHOLD))
 _ENDS = np.isin(np.arange(256), list(b".!?\n"))
 
 
@@ -71,6 +73,13 @@ class Sentences:
         return np.where(tells, np.add.reduceat(each.sum(axis=1, dtype=np.float64), self.begin) + model.bias, -np.inf)
 
 
+def decisive(logits: np.ndarray, doc: np.ndarray, count: int) -> np.ndarray:
+    """The sentences that make the score of their document: those at the threshold, and the strongest."""
+    strongest = np.full(count, -np.inf)
+    np.maximum.at(strongest, doc, logits)
+    return (logits >= _LOGIT) | ((logits == strongest[doc]) & ~np.isneginf(logits))
+
+
 def noisy_or(logits: np.ndarray, doc: np.ndarray, count: int) -> np.ndarray:
     """1 - prod(1 - sigmoid(z)) per document."""
     return -np.expm1(-np.bincount(doc, weights=np.logaddexp(0, logits), minlength=count))
@@ -170,9 +179,10 @@ def _descend(feature: np.ndarray, row: np.ndarray, doc: np.ndarray, label: np.nd
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
         z = bias + np.bincount(row, weights=w[feature], minlength=len(doc))
-        total = np.maximum(np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(label)), 1e-9)
+        counts = decisive(z, doc, len(label))
+        total = np.maximum(np.bincount(doc, weights=np.where(counts, np.logaddexp(0, z), 0), minlength=len(label)), 1e-9)
         slope = weight * np.where(label == 1, -1 / np.expm1(np.minimum(total, 500)), 1.0)
-        dz = slope[doc] / (1 + np.exp(-np.clip(z, -500, 500)))
+        dz = counts * slope[doc] / (1 + np.exp(-np.clip(z, -500, 500)))
         g = np.append(np.bincount(feature, weights=dz[row], minlength=size) + decay * w, dz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -188,8 +198,7 @@ def score_batch(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[di
     s = Sentences(texts)
     z = s.scores(model)
     p = np.where(np.isneginf(z), 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))))
-    score = np.clip(noisy_or(np.where(p >= THRESHOLD, z, -np.inf), s.doc, len(texts)), 0, 1)
-    np.maximum.at(score, s.doc, p)  # the strongest sentence alone
+    score = np.clip(noisy_or(np.where(decisive(z, s.doc, len(texts)), z, -np.inf), s.doc, len(texts)), 0, 1)
     where: list[list[dict]] = [[] for _ in range(len(texts))]
     hot = np.flatnonzero((p >= SENTENCE) & (score[s.doc] >= THRESHOLD))
     if len(hot):
