@@ -4,14 +4,16 @@ A repeat of at least ``window`` words always contains a whole aligned block of `
 document indexes only its non-overlapping blocks, every rolling window of block length probes that index, and a hit is extended to the
 windows around it.  The corpus is cut into chunks of about 2 MB of text by a hash of the row, and the index into buckets by a hash of the
 block; chunks send their packed block hashes to buckets and get back one bit per probe.  Texts are shuffled once (the three passes over the
-chunks share the exchange), probes take four bytes, and no pair of documents is ever formed, so a passage in a third of all documents
-costs as much as any other.
+chunks share the exchange), probes take four bytes, and no pair of documents is ever formed.  A chunk sends a hash once, not once per occurrence: what the
+other occurrences need follows from the answer and the chunk itself.  So a passage in a third of all documents costs its bucket three
+entries for each 2 MB of text, whatever the number of copies in them.
 
 1. anchors: chunk -> bucket: hash of every rolling block, with a flag on aligned ones.  A probe is hit where an aligned block of a smaller
-   id has its hash; an aligned block is hit where a larger id probes it.  32-bit hashes inside a bucket of bounded size: a false hit only
-   costs a look in step 2.
-2. extension: chunk -> bucket: 96-bit hash of every full window around a hit anchor; the smallest id of each hash decides.  Overlapping
-   repeated windows of a document merge to maximal repeats.
+   id has its hash; an aligned block is hit where a larger id probes it.  Of equal hashes go the aligned one of the smallest id and the one of the
+   largest id; if either is hit, all are.  32-bit hashes inside a bucket of bounded size: a false hit only costs a look in step 2.
+2. extension: chunk -> bucket: 96-bit hash of every distinct full window around a hit anchor, with its smallest id in the chunk; the answer says whether
+   a smaller one has it elsewhere, and without that the others of the chunk repeat its own smallest.  Overlapping repeated windows of a document merge
+   to maximal repeats.
 3. chunk: words covered by a repeat go.
 
 Defined results.  Null text: no words.  A null ``doc_id`` sorts last, after every other id, and rows with equal ids never remove each
@@ -60,6 +62,9 @@ class _Chunk:
     def aligned(self) -> np.ndarray:
         return (self.at - self.words.first[self.words.doc[self.at]]) % self.block == 0
 
+    def spokesmen(self) -> tuple[np.ndarray, np.ndarray]:
+        return _spokesmen(self.anchors, self.aligned())
+
 
 def _order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions by bucket, and where each bucket begins."""
@@ -67,6 +72,26 @@ def _order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
 
 
+def _ranges(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions sorted by key, and for each of them the number of its key."""
+    order = np.argsort(keys, kind="stable")
+    return order, np.cumsum(np.concatenate([[False], keys[order[1:]] != keys[order[:-1]]])) if len(keys) else order
+
+
+def _spokesmen(hashes: np.ndarray, aligned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that speak for equal hashes (the aligned one of the smallest id, the one of the largest), and the number of each position's hash.
+
+    Positions come by rising id, so the first aligned one has the smallest id and the last one the largest.
+    """
+    order, number = _ranges(hashes)
+    group = np.empty(len(hashes), dtype=np.int64)
+    group[order] = number
+    last = order[np.flatnonzero(np.append(number[1:] != number[:-1], True))] if len(order) else order
+    lined = order[aligned[order]]
+    first = lined[np.flatnonzero(np.diff(group[lined], prepend=-1))]
+    return np.unique(np.concatenate([first, last])), group
+
+
 def _packed(chunk: int, hashes: np.ndarray, keys: np.ndarray, flags: np.ndarray | None, doc: np.ndarray, ids: np.ndarray, buckets: int) -> list[tuple]:
     order, cut = _order(hashes, buckets)
     rows = []
@@ -143,30 +168,40 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def send_anchors(key, rows):
         c = _Chunk(rows, window)
-        low = (c.anchors & np.uint64(0xFFFFFFFF)).astype("<u4")
-        return _arrow(_SENT, _packed(key[0].as_py(), c.anchors, low, c.aligned(), c.words.doc[c.at], c.ids, buckets))
+        sent, _ = c.spokesmen()
+        hashes = c.anchors[sent]
+        low = (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
+        return _arrow(_SENT, _packed(key[0].as_py(), hashes, low, c.aligned()[sent], c.words.doc[c.at[sent]], c.ids, buckets))
 
-    def candidates(c: _Chunk, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(c: _Chunk, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Window positions, their hashes, the first position of each distinct window, and the number of each position's window."""
         at = np.flatnonzero(near)
-        return at, c.words.windows(c.h, at, window)
+        keys = np.empty(len(at), dtype=_KEY)
+        keys["a"], keys["b"] = c.words.windows(c.h, at, window), c.words.windows(c.words.hashes(1), at, window, 1).astype("<u4")
+        order = np.lexsort((np.arange(len(at)), keys["b"], keys["a"]))
+        new = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]]) if len(at) else np.zeros(0, dtype=bool)
+        number = np.empty(len(at), dtype=np.int64)
+        number[order] = np.cumsum(new) - 1
+        return at, keys, order[new], number
 
     def send_windows(key, rows, replies):
         c = _Chunk(rows, window)
         hit = np.zeros(len(c.words) + 1, dtype=np.int64)
-        hit[c.at[_answered(replies, c.anchors, buckets)] + 1] = 1
+        sent, group = c.spokesmen()
+        told = np.zeros(int(group.max(initial=-1)) + 1, dtype=bool)
+        told[group[sent[_answered(replies, c.anchors[sent], buckets)]]] = True
+        hit[c.at[told[group]] + 1] = 1
         seen = np.cumsum(hit)  # hit anchors before each word
         starts = c.words.starts(window)
         near = np.zeros(len(c.words), dtype=bool)
         near[starts] = seen[starts + window - block + 1] > seen[starts]
-        at, hashes = candidates(c, near)
+        at, keys, sent, _ = candidates(c, near)
         if not len(at):
             return _arrow(_SENT, [])
-        keys = np.empty(len(at), dtype=_KEY)
-        keys["a"] = hashes
-        keys["b"] = c.words.windows(c.words.hashes(1), at, window, 1).astype("<u4")
         chunk = key[0].as_py()
         note = (-1 - chunk, chunk, np.packbits(near).tobytes(), b"", b"", b"")
-        return _arrow(_SENT, [note, *_packed(chunk, hashes, keys, None, c.words.doc[at], c.ids, buckets)])
+        sent = np.sort(sent)
+        return _arrow(_SENT, [note, *_packed(chunk, keys["a"][sent], keys[sent], None, c.words.doc[at[sent]], c.ids, buckets)])
 
     def finish(key, rows, replies):
         c = _Chunk(rows, window)
@@ -174,8 +209,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         note = [x for b, x in zip(replies["bucket"].to_pylist(), replies["bits"].to_pylist()) if b < 0]
         if note:
             near = np.unpackbits(np.frombuffer(note[0], dtype=np.uint8), count=len(c.words)).astype(bool)
-            at, hashes = candidates(c, near)
-            at = at[_answered(replies, hashes, buckets)]
+            at, keys, first, number = candidates(c, near)
+            sent = np.sort(first)
+            elsewhere = np.zeros(len(first), dtype=bool)
+            elsewhere[number[sent]] = _answered(replies, keys["a"][sent], buckets)
+            owner = c.ids[c.words.doc[at]]
+            at = at[elsewhere[number] | (owner > owner[first][number])]
             step = np.bincount(at, minlength=len(gone) + 1) - np.bincount(at + window, minlength=len(gone) + 1)
             gone = np.cumsum(step)[:-1] > 0
         removed = np.add.reduceat(np.append(gone, False), c.words.first[:-1]) * (c.words.counts > 0) if len(c.texts) else []
