@@ -6,7 +6,10 @@ IC(e) = -log2 p(e), a term discloses log2(p(t, e) / (p(t) p(e))) bits of entity
 sanitised wherever the entity's document uses it.  Terms also have a class, their first four letters; if the class discloses less than the
 threshold the term is generalised to it, else it is removed.  ``SUPPORT`` distinct contexts are needed, so that copies of one passage, which
 are one observation, prove nothing: a document counts with one of its contexts (the text beside a mention), or a term stands in that many
-contexts itself.
+contexts itself.  The text beside a mention is ``CONTEXT`` characters to either side, and ends at the next run that has the pattern's shape.
+
+Terms travel as 64-bit hashes; words are read again only in documents where one of them was flagged.  Entities that share their documents are one
+group, so a document with many entities and many terms does not multiply them.
 
 Positions come from the lengths of matches and of the text between them, summed by a window inside one document; texts of documents without
 personal data are scanned once and never shuffled.  Patterns are the contract's with possessive loops and look-behinds that change no match but
@@ -83,45 +86,89 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    """Distinct lower-case words and their classes."""
+    """Distinct lower-case words and their classes by hash: (term, class of a word or null)."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)))
-    return F.array_distinct(F.concat(words, F.transform(words, lambda w: F.concat(F.substring(w, 1, PREFIX), F.lit("*")))))
+    classes = F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, PREFIX)))
+    named = F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("term"), _class(F.substring(w, 1, PREFIX)).alias("class")))
+    return F.concat(named, F.transform(classes, lambda c: F.struct(_class(c).alias("term"), F.lit(None).cast("long").alias("class"))))
+
+
+def _class(prefix: Column) -> Column:
+    return F.xxhash64(F.concat(prefix, F.lit("*")))
+
+
+def _owners(told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents of the entities, and the group of every entity.
+
+    Entities with the same documents and the same pattern of equal contexts among them give the same counts for every term, so they are one group
+    (g1, g2: order-free hashes of documents and contexts).  Returns (_id, _tk, g1, g2, context, e_docs) and (kind, value, g1, g2).
+    """
+    each = told.groupBy("_id", "_tk", "kind", "value").agg(F.min("context").alias("context"), F.max("e_docs").alias("e_docs"))
+    doc = F.xxhash64("_id", "_tk")
+    # a context is named by its first document, alike for all entities
+    named = each.groupBy("kind", "value", "context").agg(F.min(doc).alias("first"))
+    each = stored(each.join(named, ["kind", "value", "context"]).drop("context"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "_id", "_tk", "first")).alias(f"g{k}") for k in (1, 2)]
+    groups = stored(each.groupBy("kind", "value").agg(*marks))
+    owners = each.join(groups, ["kind", "value"]).groupBy("_id", "_tk", "g1", "g2").agg(F.min("first").alias("context"), F.max("e_docs").alias("e_docs"))
+    return stored(owners), groups
 
 
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(kind, value, term, action): terms that give an entity away; action is ``generalise`` or ``remove``."""
-    near = found.select("_id", "_tk", "kind", "value", F.concat_ws(" ", "before", "after").alias("near"), F.xxhash64("before", "after").alias("context"))
-    entities = near.groupBy("kind", "value").agg(
-        F.countDistinct("context").alias("contexts"), F.countDistinct("_id", "_tk").alias("e_docs")).where(F.col("contexts") >= support).drop("contexts")
-    told = near.join(entities, ["kind", "value"])
-    close = told.select("kind", "value", "context", F.explode(_terms(F.col("near"))).alias("term")).groupBy("kind", "value", "term").agg(
-        F.countDistinct("context").alias("close")).where(F.col("close") >= support)
-    owners = stored(told.groupBy("_id", "_tk", "kind", "value").agg(F.min("context").alias("context"), F.max("e_docs").alias("e_docs")))
-    texts = docs.select("text", *row_key()).join(owners.select("_id", "_tk").distinct(), ["_id", "_tk"]).dropDuplicates(["_id", "_tk"])
-    pairs = texts.select("_id", "_tk", F.explode(_terms(F.col("text"))).alias("term")).join(owners, ["_id", "_tk"])
-    together = pairs.groupBy("kind", "value", "term").agg(
-        F.countDistinct("context").alias("contexts"), F.count(F.lit(1)).alias("t_e_docs"), F.max("e_docs").alias("e_docs"))
-    joint = stored(together.join(close, ["kind", "value", "term"], "left").where((F.col("contexts") >= support) | F.col("close").isNotNull()).drop("contexts", "close"))
-    wanted = joint.select("term").distinct()
-    spread = docs.select(F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("t_docs"))
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    scored = joint.join(spread, "term").join(F.broadcast(total))  # one row
-    bits = F.log2(F.col("t_e_docs") * F.col("n") / (F.col("t_docs") * F.col("e_docs")))
-    content = F.log2(F.col("n") / F.col("e_docs"))
-    flagged = scored.where((content > 0) & (bits >= disclosure * content)).select("kind", "value", "term")
-    classes = flagged.where(F.col("term").endswith("*")).select("kind", "value", F.col("term").alias("class"))
-    words = flagged.where(~F.col("term").endswith("*")).withColumn("class", F.concat(F.substring("term", 1, PREFIX), F.lit("*")))
-    marked = words.join(classes.withColumn("open", F.lit(True)), ["kind", "value", "class"], "left")
-    return marked.select("kind", "value", "term", F.when(F.col("open"), "remove").otherwise("generalise").alias("action"))
+    """(_id, _tk, term, action): hashes of the terms that give an entity of the document away; action is ``generalise`` or ``remove``.
+
+    A term's joint count is at most e_docs, so it can only disclose the share ``disclosure`` of an entity when it stands in no more than
+    ``e_docs * (n / e_docs) ** (1 - disclosure)`` documents.  Commoner terms leave before they meet an entity; none of them could be flagged.
+    """
+    doc, group, entity = ["_id", "_tk"], ["g1", "g2"], ["kind", "value"]
+    near = found.select(*doc, *entity, F.concat_ws(" ", "before", "after").alias("near"), F.xxhash64("before", "after").alias("context"))
+    entities = near.groupBy(*entity).agg(
+        F.countDistinct("context").alias("contexts"), F.countDistinct(*doc).alias("e_docs")).where(F.col("contexts") >= support).drop("contexts")
+    told = stored(near.join(entities, entity))
+    owners, groups = _owners(told.drop("near"))
+    close = told.select(*entity, "context", F.explode(_terms(F.col("near"))["term"]).alias("term")).groupBy(*entity, "term").agg(
+        F.countDistinct("context").alias("close")).where(F.col("close") >= support).drop("close")
+    close = stored(close.join(groups, entity))
+    n, widest = docs.count(), told.agg(F.max("e_docs")).first()[0]
+    if not widest:
+        return owners.select(*doc, F.col("g1").alias("term"), F.lit("").alias("action"))  # no entities: an empty table
+
+    def reach(e_docs: Column) -> Column:
+        return e_docs * F.pow(F.lit(float(n)) / e_docs, F.lit(1 - disclosure)) * F.lit(1 + 1e-9)
+
+    # counted in the map tasks first; then one row per term that is rare enough for the widest entity
+    spread = docs.select(F.explode(_terms(F.col("text"))["term"]).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("t_docs"))
+    spread = stored(spread.where(F.col("t_docs") <= reach(F.lit(float(widest)))))
+    texts = docs.select("text", *row_key()).join(owners.groupBy(*doc).agg(F.max("e_docs").alias("widest")), doc).dropDuplicates(doc)
+    held = texts.select(*doc, "widest", F.explode(_terms(F.col("text"))).alias("x")).select(*doc, "widest", "x.*")
+    held = stored(held.join(spread, "term").where(F.col("t_docs") <= reach(F.col("widest"))).drop("widest"))
+    # a term of fewer documents than contexts are needed counts only where it stands close to the entity
+    often = held.where(F.col("t_docs") >= support).join(owners, doc).where(F.col("t_docs") <= reach(F.col("e_docs")))
+    seldom = held.where(F.col("t_docs") < support).join(close.select(*group, "term").distinct(), "term").join(owners, [*doc, *group])
+    together = often.unionByName(seldom).groupBy(*group, "term").agg(
+        F.countDistinct("context").alias("contexts"), F.count(F.lit(1)).alias("t_e_docs"), F.max("e_docs").alias("e_docs"),
+        F.max("t_docs").alias("t_docs"), F.max("class").alias("class"))
+    bits = F.log2(F.col("t_e_docs") * F.lit(n) / (F.col("t_docs") * F.col("e_docs")))
+    content = F.log2(F.lit(n) / F.col("e_docs"))
+    telling = stored(together.where((content > 0) & (bits >= disclosure * content)).select(*group, "term", "class", "contexts"))
+    # for all entities of the group, or for those the term stands close to
+    whole = telling.where(F.col("contexts") >= support).withColumns({c: F.lit(None).cast("string") for c in entity}).drop("contexts")
+    nearby = telling.where(F.col("contexts") < support).drop("contexts").join(close, [*group, "term"])
+    flagged = stored(whole.unionByName(nearby))
+    classes = flagged.where(F.col("class").isNull()).select(*group, F.col("term").alias("class"), F.col("kind").alias("kind_"), F.col("value").alias("value_"))
+    words = flagged.where(F.col("class").isNotNull())
+    same = F.col("kind").isNull() | F.col("kind_").isNull() | ((F.col("kind") == F.col("kind_")) & (F.col("value") == F.col("value_")))
+    marked = words.join(classes.withColumn("open", F.lit(True)), [*group, "class"], "left").groupBy(*group, "term").agg(
+        F.max(F.when(F.col("open") & same, "remove").otherwise("generalise")).alias("action"))
+    return marked.join(owners, group).groupBy(*doc, "term").agg(F.max("action").alias("action"))
 
 
 def spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """Per document with personal data: _id, _tk, base and added, arrays of (start, rank, end, kind, value)."""
     found = stored(mentions(docs))
     base = found.groupBy("_id", "_tk").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind", "value"))).alias("base"))
-    told = stored(disclosing(docs, found, support, disclosure))
     # the words to look for in each document that holds the entity
-    sought = found.select("_id", "_tk", "kind", "value").distinct().join(told, ["kind", "value"]).groupBy("_id", "_tk", "term").agg(F.max("action").alias("action"))
+    sought = stored(disclosing(docs, found, support, disclosure))
     lists = sought.groupBy("_id", "_tk").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("sought"))
     texts = docs.select("text", *row_key()).join(lists, ["_id", "_tk"]).dropDuplicates(["_id", "_tk"])
     words = _words(texts)
@@ -136,7 +183,7 @@ def _words(texts: DataFrame) -> DataFrame:
     cut = texts.select("_id", "_tk", F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)).alias("values"), F.split(text, WORDS, -1).alias("gaps"))
     placed = _placed(cut, ["_id", "_tk"]).select("_id", "_tk", "value", "start", "end")
     named = texts.select("_id", "_tk", F.explode("sought").alias("term", "action"))
-    return placed.join(named, (placed["_id"] == named["_id"]) & (placed["_tk"] == named["_tk"]) & (F.lower(placed["value"]) == named["term"])).select(
+    return placed.join(named, (placed["_id"] == named["_id"]) & (placed["_tk"] == named["_tk"]) & (F.xxhash64(F.lower(placed["value"])) == named["term"])).select(
         placed["_id"], placed["_tk"], "value", "start", "end", "action")
 
 
