@@ -6,7 +6,8 @@ source's words, where the blocks are equal cuts of its shuffled documents, one s
 empty; the few blocks that the schedule leaves short are appended as closing slots, so each source reaches its target to the word.
 
 Ranks and running word counts are computed over range-partitioned slices (`plans.scan.running`), so a source with a third of all rows
-spreads over a third of the tasks.  Only the table of sources (one row per source) is on the driver.
+spreads over a third of the tasks.  The table of sources stays a table, be they a handful or every host of a crawl: its order, its level and the
+intervals of the schedule are running sums too, and the driver sees totals only.
 
 Defined results.  A null text has size 0 and is never taken; a null ``source`` is a source of its own, sorted last.  Equal rows (same id,
 same text, same source) get equal results; each takes its own part.  An empty table gives an empty mix.  Extra columns are ignored.
@@ -17,10 +18,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from gaugeframe.llm.common import LAST_ID, WORD, stored
-from gaugeframe.plans.scan import running
+from gaugeframe.plans.joins import null_safe_join
+from gaugeframe.plans.scan import ranked, running
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP = 1.5, 2
@@ -28,74 +30,71 @@ BLOCK = 64
 _STEP = (math.sqrt(5) - 1) / 2
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], total: float, cap: float = CAP) -> list[float]:
-    """Share ``total`` by weight; a target above ``cap`` times its source's size stops there and the excess is shared again."""
-    fixed: dict[int, float] = {}
-    while True:
-        free = [i for i in range(len(sizes)) if i not in fixed]
-        left, weight = total - sum(fixed.values()), sum(weights[i] for i in free)
-        share = {i: left * weights[i] / weight for i in free}
-        over = [i for i in free if share[i] > cap * sizes[i]]
-        if not over:
-            return [fixed.get(i, share.get(i, 0.0)) for i in range(len(sizes))]
-        fixed |= {i: float(cap * sizes[i]) for i in over}
+def source_table(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """source, src (from 0, by code point, null last), source_size, target, take and upto (words to take up to this source).
+
+    Sharing the excess again and again ends at one level: a source gets its weight times the level, or ``cap`` times its size if that is less.
+    In the order of ``cap * size / weight`` the capped sources come first, so running sums name the level at every place.
+    """
+    numbered = ranked(sized.groupBy("source").agg(F.sum("size").alias("source_size")), [], [F.col("source").asc_nulls_last()], "src")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("src"), F.lit(len(weights))) + 1).cast("int"))
+    most = F.lit(cap) * F.col("source_size")
+    numbered = numbered.withColumn("src", F.col("src") - 1).withColumns({"weight": weight, "most": most})
+    numbered = stored(numbered.withColumn("ratio", F.col("most") / F.col("weight")))
+    sums = numbered.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    summed = running(numbered, [], [F.col("ratio"), F.col("src")], {"mosts": F.col("most"), "weights": F.col("weight")})
+    level = (F.lit(share * (sums.size or 0)) - (F.col("mosts") - F.col("most"))) / (F.lit(sums.weight or 0.0) - F.col("weights") + F.col("weight"))
+    found = summed.withColumn("level", level).where("level <= ratio").agg(F.min(F.struct("ratio", "src", "level")).alias("f")).first().f
+    target = F.least(F.col("most").cast("double"), F.col("weight") * F.lit(found.level)) if found else F.col("most").cast("double")
+    goal = numbered.withColumn("target", target).withColumn("take", F.least(F.floor(F.col("target") + 0.5), "most"))
+    return stored(running(goal, [], [F.col("src")], {"upto": F.col("take")}).select("source", "src", "source_size", "target", "take", "upto"))
+
+
+def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
+    """Documents with size and the columns of their source, and the table of sources."""
+    sized = stored(docs.select("doc_id", "text", "source").select(
+        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), F.xxhash64("doc_id", "text", "source").alias("_row"),
+    ))
+    sources = source_table(sized, weights, share, cap)
+    return null_safe_join(sized, sources.drop("upto"), ["source"]), sources
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> tuple[DataFrame, list[tuple]]:
-    """Documents with size and source number, and per source (number, size, target, words to take)."""
-    sized = docs.select("doc_id", "text", "source").select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64("doc_id", "text", "source").alias("_row"),
-    )
-    sized = stored(sized)
-    found = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    names = sorted(found, key=lambda s: (s is None, s or ""))  # one row per source; str order is code point order
-    own = [weights[i % len(weights)] for i in range(len(names))]
-    goal = targets([found[s] for s in names], own, share * sum(found.values()), cap)
-    rows = [(i, s, int(found[s]), g, min(math.floor(g + 0.5), cap * found[s])) for i, (s, g) in enumerate(zip(names, goal))]
-    numbers = docs.sparkSession.createDataFrame(
-        rows, T.StructType([T.StructField(n, t) for n, t in zip(
-            ("src", "_name", "source_size", "target", "take"), (T.IntegerType(), T.StringType(), T.LongType(), T.DoubleType(), T.LongType()))]))
-    return sized.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("_name"))).drop("_name"), rows
-
-
-def schedule(docs: DataFrame, sources: list[tuple], block: int = BLOCK) -> DataFrame:
-    """slot, src and rank (from 0) of every slot that takes words."""
-    spark = docs.sparkSession
-    total = sum(r[4] for r in sources)
+def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
+    """slot, src and rank (from 0) of every slot that takes words.
+
+    Points and the beginnings of the sources' intervals are put in one order; the last beginning before a point names its source.
+    """
+    spark = sources.sparkSession
+    total = sources.agg(F.max("upto")).first()[0] or 0
     slots = -(-total // block)
-    upper, acc = [], 0.0
-    for r in sources:
-        acc += r[4] / max(total, 1)
-        upper.append(acc)
-    point = (F.col("slot") + 1) * F.lit(_STEP)
-    point = point - F.floor(point)
-    last = max([r[0] for r in sources if r[4]], default=0)
-    pick = F.coalesce(*[F.when(point < u, F.lit(r[0])) for u, r in zip(upper, sources) if r[4]], F.lit(last)) if total else F.lit(0)
-    drawn = spark.range(slots).select(F.col("id").alias("slot"), pick.cast("int").alias("src"))
-    ranked = running(drawn, ["src"], [F.col("slot")], {"rank": F.lit(1).cast("long")}).withColumn("rank", F.col("rank") - 1)
-    need = spark.createDataFrame([(r[0], -(-r[4] // block)) for r in sources], "src int, need long")
-    have = ranked.groupBy("src").agg(F.count(F.lit(1)).alias("have"))
+    point = (F.col("id") + 1) * F.lit(_STEP)
+    none = F.lit(None).cast("long")
+    begins = sources.where("take > 0").select(((F.col("upto") - F.col("take")) / F.lit(max(total, 1))).alias("at"), "src", none.alias("slot"))
+    points = spark.range(slots).select((point - F.floor(point)).alias("at"), none.alias("src"), F.col("id").alias("slot"))
+    order = [F.col("at"), F.col("slot").asc_nulls_first(), F.col("src")]
+    drawn = running(begins.unionByName(points), [], order, prior_maxes={"drawn": F.col("src")}).where("slot is not null").select("slot", F.col("drawn").alias("src"))
+    ranks = ranked(drawn, ["src"], [F.col("slot")]).withColumn("rank", F.col("rank") - 1)
+    need = sources.select("src", F.ceil(F.col("take") / block).alias("need"))
+    have = ranks.groupBy("src").agg(F.count(F.lit(1)).alias("have"))
     closing = need.join(have, "src", "left").select("src", F.coalesce("have", F.lit(0)).alias("have"), "need").where("have < need").select(
         "src", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("rank"))
     closing = closing.select((F.lit(slots) + F.col("rank")).alias("slot"), "src", "rank")
-    filled = ranked.join(F.broadcast(need), "src").where("rank < need").select("slot", "src", "rank")
+    filled = ranks.join(need, "src").where("rank < need").select("slot", "src", "rank")
     return filled.unionByName(closing)
 
 
 def pieces(sized: DataFrame, seed: int = 0, block: int = BLOCK, cap: int = CAP) -> DataFrame:
     """Each document's part of every block it lies in, over ``cap`` epochs: src, rank (block number), words [from, to) of the document."""
     epochs = sized.where("size > 0").select("*", F.explode(F.array(*[F.lit(e) for e in range(cap)])).alias("epoch"))
-    mixed = epochs.withColumns({
-        "_shuffle": F.xxhash64(F.lit(seed), "epoch", "_row"), "_id": F.coalesce("doc_id", F.lit(LAST_ID)),
-    })
+    mixed = epochs.withColumn("_shuffle", F.xxhash64(F.lit(seed), "epoch", "_row"))
     placed = running(mixed, ["src"], [F.col("epoch"), F.col("_shuffle"), F.col("_id")], {"_end": F.col("size")})
     begin = F.col("_end") - F.col("size")
     # the last block of a source is cut at its target
     placed = placed.withColumns({"_begin": begin, "_stop": F.least("_end", "take")}).where("_begin < _stop")
     blocks = F.sequence(F.floor(F.col("_begin") / block), F.floor((F.col("_stop") - 1) / block))
     return placed.select("*", F.explode(blocks).alias("rank")).select(
-        "doc_id", "_row", "src", "epoch", "rank",
+        "doc_id", "_id", "_row", "src", "epoch", "rank",
         (F.greatest(F.col("_begin"), F.col("rank") * block) - F.col("_begin")).alias("from"),
         (F.least(F.col("_stop"), (F.col("rank") + 1) * block) - F.col("_begin")).alias("to"),
     )
@@ -104,17 +103,17 @@ def pieces(sized: DataFrame, seed: int = 0, block: int = BLOCK, cap: int = CAP)
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The mix as (slot, doc_id, epoch, from, to) and the documents with size, source_size, target and row hash."""
     sized, sources = plan(docs, weights, share, cap)
-    slots = schedule(docs, sources, block)
     parts = pieces(sized, seed, block, cap)
-    return parts.join(slots, ["src", "rank"]).select("slot", "doc_id", "_row", "epoch", "from", "to"), sized
+    return parts.join(schedule(sources, block), ["src", "rank"]).select("slot", "doc_id", "_id", "_row", "epoch", "from", "to"), sized
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and first_slot of every document row."""
     mixed, sized = mix(docs)
-    used = mixed.groupBy("_row").agg(F.sum(F.col("to") - F.col("from")).alias("_taken"), F.min("slot").alias("first_slot"))
-    copies = sized.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
-    return sized.join(used.join(copies, "_row"), "_row", "left").select(
+    row = ["_id", "_row"]
+    used = mixed.groupBy(*row).agg(F.sum(F.col("to") - F.col("from")).alias("_taken"), F.min("slot").alias("first_slot"))
+    copies = sized.groupBy(*row).agg(F.count(F.lit(1)).alias("_n"))
+    return sized.join(used.join(copies, row), row, "left").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce((F.col("_taken") / F.col("_n")).cast("long"), F.lit(0)).alias("taken"), "first_slot",
     )
 

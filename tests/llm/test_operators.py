@@ -217,6 +217,23 @@ def test_substrings_over_many_chunks_and_buckets(make_docs, monkeypatch):
     assert rows_of(substrings.op3(make_docs(rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(rows)
 
 
+def test_substrings_send_a_frequent_passage_once():
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{rng.randrange(9000)}" for _ in range(20)) + f" {passage} " + " ".join(f"w{rng.randrange(9000)}" for _ in range(20))) for i in range(400)]
+    chunk = substrings._Chunk(pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}), 13)
+    sent, group = chunk.spokesmen()
+    assert np.bincount(group).max() == 400 and np.bincount(group[sent]).max() <= 2
+    # the smallest aligned owner and the largest owner of every hash are among them
+    aligned, owner = chunk.aligned(), chunk.ids[chunk.words.doc[chunk.at]]
+    for g in range(0, group.max() + 1, 97):
+        own = np.flatnonzero(group == g)
+        kept = np.intersect1d(own, sent)
+        assert owner[kept].max() == owner[own].max()
+        if aligned[own].any():
+            assert owner[kept[aligned[kept]]].min() == owner[own[aligned[own]]].min()
+
+
 def test_substrings_empty(make_docs):
     assert substrings.op3(make_docs([])).count() == 0
 
@@ -564,11 +581,34 @@ def test_patience_keeps_unique_anchors():
 # --- 8 mixing
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100], [3, 1, 2], 450) == [200.0, pytest.approx(250 / 3), pytest.approx(500 / 3)]
-    assert mixing.targets([10, 1000], [3, 1], 1010) == [20.0, 990.0]
-    assert mixing.targets([0, 0], [1, 1], 0) == [0.0, 0.0]
-    assert mixing.targets([], [], 0) == []
+def shared_out(sizes, weights, total, cap=2):
+    """Targets by sharing the excess again until none is above its cap."""
+    fixed = {}
+    while True:
+        free = [i for i in range(len(sizes)) if i not in fixed]
+        left, weight = total - sum(fixed.values()), sum(weights[i] for i in free)
+        share = {i: left * weights[i] / weight for i in free}
+        over = [i for i in free if share[i] > cap * sizes[i]]
+        if not over:
+            return [fixed.get(i, share.get(i, 0.0)) for i in range(len(sizes))]
+        fixed |= {i: float(cap * sizes[i]) for i in over}
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000], [0, 0], [], [0, 5, 0, 7], [1, 2, 4, 8, 16, 32, 64, 128, 256, 512]])
+def test_source_table(spark, sizes):
+    rows = [(f"s{i:02}", 3, n // 2) for i, n in enumerate(sizes)] + [(f"s{i:02}", 1, n - n // 2) for i, n in enumerate(sizes)]
+    got = mixing.source_table(spark.createDataFrame(rows, "source string, x int, size long")).orderBy("src").collect()
+    goal = shared_out(sizes, [(3, 1, 2)[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes))
+    assert [r.src for r in got] == list(range(len(sizes))) and [r.source_size for r in got] == sizes
+    assert [r.target for r in got] == [pytest.approx(g) for g in goal]
+    assert [r.upto for r in got] == np.cumsum([r.take for r in got]).tolist()
+
+
+def test_very_many_sources(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("w x y").alias("text"), F.concat(F.lit("host"), F.col("id") % 30_000).alias("source"))
+    got = mixing.taken(docs).agg(F.sum("taken").alias("t"), F.countDistinct("source").alias("n"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).first()
+    # every source has 6 words: targets are 3 times the weights 3, 1, 2 of the level 4.5, whole words a source
+    assert (got.n, got.over) == (30_000, 0) and abs(got.t - 1.5 * 180_000) <= 30_000
 
 
 def test_mix(make_docs, corpus):
@@ -580,7 +620,7 @@ def test_mix(make_docs, corpus):
     for k, (_, t) in enumerate(corpus):
         sizes[[None, "b", "a", "é", "B"][k % 5]] += len(plain(t))
     names = ["B", "a", "b", "é", None]
-    goal = dict(zip(names, mixing.targets([sizes[s] for s in names], [3, 1, 2, 3, 1], 1.5 * sum(sizes.values()))))
+    goal = dict(zip(names, shared_out([sizes[s] for s in names], [3, 1, 2, 3, 1], 1.5 * sum(sizes.values()))))
     assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len(plain(t))) for i, t in corpus)
     assert all(0 <= r.taken <= 2 * r.size for r in got)
     for s in names:
@@ -591,9 +631,10 @@ def test_mix(make_docs, corpus):
 def test_schedule_is_even(spark, make_docs):
     rows = [(i, "w " * 640) for i in range(30)]
     docs = make_docs(rows, source=lambda k: "abc"[k % 3])
-    sized, sources = mixing.plan(docs)
-    slots = mixing.schedule(docs, sources).orderBy("slot").collect()
-    share = [r[4] / sum(x[4] for x in sources) for r in sources]
+    _, sources = mixing.plan(docs)
+    slots = mixing.schedule(sources).orderBy("slot").collect()
+    rows = sources.orderBy("src").collect()
+    share = [r.take / rows[-1].upto for r in rows]
     for n in range(10, len(slots), 37):  # every beginning of the schedule is close to the shares
         have = Counter(r.src for r in slots[:n])
         assert all(abs(have[i] - n * s) <= 4 for i, s in enumerate(share))
@@ -719,6 +760,16 @@ def test_toxicity_without_labels(spark, make_docs):
     assert toxicity.op10(make_docs([]), none).count() == 0
 
 
+def test_score_is_the_fitted_one():
+    """Ten weak sentences weigh as much as the strongest of them, in the score and in the descent alike."""
+    z = np.log(np.array([0.25] * 10 + [0.25, 0.6, 0.4, 0.1]) / (1 - np.array([0.25] * 10 + [0.25, 0.6, 0.4, 0.1])))
+    doc = np.array([0] * 10 + [1] * 4)
+    counts = toxicity.decisive(z, doc, 3)
+    score = toxicity.noisy_or(np.where(counts, z, -np.inf), doc, 3)
+    assert counts.tolist() == [True] * 10 + [False, True, True, False]
+    assert score[2] == 0 and score[1] == pytest.approx(1 - 0.4 * 0.6)
+
+
 def test_noisy_or():
     z, doc = np.array([0.0, 0.0, -100.0]), np.array([0, 0, 1])
     assert np.allclose(toxicity.noisy_or(z, doc, 3), [0.75, 0, 0])
