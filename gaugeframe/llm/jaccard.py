@@ -3,8 +3,11 @@
 1. One pass over the texts hashes the distinct word n-grams of each document, folds them into a set fingerprint and minimum hashes, and
    packs these into band hashes.  ``bands_for`` chooses rows and bands so that a pair at the threshold shares a band with the target recall.
 2. Documents with equal n-gram sets form one class; only its representative goes on, so exact copies never form pairs.
-3. Representatives shuffle on band hashes.  Each bucket links its members to its smallest one (a star, not all pairs), and connected stars are
-   candidate groups: every pair that shares a band is inside one group.
+3. Representatives shuffle on band hashes.  Pairs at half the threshold often share a band, and groups connected through such pairs would grow with the
+   corpus.  So links are screened first, by sketches of one byte per minimum hash: each bucket's members meet its smallest one (a star, not all
+   pairs); where a member is not near it, the bucket's members meet one another, large buckets in blocks.  Near means an estimate of ``SLACK`` standard
+   deviations below the threshold or more, which a linked pair misses with a chance below one in a million.  What the near pairs connect are
+   candidate groups.
 4. The full n-gram sets of a group meet and every pair is verified exactly.  Groups over ``BLOCK`` n-grams are cut into blocks by a hash, and
    each pair of blocks is a task of its own.  Inside a task the intersections are counted with a matrix product over common n-grams and posting lists over
    the others; pairs are counted, not emitted.  What leaves a task is one row per linked text.
@@ -30,6 +33,7 @@ from gaugeframe.llm.components import components
 N, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity 4/5, kept as integers so that the comparison is exact
 RECALL, MAX_HASHES = 0.9995, 192
 BLOCK = 1 << 19
+SLACK, CROWD = 5.0, 1024  # standard deviations below the threshold; members of a block of a crowded bucket
 
 
 def bands_for(threshold: float, recall: float = RECALL, hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -61,11 +65,11 @@ def shingles(words: Words, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(doc, np.arange(len(words.counts) + 1))
 
 
-_SIGNED = "doc_id long, _id long, _tk long, n int, f1 long, f2 long, bands array<long>"
+_SIGNED = "doc_id long, _id long, _tk long, n int, f1 long, f2 long, bands array<long>, sketch binary"
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, n: int = N) -> DataFrame:
-    """Row key, size and fingerprints of the n-gram set, and its band hashes."""
+    """Row key, size and fingerprints of the n-gram set, its band hashes, and a byte of each minimum hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(5)
         factor = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,27 +82,78 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = N) -> DataFrame:
                 begin = first[:-1][some]
                 f1, f2 = np.zeros(len(sizes), dtype=np.uint64), np.zeros(len(sizes), dtype=np.uint64)
                 band = np.zeros((len(sizes), bands), dtype=np.uint64)
+                sketch = np.zeros((len(sizes), bands * rows), dtype=np.uint8)
                 if len(some):
                     f1[some] = np.add.reduceat(mix(grams), begin)
                     f2[some] = np.add.reduceat(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), begin)
                     for k in range(bands * rows):
                         least = np.minimum.reduceat((grams * factor[k] + shift[k]) >> np.uint64(32), begin)
+                        sketch[some, k] = (mix(least) >> np.uint64(56)).astype(np.uint8)
                         band[some, k // rows] = mix(band[some, k // rows] + least + np.uint64(k + 1))
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32), pa.array(band[some].ravel().view(np.int64)))
                 yield pa.record_batch({
                     "doc_id": column(part, "doc_id").cast(pa.int64()), "_id": pa.array(ids_of(part, "_id")), "_tk": column(part, "_tk"),
                     "n": pa.array(sizes, pa.int32()), "f1": pa.array(mix(f1).view(np.int64)), "f2": pa.array(f2.view(np.int64)), "bands": lists,
+                    "sketch": pa.array([x.tobytes() for x in sketch], pa.binary()),
                 })
 
     return stored(docs.select("doc_id", "text", *row_key()).mapInArrow(run, _SIGNED))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Groups of ``nodes(node, bands)``: (node, root) for nodes that share a band with another, directly or through others."""
+def least_equal(hashes: int) -> int:
+    """Equal sketch bytes from which a pair counts as near."""
+    threshold = NUMERATOR / DENOMINATOR
+    return math.ceil(hashes * threshold - SLACK * math.sqrt(hashes * threshold * (1 - threshold)))
+
+
+def _sketches(rows: pa.Table, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(rows[name].to_pylist()), dtype=np.uint8).reshape(rows.num_rows, -1)
+
+
+def _near_star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            x, y = _sketches(rows, "sketch"), _sketches(rows, "other")
+            yield pa.record_batch({"a": batch["a"], "b": batch["b"], "near": pa.array((x == y).sum(axis=1) >= least_equal(x.shape[1]))})
+
+
+def _near_members(key, rows):
+    """Members of a block of a bucket, each with the smallest one it is connected with there."""
+    node, x = ids_of(rows, "node"), _sketches(rows, "sketch")
+    order = np.argsort(node, kind="stable")
+    node, x = node[order], x[order]
+    near = np.empty((len(node), len(node)), dtype=bool)
+    for i in range(len(node)):
+        near[i] = (x == x[i]).sum(axis=1) >= least_equal(x.shape[1])
+    np.fill_diagonal(near, False)
+    root = local_roots(near)
+    some = np.flatnonzero(root != np.arange(len(node)))
+    return pa.table({"a": pa.array(node[some], pa.int64()), "b": pa.array(node[root[some]], pa.int64())})
+
+
+def near_pairs(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Edges (a, b) that connect all near pairs of ``nodes(node, bands, sketch)`` that share a band."""
     # the band's number is part of its hash
     entry = nodes.select("node", F.explode("bands").alias("band"))
-    bucket = entry.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("band", "b")
-    return components(entry.join(bucket, "band").where("node > b").select(F.col("node").alias("a"), "b"))
+    bucket = entry.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("most"), F.count(F.lit(1)).alias("m")).where("b < most").drop("most")
+    star = stored(entry.join(bucket, "band").select("band", "m", F.col("node").alias("a"), "b"))
+    sketch = nodes.select(F.col("node").alias("a"), "sketch")
+    pairs = star.where("a > b").select("a", "b").distinct().join(sketch, "a").join(sketch.select(F.col("a").alias("b"), F.col("sketch").alias("other")), "b")
+    judged = stored(pairs.select("a", "b", "sketch", "other").mapInArrow(_near_star, "a long, b long, near boolean"))
+    # buckets with a member far from the smallest one, if there is a third member at all
+    mixed = star.where("m > 2").join(judged.where("not near"), ["a", "b"]).select("band").distinct()
+    parts = F.ceil(F.col("m") / crowd).cast("int")
+    inside = star.join(mixed, "band").select("band", F.col("a").alias("node"), parts.alias("parts"))
+    inside = inside.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    inside = inside.select("band", "node", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    met = inside.join(nodes.select("node", "sketch"), "node").groupBy("band", "lo", "hi").applyInArrow(_near_members, "a long, b long")
+    return judged.where("near").select("a", "b").unionByName(met)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Groups of ``nodes(node, bands, sketch)``: (node, root) for nodes that are near another, directly or through others."""
+    return components(near_pairs(nodes))
 
 
 def count_links(sets: list[np.ndarray], side: np.ndarray, cross: bool) -> np.ndarray:
@@ -198,8 +253,8 @@ def near_classes(docs: DataFrame, n: int = N, recall: float = RECALL) -> DataFra
     """
     bands, rows = bands_for(NUMERATOR / DENOMINATOR, recall)
     signed = signatures(docs, bands, rows, n)
-    classes = signed.groupBy("f1", "f2", "n").agg(F.min(F.struct("_id", "_tk")).alias("rep"), F.min("doc_id").alias("text_id"), F.first("bands").alias("bands"))
-    nodes = stored(classes.select(F.col("f1").alias("node"), "f2", "n", "rep._id", "rep._tk", "text_id", "bands"))
+    classes = signed.groupBy("f1", "f2", "n").agg(F.min(F.struct("_id", "_tk")).alias("rep"), F.min("doc_id").alias("text_id"), F.first(F.struct("bands", "sketch")).alias("s"))
+    nodes = stored(classes.select(F.col("f1").alias("node"), "f2", "n", "rep._id", "rep._tk", "text_id", "s.bands", "s.sketch"))
     links = stored(verified(docs, nodes, candidates(nodes), n))
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     linked = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -368,6 +368,7 @@ def test_jaccard_large_group_in_blocks(make_docs, monkeypatch):
         rows.append((i, " ".join(w)))
     docs = make_docs(rows)
     monkeypatch.setattr(jaccard.verified, "__defaults__", (5, 2000))
+    monkeypatch.setattr(jaccard.near_pairs, "__defaults__", (16,))
     assert rows_of(jaccard.op5(docs), "doc_id", "class_id", "text_id", "n_links") == brute_classes(rows)
 
 
@@ -376,6 +377,37 @@ def test_band_choice_reaches_recall():
     assert 1 - (1 - 0.8**rows) ** bands >= jaccard.RECALL and bands * rows <= jaccard.MAX_HASHES
 
 
+def test_jaccard_chain_of_weak_pairs_stays_apart(make_docs):
+    """Each text shares half of its n-grams with the next: bands collide along the chain, but no group grows out of that."""
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(60 * 202)]
+    rng.shuffle(words)
+    rows = [(i, " ".join(words[60 * i : 60 * i + 180])) for i in range(200)]
+    bands, per_band = jaccard.bands_for(0.8)
+    signed = jaccard.signatures(make_docs(rows), bands, per_band)
+    nodes = signed.select(F.col("f1").alias("node"), "bands", "sketch")
+    shared = nodes.select("node", F.explode("bands").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").count()
+    assert shared > 50
+    assert jaccard.candidates(nodes).count() < 20
+    assert all(r.n_links == 0 and r.class_id == r.doc_id for r in jaccard.op5(make_docs(rows)).collect())
+
+
+def test_jaccard_recall_of_random_edits(make_docs):
+    """Links found among texts at about the threshold, against all pairs."""
+    rng = random.Random(21)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(150)]
+        for k in range(5):
+            w = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                w[rng.randrange(len(w))] = f"x{g}{k}{rng.random()}"
+            rows.append((g * 10 + k, " ".join(w)))
+    want = Counter({r[0]: r[3] for r in brute_classes(rows)})
+    got = {r.doc_id: r.n_links for r in jaccard.op5(make_docs(rows)).collect()}
+    assert sum(want.values()) > 200 and sum(got.values()) >= 0.995 * sum(want.values()) and all(got[i] <= want[i] for i in got)
+
+
 def test_jaccard_empty(make_docs):
     assert jaccard.op5(make_docs([])).count() == 0
     assert jaccard.keep_one(make_docs([])).count() == 0
