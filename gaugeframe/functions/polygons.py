@@ -10,6 +10,9 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
 from gaugeframe.functions.boxes import polygon_area
+from gaugeframe.functions.planar import covered_area, crosses_itself
+
+FEW = 24  # corners up to which comparing all edges is the quicker way to the same answer
 
 
 def _raw_moments(points: Column) -> dict[str, Column]:
@@ -38,9 +41,49 @@ def _raw_moments(points: Column) -> dict[str, Column]:
 
 def with_hu_moments(df, points: str, out: str = "hu"):
     """Seven Hu moments of the filled polygon, null without area. Each step is its own projection to keep plans small."""
+    return _invariants(df.withColumns({f"_m{k}": v for k, v in _raw_moments(F.col(points)).items()}), out)
+
+
+def _mask_moments(rle: Column) -> Column:
+    """Pixel sums of x^p y^q over a row-major run-length mask, as a struct, from its runs: a run is what is below its end less what is below its begin.
+
+    Below place n lie ``n div width`` whole rows and the beginning of one more, so their sums are products of power sums in closed form.
+    """
+    width = rle["size"][1].cast("double")
+
+    def power_sum(n: Column, k: int) -> Column:
+        """0^k + 1^k + ... + (n - 1)^k"""
+        return [n, n * (n - 1) / 2, n * (n - 1) * (n * 2 - 1) / 6, n * n * (n - 1) * (n - 1) / 4][k]
+
+    def power(n: Column, k: int) -> Column:
+        return F.lit(1.0) if k == 0 else power(n, k - 1) * n if k > 1 else n
+
+    def below(place: Column) -> dict[str, Column]:
+        rows = F.floor(place / width).cast("double")
+        rest = place - rows * width
+        return {f"{p}{q}": power_sum(width, p) * power_sum(rows, q) + power_sum(rest, p) * power(rows, q) for p in range(4) for q in range(4 - p)}
+
+    zero = F.struct(F.lit(0.0).alias("place"), F.lit(False).alias("on"), *[F.lit(0.0).alias(f"m{p}{q}") for p in range(4) for q in range(4 - p)])
+
+    def add(acc: Column, run: Column) -> Column:
+        end = acc["place"] + run
+        low, high = below(acc["place"]), below(end)
+        sums = [(acc[f"m{k}"] + F.when(acc["on"], high[k] - low[k]).otherwise(0.0)).alias(f"m{k}") for k in low]
+        return F.struct(end.alias("place"), (~acc["on"]).alias("on"), *sums)
+
+    return F.aggregate(F.transform(rle["counts"], lambda c: c.cast("double")), zero, add)
+
+
+def with_mask_hu_moments(df, rle: str, out: str = "hu"):
+    """Seven Hu moments of a run-length mask, null for an empty one; the mask is never decoded."""
+    df = df.withColumn("_sums", _mask_moments(F.col(rle)))
+    keys = ("00", "10", "01", "20", "11", "02", "30", "21", "12", "03")
+    return _invariants(df.withColumns({f"_m{k}": F.col(f"_sums.m{k}") for k in keys}).drop("_sums"), out)
+
+
+def _invariants(df, out: str):
+    """Hu moments from the raw moments in ``_m00`` to ``_m03``, which are dropped."""
     names = [f"_m{k}" for k in ("00", "10", "01", "20", "11", "02", "30", "21", "12", "03")]
-    raw = _raw_moments(F.col(points))
-    df = df.withColumns({f"_m{k}": v for k, v in raw.items()})
     sign = F.signum("_m00")
     # without area every derived moment is null
     df = df.withColumns({n: F.col(n) * sign for n in names[1:]} | {"_m00": F.nullif(F.abs("_m00"), F.lit(0.0))})
@@ -99,6 +142,8 @@ def is_simple(p: Points) -> bool:
     n = len(p)
     if n < 3 or _area(p) == 0:
         return False
+    if n > FEW:
+        return not crosses_itself(np.array(p))
     e = list(_edges(p))
     return not any(_meet(*e[i], *e[j]) for i in range(n) for j in range(i + 2, n) if not (i == 0 and j == n - 1))
 
@@ -241,6 +286,11 @@ def _iou(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Serie
 _iou = _iou.asNondeterministic()
 
 
+@F.pandas_udf(DoubleType())
+def _covered(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else covered_area(np.stack([x, y], axis=1)) for x, y in zip(xs, ys)], dtype=float)
+
+
 def simple_polygon_check(points: Column) -> Column:
     """True for polygons of at least three points without self-intersection."""
     return _simple(*_split(points))
@@ -251,10 +301,11 @@ def polygon_iou(a: Column, b: Column) -> Column:
     return _iou(*_split(a), *_split(b))
 
 
-def simple_area(points: Column) -> Column:
-    """Shoelace area; fewer than three points have none, and a polygon that crosses itself gives NULL.
+def repaired_area(points: Column) -> Column:
+    """Area of the places a polygon winds around; fewer than three points have none.
 
-    Up to four corners that all turn the same way cannot cross, so triangles and boxes stay out of Python.
+    That is the shoelace area unless the polygon crosses itself.  Up to four corners that all turn the same way cannot cross, so triangles and
+    boxes stay out of Python.
     """
     n = F.size(points)
 
@@ -265,5 +316,4 @@ def simple_area(points: Column) -> Column:
     turns = F.transform(F.array(*[F.lit(i) for i in range(4)]), turn)
     one_way = F.forall(turns, lambda t: t > 0) | F.forall(turns, lambda t: t < 0)
     plain = F.coalesce((n < 4) | F.when(n == 4, one_way).otherwise(False), F.lit(False))
-    simple = plain | F.coalesce(simple_polygon_check(F.when(~plain, points)), F.lit(False))
-    return F.when(simple, polygon_area(points))
+    return F.when(plain, polygon_area(points)).otherwise(_covered(*_split(F.when(~plain, points))))

@@ -43,16 +43,17 @@ def frame_object_density(frames: DataFrame, objects: DataFrame, keys: Sequence[s
     full = (F.col("x1") - F.col("x0") >= size) & (F.col("y1") - F.col("y0") >= size)
     covered = clipped.groupBy(*tile).agg(F.max(full).alias("covered"))
     whole = covered.where("covered").groupBy(*keys).agg((F.count("*") * size * size).alias("area"))
-    partial = clipped.join(covered.where("not covered").select(*tile), tile)
+    partial = null_safe_join(clipped, covered.where("not covered").select(*tile), tile)
     edges = partial.select(*tile, F.explode(F.array("x0", "x1")).alias("xa")).distinct()
     slabs = edges.withColumn("xb", F.lead("xa").over(W.partitionBy(*tile).orderBy("xa"))).where("xb is not null")
-    active = partial.join(slabs, tile).where("xa >= x0 and xb <= x1")
+    active = null_safe_join(partial, slabs, tile).where("xa >= x0 and xb <= x1")
     above = W.partitionBy(*tile, "xa").orderBy("y0", "y1").rowsBetween(W.unboundedPreceding, -1)
     reach = F.greatest(F.col("y0"), F.coalesce(F.max("y1").over(above), F.col("y0")))
     rows = active.withColumn("len", F.greatest(F.col("y1") - reach, F.lit(0.0)))
     rims = rows.groupBy(*keys).agg(F.sum(F.col("len") * (F.col("xb") - F.col("xa"))).alias("area"))
     total = whole.unionByName(rims).groupBy(*keys).agg(F.sum("area").alias("area"))
-    return frames.select(*keys).join(total, keys, "left").select(*keys, (F.coalesce("area", F.lit(0.0)) * 100).alias("density"))
+    joined = null_safe_join(frames.select(*keys), total, keys, "left")
+    return joined.select(*keys, (F.coalesce("area", F.lit(0.0)) * 100).alias("density"))
 
 
 def _polygon_density(frames: DataFrame, objects: DataFrame, keys: list[str], cell: float) -> DataFrame:

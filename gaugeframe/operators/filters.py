@@ -96,6 +96,9 @@ def apply_search(
     return out
 
 
+LOOSE = 1024
+
+
 def _known(frame: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in frame])
 
@@ -103,9 +106,11 @@ def _known(frame: Sequence[str]) -> Column:
 def _in_frame(flag: Column, frame: Sequence[str]) -> Column:
     """Whether any row of the frame has the flag; rows of no frame never do.
 
-    A window reads its input once, so a chain of filters scans its table once; the rows of one frame meet in one task and spill there.
+    A window reads its input once, so a chain of filters scans its table once; the rows of one frame meet in one task and spill there.  Rows of no
+    frame, however many, are dealt over ``LOOSE`` windows of their own.
     """
-    return _known(frame) & F.coalesce(F.max(F.coalesce(flag, F.lit(False))).over(W.partitionBy(*frame)), F.lit(False))
+    dealt = F.when(~_known(frame), F.pmod(F.monotonically_increasing_id(), F.lit(LOOSE)))
+    return _known(frame) & F.coalesce(F.max(F.coalesce(flag, F.lit(False))).over(W.partitionBy(*frame, dealt)), F.lit(False))
 
 
 def _keep_na(df: DataFrame, column: str, hit: Column, frame: Sequence[str]) -> DataFrame:
@@ -222,8 +227,8 @@ def prediction_outcome(evaluated: DataFrame, false_negatives: DataFrame, outcome
 
 
 def classification_outcome(pairs: DataFrame, correct: bool) -> DataFrame:
-    """Correctly classified or mis-classified frames."""
-    same = F.col("gt_class") == F.col("pred_class")
+    """Correctly classified or mis-classified frames; a frame that lacks a class on either side is not classified correctly."""
+    same = F.coalesce(F.col("gt_class") == F.col("pred_class"), F.lit(False))
     return pairs.where(same if correct else ~same)
 
 

@@ -83,16 +83,12 @@ def remaining_pool(pool: DataFrame, labeled: DataFrame, key: str) -> DataFrame:
     return pool.join(labeled.select(key), key, "left_anti")
 
 
-def active_learning_rounds(pool: DataFrame, key: str, score_round: Callable[[DataFrame, DataFrame, int], DataFrame], batch: int, rounds: int, ascending: bool = False, seed: int = 42) -> DataFrame:
-    """Simulate rounds: score the unlabelled pool, label the best batch, repeat. Returns (key, round, score).
+def active_learning_round(pool: DataFrame, labeled: DataFrame, key: str, score: Column, batch: int, ascending: bool = False, seed: int = 42) -> DataFrame:
+    """The next batch to label, (key, score): the best scored of the pool's rows that are not labelled yet.
 
-    ``score_round(labeled, unlabeled, round)`` returns (key, score) from the caller's model.  Round 0 is random.
+    ``score`` is an acquisition function as a Column over the pool's predictions; rows without a score come last, in a fixed random order.
     """
-    start = random_score(pool.select(key), key, seed).withColumnRenamed("random", "score")
-    labeled = cut_lineage(select_n_best(start, key, "score", batch, True).select(key, F.lit(0).alias("round"), "score"))
-    for r in range(1, rounds + 1):
-        rest = remaining_pool(pool, labeled, key)
-        scored = score_round(labeled, rest, r)
-        best = select_n_best(scored.select(key, "score"), key, "score", batch, ascending)
-        labeled = cut_lineage(labeled.unionByName(best.select(key, F.lit(r).alias("round"), "score")))
-    return labeled
+    rest = remaining_pool(pool, labeled, key).select(key, score.alias("score"))
+    order = F.asc_nulls_last("score") if ascending else F.desc_nulls_last("score")
+    tie = F.when(F.col("score").isNull(), hash_order(F.col(key), seed))
+    return rest.orderBy(order, tie, key).limit(batch)

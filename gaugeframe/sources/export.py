@@ -59,21 +59,25 @@ def _measures(objects: DataFrame) -> DataFrame:
     })
 
 
-def coco_tables(frames: DataFrame, objects: DataFrame, categories: DataFrame, frame_metrics: Sequence[str] = (), object_metrics: Sequence[str] = ()) -> dict[str, DataFrame]:
+def coco_tables(frames: DataFrame, objects: DataFrame, categories: DataFrame, frame_metrics: Sequence[str] = (), object_metrics: Sequence[str] = (), within: str | None = None) -> dict[str, DataFrame]:
     """categories, images and annotations as rows of (id, json).
 
+    ``within`` names a column of frames and objects that tells documents apart: image, annotation and track ids then run inside each of them, and
+    images and annotations keep the column.
+
     ``frames``: frame_id, file_name, width, height, metrics; ``objects``: frame_id, obj_id, track, feature, x, y, w, h
     (relative), optional shape, points and theta, metrics; ``categories``: feature, name, supercategory.  Categories count from 1 in
     feature order, images and annotations from 1 in key order; track ids from 0.  Without ``shape`` an object with points is a polygon and
     any other a box; objects with too few points or an incomplete box are left out.
     """
     objects = _drawn(objects)
+    doc = [] if within is None else [within]
     cats = cut_lineage(ranked(categories, [], [F.asc("feature")], "id"))
-    imgs = cut_lineage(ranked(frames, [], [F.asc("frame_id")], "id"))
-    anns = ranked(objects, [], [F.asc("frame_id"), F.asc("obj_id")], "id")
-    tracks = ranked(objects.select("track").distinct(), [], [F.asc("track")], "track_no")
-    sized = anns.join(imgs.select("frame_id", F.col("id").alias("image_id"), "width", "height"), "frame_id")
-    named = _measures(sized.join(cats.select("feature", F.col("id").alias("category_id")), "feature").join(tracks, "track"))
+    imgs = cut_lineage(ranked(frames, doc, [F.asc("frame_id")], "id"))
+    anns = ranked(objects, doc, [F.asc("frame_id"), F.asc("obj_id")], "id")
+    tracks = ranked(objects.select(*doc, "track").distinct(), doc, [F.asc("track")], "track_no")
+    sized = anns.join(imgs.select(*doc, "frame_id", F.col("id").alias("image_id"), "width", "height"), [*doc, "frame_id"])
+    named = _measures(sized.join(cats.select("feature", F.col("id").alias("category_id")), "feature").join(tracks, [*doc, "track"]))
     metrics = [F.struct(*object_metrics).alias("metrics")] if object_metrics else []
     ann_json = F.to_json(F.struct(
         "id", "image_id", "category_id", F.col("_bbox").alias("bbox"), F.col("_area").alias("area"),
@@ -86,21 +90,26 @@ def coco_tables(frames: DataFrame, objects: DataFrame, categories: DataFrame, fr
     cat_json = F.to_json(F.struct("id", "name", "supercategory"))
     return {
         "categories": cats.select("id", cat_json.alias("json")),
-        "images": imgs.select("id", img_json.alias("json")),
-        "annotations": named.select("id", ann_json.alias("json")),
+        "images": imgs.select(*doc, "id", img_json.alias("json")),
+        "annotations": named.select(*doc, "id", ann_json.alias("json")),
     }
 
 
-def coco_lines(tables: dict[str, DataFrame], info: str = "{}") -> DataFrame:
-    """Ordered text lines whose concatenation is one COCO document; the element with id 1 carries no comma."""
+def coco_lines(tables: dict[str, DataFrame], info: str = "{}", within: DataFrame | None = None) -> DataFrame:
+    """Ordered text lines whose concatenation is one COCO document; the element with id 1 carries no comma.
+
+    ``within`` lists the documents where the tables hold several; its columns stay.
+    """
     spark = tables["images"].sparkSession
     parts = ["categories", "images", "annotations"]
     opening = [f'{{"info":{info},"categories":[', '],"images":[', '],"annotations":[']
     marks = [(i, 0, text) for i, text in enumerate(opening)] + [(len(parts), 0, "]}")]
     lines = spark.createDataFrame(marks, "section int, id long, line string")
+    doc = [] if within is None else within.columns
+    lines = lines if within is None else lines.join(F.broadcast(within))  # four marks for each
     for i, p in enumerate(parts):
         comma = F.when(F.col("id") == 1, F.col("json")).otherwise(F.concat(F.lit(","), F.col("json")))
-        lines = lines.unionByName(tables[p].select(F.lit(i).alias("section"), F.col("id").cast("long"), comma.alias("line")))
+        lines = lines.unionByName(tables[p].select(F.lit(i).alias("section"), F.col("id").cast("long"), comma.alias("line"), *doc))
     return lines
 
 
@@ -110,12 +119,17 @@ def write_coco(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def export_partitions(frames: DataFrame, objects: DataFrame, categories: DataFrame, partitions: DataFrame, names: Sequence[str], path: str) -> None:
-    """One COCO document per named partition (frame_id, partition); unassigned frames are left out."""
-    for name in names:
-        if name == UNASSIGNED:
-            continue
-        mine = partitions.where(F.col("partition") == name).select("frame_id")
-        write_coco(coco_tables(frames.join(mine, "frame_id", "left_semi"), objects.join(mine, "frame_id", "left_semi"), categories), f"{path}/partition={name}")
+    """One COCO document per named partition (frame_id, partition), in one job for any number of names; unassigned frames are left out.
+
+    Each document is the part files of a folder ``partition=<name>``, which concatenated in name order are the document.
+    """
+    wanted = [n for n in names if n != UNASSIGNED]
+    assigned = cut_lineage(partitions.where(F.col("partition").isin(wanted)).select("frame_id", "partition"))
+    tables = coco_tables(frames.join(assigned, "frame_id"), objects.join(assigned, "frame_id"), categories, within="partition")
+    documents = frames.sparkSession.createDataFrame([(n,) for n in wanted], "partition string")
+    tables["categories"] = tables["categories"].join(F.broadcast(documents))  # one row per name given
+    lines = coco_lines(tables, within=documents)
+    lines.orderBy("partition", "section", "id").select("line", "partition").write.mode("overwrite").partitionBy("partition").text(path)
 
 
 def nest_metrics(frames: DataFrame, objects: DataFrame, keys: Sequence[str], frame_metrics: Sequence[str], object_metrics: Sequence[str], id_col: str, chunk: int = 10_000) -> DataFrame:

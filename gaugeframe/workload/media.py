@@ -405,9 +405,9 @@ def polygon_iou(spark, d):
     return best.select("pred_id", F.col("iou").alias("box_iou"), (F.abs(PG.polygon_iou(a, b) - F.col("iou")) < 1e-9).alias("agrees"))
 
 
-@query("polygon_area", with_views("ann", """select obj_id, round(case l_linenumber % 4 when 0 then null when 1 then w * h when 2 then w * h * 0.75e0 else w * h * 0.5e0 end, 9) as area from ann"""))
+@query("polygon_area", with_views("ann", """select obj_id, round(case l_linenumber % 4 when 0 then w * h * 0.5e0 when 1 then w * h when 2 then w * h * 0.75e0 else w * h * 0.5e0 end, 9) as area from ann"""))
 def polygon_area(spark, d):
-    """Rectangles, L shapes, triangles, and rectangles drawn crosswise, which have no area."""
+    """Rectangles, L shapes, triangles, and rectangles drawn crosswise, which cover two triangles."""
     x, y, w, h = (F.col(c) for c in "xywh")
 
     def ring(*corners):
@@ -417,7 +417,7 @@ def polygon_area(spark, d):
     k = F.col("l_linenumber") % 4
     ell = ring(a, b, (x + w, y + h / 2), (x + w / 2, y + h / 2), (x + w / 2, y + h), e)
     points = F.when(k == 0, ring(a, c, b, e)).when(k == 1, ring(a, b, c, e)).when(k == 2, ell).otherwise(ring(a, b, c))
-    return V.dealt(V.ann(spark, d)).select("obj_id", F.round(PG.simple_area(points), 9).alias("area"))
+    return V.dealt(V.ann(spark, d)).select("obj_id", F.round(PG.repaired_area(points), 9).alias("area"))
 
 
 @query("simple_polygon_check", with_views("ann", "select obj_id, l_linenumber % 2 = 1 as simple from ann"))
@@ -433,6 +433,13 @@ def hu_moments(spark, d):
     return PG.with_hu_moments(a, "points").select("obj_id", F.round(F.col("hu")[0], 6).alias("hu1"), F.round(F.col("hu")[1], 6).alias("hu2"))
 
 
+@query("mask_hu_moments", with_views("ann", """select obj_id, round((rw * rw + rh * rh - 2) / (12e0 * rw * rh), 9) as hu1, round(((rw * rw - rh * rh) / (12e0 * rw * rh)) ** 2, 9) as hu2 from mask""", MASK_SQL))
+def mask_hu_moments(spark, d):
+    """Rectangles on a raster, whose pixel sums have a closed form of their own."""
+    masks = mask_objects(spark, d, "O", "obj_id").unionByName(mask_objects(spark, d, "F", "obj_id"))
+    return PG.with_mask_hu_moments(masks, "rle").select("obj_id", F.round(F.col("hu")[0], 9).alias("hu1"), F.round(F.col("hu")[1], 9).alias("hu2"))
+
+
 # ---- images: the bytes of a document as 16-pixel-wide colour rows, padded with black
 
 def images(spark, d):

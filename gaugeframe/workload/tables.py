@@ -354,17 +354,12 @@ def remaining_pool(spark, d):
     return T.remaining_pool(V.ann(spark, d).select("obj_id", "l_partkey"), lab, "l_partkey").select("obj_id")
 
 
-@query("active_learning_rounds")
-def active_learning_rounds(spark, d):
-    """Three rounds of entropy sampling; the stand-in model sharpens its probabilities every round."""
-    p = V.probs(spark, d).select("vec_id", "probs")
-
-    def score(labeled, rest, r):
-        sharp = F.transform("probs", lambda v: F.pow(v, F.lit(1.0 + r)))
-        total = F.aggregate(sharp, F.lit(0.0), lambda acc, v: acc + v)
-        return rest.select("vec_id", entropy(F.transform(sharp, lambda v: v / total)).alias("score"))
-
-    return T.active_learning_rounds(p, "vec_id", score, 20, 3)
+@query("active_learning_round", with_views("probs", """select vec_id, round(-(p1 * log2(p1) + p2 * log2(p2) + p3 * log2(p3) + p4 * log2(p4)), 9) as score from probs
+where vec_id not in (select doc_id from labels) order by score desc, vec_id limit 60"""))
+def active_learning_round(spark, d):
+    """The 60 most uncertain items without a label."""
+    labeled = V.table(spark, d, "labels").select(F.col("doc_id").alias("vec_id")).distinct()
+    return T.active_learning_round(V.probs(spark, d), labeled, "vec_id", F.round(entropy(F.col("probs")), 9), 60)
 
 
 # ---- scalar functions

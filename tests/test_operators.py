@@ -153,12 +153,14 @@ def test_partition_sizes(spark, n):
     assert sum(sizes.values()) == n and sizes.get("a", 0) == n * 33 // 100 and sizes.get("b", 0) == n * 33 // 100
 
 
-def test_active_learning_never_repeats_items(spark):
-    pool = spark.range(30).withColumn("s", F.col("id") / 30)
-    out = T.active_learning_rounds(pool, "id", lambda lab, rest, r: rest.select("id", F.col("s").alias("score")), 5, 3).collect()
-    assert len({r["id"] for r in out}) == 20 and [sum(r["round"] == k for r in out) for k in range(4)] == [5] * 4
-    first = {r["id"] for r in out if r["round"] == 0}
-    assert {r["id"] for r in out if r["round"] == 1} == set(sorted(set(range(30)) - first)[-5:])
+def test_active_learning_round_takes_the_best_unlabelled(spark):
+    pool = spark.createDataFrame([(i, None if i % 10 == 9 else i / 30) for i in range(30)], "id long, s double")
+    labeled = spark.createDataFrame([(27,), (28,), (500,)], "id long")
+    got = [tuple(r) for r in T.active_learning_round(pool, labeled, "id", F.col("s"), 4).collect()]
+    assert [i for i, _ in got] == [26, 25, 24, 23]
+    assert [r.id for r in T.active_learning_round(pool, labeled, "id", F.col("s"), 2, ascending=True).collect()] == [0, 1]
+    every = T.active_learning_round(pool, labeled, "id", F.col("s"), 99).collect()
+    assert len(every) == 28 and {r.id for r in every[-3:]} == {9, 19, 29}
 
 
 def test_natural_order(spark):

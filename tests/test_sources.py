@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from gaugeframe.functions import masks as K, polygons as PG
+from gaugeframe.functions import masks as K, planar, polygons as PG
 from gaugeframe.functions.images import image_metrics
 from gaugeframe.operators import matching as M
 from gaugeframe.operators.extensions import apply_label_transformer
@@ -180,12 +180,83 @@ def test_export_of_every_shape(spark):
 
 def test_area_of_crossing_polygons(spark):
     star = [(math.cos(4 * math.pi * k / 5), math.sin(4 * math.pi * k / 5)) for k in range(5)]
-    cases = {"bow": ([(0, 0), (1, 1), (1, 0), (0, 1)], None), "square": ([(0, 0), (1, 0), (1, 1), (0, 1)], 1), "dart": ([(0, 0), (2, 0), (2, 2), (1, 0.5)], 1.5 / 2 + 0.25),
-             "star": (star, None), "two": ([(0, 0), (1, 1)], 0), "none": ([], 0), "flat": ([(0, 0), (1, 1), (2, 2)], 0)}
+    inner = math.sin(math.radians(18)) / math.sin(math.radians(126))  # where the star's lines cross
+    loop = [(0, 0), (4, 0), (4, 3), (1, 3), (1, 1), (3, 1), (3, 4), (0, 4)]  # a band whose end runs over its own beginning
+    cases = {
+        "bow": ([(0, 0), (1, 1), (1, 0), (0, 1)], 0.5), "square": ([(0, 0), (1, 0), (1, 1), (0, 1)], 1), "dart": ([(0, 0), (2, 0), (2, 2), (1, 0.5)], 1.5),
+        "star": (star, 5 * inner * math.sin(math.radians(36))), "two": ([(0, 0), (1, 1)], 0), "none": ([], 0), "flat": ([(0, 0), (1, 1), (2, 2)], 0),
+        "twice": ([(0, 0), (1, 0), (1, 1), (0, 1)] * 2, 1), "loop": (loop, 4 * 3 + 3 * 1), "flat crossing": ([(0, 0), (3, 3), (1, 1), (2, 2)], 0),
+    }
     df = spark.createDataFrame([(k, [{"x": float(x), "y": float(y)} for x, y in p]) for k, (p, _) in cases.items()], "k string, p array<struct<x:double,y:double>>")
-    got = {r["k"]: r["a"] for r in df.select("k", PG.simple_area(F.col("p")).alias("a")).collect()}
-    shoelace = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(cases["dart"][0], cases["dart"][0][1:] + cases["dart"][0][:1]))) / 2
-    assert got["dart"] == pytest.approx(shoelace) and {k: v for k, v in got.items() if k != "dart"} == {k: v for k, (_, v) in cases.items() if k != "dart"}
+    got = {r["k"]: r["a"] for r in df.select("k", PG.repaired_area(F.col("p")).alias("a")).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, (_, v) in cases.items()}
+
+
+def _ring(n, seed=0, noise=0.2):
+    rng = np.random.default_rng(seed)
+    angle = np.arange(n) * 2 * np.pi / n
+    radius = 1 + noise * rng.random(n)
+    return np.stack([radius * np.cos(angle), radius * np.sin(angle)], axis=1)
+
+
+def test_planar_edges_agree_with_all_pairs():
+    rng = np.random.default_rng(3)
+    for n in (4, 9, 40, 90):
+        for seed in range(6):
+            p = _ring(n, seed, 0.5)
+            if seed % 2:
+                i, j = rng.integers(0, n, 2)
+                p[[i, j]] = p[[j, i]]
+            if seed == 4:
+                p = np.round(rng.random((n, 2)) * 6)
+            q = [tuple(x) for x in p.tolist()]
+            e = list(PG._edges(q))
+            every = any(PG._meet(*e[i], *e[j]) for i in range(n) for j in range(i + 2, n) if not (i == 0 and j == n - 1))
+            assert planar.crosses_itself(p) == every
+            if not every:
+                assert planar.covered_area(p) == pytest.approx(abs(PG._area(q)))
+            else:  # winding numbers at random places
+                lo, hi = p.min(axis=0), p.max(axis=0)
+                at = lo + rng.random((4000, 2)) * (hi - lo)
+                after = np.roll(p, -1, axis=0)
+                up = (p[:, 1] <= at[:, None, 1]) & (after[:, 1] > at[:, None, 1])
+                down = (after[:, 1] <= at[:, None, 1]) & (p[:, 1] > at[:, None, 1])
+                side = (after[:, 0] - p[:, 0]) * (at[:, None, 1] - p[:, 1]) - (at[:, None, 0] - p[:, 0]) * (after[:, 1] - p[:, 1])
+                winding = (up & (side > 0)).sum(axis=1) - (down & (side < 0)).sum(axis=1)
+                assert planar.covered_area(p) == pytest.approx((winding != 0).mean() * np.prod(hi - lo), abs=0.05 * np.prod(hi - lo))
+
+
+def test_planar_work_grows_below_the_square():
+    def pairs(n):
+        p = _ring(n, 1, 20 / n)
+        assert not planar.crosses_itself(p) and planar.covered_area(p) == pytest.approx(abs(PG._area([tuple(x) for x in p.tolist()])))
+        return sum(len(i) for i, _ in planar.neighbours(*planar._edges(p)))
+
+    small, large = pairs(1250), pairs(10_000)
+    assert large < 16 * small  # eight times the corners; all pairs would be 64 times as many
+
+
+def test_mask_moments_equal_those_of_the_pixels(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k, (h, w) in enumerate([(5, 7), (12, 3), (1, 9), (20, 20), (4, 4)]):
+        mask = (rng.random((h, w)) < 0.5) if k != 4 else np.zeros((h, w), dtype=bool)
+        flat = mask.ravel().astype(int)
+        edges = np.flatnonzero(np.diff(np.r_[0, flat]))
+        runs = np.diff(np.r_[0, edges, len(flat)]).tolist()
+        rows.append((k, ([h, w], runs), mask))
+    df = spark.createDataFrame([(k, r) for k, r, _ in rows], "k int, rle struct<size:array<int>, counts:array<int>>")
+    got = {r.k: r.hu for r in PG.with_mask_hu_moments(df, "rle").collect()}
+    assert got[4] is None
+    for k, _, mask in rows[:4]:
+        y, x = np.nonzero(mask)
+        n = len(x)
+        x, y = x - x.mean(), y - y.mean()
+        eta = {(p, q): (x**p * y**q).sum() / n ** (1 + (p + q) / 2) for p in range(4) for q in range(4 - p)}
+        first = eta[2, 0] + eta[0, 2]
+        second = (eta[2, 0] - eta[0, 2]) ** 2 + 4 * eta[1, 1] ** 2
+        third = (eta[3, 0] - 3 * eta[1, 2]) ** 2 + (3 * eta[2, 1] - eta[0, 3]) ** 2
+        assert got[k][:3] == pytest.approx([first, second, third], rel=1e-6, abs=1e-9)
 
 
 def test_kitti_names_and_units_are_parameters(spark):
@@ -221,7 +292,13 @@ def test_coco_export_is_one_document(spark, tmp_path):
     assert [c["id"] for c in doc["categories"]] == [1, 2] and len(doc["images"]) == 2
     assert doc["annotations"][0]["bbox"] == [10.0, 10.0, 50.0, 25.0] and doc["annotations"][1]["image_id"] == 2
     EX.export_partitions(frames, objects, cats, parts, ["train", "Unassigned"], str(tmp_path / "parts"))
-    assert [p.name for p in (tmp_path / "parts").iterdir()] == ["partition=train"]
+    assert [p.name for p in (tmp_path / "parts").iterdir() if p.is_dir()] == ["partition=train"]
+    several = spark.createDataFrame([(7, "x"), (9, "y")], "frame_id int, partition string")
+    EX.export_partitions(frames, objects, cats, several, ["x", "y", "empty"], str(tmp_path / "three"))
+    for name, image, box in (("x", "a.png", [10.0, 10.0, 50.0, 25.0]), ("y", "b.png", [0.0, 0.0, 10.0, 10.0]), ("empty", None, None)):
+        own = json.loads("".join(p.read_text() for p in sorted((tmp_path / "three" / f"partition={name}").glob("part-*"))))
+        assert len(own["categories"]) == 2 and [i["file_name"] for i in own["images"]] == ([image] if image else [])
+        assert [(a["id"], a["image_id"], a["attributes"]["track_id"], a["bbox"]) for a in own["annotations"]] == ([(1, 1, 0, box)] if image else [])
     split = json.loads("".join(p.read_text() for p in sorted((tmp_path / "parts" / "partition=train").glob("part-*"))))
     assert [i["file_name"] for i in split["images"]] == ["a.png"]
 
