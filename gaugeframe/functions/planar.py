@@ -102,15 +102,16 @@ def _crossing_xs(e: tuple[np.ndarray, ...]) -> list[np.ndarray]:
     return out
 
 
-def covered_area(points: np.ndarray, slabs_at_once: int = 1 << 12) -> float:
-    """Area of all places that the outline winds around, however often and in whichever direction.
+def covered_area(*outlines: np.ndarray, slabs_at_once: int = 1 << 12) -> float:
+    """Area of all places that every one of the outlines winds around, however often and in whichever direction.
 
     The plane is cut at every corner and crossing into vertical slabs, in which no two edges cross; inside one, the winding number between two neighbouring edges
     is the sum of the directions of the edges below, and the places where it is not zero are trapezoids, measured at the middle of the slab.
     """
-    if len(points) < 3:
+    if any(len(points) < 3 for points in outlines):
         return 0.0
-    e = _edges(points)
+    e = tuple(np.concatenate(c) for c in zip(*[_edges(points) for points in outlines]))
+    owner = np.repeat(np.arange(len(outlines)), [len(points) for points in outlines])
     x0, y0, x1, y1 = e
     xs = np.unique(np.concatenate([x0, *_crossing_xs(e)]))
     if len(xs) < 2:
@@ -127,7 +128,10 @@ def covered_area(points: np.ndarray, slabs_at_once: int = 1 << 12) -> float:
         order = np.lexsort((y, slab))
         slab, y, edge = slab[order], y[order], edge[order]
         # a closed outline enters and leaves every slab equally often, so the sum starts at zero again in the next one
-        winding = np.cumsum(np.where(x1[edge] > x0[edge], 1, -1))
-        inside = np.flatnonzero(winding[:-1] != 0)
+        turns = np.where(x1[edge] > x0[edge], 1, -1)
+        inside = np.ones(max(len(edge) - 1, 0), dtype=bool)
+        for k in range(len(outlines)):
+            inside &= np.cumsum(np.where(owner[edge] == k, turns, 0))[:-1] != 0
+        inside = np.flatnonzero(inside)
         total += float(((xs[slab[inside] + 1] - xs[slab[inside]]) * (y[inside + 1] - y[inside])).sum())
     return total

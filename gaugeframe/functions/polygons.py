@@ -11,6 +11,7 @@ from pyspark.sql.types import BooleanType, DoubleType
 
 from gaugeframe.functions.boxes import polygon_area
 from gaugeframe.functions.planar import covered_area, crosses_itself
+from gaugeframe.functions.polygon_batches import in_groups, ious, simple
 
 FEW = 24  # corners up to which comparing all edges is the quicker way to the same answer
 
@@ -252,7 +253,9 @@ def overlap(p: Points, q: Points, known: dict | None = None) -> float:
     (simple_p, convex_p, area_p), (simple_q, convex_q, area_q) = _traits(p, known), _traits(q, known)
     if not (simple_p and simple_q):
         return 0.0
-    if convex_p or convex_q:
+    if max(len(p), len(q)) > FEW:
+        inter = covered_area(np.array(p), np.array(q))
+    elif convex_p or convex_q:
         window, subject, turned = (q, p, area_q) if convex_q else (p, q, area_p)
         cut = _clip(subject, window if turned > 0 else window[::-1])
         inter = abs(_area(cut)) if len(cut) >= 3 else 0.0
@@ -273,13 +276,14 @@ def _zip(xs, ys) -> Points:
 
 @F.pandas_udf(BooleanType())
 def _simple(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    return pd.Series([is_simple(_zip(x, y)) for x, y in zip(xs, ys)], dtype=bool)
+    return pd.Series(in_groups([list(xs), list(ys)], simple, lambda x, y: is_simple(_zip(x, y)), False), dtype=bool)
 
 
 @F.pandas_udf(DoubleType())
 def _iou(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
     known: dict = {}
-    return pd.Series([overlap(_zip(a, b), _zip(c, d), known) for a, b, c, d in zip(ax, ay, bx, by)], dtype=float)
+    return pd.Series(in_groups(
+        [list(ax), list(ay), list(bx), list(by)], ious, lambda a, b, c, d: overlap(_zip(a, b), _zip(c, d), known), 0.0), dtype=float)
 
 
 # else a filter on the result would be planned below it, with a second run of its own

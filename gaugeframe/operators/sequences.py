@@ -11,6 +11,7 @@ from gaugeframe.functions.polygons import simple_polygon_check
 from gaugeframe.plans.joins import null_safe_join
 from gaugeframe.plans.scan import ranked
 from gaugeframe.plans.spatial import DEFAULT_CELL, best_overlap, geometry, has_area, with_bounds
+from gaugeframe.session import cut_lineage
 
 # IoU limits of the track metrics and distance limits of the occlusion levels.
 TRACK_IOU, MISSING_IOU = 0.8, 0.5
@@ -64,7 +65,8 @@ def missing_or_broken_tracks(objects: DataFrame, seq: str = "seq_id", frame: str
     shape = geometry(shaped)
     all_objects = shaped.select(seq, frame, id_col, track, cls, *shape)
     valid = all_objects.where(_valid(shape))
-    placed = null_safe_join(valid, frame_positions(valid, seq, frame), [seq, frame])
+    # both overlap joins read these rows several times
+    placed = cut_lineage(null_safe_join(valid, frame_positions(valid, seq, frame), [seq, frame]))
     keys = [seq, cls, "_ref"]
 
     def at(df: DataFrame, back: int, name: str) -> DataFrame:
@@ -75,7 +77,7 @@ def missing_or_broken_tracks(objects: DataFrame, seq: str = "seq_id", frame: str
         renames = {"iou": f"{name}_iou", f"best_{id_col}": f"{name}_id", f"best_{track}": f"{name}_track"}
         return found.drop("_ref").withColumnsRenamed(renames)
 
-    seen = at(at(placed.where("pos > 2"), 2, "old"), 1, "mid")
+    seen = at(cut_lineage(at(placed.where("pos > 2"), 2, "old")), 1, "mid")
     similar = (F.col("old_iou") > 0) & (F.col("old_iou") >= F.lit(MISSING_IOU / 2))
     bridged = F.col("mid_iou") > F.lit(MISSING_IOU)
     whole = (F.col("old_track") == F.col(track)) & (F.col("mid_track") == F.col(track))

@@ -123,7 +123,7 @@ def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: fl
         met = met.where(F.col("rle").isNull() == F.col("r_rle").isNull())
     if (polygons or masks) and least > 0:
         met = met.where(_iou_bound(polygons, masks) >= F.lit(least - 1e-9))
-    return met.withColumn("iou", overlap(_shape_iou(polygons, masks))).where("iou > 0").drop("_cx", "_cy")
+    return met.withColumn("iou", _shape_iou(polygons, masks)).where("iou > 0").withColumn("iou", overlap(F.col("iou"))).drop("_cx", "_cy")
 
 
 def best_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], right_id: str, cell: float = DEFAULT_CELL, carry: Sequence[str] = (), least: float = 0.0) -> DataFrame:

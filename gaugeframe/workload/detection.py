@@ -330,22 +330,21 @@ POSED = V.SHAPE_SQL + """, place as (select seq_id, frame, row_number() over (pa
 prect as (select r.*, pos from rect r join place using (seq_id, frame)), pobj as (select o.*, pos from obj o join place using (seq_id, frame))"""
 
 
-@query("annotation_duplicates_polygons", with_views("trk", """select seq_id, frame, cls as feature, o.obj_id, round(score, 6) as score,
+@query("annotation_duplicates_polygons", with_views("trk", """select seq_id, frame, cls as feature, o.obj_id, score,
 case when o.partner is null then 'Possible non duplicated object' else 'Possible duplicates' end as description from flag o
 where not exists (select 1 from flag b where b.obj_id = o.partner and b.partner = o.obj_id and b.obj_id < o.obj_id)""",
 POSED + ", " + _best_shape("top", 0, True, "and a.obj_id <> b.obj_id") + """,
 flag as (select o.seq_id, o.frame, o.cls, o.obj_id, case when t.iou >= 0.6e0 then t.other end as partner, coalesce(t.iou, 0e0) as score
 from pobj o left join top t on o.obj_id = t.obj_id)"""))
 def annotation_duplicates_polygons(spark, d):
-    got = M.annotation_duplicates(V.shapes(spark, d), ["seq_id", "frame", "feature"])
-    return rounded(got.drop("partner"), "score", digits=6)
+    return M.annotation_duplicates(V.shapes(spark, d), ["seq_id", "frame", "feature"]).drop("partner")
 
 
 @query("track_consistency_polygons", with_views("trk", """select seq_id, frame, p.obj_id,
-round(case when v.iou > 0.8e0 and v.track <> p.track_id then 1 - v.iou else 1e0 end, 6) as score from pobj p left join v on p.obj_id = v.obj_id where pos > 1""",
+case when v.iou > 0.8e0 and v.track <> p.track_id then 1 - v.iou else 1e0 end as score from pobj p left join v on p.obj_id = v.obj_id where pos > 1""",
 POSED + ", " + _best_shape("v", 1, False)))
 def track_consistency_polygons(spark, d):
-    return rounded(Q.track_consistency(V.shapes(spark, d)).drop("description"), "score", digits=6)
+    return Q.track_consistency(V.shapes(spark, d)).drop("description")
 
 
 @query("missing_tracks_polygons", with_views("trk", """select obj_id, min(score) as score from (select

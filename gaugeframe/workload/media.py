@@ -399,7 +399,7 @@ def masks_to_objects(spark, d):
 @query("polygon_iou", with_views("best", "select pred_id, iou as box_iou, true as agrees from best"))
 def polygon_iou(spark, d):
     g = V.gt(spark, d)
-    best = best_overlap(V.pred(spark, d), g, ["frame_id", "feature"], "label_id", carry=["x", "y", "w", "h"]).where("iou > 0")
+    best = best_overlap(V.pred(spark, d), g, ["frame_id", "feature"], "label_id", carry=["x", "y", "w", "h"]).where("best_label_id is not null")
     a = B.box_points(*[F.col(c) for c in "xywh"])
     b = B.box_points(*[F.col(f"best_{c}") for c in "xywh"])
     return best.select("pred_id", F.col("iou").alias("box_iou"), (F.abs(PG.polygon_iou(a, b) - F.col("iou")) < 1e-9).alias("agrees"))

@@ -10,6 +10,7 @@ from gaugeframe.functions import boxes as B, polygons as PG, scalar as S
 from gaugeframe.operators import density as D, evaluation as E, filters as X, matching as M, sequences as Q, summary as A
 from gaugeframe.plans.quantiles import linear_quantiles, order_statistics
 from gaugeframe.plans.scan import running
+from gaugeframe.plans.spatial import best_other, with_bounds
 
 
 def test_running_keeps_null_keys(spark):
@@ -118,3 +119,26 @@ def test_objects_without_box_or_class_stay(spark):
     scored = {r.obj_id: r.score for r in Q.track_consistency(placed).collect()}
     assert scored == {"a2": 1.0, "b2": 1.0, "c2": 1.0, "d2": 1.0, "e": 0.0, "e2": 0.0}
     assert D.frame_object_density(df.select("frame_id").distinct(), df, ["frame_id"]).first().density == pytest.approx(25.0)
+
+
+def test_overlaps_of_exactly_a_half_and_a_quarter(spark):
+    """Ties and limits do not hang on the shape's kind or on the order of clipping."""
+    def shape(i, frame, track, pts=None, box=None):
+        return (0, frame, i, track, "c", *(box or (None,) * 4), None if pts is None else [{"x": x, "y": y} for x, y in pts])
+
+    box = (0.1, 0.1, 0.3, 0.3)
+    ell = [(0.1, 0.1), (0.4, 0.1), (0.4, 0.25), (0.25, 0.25), (0.25, 0.4), (0.1, 0.4)]  # three quarters of the box
+    half = (0.1, 0.1, 0.3, 0.15)
+    quarter = (0.1, 0.1, 0.15, 0.15)
+    schema = "seq_id int, frame int, obj_id string, track_id int, feature string, x double, y double, w double, h double, points array<struct<x:double,y:double>>"
+    rows = [shape("old", 0, 1, box=box), shape("mid", 1, 1, box=half), shape("ell", 1, 2, pts=ell), shape("now", 2, 1, box=box)]
+    got = {r.obj_id: r.score for r in Q.missing_or_broken_tracks(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"now": 0.5}  # the L bridges with 0.75, on another track
+    exact = [shape("old", 0, 1, box=box), shape("mid", 1, 1, box=half), shape("now", 2, 1, box=box)]
+    assert {r.obj_id: r.score for r in Q.missing_or_broken_tracks(spark.createDataFrame(exact, schema)).collect()} == {"old": 0.0}  # exactly a half bridges nothing
+    edge = [shape("old", 0, 1, box=quarter), shape("mid", 1, 1, box=box), shape("now", 2, 1, box=box)]
+    assert {r.obj_id: r.score for r in Q.missing_or_broken_tracks(spark.createDataFrame(edge, schema)).collect()} == {"now": 1.0}  # exactly a quarter is similar
+    thirds = [(0.1, 0.1), (0.4, 0.1), (0.4, 0.2), (0.1, 0.2)]
+    pairs = spark.createDataFrame([shape("a", 0, 1, box=half), shape("b", 0, 2, pts=thirds), shape("c", 0, 3, pts=ell)], schema)
+    for r in best_other(with_bounds(pairs), ["seq_id", "frame"], "obj_id").collect():
+        assert r.iou == round(r.iou, 9)

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from gaugeframe.functions import masks as K, planar, polygons as PG
+from gaugeframe.functions import masks as K, planar, polygon_batches, polygons as PG
 from gaugeframe.functions.images import image_metrics
 from gaugeframe.operators import matching as M
 from gaugeframe.operators.extensions import apply_label_transformer
@@ -226,6 +226,28 @@ def test_planar_edges_agree_with_all_pairs():
                 assert planar.covered_area(p) == pytest.approx((winding != 0).mean() * np.prod(hi - lo), abs=0.05 * np.prod(hi - lo))
 
 
+def test_batches_of_small_polygons_equal_single_ones():
+    rng = np.random.default_rng(8)
+    for n, m in ((3, 3), (4, 4), (4, 6), (7, 5), (9, 9)):
+        px, py, qx, qy = (np.round(rng.random((200, k)) * 4) / 2 if seed else rng.random((200, k)) for seed, k in ((0, n), (0, n), (1, m), (1, m)))
+        ring_p, ring_q = _ring(n, 1, 0.6), _ring(m, 2, 0.6)
+        px[:100], py[:100] = ring_p[:, 0] + rng.random((100, 1)), ring_p[:, 1] + rng.random((100, 1))
+        qx[:100], qy[:100] = ring_q[:, 0], ring_q[:, 1]
+        p, q = ([list(zip(a, b)) for a, b in zip(x.tolist(), y.tolist())] for x, y in ((px, py), (qx, qy)))
+        assert polygon_batches.simple(px, py).tolist() == [PG.is_simple(x) for x in p]
+        assert polygon_batches.ious(px, py, qx, qy) == pytest.approx([PG.overlap(a, b) for a, b in zip(p, q)], abs=1e-12)
+
+
+def test_overlap_of_large_polygons():
+    a, b = _ring(2000, 1, 0.002), _ring(1500, 2, 0.002) + [0.7, 0.1]
+    points = [[tuple(x) for x in r.tolist()] for r in (a, b)]
+    common = planar.covered_area(a, b)
+    assert planar.covered_area(a, a) == pytest.approx(planar.covered_area(a))
+    assert PG.overlap(*points) == pytest.approx(common / (planar.covered_area(a) + planar.covered_area(b) - common))
+    small = [[tuple(x) for x in _ring(k, k, 0.4).tolist()] for k in (20, 23)]
+    assert planar.covered_area(*[np.array(p) for p in small]) == pytest.approx(abs(PG._fan_overlap(*small)))
+
+
 def test_planar_work_grows_below_the_square():
     def pairs(n):
         p = _ring(n, 1, 20 / n)
