@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gaugeframe.functions.vectors import cosine_similarity, entropy, least_confidence, margin, max_prob, variance
 from gaugeframe.plans.neighbours import adjacent_earlier, knn_join, nearest_beyond, place, unit_vectors
@@ -131,6 +135,91 @@ def reduce_2d(df: DataFrame, id_col: str, vector: str, keep: Sequence[str] = ())
     return out.select(id_col, *keep, F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
 
 
+def covariance_sketches(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., n, mean, scatter): count, mean and centred scatter matrix (flat) of the vectors, one row per key of ``by`` and map task.
+
+    Sketches of disjoint rows merge (:func:`merged_sketch`), so the reduction of any union of keys needs no second look at the vectors.  Vectors that are
+    NULL, hold NULL, or differ in length from the first of their task are left out.
+    """
+    by = list(by)
+    c = F.col(vector).cast("array<double>")
+    rows = df.where(c.isNotNull() & (F.size(c) > 0) & F.forall(c, lambda v: v.isNotNull())).select(*by, c.alias("_v"))
+    schema = StructType([*rows.select(*by).schema.fields, *StructType.fromDDL("n long, mean array<double>, scatter array<double>").fields])
+
+    def run(batches):
+        kept: dict[tuple, tuple[int, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            keys = list(zip(*[batch[c].to_pylist() for c in by])) if by else [()] * batch.num_rows
+            offsets, flat = batch["_v"].offsets.to_numpy(), batch["_v"].values.to_numpy(zero_copy_only=False)
+            at: dict[tuple, list[int]] = {}
+            for i, k in enumerate(keys):
+                at.setdefault(k, []).append(i)
+            for k, members in at.items():
+                d = len(kept[k][1]) if k in kept else offsets[members[0] + 1] - offsets[members[0]]
+                x = np.array([flat[offsets[i] : offsets[i + 1]] for i in members if offsets[i + 1] - offsets[i] == d])
+                mean = x.mean(axis=0)
+                found = (len(x), mean, (x - mean).T @ (x - mean))
+                kept[k] = merged(kept[k], found) if k in kept else found
+        if kept:
+            columns = [pa.array([k[i] for k in kept], schema_arrow.field(i).type) for i in range(len(by))]
+            n, mean, scatter = zip(*kept.values())
+            yield pa.record_batch([*columns, pa.array(n, pa.int64()), pa.array([m.tolist() for m in mean]), pa.array([m.ravel().tolist() for m in scatter])], schema=schema_arrow)
+
+    schema_arrow = to_arrow_schema(schema)
+    return rows.mapInArrow(run, schema)
+
+
+def merged(a: tuple[int, np.ndarray, np.ndarray], b: tuple[int, np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Sketch of the rows of both; sketches of different lengths do not merge, the larger one stays."""
+    if len(a[1]) != len(b[1]):
+        return max(a, b, key=lambda s: s[0])
+    n = a[0] + b[0]
+    gap = b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
+
+
+def merged_sketch(sketches: DataFrame) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """One sketch of all rows of a sketch table, merged in a tree of Spark aggregations."""
+    def run(rows):
+        total = None
+        for n, mean, scatter in zip(rows["n"].to_pylist(), rows["mean"].to_pylist(), rows["scatter"].to_pylist()):
+            one = (n, np.array(mean), np.array(scatter).reshape(len(mean), -1))
+            total = one if total is None else merged(total, one)
+        return pa.table({"n": [total[0]], "mean": [total[1].tolist()], "scatter": [total[2].ravel().tolist()]})
+
+    ddl = "n long, mean array<double>, scatter array<double>"
+    level = sketches.select("n", "mean", "scatter")
+    # a few hundred sketches a group: the first level leaves one row per bucket, the second one row
+    for buckets in (64, 1):
+        level = level.withColumn("bucket", F.pmod(F.xxhash64("n", "mean"), F.lit(buckets))).groupBy("bucket").applyInArrow(run, ddl)
+    rows = level.collect()
+    return (rows[0].n, np.array(rows[0].mean), np.array(rows[0].scatter).reshape(len(rows[0].mean), -1)) if rows else None
+
+
+def reduce_from_sketch(df: DataFrame, id_col: str, vector: str, sketch: tuple[int, np.ndarray, np.ndarray] | None, keep: Sequence[str] = ()) -> DataFrame:
+    """2-D principal coordinates (x, y), centred, of the rows of ``df`` by the two leading axes of a sketch; an axis points to its largest entry."""
+    if sketch is None or sketch[0] < 4:
+        raise ValueError("a 2-D reduction needs at least four embeddings")
+    values, axes = np.linalg.eigh(sketch[2] / sketch[0])
+    lead = axes[:, np.argsort(-values, kind="stable")[:2]]
+    lead = lead * np.sign(lead[np.abs(lead).argmax(axis=0), np.arange(lead.shape[1])])
+    # bounded: the dimension of the vectors
+    mean = F.array(*[F.lit(float(m)) for m in sketch[1]])
+
+    def along(axis: np.ndarray) -> Column:
+        parts = F.zip_with(F.zip_with(F.col(vector).cast("array<double>"), mean, lambda v, m: v - m), F.array(*[F.lit(float(a)) for a in axis]), lambda v, a: v * a)
+        return F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v)
+
+    second = along(lead[:, 1]) if lead.shape[1] > 1 else F.lit(0.0)
+    return df.select(id_col, *keep, along(lead[:, 0]).alias("x"), second.alias("y"))
+
+
+def subset_reduction(df: DataFrame, subset: DataFrame, keys: Sequence[str], id_col: str, vector: str) -> DataFrame:
+    """The 2-D reduction of a subset, computed anew from its own vectors."""
+    rows = subset_embeddings(df, subset, keys)
+    return reduce_from_sketch(rows, id_col, vector, merged_sketch(covariance_sketches(rows, vector)))
+
+
 def subset_embeddings(df: DataFrame, subset: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(subset.select(*keys), list(keys), "left_semi")
 

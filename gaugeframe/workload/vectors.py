@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions import vectors as C
 from gaugeframe.operators import embeddings as M, matching as MM
+from gaugeframe.plans import ann as ANN
 from gaugeframe.plans.neighbours import knn_join as _knn
 from gaugeframe.workload import views as V
 from gaugeframe.workload.detection import evaluated
+from gaugeframe.workload.media import scratch
 from gaugeframe.workload.views import with_views
 
 QUERIES, ORACLES = {}, {}
@@ -31,6 +33,36 @@ NN = """nn as (select *, row_number() over (partition by vec_id order by distanc
 1 - list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as distance from emb a join emb b on a.vec_id <> b.vec_id {cond}))"""
 
 
+@query("subset_reduction", with_views("emb", """select 'items' as fact, cast(count(*) as double) as value from emb where vec_id in (select doc_id from documents where lang = 'en')
+union all select 'mean of x', 0e0 union all select 'mean of y', 0e0 union all select 'covariance of x and y', 0e0 union all select 'x varies at least as y', 1e0
+union all select 'axes hold as much variance as any two components', 1e0"""))
+def subset_reduction(spark, d):
+    """Facts that hold for the principal axes of a subset, taken from the coordinates themselves."""
+    english = V.table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
+    e = V.emb(spark, d)
+    xy = M.subset_reduction(e, english, ["vec_id"], "vec_id", "embedding").join(e, "vec_id")
+    parts = F.array(*[F.var_pop(F.col("embedding")[i].cast("double")) for i in range(64)])
+    two = F.slice(F.sort_array(parts, asc=False), 1, 2)
+    a = xy.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), two.alias("two"))
+    facts = [("items", F.col("n").cast("double")), ("mean of x", F.abs(F.round("mx", 6))), ("mean of y", F.abs(F.round("my", 6))), ("covariance of x and y", F.abs(F.round("c", 6))),
+             ("x varies at least as y", (F.col("vx") >= F.col("vy")).cast("double")),
+             ("axes hold as much variance as any two components", (F.col("vx") + F.col("vy") >= F.col("two")[0] + F.col("two")[1] - 1e-9).cast("double"))]
+    return a.select(F.explode(F.array(*[F.struct(F.lit(k).alias("fact"), v.alias("value")) for k, v in facts])).alias("f")).select("f.*")
+
+
+@query("ann_search", with_views("emb", "select count(*) * 10 as asked, true as exact_distances, true as recalled from emb where vec_id % 100 = 0"))
+def ann_search(spark, d):
+    """The ten nearest of every hundredth vector from a stored index, its probes tuned for a recall of 0.9, held against the exact join."""
+    e = V.emb(spark, d)
+    index = ANN.build(e, "vec_id", "embedding", f"{scratch(spark)}/index", bucket_rows=64)
+    queries = e.where("vec_id % 100 = 0")
+    found = ANN.search(index, queries, "vec_id", "embedding", 10, ANN.tuned_probes(index, 10, 0.95)).select("vec_id", "neighbor", "distance")
+    truth = _knn(e, "vec_id", "embedding", 10, block_rows=512).where("vec_id % 100 = 0").select("vec_id", "neighbor", F.col("distance").alias("true_distance"))
+    met = truth.join(found, ["vec_id", "neighbor"], "left")
+    return met.agg(F.count(F.lit(1)).alias("asked"), F.bool_and(F.abs(F.coalesce(F.col("distance"), F.col("true_distance")) - F.col("true_distance")) < 1e-9).alias("exact_distances"),
+                   (F.count("distance") >= 0.9 * F.count(F.lit(1))).alias("recalled"))
+
+
 @query("knn_join", with_views("emb", "select vec_id, neighbor, round(distance, 6) as distance, cast(rank as int) as rank from nn where rank <= 10", NN.format(cond="")))
 def knn_join(spark, d):
     return rounded(_knn(V.emb(spark, d), "vec_id", "embedding", 10, block_rows=512), "distance")

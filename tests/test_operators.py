@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeframe.operators import density as D, evaluation as E, filters as X, matching as M, selection as T, sequences as Q, tables as P, tags as G
+from gaugeframe.operators import density as D, embeddings as EM, evaluation as E, filters as X, matching as M, selection as T, sequences as Q, tables as P, tags as G
 from gaugeframe.registry import ANNOTATION_REGISTRY, DATA_REGISTRY, UnknownMetricError
 
 
@@ -195,3 +195,24 @@ def test_tag_diff_and_answers(spark):
     assert {(r["id"], r["tag"], r["action"]) for r in G.tag_diff(have, want, ["id"]).collect()} == {(1, "c", "add"), (1, "a", "remove")}
     j = spark.createDataFrame([('[{"name":"x"}]',), ('"plain"',), ("{}",), ("[]",)], "j string")
     assert [r[0] for r in j.select(G.radio_answer(F.col("j"))).collect()] == ["x", "plain", None, None]
+
+
+def test_reduction_from_merged_sketches(spark):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((300, 5)) * [3, 1, 2, 0.5, 0.1] + [5, 0, -3, 1, 1]
+    rows = [(i, "ab"[i % 2], x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows + [(900, "a", None), (901, "a", [1.0, None, 1.0, 1.0, 1.0])], "id int, part string, v array<double>").repartition(5)
+    sketches = EM.covariance_sketches(df, "v", ["part"])
+    for wanted in ("a", "b", "ab"):
+        own = v[[x[1] in wanted for x in rows]]
+        n, mean, scatter = EM.merged_sketch(sketches.where(F.col("part").isin(list(wanted))))
+        assert n == len(own) and mean == pytest.approx(own.mean(axis=0)) and scatter / n == pytest.approx(np.cov(own.T, bias=True))
+    some = spark.createDataFrame([(i,) for i in range(0, 300, 3)], "id int")
+    got = {r.id: (r.x, r.y) for r in EM.subset_reduction(df, some, ["id"], "id", "v").collect()}
+    own = v[::3] - v[::3].mean(axis=0)
+    values, axes = np.linalg.eigh(own.T @ own)
+    for k, axis in ((0, axes[:, -1]), (1, axes[:, -2])):
+        have = np.array([got[i][k] for i in range(0, 300, 3)])
+        assert np.abs(have) == pytest.approx(np.abs(own @ axis), abs=1e-9)
+    with pytest.raises(ValueError):
+        EM.subset_reduction(df, some.where("id < 9"), ["id"], "id", "v")
