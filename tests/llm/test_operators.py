@@ -499,6 +499,22 @@ def test_privacy_term_far_from_the_mention(make_docs):
     assert all(clean[10 + i] == rows[5 + i][1] for i in range(100))
 
 
+def test_privacy_document_of_many_entities_and_terms(spark, make_docs):
+    """1 000 entities and 50 000 terms in one document: the entities share their documents, so they meet the terms as one group."""
+    people = " ".join(f"u{k}@list.org" for k in range(1000))
+    many = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}term" for k in range(50_000))
+    rows = [(i, f"{'vwxyz'[i] * 6} {people} Zaphodia {'vwxyz'[i] * 7}") for i in range(4)] + [(4, f"{people} {many} Zaphodia")]
+    rows += [(10 + i, f"plain words of document {chr(97 + i % 26) * 4} {chr(97 + i // 26) * 5}") for i in range(300)]
+    docs = make_docs(rows)
+    found = privacy.mentions(docs)
+    told = privacy.disclosing(docs, found)
+    owners, groups = privacy._owners(found.select("_id", "_tk", "kind", "value", F.xxhash64("before", "after").alias("context"), F.lit(5).alias("e_docs")))
+    assert groups.select("g1", "g2").distinct().count() <= 4 and owners.count() <= 4 * 5
+    assert told.where("_id = 4").count() >= 1 and told.where("_id = 4").count() < 10
+    clean = {r.doc_id: r.text for r in privacy.sanitise(docs).where("doc_id < 5").collect()}
+    assert all("Zaphodia" not in t and "@" not in t for t in clean.values()) and "aaabterm" not in people and clean[4].count("term") == 50_000
+
+
 def test_privacy_copies_prove_nothing(make_docs):
     text = "the quick Marmalade sends to someone@example.org every evening"
     docs = make_docs([(i, text) for i in range(6)] + [(50 + i, f"other words number {i}") for i in range(20)])
