@@ -8,6 +8,11 @@ Each stage takes (spark, docs, sf_dir), works on everything its predecessor kept
 3. n-gram Jaccard join: one document of each near-duplicate class stays;
 4. benchmark decontamination: contaminated documents go;
 5. mixing: documents with the words that the mix takes of them; a document of which it takes none goes.
+
+Defined results, in every stage.  A null text is empty: it is never toxic, holds no line, is one class with all texts without words, is never
+contaminated and is never taken by the mix.  A null ``doc_id`` is an id like any other, sorted last; a null source is a source.  Rows that repeat one another
+are decided alike, until the n-gram stage keeps one of them.  An empty table stays empty.  Labels and benchmark may be empty too: then nothing
+is toxic or contaminated.  Columns beyond those of ``documents`` pass through the first four stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +24,12 @@ from gaugeframe.llm.common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that score below the threshold of the model, unchanged."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the lines they repeat from earlier ones; ``n_chars`` follows a cut text, and documents that lose all lines go."""
     cut, total, removed = lines.dedup_lines(docs)
     left = cut.where((F.col(removed) == 0) | (F.col(removed) < F.col(total)))
     # n_chars describes the text, so it follows the cut
@@ -31,10 +38,12 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each near-duplicate class, unchanged."""
     return jaccard.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold less of the benchmark than the contamination rule allows, unchanged."""
     return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -56,6 +65,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the result of each is stored before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
