@@ -5,9 +5,10 @@ Crowded codes are cut finer by further projections until no bucket is expected t
 size of the table: the number of projections grows with the logarithm of the rows.  The index is read by any number of queries.
 
 ``search`` sends every query to the bucket of its code and to the ``probes`` codes that differ in the least certain signs (the smallest margins to
-the projection planes), meets the stored vectors of those buckets in a shuffle join, drops repeated candidates, and ranks by the exact distance; what is
-approximate is only which vectors are looked at.  ``tuned_probes`` measures the recall on a bounded sample of queries against the exact distances and
-returns the smallest number of probes that reaches the target; with all codes probed the search is exact.
+the projection planes).  Buckets are dealt out in groups of codes: a stored vector travels once per table and a query once per group, not once per pair, and
+only a query's nearest vectors leave a group, ranked by the exact distance; what is approximate is only which vectors are looked at.  ``tuned_probes``
+measures the recall on a bounded sample of queries against the exact distances, by their codes alone, and returns the smallest number of probes that
+reaches the target; with all codes probed the search is exact.
 """
 
 from __future__ import annotations
@@ -18,13 +19,17 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from gaugeframe.plans.neighbours import unit_vectors
+from gaugeframe.plans.neighbours import Nearest, matrix, unit_vectors
+from gaugeframe.session import cut_lineage
 
 TABLES, BUCKET_ROWS, SAMPLE = 8, 256, 200
 MAX_BITS = 48
+GROUP_ROWS, PIECE = 1 << 14, 2048  # stored vectors of a group of buckets, and how many of them meet queries at a time
 
 
 def _planes(tables: int, bits: int, dims: int, seed: int = 5) -> np.ndarray:
@@ -102,15 +107,46 @@ def build(df: DataFrame, id_col: str, vector: str, path: str, tables: int = TABL
     return Index(spark, path)
 
 
-def candidates(index: Index, queries: DataFrame, probes: int) -> DataFrame:
-    """(qid, rid, distance) of ``queries(qid, u)``: exact distances to the stored vectors of the probed buckets, each once."""
-    asked = queries.select("qid", "u", F.explode(_coder(index.tables, index.bits, index.dims, probes)("u")).alias("code"))
-    stored = index.vectors.select("rid", F.explode("codes").alias("code"))
-    # ids meet first and repeated candidates go; vectors travel once per pair that is left
-    met = asked.select("qid", "code").join(stored, "code").select("qid", "rid").distinct()
-    pairs = met.join(index.vectors.select("rid", F.col("u").alias("v")), "rid").join(queries, "qid")
-    product = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    return pairs.select("qid", "rid", F.greatest(F.lit(0.0), 1 - product).alias("distance"))
+def _near(index: Index, queries: DataFrame, k: int, probes: int) -> DataFrame:
+    """(qid, rid, distance) of ``queries(qid, u)``: at least the k nearest stored vectors of the probed buckets, each once, by the exact distance."""
+    # as many low bits of a code as make a group of about GROUP_ROWS vectors; crowded groups are dealt out by id
+    inner = max(0, index.bits - max(0, math.ceil(math.log2(max(index.rows, 1) / GROUP_ROWS)) if index.rows > GROUP_ROWS else 0))
+    group = F.shiftright("code", inner)
+    stored = index.vectors.select("rid", "u", F.explode("codes").alias("code")).withColumn("grp", group)
+    parts = stored.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(GROUP_ROWS)).cast("int").alias("parts"))
+    stored = stored.join(parts, "grp").select("grp", F.expr("pmod(xxhash64(rid), parts)").cast("int").alias("part"), "code", "rid", "u")
+    codes = _coder(index.tables, index.bits, index.dims, probes)("u")
+    asked = queries.select("qid", "u", codes.alias("codes"))
+    by_group = F.map_from_entries(F.transform(F.array_distinct(F.transform("codes", lambda c: F.shiftright(c, inner))), lambda g: F.struct(
+        g.alias("grp"), F.filter("codes", lambda c: F.shiftright(c, inner) == g).alias("codes"))))
+    asked = asked.select("qid", "u", F.explode(by_group).alias("grp", "codes")).join(parts, "grp")
+    asked = asked.select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "codes", "qid", "u")
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return arrow.empty_table()
+        y = y.take(pa.array(np.argsort(y["code"].to_numpy(), kind="stable"))).combine_chunks()
+        at, at_u, own, own_u = x["qid"].to_numpy(), matrix(x), y["rid"].to_numpy(), matrix(y)
+        lists = x["codes"].combine_chunks()
+        probed, probing = lists.flatten().to_numpy(), np.repeat(np.arange(x.num_rows), lists.value_lengths().to_numpy())
+        order = np.argsort(probed, kind="stable")
+        probed, probing = probed[order], probing[order]
+        found = Nearest(np.arange(x.num_rows), np.full(x.num_rows, np.inf), k, itself=True)
+        codes, starts = np.unique(y["code"].to_numpy(), return_index=True)
+        for code, a, b in zip(codes, starts, [*starts[1:], len(own)]):
+            rows = probing[np.searchsorted(probed, code) : np.searchsorted(probed, code, side="right")]
+            for low in range(a, b if len(rows) else a, PIECE):
+                high = min(b, low + PIECE)
+                for first in range(0, len(rows), PIECE):
+                    some = rows[first : first + PIECE]
+                    found.add(some, 1 - at_u[some] @ own_u[low:high].T, own[low:high])
+        got = found.result()
+        return pa.Table.from_pydict({"qid": pa.array(at[got["rid"]]), "rid": pa.array(got["nid"]), "distance": pa.array(got["distance"])}, schema=arrow)
+
+    types = StructType([StructField("qid", queries.schema["qid"].dataType), StructField("rid", index.vectors.schema["rid"].dataType), StructField("distance", DoubleType())])
+    arrow = to_arrow_schema(types)
+    found = asked.groupBy("grp", "part").cogroup(stored.groupBy("grp", "part")).applyInArrow(run, types)
+    return found.groupBy("qid", "rid").agg(F.min("distance").alias("distance"))
 
 
 def search(index: Index, df: DataFrame, id_col: str, vector: str, k: int, probes: int | None = None, itself: bool = False) -> DataFrame:
@@ -119,7 +155,7 @@ def search(index: Index, df: DataFrame, id_col: str, vector: str, k: int, probes
     ``itself`` keeps a row of the same id among the neighbours.
     """
     units = unit_vectors(df, id_col, vector).select(F.col("id").alias("qid"), "u")
-    found = candidates(index, units, index.probes if probes is None else probes)
+    found = _near(index, units, k + 1, index.probes if probes is None else probes)
     near = found.withColumn("_r", F.row_number().over(W.partitionBy("qid").orderBy("distance", "rid"))).where(F.col("_r") <= k + 1).drop("_r")
     # every distinct vector stands for its k + 1 smallest ids
     members = index.members.withColumn("_r", F.row_number().over(W.partitionBy("rid").orderBy("id"))).where(F.col("_r") <= k + 1)
@@ -130,11 +166,12 @@ def search(index: Index, df: DataFrame, id_col: str, vector: str, k: int, probes
     return ranked.select(F.col("qid").alias(id_col), "neighbor", "distance", "rank")
 
 
-def recall(index: Index, sample: DataFrame, k: int, probes: int) -> float:
-    """Share of the true k nearest distinct vectors of ``sample(qid, u)`` that a search looks at."""
-    found = candidates(index, sample, probes).select("qid", "rid")
-    truth = _exact(index, sample, k)
-    row = truth.join(found.withColumn("hit", F.lit(1.0)), ["qid", "rid"], "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("r")).first()
+def recall(index: Index, sample: DataFrame, k: int, probes: int, truth: DataFrame | None = None) -> float:
+    """Share of the true k nearest distinct vectors (``truth(qid, rid)``) of ``sample(qid, u)`` that a search looks at: those with a probed code."""
+    truth = _exact(index, sample, k) if truth is None else truth
+    probed = sample.select("qid", _coder(index.tables, index.bits, index.dims, probes)("u").alias("probed"))
+    met = truth.join(index.vectors.select("rid", "codes"), "rid").join(probed, "qid")
+    row = met.agg(F.avg(F.arrays_overlap("codes", "probed").cast("double")).alias("r")).first()
     return float(row.r or 0.0)
 
 
@@ -159,8 +196,9 @@ def _exact(index: Index, sample: DataFrame, k: int) -> DataFrame:
 
 def tuned_probes(index: Index, k: int, target: float = 0.9, sample: int = SAMPLE) -> int:
     """The smallest power of two of probes (or all codes) whose recall on ``sample`` stored vectors reaches ``target``."""
-    asked = index.vectors.select(F.col("rid").alias("qid"), "u").orderBy(F.xxhash64("qid")).limit(sample)
+    asked = cut_lineage(index.vectors.select(F.col("rid").alias("qid"), "u").orderBy(F.xxhash64("qid")).limit(sample))
+    truth = cut_lineage(_exact(index, asked, k))
     probes, every = 1, (1 << index.bits) - 1
-    while probes < every and recall(index, asked, k, probes) < target:
+    while probes < every and recall(index, asked, k, probes, truth) < target:
         probes = min(2 * probes, every)
     return probes

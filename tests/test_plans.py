@@ -16,6 +16,7 @@ from gaugeframe.plans.quantiles import linear_quantiles, order_statistics
 from gaugeframe.plans.scan import ranked, running
 from gaugeframe.plans.spatial import best_other, best_overlap
 from gaugeframe.registry import DATA_REGISTRY, Metric, MetricRegistry, NORMAL
+from gaugeframe.session import cut_lineage
 
 
 def test_running_matches_a_window_with_a_hot_key(spark):
@@ -303,3 +304,44 @@ def test_probe_sets_come_by_rising_margin():
     weights = np.int64(1) << np.arange(7)
     every = sorted(range(1 << 7), key=lambda s: sum(margins[i] ** 2 for i in range(7) if s >> i & 1))
     assert ann._flips(margins, weights, 127) == every
+
+
+def test_search_ships_no_vector_once_per_block_it_meets(spark, monkeypatch):
+    """Vectors without clusters, where every block meets every other: rows that are shuffled or stored do not grow with the number of blocks."""
+    monkeypatch.setattr(neighbours, "SLAB_ROWS", 32)
+    v = vectors(300, 6, 8)
+    written = []
+    monkeypatch.setattr(neighbours, "cut_lineage", lambda df: written.append(cut_lineage(df)) or written[-1])
+    got = {}
+    for r in neighbours.knn_join(frame(spark, v), "id", "v", 4, block_rows=16).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbor"])
+    slabs = [w for w in written if "reach" in w.columns]
+    assert [w.agg(F.sum(F.size("rid"))).first()[0] for w in slabs] == [300, 300] and all(w.count() > 4 for w in slabs)
+    assert all(w.count() == 300 for w in written if "reach" not in w.columns)
+    assert got == brute(v, 4)[1]
+
+
+def test_neighbours_of_some_rows_are_looked_for_among_all(spark):
+    v = vectors(90, 6, 4)
+    v[20:50] = v[20]
+    df = frame(spark, v)
+    got = {}
+    for r in knn_join(df, "id", "v", 5, block_rows=16, only=df.where("id in (3, 31, 77)")).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbor"])
+    want = brute(v, 5)[1]
+    assert got == {i: want[i] for i in (3, 31, 77)}
+
+
+def test_index_deals_crowded_buckets_out(spark, tmp_path, monkeypatch):
+    """More groups, parts and pieces than one, with all codes probed: the search is exact, and the sample's recall is measured on codes."""
+    monkeypatch.setattr(ann, "GROUP_ROWS", 32)
+    monkeypatch.setattr(ann, "PIECE", 5)
+    v = vectors(200, 6, 12)
+    v[:120] += 30 * np.eye(6)[0]  # near one another, so most codes are the same
+    index = ann.build(frame(spark, v), "id", "v", str(tmp_path / "i"), tables=2, bucket_rows=16)
+    got = {}
+    for r in ann.search(index, frame(spark, v), "id", "v", 5, probes=(1 << index.bits) - 1).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbor)
+    assert got == brute(v, 5)[1]
+    asked = index.vectors.select(F.col("rid").alias("qid"), "u").orderBy("qid").limit(20)
+    assert ann.recall(index, asked, 5, (1 << index.bits) - 1) == 1.0
