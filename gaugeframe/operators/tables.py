@@ -54,7 +54,8 @@ def normalize_scores(scores: DataFrame, by: Sequence[str] = ("metric",)) -> Data
     """Min-max to [0, 1] per metric; a constant metric divides by 1."""
     ranges = scores.groupBy(*by).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
-    out = scores.join(ranges, list(by))
+    # one row per metric; a shuffle by metric would send each metric whole to one task
+    out = scores.join(F.broadcast(ranges), list(by))
     return out.withColumn("score", (F.col("score") - F.col("_lo")) / F.when(span == 0, F.lit(1.0)).otherwise(span)).drop("_lo", "_hi")
 
 
@@ -212,7 +213,8 @@ def classification_dataset(units: DataFrame, answers: DataFrame, options: DataFr
 
 def object_dataset(units: DataFrame, objects: DataFrame, classes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(uri, object columns) of frames and their objects of the chosen classes, one row per object."""
-    kept = objects.join(classes, "feature", "left_semi")
+    # one row per class; a shuffle by class would send each class whole to one task
+    kept = objects.join(F.broadcast(classes), "feature", "left_semi")
     return units.select(*keys, "uri").join(kept, list(keys))
 
 
