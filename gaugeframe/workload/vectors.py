@@ -154,7 +154,7 @@ round(cast(embedding[2] as double), 6) as y, round(coalesce(score, 0e0), 9) as s
 (select frame_id, avg(s) as score from (select frame_id, cast(tp as int) as s from evaluated union all select frame_id, 0 from fn where iou_threshold < 0.5e0) group by 1) s
 on e.vec_id = s.frame_id"""))
 def embedding_scores(spark, d):
-    ev, fn = evaluated(spark, d)
+    ev, fn = evaluated(spark, d, "frame_id")
     pts = V.emb(spark, d).select(F.col("vec_id").alias("frame_id"), F.round(F.col("embedding")[0].cast("double"), 6).alias("x"),
                                  F.round(F.col("embedding")[1].cast("double"), 6).alias("y"))
     out = M.embedding_scores(pts, ev, fn.where(F.col("iou_threshold") < 0.5), "frame_id", MM.is_tp(0.5))

@@ -11,7 +11,8 @@ from gaugeframe.functions.boxes import box_iou
 from gaugeframe.operators import summary as A
 from gaugeframe.operators.embeddings import label_quality, singularity
 from gaugeframe.plans.neighbours import knn_join
-from gaugeframe.plans import ann, neighbours, quantiles
+from gaugeframe.plans import ann, neighbours, quantiles, scan, spatial
+from gaugeframe.plans.joins import null_safe_join
 from gaugeframe.plans.quantiles import linear_quantiles, order_statistics
 from gaugeframe.plans.scan import ranked, running
 from gaugeframe.plans.spatial import best_other, best_overlap
@@ -345,3 +346,52 @@ def test_index_deals_crowded_buckets_out(spark, tmp_path, monkeypatch):
     assert got == brute(v, 5)[1]
     asked = index.vectors.select(F.col("rid").alias("qid"), "u").orderBy("qid").limit(20)
     assert ann.recall(index, asked, 5, (1 << index.bits) - 1) == 1.0
+
+
+def test_few_boxes_travel_once_and_crowded_keys_by_cells(spark, monkeypatch):
+    left, right = boxes(150, 1), boxes(150, 2) + [("2-none", None, 0.1, 0.1, 0.3, 0.3), ("2-flat", 0, 0.1, 0.1, 0.0, 0.3)]
+    schema = "id string, k int, x double, y double, w double, h double"
+    ldf, rdf = spark.createDataFrame([*left, ("1-none", None, 0.1, 0.1, 0.3, 0.3), ("1-nowhere", 0, None, 0.1, 0.3, 0.3)], schema), spark.createDataFrame(right, schema)
+
+    def run():
+        crowded = spatial._crowded(ldf, rdf, ["k"])
+        rows = spatial._cells(ldf, ["k"], crowded, 0.07).count()
+        found = {r.id: (r.best_id, r.iou) for r in best_overlap(ldf, rdf, ["k"], "id", 0.07).collect()}
+        return rows, found, {r.id: (r.partner, r.iou) for r in best_other(ldf, ["k"], "id", 0.07).collect()}
+
+    once = run()
+    monkeypatch.setattr(spatial, "CROWDED", 10)
+    dealt = run()
+    assert once[0] == 151 and dealt[0] > 5 * 151
+    assert once[1:] == dealt[1:] and once[1]["1-none"] == ("2-none", 1.0) and once[1]["1-nowhere"] == once[2]["1-nowhere"] == (None, 0.0)
+
+
+def test_running_carries_only_keys_that_cross_slices(spark, monkeypatch):
+    rows = [(None if i % 50 < 3 else f"k{i % 50:02d}" if i % 3 else "hot", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, id int")
+    joined = []
+    monkeypatch.setattr(scan, "null_safe_join", lambda *a: joined.append(a[1]) or null_safe_join(*a))
+    got = {r.id: (r.n, r.m) for r in running(df, ["k"], [F.asc("id")], {"n": F.lit(1)}, {"m": F.col("id")}, slices=6).collect()}
+    seen, last, want = {}, {}, {}
+    for k, i in rows:
+        seen[k] = seen.get(k, 0) + 1
+        want[i], last[k] = (seen[k], last.get(k)), i
+    assert got == want
+    assert 0 < joined[0].count() <= 6 and joined[1].count() <= 12
+
+
+def test_one_row_per_metric_or_class_is_broadcast(spark):
+    from gaugeframe.operators.tables import normalize_scores, object_dataset
+
+    scores = spark.createDataFrame([("a", "m", 1.0), ("b", "m", 3.0), ("c", "n", 5.0)], "identifier string, metric string, score double")
+    objects = spark.createDataFrame([(1, "o1", "A"), (1, "o2", "N")], "key int, obj_id string, feature string")
+    frames = spark.createDataFrame([(1, "u")], "key int, uri string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df, by in ((normalize_scores(scores), "metric"), (object_dataset(frames, objects, objects.select("feature").where("feature = 'A'"), ["key"]), "feature")):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and f"SortMergeJoin [{by}#" not in plan
+            assert df.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
