@@ -142,3 +142,21 @@ def test_overlaps_of_exactly_a_half_and_a_quarter(spark):
     pairs = spark.createDataFrame([shape("a", 0, 1, box=half), shape("b", 0, 2, pts=thirds), shape("c", 0, 3, pts=ell)], schema)
     for r in best_other(with_bounds(pairs), ["seq_id", "frame"], "obj_id").collect():
         assert r.iou == round(r.iou, 9)
+
+
+def test_tracks_of_polygons_judge_every_shape_once(spark):
+    """Computed points are stored with their verdict; no filter or join holds their terms again."""
+    def ring(*corners):
+        return F.array(*[F.struct(F.lit(x).alias("x"), (F.lit(y) + F.col("dy")).alias("y")) for x, y in corners])
+
+    ell = ring((0.0, 0.0), (0.4, 0.0), (0.4, 0.2), (0.2, 0.2), (0.2, 0.4), (0.0, 0.4))
+    crossed = ring((0.0, 0.0), (0.4, 0.4), (0.4, 0.0), (0.0, 0.4))
+    rows = spark.createDataFrame([(0, 0, "a", 1, 0.0, True), (0, 1, "b", 1, 0.01, True), (0, 2, "c", 2, 0.01, True), (0, 2, "d", 1, 0.0, False)], "seq_id int, frame int, obj_id string, track_id int, dy double, plain boolean")
+    objects = rows.select("seq_id", "frame", "obj_id", "track_id", F.lit("c").alias("feature"), *[F.lit(None).cast("double").alias(c) for c in "xywh"],
+                          F.when(F.col("plain"), ell).otherwise(crossed).alias("points"))
+    tracks, missing = Q.track_consistency(objects), Q.missing_or_broken_tracks(objects)
+    for out in (tracks, missing):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "_simple" not in plan and "dy" not in plan
+    assert {r.obj_id: r.score for r in tracks.collect()} == {"b": 1.0, "c": 0.0, "d": 0.0}
+    assert {r.obj_id: r.score for r in missing.collect()} == {"c": 0.5, "d": 0.0}

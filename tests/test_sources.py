@@ -422,3 +422,18 @@ def test_streams_over_several_batches(spark, tmp_path):
     q = SJ.stream_sync(stream.select("k", "id", "v"), str(out / "log")).option("checkpointLocation", str(out / "log-state")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["k"], r["id"]) for r in SJ.synced(spark.read.parquet(str(out / "log")), "k", "id").collect()} == {("a", 4), ("b", 2)}
+
+
+def test_polygon_overlaps_by_places_in_arrow_values(spark):
+    """Missing, empty, small and large polygons of one batch, cut out of a longer one by a filter."""
+    n = 30
+    disc = [(math.cos(2 * math.pi * i / n), math.sin(2 * math.pi * i / n)) for i in range(n)]
+    square, tri = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)], [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)]
+    shapes = [None, [], tri, square, disc]
+    rows = [(i * 5 + j, *[None if s is None else [{"x": x, "y": y} for x, y in s] for s in (a, b)]) for i, a in enumerate(shapes) for j, b in enumerate(shapes)]
+    df = spark.createDataFrame(rows, "k int, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>").coalesce(1)
+    got = {r.k: (r.v, r.ok) for r in df.where("k % 7 <> 3").select("k", PG.polygon_iou(F.col("a"), F.col("b")).alias("v"), PG.simple_polygon_check(F.col("a")).alias("ok")).collect()}
+    for k, (v, ok) in got.items():
+        a, b = shapes[k // 5], shapes[k % 5]
+        assert ok == (k // 5 > 1)
+        assert v == pytest.approx(PG.overlap(a, b) if a and b else 0.0)
