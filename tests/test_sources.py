@@ -5,6 +5,7 @@ import math
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -437,3 +438,43 @@ def test_polygon_overlaps_by_places_in_arrow_values(spark):
         a, b = shapes[k // 5], shapes[k % 5]
         assert ok == (k // 5 > 1)
         assert v == pytest.approx(PG.overlap(a, b) if a and b else 0.0)
+
+
+def test_areas_of_small_crossing_polygons_in_batches(spark):
+    rng = np.random.default_rng(8)
+    for n in range(3, 13):
+        x, y = rng.integers(0, 6, (40, n)).astype(float) + rng.choice([0.0, 0.1], (40, 1)), rng.integers(0, 6, (40, n)).astype(float)
+        want = [planar.covered_area(np.stack(p, axis=1)) for p in zip(x, y)]
+        assert polygon_batches.covered(x, y) == pytest.approx(want, abs=1e-9)
+    calls = []
+    lists = [pa.array([[0.0, 1.0, 1.0, 0.0]] * 9 + [None]), pa.array([[0.0, 1.0, 0.0, 1.0]] * 9 + [None])]
+    got = polygon_batches.in_groups(lists, lambda x, y: calls.append(len(x)) or polygon_batches.covered(x, y), None, np.nan)
+    assert calls == [9] and got[:9] == pytest.approx([0.5] * 9) and np.isnan(got[9])
+    bow = [{"x": x, "y": y} for x, y in ((0.0, 0.0), (1.0, 1.0), (1.0, 0.0), (0.0, 1.0))]
+    df = spark.createDataFrame([(0, bow), (1, None), (2, bow[:2])], "k int, p array<struct<x:double,y:double>>")
+    assert {r.k: r.a for r in df.select("k", PG.repaired_area(F.col("p")).alias("a")).collect()} == {0: 0.5, 1: None, 2: 0.0}
+
+
+def test_union_of_many_groups_at_once():
+    rng = np.random.default_rng(9)
+    groups, edges = [], []
+    for g in range(30):
+        shapes = []
+        for _ in range(int(rng.integers(1, 6))):
+            if rng.random() < 0.5:  # a box
+                x, y, w, h = rng.integers(0, 5, 4) + [0, 0, 1, 1]
+                shapes.append([(x, y), (x + w, y), (x + w, y + h), (x, y + h)])
+            else:
+                shapes.append([tuple(p) for p in rng.random((int(rng.integers(3, 6)), 2)) * 6])
+        shapes = [[(float(x), float(y)) for x, y in s] for s in shapes]
+        groups.append(shapes)
+        for s in shapes:
+            owner = edges[-1][4] + 1 if edges else 0
+            edges += [(*a, *b, owner, g) for a, b in zip(s, s[1:] + s[:1])]
+    x0, y0, x1, y1, owner, group = (np.array(c) for c in zip(*edges))
+    for parts in (1 << 20, 50):
+        polygon_batches.PARTS, kept = parts, polygon_batches.PARTS
+        try:
+            assert polygon_batches.union_areas(x0, y0, x1, y1, owner, group) == pytest.approx([PG.union_area(s) for s in groups], abs=1e-9)
+        finally:
+            polygon_batches.PARTS = kept
