@@ -160,3 +160,23 @@ def test_tracks_of_polygons_judge_every_shape_once(spark):
         assert "_simple" not in plan and "dy" not in plan
     assert {r.obj_id: r.score for r in tracks.collect()} == {"b": 1.0, "c": 0.0, "d": 0.0}
     assert {r.obj_id: r.score for r in missing.collect()} == {"c": 0.5, "d": 0.0}
+
+
+def test_density_of_crowded_and_other_frames(spark, monkeypatch):
+    """The sweep over whole frames and the one over cells agree, on boxes and on mixed shapes, for NULL keys and over batch borders."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(160):
+        x, y, w, h = (rng.randrange(0, 8) / 8 for _ in range(4))
+        frame = (None if i % 5 == 4 else f"f{i % 5}", i % 2)
+        ring = [{"x": a, "y": b} for a, b in ((x, y), (x + w, y), (x + w, y + h), (x + w / 3, y + h / 2))]
+        rows.append((*frame, *((x, y, w, h, None) if i % 3 else (None, None, None, None, ring))))
+    shapes = spark.createDataFrame(rows, "g string, k int, x double, y double, w double, h double, points array<struct<x:double,y:double>>")
+    for objects in (shapes, shapes.drop("points")):
+        frames = objects.select("g", "k").distinct()
+        seen = []
+        for crowded in (1024, 16, 0):
+            monkeypatch.setattr(D, "CROWDED", crowded)
+            seen.append({(r.g, r.k): r.density for r in D.frame_object_density(frames, objects, ["g", "k"]).collect()})
+        assert len(seen[0]) == 10 and min(seen[0].values()) > 0
+        assert seen[1] == pytest.approx(seen[0]) and seen[2] == pytest.approx(seen[0])
