@@ -108,12 +108,16 @@ def _outline_of(text: str | None) -> dict | None:
     mask = None if text is None else decode_rle(text)
     if mask is None or not mask.any():
         return None
-    ys, xs = np.nonzero(mask)
-    labelled = regions(mask, diagonal=True)
-    rings = (outline(labelled == k) for k in np.unique(labelled[labelled > 0]))
+    columns, rows = np.flatnonzero(mask.any(axis=0)), np.flatnonzero(mask.any(axis=1))
+    left, top, right, low = int(columns[0]), int(rows[0]), int(columns[-1]) + 1, int(rows[-1]) + 1
+    crop = mask[top:low, left:right]
+    # a filled extent is one region, whatever its size
+    labelled = np.ones(crop.shape, dtype=np.int64) if crop.all() else regions(crop, diagonal=True)
+    numbers = np.unique(labelled[labelled > 0])
+    rings = (outline(labelled == k if len(numbers) > 1 else crop) for k in numbers)
     return {
-        "box": [int(xs.min()), int(ys.min()), int(xs.max() - xs.min()) + 1, int(ys.max() - ys.min()) + 1],
-        "parts": [[float(v) for p in ring for v in p] for ring in rings if len(ring) >= 3],
+        "box": [left, top, right - left, low - top],
+        "parts": [[float(v) for x, y in ring for v in (x + left, y + top)] for ring in rings if len(ring) >= 3],
     }
 
 
@@ -125,16 +129,22 @@ def _outlined(segmentation: pa.Array) -> pa.Array:
     return pa.array([_outline_of(t) for t in segmentation.to_pylist()], _OUTLINE_ARROW)
 
 
-def _segmented(rows: DataFrame) -> DataFrame:
-    """``rows`` once per segment of their polygon or mask (column ``segment``, NULL without); ``bbox`` of a mask without one is its extent."""
+def _outlines(rows: DataFrame) -> DataFrame:
+    """``rows`` with the outlined mask in ``_mask``, whose text goes; ``_coded`` tells masks from other segmentations."""
     coded = is_rle(F.col("segmentation"))
-    out = rows.withColumn("_mask", _outlined(F.when(coded, F.col("segmentation"))))
+    return rows.withColumns({"_coded": coded, "_mask": _outlined(F.when(coded, F.col("segmentation")))}).withColumn(
+        "segmentation", F.when(~F.col("_coded"), F.col("segmentation")))
+
+
+def _segmented(out: DataFrame) -> DataFrame:
+    """Rows of :func:`_outlines` once per segment of their polygon or mask (column ``segment``, NULL without); ``bbox`` of a mask without one is its extent."""
+    coded = F.col("_coded")
     corner = F.transform("bbox", lambda v: v.cast("long"))
     valid = F.coalesce((F.size("_mask.parts") > 0) & (F.col("bbox").isNull() | (corner == F.col("_mask.box"))), F.lit(False))
     kept = out.where(~coded | valid).withColumns({
         "bbox": F.when(coded, F.coalesce("bbox", F.col("_mask.box").cast("array<double>"))).otherwise(F.col("bbox")),
         "_parts": F.when(coded, F.col("_mask.parts")).otherwise(segments(F.col("segmentation")))})
-    return kept.withColumn("segment", F.explode_outer("_parts")).drop("_mask", "_parts")
+    return kept.withColumn("segment", F.explode_outer("_parts")).drop("_mask", "_parts", "_coded")
 
 
 def _points(segment: Column, width: Column, height: Column) -> Column:
@@ -147,9 +157,9 @@ def scan_coco_annotations(annotations: DataFrame, images: DataFrame) -> DataFram
 
     Crowds are dropped; a box is clipped to its image and dropped when it starts outside.
     """
-    sized = annotations.where(F.coalesce("iscrowd", F.lit(0)) != 1).join(
-        images.select(F.col("id").alias("image_id"), "width", "height"), "image_id")
-    parts = _segmented(sized)
+    # masks are outlined where their rows lie, since the join brings all of an image to one task
+    drawn = _outlines(annotations.where(F.coalesce("iscrowd", F.lit(0)) != 1))
+    parts = _segmented(drawn.join(images.select(F.col("id").alias("image_id"), "width", "height"), "image_id"))
     polygon = F.col("segment").isNotNull() & (F.size("segment") >= 6)
     box = crop_box(*[F.get("bbox", F.lit(i)) for i in range(4)], F.col("width").cast("double"), F.col("height").cast("double"))
     shaped = parts.withColumns({
@@ -180,8 +190,7 @@ def scan_coco_results(results: DataFrame, images: DataFrame, mapping: DataFrame,
 
     ``mapping`` is (category_id, shape, feature_hash); ``units`` restricts images and adds its own columns by image_id.
     """
-    sized = results.join(images.select(F.col("id").alias("image_id"), "width", "height"), "image_id")
-    parts = _segmented(sized)
+    parts = _segmented(_outlines(results).join(images.select(F.col("id").alias("image_id"), "width", "height"), "image_id"))
     polygon = F.col("segment").isNotNull() & (F.size("segment") >= 6)
     rows = parts.withColumns({
         "shape": F.when(polygon, "polygon").otherwise("bounding_box"),

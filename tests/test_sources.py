@@ -478,3 +478,23 @@ def test_union_of_many_groups_at_once():
             assert polygon_batches.union_areas(x0, y0, x1, y1, owner, group) == pytest.approx([PG.union_area(s) for s in groups], abs=1e-9)
         finally:
             polygon_batches.PARTS = kept
+
+
+def test_masks_are_outlined_before_they_meet_their_image(spark):
+    rng = np.random.default_rng(4)
+    seen, rows = [], []
+    for i in range(60):
+        mask = rng.random((7, 9)) < (1.0 if i == 0 else 0.55)
+        flat = mask.T.ravel()
+        runs = MK._counts(flat.astype(np.int8))
+        labelled = MK.regions(mask, diagonal=True)
+        rings = [MK.outline(labelled == k) for k in np.unique(labelled[labelled > 0])]
+        seen += [(i, [(x / 9, y / 7) for x, y in ring]) for ring in rings if len(ring) >= 3]
+        rows.append((i, 1, 2, None, json.dumps({"size": [7, 9], "counts": runs}), 1.0, 0, None))
+    notes = spark.createDataFrame(rows, CO.ANNOTATION)
+    images = spark.createDataFrame([(1, 7, 9, "a")], CO.IMAGE)
+    out = CO.scan_coco_annotations(notes, images)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("ArrowEvalPython")  # the plan lists the join above the outlines
+    got = [(r.id, [(p.x, p.y) for p in r.points]) for r in out.collect()]
+    assert sorted(got) == sorted(seen)
