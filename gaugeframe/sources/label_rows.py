@@ -38,12 +38,12 @@ def scan_frames(label_rows: DataFrame) -> DataFrame:
     base = ["project_hash", "label_hash", "data_hash", "data_type", "dataset_title"]
     flat = units.select(*base, F.col("u.data_hash").alias("du_hash"), "u.data_title", "u.data_sequence", "u.width", "u.height", "u.data_fps", "u.labels")
     cols = [*base, "du_hash", "data_title", "width", "height", "data_fps"]
-    known = flat.where(F.col("data_type").isin("image", "img_group", "video"))
     # one parse per unit: a still is a map with a single frame
     film = F.from_json("labels", f"map<string,{LABELS}>")
     still = F.create_map(F.coalesce("data_sequence", F.lit("0")), F.from_json("labels", LABELS))
-    by_frame = F.when(F.col("data_type") == "video", film).otherwise(still)
-    frames = known.select(*cols, F.explode(by_frame).alias("f", "l"))
+    # other types have no frames; a filter on the type would be planned below what the rows come from and parse every document twice
+    by_frame = F.when(F.col("data_type") == "video", film).when(F.col("data_type").isin("image", "img_group"), still)
+    frames = flat.select(*cols, F.explode(by_frame).alias("f", "l"))
     return frames.select(*cols, F.col("f").cast("int").alias("frame"), "l.objects", "l.classifications")
 
 

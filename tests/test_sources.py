@@ -498,3 +498,14 @@ def test_masks_are_outlined_before_they_meet_their_image(spark):
     assert plan.index("Join") < plan.index("ArrowEvalPython")  # the plan lists the join above the outlines
     got = [(r.id, [(p.x, p.y) for p in r.points]) for r in out.collect()]
     assert sorted(got) == sorted(seen)
+
+
+def test_label_rows_are_parsed_where_they_are_dealt(spark):
+    """No filter on a parsed column goes below the partitions that the documents were dealt over."""
+    unit = {"d": {"data_hash": "d", "labels": {"classifications": [{"classificationHash": "c"}]}}}
+    docs = [json.dumps({"label_hash": t or "none", "data_type": t, "data_units": unit}) for t in ("image", "img_group", "dicom", None)]
+    dealt = spark.createDataFrame([(d,) for d in docs], "value string").repartition(3)
+    frames = LR.scan_frames(dealt.select(F.from_json("value", LR.LABEL_ROW).alias("r")).select("r.*"))
+    plan = LR.scan_classifications(frames)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan[plan.index("Repartition"):]
+    assert sorted(r.label_hash for r in LR.scan_classifications(frames).collect()) == ["image", "img_group"]
