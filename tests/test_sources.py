@@ -509,3 +509,25 @@ def test_label_rows_are_parsed_where_they_are_dealt(spark):
     plan = LR.scan_classifications(frames)._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan[plan.index("Repartition"):]
     assert sorted(r.label_hash for r in LR.scan_classifications(frames).collect()) == ["image", "img_group"]
+
+
+def test_masks_of_a_batch_by_places_in_arrow_values(spark):
+    """Extents, overlaps and pixel sums of missing, empty, full and random masks, against their pixels."""
+    rng = np.random.default_rng(6)
+    masks = [None, np.zeros((4, 5), bool), np.ones((4, 5), bool)] + [rng.random((4, 5)) < p for p in (0.2, 0.5, 0.8) for _ in range(4)]
+    runs = [None if m is None else MK._counts(m.ravel().astype(np.int8)) for m in masks]
+    pairs = [(i, j) for i in range(len(masks)) for j in range(len(masks))]
+    # a slice of a longer array begins in the middle of its values
+    a, b = (pa.array([[9, 9]] + [runs[p[k]] for p in pairs], pa.list_(pa.int32())).slice(1) for k in (0, 1))
+    want = [np.nan if masks[i] is None or masks[j] is None else (masks[i] & masks[j]).sum() / max((masks[i] | masks[j]).sum(), 1) for i, j in pairs]
+    assert K.overlaps(a, b) == pytest.approx(want, nan_ok=True)
+    rows = spark.createDataFrame([(k, None if r is None else ([4, 5], r)) for k, r in enumerate(runs)], "k int, rle struct<size:array<int>,counts:array<int>>").coalesce(1)
+    for r in rows.select("k", K.rle_bounds(F.col("rle")).alias("b"), K.rle_moments(F.col("rle")).alias("m")).collect():
+        mask = masks[r.k]
+        ys, xs = np.nonzero(mask) if mask is not None else (np.zeros(0, int),) * 2
+        assert r.m == (None if mask is None else pytest.approx([float((xs**p * ys**q).sum()) for p, q in K.POWERS]))
+        if not len(ys):
+            assert r.b is None or set(r.b.asDict().values()) == {None}
+            continue
+        wraps = any(u % 5 + v > 5 for u, v in zip(np.cumsum([0, *runs[r.k]])[1::2], runs[r.k][1::2]))
+        assert (r.b.y, r.b.y2) == (ys.min(), ys.max() + 1) and (r.b.x, r.b.x2) == ((0, 5) if wraps else (xs.min(), xs.max() + 1))
