@@ -113,9 +113,12 @@ def coco_lines(tables: dict[str, DataFrame], info: str = "{}", within: DataFrame
     return lines
 
 
-def write_coco(tables: dict[str, DataFrame], path: str) -> None:
-    """Part files that, concatenated in name order, are the document; range-partitioned, so nothing passes the driver."""
-    coco_lines(tables).orderBy("section", "id").select("line").write.mode("overwrite").text(path)
+def write_coco(tables: dict[str, DataFrame], path: str, compression: str | None = None) -> None:
+    """Part files that, concatenated in name order, are the document; range-partitioned, so nothing passes the driver.
+
+    That holds for gzip too, whose parts may follow one another.
+    """
+    coco_lines(tables).orderBy("section", "id").select("line").write.mode("overwrite").text(path, compression=compression or "none")
 
 
 def export_partitions(frames: DataFrame, objects: DataFrame, categories: DataFrame, partitions: DataFrame, names: Sequence[str], path: str) -> None:

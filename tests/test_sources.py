@@ -1,5 +1,6 @@
 """File readers, exports, masks, polygons, pixels and streams."""
 
+import gzip
 import json
 import math
 import struct
@@ -531,3 +532,12 @@ def test_masks_of_a_batch_by_places_in_arrow_values(spark):
             continue
         wraps = any(u % 5 + v > 5 for u, v in zip(np.cumsum([0, *runs[r.k]])[1::2], runs[r.k][1::2]))
         assert (r.b.y, r.b.y2) == (ys.min(), ys.max() + 1) and (r.b.x, r.b.x2) == ((0, 5) if wraps else (xs.min(), xs.max() + 1))
+
+
+def test_compressed_parts_are_one_document(spark, tmp_path):
+    frames = spark.createDataFrame([(i, f"{i}.png", 10, 20) for i in range(6)], "frame_id int, file_name string, width int, height int")
+    objects = spark.createDataFrame([(i % 6, f"o{i}", i % 3, "c", 0.1, 0.1, 0.5, 0.5) for i in range(30)], "frame_id int, obj_id string, track int, feature string, x double, y double, w double, h double")
+    cats = spark.createDataFrame([("c", "class c", "object")], "feature string, name string, supercategory string")
+    EX.write_coco(EX.coco_tables(frames, objects, cats), str(tmp_path / "d"), compression="gzip")
+    doc = json.loads(gzip.decompress(b"".join(p.read_bytes() for p in sorted((tmp_path / "d").glob("part-*.gz")))))
+    assert [a["id"] for a in doc["annotations"]] == list(range(1, 31)) and len(doc["images"]) == 6 and len(doc["categories"]) == 1
