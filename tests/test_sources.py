@@ -541,3 +541,17 @@ def test_compressed_parts_are_one_document(spark, tmp_path):
     EX.write_coco(EX.coco_tables(frames, objects, cats), str(tmp_path / "d"), compression="gzip")
     doc = json.loads(gzip.decompress(b"".join(p.read_bytes() for p in sorted((tmp_path / "d").glob("part-*.gz")))))
     assert [a["id"] for a in doc["annotations"]] == list(range(1, 31)) and len(doc["images"]) == 6 and len(doc["categories"]) == 1
+
+
+def test_missing_runs_and_coordinates_stay_in_their_row(spark):
+    full = [0, 20]
+    lists = [full, [None, 3, 17], [2, None, 10], [2, 3, None], full]
+    rows = spark.createDataFrame([(k, ([4, 5], c)) for k, c in enumerate(lists)], "k int, rle struct<size:array<int>,counts:array<int>>").coalesce(1)
+    got = {r.k: r for r in rows.select("k", K.rle_bounds(F.col("rle")).alias("b"), K.rle_moments(F.col("rle"))[0].alias("m"), K.rle_iou(F.col("rle"), F.col("rle")).alias("v")).collect()}
+    assert [got[k].m for k in range(5)] == [20.0, None, None, 3.0, 20.0]
+    assert [got[k].b.x2 for k in range(5)] == [5, None, None, 5, 5]
+    assert [got[k].v for k in range(5)] == [1.0, None, None, None, 1.0]
+    bow = [(0.0, 0.0), (1.0, 1.0), (1.0, 0.0), (0.0, 1.0)]
+    rings = [bow, [(x, None) for x, _ in bow], [(None, y) for _, y in bow], bow]
+    df = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in r]) for k, r in enumerate(rings)], "k int, p array<struct<x:double,y:double>>").coalesce(1)
+    assert {r.k: r.a for r in df.select("k", PG.repaired_area(F.col("p")).alias("a")).collect()} == {0: 0.5, 1: None, 2: 0.0, 3: 0.5}
