@@ -28,14 +28,16 @@ def parse_kitti(lines: DataFrame, file_name: str = FILE_NAME) -> DataFrame:
 
     ``file_name`` is a pattern whose first group is the unit's title and whose second, if it has one, is the frame.
     """
-    parts = F.split(F.trim("line"), " +")
-    rows = lines.where((F.trim("line") != "") & F.col("file_name").rlike(file_name)).withColumn("_p", parts)
+    keep = [c for c in lines.columns if c not in ("line", "file_name")]
     frame = F.regexp_extract("file_name", file_name, 2) if re.compile(file_name).groups > 1 else F.lit("")
+    # a generated row is made once, whatever is asked of its fields; as plain columns, later filters would split the line and match the name again
+    read = F.struct(F.split(F.trim("line"), " +").alias("_p"), F.col("file_name").rlike(file_name).alias("_named"), F.regexp_extract("file_name", file_name, 1).alias("data_title"), frame.alias("_frame"))
+    # the first part of an empty line is empty
+    rows = lines.select(*keep, F.inline(F.array(read))).where(F.col("_named") & (F.get("_p", F.lit(0)) != ""))
     cols = [F.get("_p", F.lit(i)).try_cast(t).alias(n) for i, (n, t) in enumerate(COLUMNS)]
-    keep = [c for c in lines.columns if c not in ("line", "file_name")]
     return rows.select(
         *keep, *cols, F.get("_p", F.lit(len(COLUMNS))).try_cast("double").alias("confidence"),
-        F.regexp_extract("file_name", file_name, 1).alias("data_title"), F.when(frame != "", frame.cast("int")).alias("frame"),
+        "data_title", F.when(F.col("_frame") != "", F.col("_frame").cast("int")).alias("frame"),
     )
 
 
@@ -54,9 +56,10 @@ def scan_kitti(lines: DataFrame, units: DataFrame, mapping: DataFrame, file_name
     unit = F.struct("du_hash", F.col("frame").alias("unit_frame"), "img_width", "img_height")
     titled = units.groupBy(name).agg(F.count("*").alias("_n"), F.min(unit).alias("_u"))
     framed = units.groupBy(name, "frame").agg(F.count("*").alias("_n"), F.min(unit).alias("_u"))
-    whole = rows.where("frame is null").join(titled.where("_n = 1"), name)
-    single = rows.where("frame is not null").join(framed.where("_n = 1"), [name, "frame"])
-    both = whole.unionByName(single).join(mapping, "class_name")
+    # a file of a whole unit is one without a frame, so the lines are read once and meet both kinds of units
+    found = titled.where("_n = 1").select(F.col(name).alias("_name"), F.lit(None).cast("int").alias("_of"), "_u").unionByName(
+        framed.where("_n = 1 and frame is not null").select(F.col(name).alias("_name"), F.col("frame").alias("_of"), "_u"))
+    both = rows.join(found, (F.col(name) == F.col("_name")) & F.col("frame").eqNullSafe(F.col("_of"))).join(mapping, "class_name")
     keep = [c for c in lines.columns if c not in ("line", "file_name")]
     w, h = F.col("_u.img_width"), F.col("_u.img_height")
     return both.select(

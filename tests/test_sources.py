@@ -295,6 +295,15 @@ def test_kitti_names_and_units_are_parameters(spark):
     assert sorted((r["du_hash"], r["frame"]) for r in found) == [("ha", 0), ("hb", 1)]
 
 
+def test_kitti_lines_are_split_once(spark):
+    lines = spark.range(20).select(F.concat_ws(" ", F.lit("car"), F.col("id").cast("string")).alias("line"), F.concat(F.lit("a__"), (F.col("id") - F.col("id") + 1).cast("string"), F.lit(".txt")).alias("file_name"))
+    units = spark.createDataFrame([("a", 1, "u"), ("a", None, "none"), ("b", 1, "v")], "data_title string, frame int, du_hash string").withColumns({"img_width": F.lit(1), "img_height": F.lit(1)})
+    out = KI.scan_kitti(lines, units, spark.createDataFrame([("car", "f")], "class_name string, feature_hash string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("regexp_extract(") == 2
+    assert [(r.du_hash, r.frame) for r in out.collect()] == [("u", 1)] * 20
+
+
 def test_kitti_files(spark, tmp_path):
     row = "car 0.0 1 -1.5 10 20 30 60 0 0 0 0 0 0 0 0.75"
     for name, text in {"a.jpg__2.txt": row, "b.csv": row + "\n\n", "c.txt": "", "twice.txt": row, "notes.md": row}.items():
