@@ -11,6 +11,7 @@ their column are NULL; a string column takes any value as JSON text.  A file tha
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from collections.abc import Iterator
@@ -25,10 +26,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 RANGE_BYTES = 32 << 20
 AHEAD = 64 << 10
 BATCH = 2048
+#: Ranges are read one at a time, by this many tasks at most while those get no more than ``RANGE_BYTES`` each.
+TASKS = 64
 #: Strings (up to the end of the buffer if they do not end in it) and brackets; everything else is skipped.
 TOKEN = re.compile(rb'"[^"\\]*(?:\\.[^"\\]*)*"?|[{}\[\]]', re.S)
 _REST = re.compile(rb'[^"\\]*(?:\\.[^"\\]*)*"', re.S)
 _COLON = re.compile(rb"\s*:\s*")
+_NEXT = re.compile(r"[\s,]*(?=\{)")
 
 
 @dataclass
@@ -131,6 +135,30 @@ def chained(ranges: list[tuple[str, int, int]], summaries: dict, level: int) ->
     return out
 
 
+def _run(buffer: bytes, begin: int, most: int) -> tuple[list, int]:
+    """Objects that follow one another from byte ``begin``, which begin before byte ``most`` and end in the buffer, and the byte after the last."""
+    try:
+        # the buffer may end inside a character
+        text = codecs.getincrementaldecoder("utf-8")("surrogatepass").decode(buffer[begin:])
+    except UnicodeDecodeError:
+        return [], begin
+    decode = json.JSONDecoder().raw_decode
+    plain, at, place, out = text.isascii(), 0, begin, []
+    while place < most:
+        try:
+            value, end = decode(text, at)
+        except ValueError:
+            break
+        out.append(value)
+        done = place + (end - at if plain else len(text[at:end].encode("utf-8", "surrogatepass")))
+        gap = _NEXT.match(text, end)
+        if gap is None:
+            return out, done
+        at, place = gap.end(), done + gap.end() - end
+        begin = done
+    return out, begin
+
+
 def elements(read, span: Span, level: int, wanted: str | None) -> Iterator[dict]:
     """Parsed elements that begin in the span; ``read(start, size)`` gives bytes of the file."""
     size = span.end - span.start
@@ -140,8 +168,10 @@ def elements(read, span: Span, level: int, wanted: str | None) -> Iterator[dict]
     if at < 0 or at >= size:
         return
     origin = span.start  # of the buffer in the file
+    whole = True  # objects of the wanted array are tried at once; one that the buffer cuts off is followed by its tokens
     while True:
-        for m in TOKEN.finditer(buffer, at):
+        tokens = TOKEN.finditer(buffer, at)
+        while (m := next(tokens, None)) is not None:
             if begun is None and origin + m.start() >= span.end:
                 return
             first = buffer[m.start()]
@@ -151,6 +181,12 @@ def elements(read, span: Span, level: int, wanted: str | None) -> Iterator[dict]
                 if depth == level - 1 and last is not None and _COLON.fullmatch(buffer, last.end(), m.start()):
                     section = _name(last) if first == 0x5B else None
                 if first == 0x7B and depth == level and begun is None and (level == 1 or section == wanted):
+                    found, after = _run(buffer, m.start(), span.end - origin) if whole else ([], 0)
+                    whole = False
+                    if found:
+                        yield from found
+                        tokens, last = TOKEN.finditer(buffer, after), None
+                        continue
                     begun = m.start()
                 depth, last = depth + 1, None
             else:
@@ -189,26 +225,54 @@ def _fit(value, kind: T.DataType):
     return int(value) if value == value // 1 and -(1 << bits) <= value < 1 << bits else None
 
 
+@dataclass
+class Spans(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    spans: list[Span]
+
+
+def dealt(found: list, sizes: list[int]) -> list[list]:
+    """Neighbours in groups, one a task: all alone up to ``TASKS``, more of them together up to ``RANGE_BYTES`` or as many bytes as that number of tasks gives each."""
+    share = min(RANGE_BYTES, sum(sizes) / TASKS)
+    out, held = [], 0
+    for one, size in zip(found, sizes):
+        if not out or held + size > share:
+            out.append([])
+            held = 0
+        out[-1].append(one)
+        held += size
+    return out
+
+
 class JsonArrayReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
         self.schema, self.level, self.section = schema, int(options["level"]), options.get("section")
         self.spans = [Span(**s) for s in json.loads(options["spans"])]
 
+    def __getstate__(self) -> dict:
+        # tasks get their own spans only, not those of all files
+        return self.__dict__ | {"spans": []}
+
     def partitions(self) -> list[InputPartition]:
-        return self.spans
+        return [Spans(s) for s in dealt(self.spans, [s.end - s.start for s in self.spans])]
 
-    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Spans) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no file at all
             return
-        fields, arrow = self.schema, to_arrow_schema(self.schema)
-        with _open(partition.path) as f:
+        arrow = to_arrow_schema(self.schema)
+        for span in partition.spans:
+            yield from self._read(span, arrow)
+
+    def _read(self, span: Span, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+        with _open(span.path) as f:
             def read(start: int, size: int) -> bytes:
                 f.seek(start)
                 return f.read(size)
 
             rows: list[dict] = []
-            for element in elements(read, partition, self.level, self.section):
-                rows.append(_fit(element, fields))
+            for element in elements(read, span, self.level, self.section):
+                rows.append(_fit(element, self.schema))
                 if len(rows) == BATCH:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
                     rows = []
@@ -258,7 +322,8 @@ def spans(spark: SparkSession, path: str, level: int, range_bytes: int = RANGE_B
     summaries = {(p, 0): (False, outside, outside) for p, _, _ in ranges if p not in several}
     rows = [r for r in ranges if r[0] in several]
     if rows:
-        table = spark.createDataFrame(rows, "path string, start long, end long").repartition(len(rows), "path", "start")
+        groups = dealt(rows, [end - start for _, start, end in rows])
+        table = spark.createDataFrame([(g,) for g in groups], "ranges array<struct<path:string,start:long,end:long>>").coalesce(1).repartition(len(groups)).selectExpr("inline(ranges)")
         for r in table.mapInArrow(_lexed, "path string, start long, said string").collect():
             escaped, *both = json.loads(r.said)
             summaries[r.path, r.start] = (escaped, *[{**b, "named": dict(b["named"]), "all": set(b["all"])} for b in both])

@@ -1,6 +1,7 @@
 """Ranges of JSON files against the whole parse."""
 
 import json
+import pickle
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -72,3 +73,28 @@ def test_cut_off_file_is_an_error(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"annotations": [{"id": 1}, {"id": ')
     with pytest.raises(Exception, match="ends inside an element"):
         CO.read_coco(spark, str(tmp_path))["annotations"].collect()
+
+
+def test_tasks_carry_their_own_ranges_only(spark):
+    size = 1000
+    options = {"level": "2", "section": "a", "spans": json.dumps([{"path": "f", "start": i * size, "end": (i + 1) * size} for i in range(5000)])}
+    reader = J.JsonArrayReader(T.StructType.fromDDL("id long"), options)
+    parts = reader.partitions()
+    assert [s.start for p in parts for s in p.spans] == [i * size for i in range(5000)]
+    assert J.TASKS <= len(parts) <= 2 * J.TASKS and len(pickle.dumps(reader)) < 2000
+    # beyond, tasks grow in number and not in size
+    assert len(J.dealt(list(range(1000)), [J.RANGE_BYTES] * 1000)) == 1000
+
+
+def test_objects_between_other_values():
+    data = '{"a": [{"k": "é]"}, {"k": 2}, null, {"k": 3}, [4], {"k": {"a": [{"k": 5}]}} , {"k": 6}], "b": [{"k": 7}]}'.encode()
+    for size in (7, 20, 45, 200):
+        assert [e["k"] for e in in_ranges(data, size, 2, "a")] == ["é]", 2, 3, {"a": [{"k": 5}]}, 6]
+
+
+def test_neighbouring_objects_are_parsed_at_once(monkeypatch):
+    data = json.dumps({"a": [{"id": i, "v": ["x", {"y": 'é"['}]} for i in range(200)]}, ensure_ascii=False).encode()
+    tokens = []
+    monkeypatch.setattr(J, "TOKEN", type("T", (), {"finditer": staticmethod(lambda b, at, t=J.TOKEN: (tokens.append(1) or m for m in t.finditer(b, at)))}))
+    found = list(J.elements(lambda start, n: data[start : start + n], J.Span("f", 0, len(data)), 2, "a"))
+    assert [e["id"] for e in found] == list(range(200)) and len(tokens) < 20
