@@ -10,7 +10,7 @@ from gaugeframe.functions.scalar import bucket_round
 from gaugeframe.operators.matching import is_tp
 from gaugeframe.plans.quantiles import linear_quantiles, long_metrics
 from gaugeframe.plans.joins import null_safe_join
-from gaugeframe.plans.scan import running
+from gaugeframe.plans.scan import marked_positions, running
 
 # Thresholds of average recall, 11-point and 101-point precision, float epsilon.
 RECALL_IOUS = tuple(i / 10 for i in range(5, 11))
@@ -67,9 +67,10 @@ def average_recall(counts: DataFrame) -> DataFrame:
 
 def pr_curve(evaluated: DataFrame, counts: DataFrame, iou: float, key: str = "feature", pred_id: str = "pred_id", confidence: str = "confidence") -> DataFrame:
     """Best precision per class and recall rounded to 2 digits, reading predictions by falling confidence."""
-    flags = evaluated.select(key, confidence, pred_id, is_tp(iou).cast("long").alias("_tp"))
-    seen = running(flags, [key], [F.desc(confidence), F.asc(pred_id)], sums={"rn": F.lit(1).cast("long"), "ctp": F.col("_tp")})
-    steps = seen.groupBy(key, "ctp").agg(F.max("rn").alias("rn"))
+    flags = evaluated.select(key, confidence, pred_id, is_tp(iou).alias("_tp"))
+    hits, totals = marked_positions(flags, [key], [F.desc(confidence), F.asc(pred_id)], F.col("_tp"))
+    # the last row of a TP count is the one before the next TP, or the last of its class
+    steps = hits.select(key, (F.col("nth") - 1).alias("ctp"), (F.col("rn") - 1).alias("rn")).where("rn > 0").unionByName(totals.select(key, F.col("m").alias("ctp"), F.col("n").alias("rn")))
     at = null_safe_join(steps, counts.select(key, (F.col("tp") + F.col("fn")).alias("_labels")), [key])
     recall = F.when(F.col("_labels") > 0, F.col("ctp") / F.col("_labels")).otherwise(F.lit(0.0))
     return at.groupBy(key, bucket_round(recall, 2).alias("recall")).agg(F.max(F.col("ctp") / F.col("rn")).alias("precision"))

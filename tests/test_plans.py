@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.boxes import box_iou
-from gaugeframe.operators import summary as A
+from gaugeframe.operators import evaluation as E, matching as M, summary as A
 from gaugeframe.operators.embeddings import label_quality, singularity
 from gaugeframe.plans.neighbours import knn_join
 from gaugeframe.plans import ann, neighbours, quantiles, scan, spatial
@@ -395,3 +395,60 @@ def test_one_row_per_metric_or_class_is_broadcast(spark):
             assert df.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_boxes_travel_once_to_their_match(spark, monkeypatch):
+    rng = random.Random(5)
+
+    def boxes(n, name):
+        rows = [(rng.choice([0, 0, 1, None]), rng.choice(["a", "b", None]), f"{name}{i % (n - 3):03d}", *(None if rng.random() < 0.03 else rng.randrange(-1, 12) / 10 for _ in "xywh")) for i in range(n)]
+        return spark.createDataFrame(rows, f"frame_id int, feature string, {name}_id string, x double, y double, w double, h double")
+
+    preds, labels = boxes(300, "pred").withColumn("confidence", F.lit(1.0)), boxes(200, "label")
+    out = M.iou_match(preds, labels)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+    few = sorted(map(str, out.collect()))
+    assert any("match_id='" in r for r in few) and any("match_id=None" in r for r in few)
+    for crowded in (20, 0):  # some keys, all keys
+        monkeypatch.setattr(spatial, "CROWDED", crowded)
+        assert sorted(map(str, M.iou_match(preds, labels).collect())) == few
+
+
+def test_keys_meet_whole_unless_large(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(None if i % 5 == 0 else "hot" if i % 3 == 0 else f"k{i % 40}", rng.randrange(9), rng.random(), f"p{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "match_id string, confidence int, iou double, pred_id string")
+    out = M.match_duplicate_iou(df)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
+    want = {}
+    for k in {r[0] for r in rows}:
+        best = None
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2], r[3]), reverse=True):
+            want[r[3]] = 1.0 if k is None or (best is not None and r[2] <= best) else -1.0 if best is None else best
+            best = r[2] if best is None else max(best, r[2])
+    assert {r.pred_id: r.match_duplicate_iou for r in out.collect()} == want
+    monkeypatch.setattr(scan, "WHOLE", 100)
+    assert {r.pred_id: r.match_duplicate_iou for r in M.match_duplicate_iou(df).collect()} == want
+
+
+def test_curve_numbers_true_positives_where_they_are_sorted(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), f"p{i}", float(rng.randrange(30)), rng.choice([0.3, 0.9]), -1.0) for i in range(1500)] + [("fp", "q", 1.0, 0.1, -1.0), ("tp", "r", 1.0, 0.9, -1.0)]
+    ev = spark.createDataFrame(rows, "feature string, pred_id string, confidence double, iou double, match_duplicate_iou double")
+    hits, totals = scan.marked_positions(ev, ["feature"], [F.desc("confidence"), F.asc("pred_id")], M.is_tp(0.5))
+    want, whole = [], []
+    for k in {r[0] for r in rows}:
+        nth = 0
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[2], r[1]))
+        for rn, r in enumerate(own, 1):
+            if r[3] >= 0.5:
+                nth += 1
+                want.append((k, rn, nth))
+        whole.append((k, len(own), nth))
+    assert sorted(map(str, map(tuple, hits.collect()))) == sorted(map(str, want))
+    assert sorted(map(str, map(tuple, totals.collect()))) == sorted(map(str, whole))
+    stored = []
+    monkeypatch.setattr(scan, "cut_lineage", lambda df: stored.append(df.columns) or cut_lineage(df))
+    E.pr_curve(ev, spark.createDataFrame([(k, 900, 0) for k in ("a", "b", None, "fp", "tp")], "feature string, tp long, fn long"), 0.5).collect()
+    assert len(stored) == 1 and "pred_id" not in stored[0] and "confidence" not in stored[0]
