@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import gzip
+import uuid
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeframe.functions.boxes import polygon_area, polygon_bounds
 from gaugeframe.plans.scan import ranked
 from gaugeframe.session import cut_lineage
+from gaugeframe.sources.coco import OPENED
+from gaugeframe.sources.json_arrays import open_file
 
 # Fixed value: rows of this partition are not exported.
 UNASSIGNED = "Unassigned"
@@ -121,6 +127,54 @@ def write_coco(tables: dict[str, DataFrame], path: str, compression: str | None
     coco_lines(tables).orderBy("section", "id").select("line").write.mode("overwrite").text(path, compression=compression or "none")
 
 
+#: Bytes of text that are in memory at a time where files are joined.
+BLOCK = 1 << 20
+
+
+def _blocks(path: str) -> Iterator[str]:
+    """Whole lines of a compressed file, many at a time, without the last line feed."""
+    rest = b""
+    with open_file(path) as f, gzip.open(f) as lines:
+        while more := lines.read(BLOCK):
+            block, feed, rest = (rest + more).rpartition(b"\n")
+            if feed:
+                yield block.decode()
+    if rest:
+        yield rest.decode()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in (p for row in batch["pieces"].to_pylist() for p in row):
+            for block in _blocks(piece["path"]) if piece["path"] else [piece["text"]]:
+                yield pa.record_batch([pa.array([block])], names=["value"])
+
+
+def write_joined(spark: SparkSession, path: str, parts: Sequence[str | DataFrame]) -> None:
+    """``parts``, lines of text and frames of one text column, as one file in their order.
+
+    Tasks write the frames as compressed files, one task unpacks these into the file block by block, and they are removed: no line is sorted or shuffled.
+    Where Python workers cannot open the files, the task sorts the lines.
+    """
+    own = f"{path}-{uuid.uuid4().hex}"
+    pieces: list[tuple[str | None, str | None]] = []
+    for n, part in enumerate(parts):
+        if isinstance(part, str):
+            pieces.append((part, None))
+        else:
+            part.write.text(f"{own}/{n}", compression="gzip")
+            files = spark.read.format("binaryFile").load(f"{own}/{n}").select("path").orderBy("path").collect()
+            pieces += [(None, f.path) for f in files]
+    if all(at is None or at.split(":", 1)[0] in OPENED for _, at in pieces):
+        joined = spark.createDataFrame([(pieces,)], "pieces array<struct<text:string,path:string>>").coalesce(1).mapInArrow(_unpacked, "value string")
+    else:
+        lines = [spark.createDataFrame([(p,)], "value string") if isinstance(p, str) else spark.read.text(f"{own}/{n}") for n, p in enumerate(parts)]
+        joined = reduce(DataFrame.unionByName, [x.withColumn("at", F.lit(n)) for n, x in enumerate(lines)]).repartition(1).sortWithinPartitions("at").select("value")
+    joined.write.text(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def export_partitions(frames: DataFrame, objects: DataFrame, categories: DataFrame, partitions: DataFrame, names: Sequence[str], path: str) -> None:
     """One COCO document per named partition (frame_id, partition), in one job for any number of names; unassigned frames are left out.
 

@@ -48,7 +48,7 @@ class Span(InputPartition):
     section: str | None = None
 
 
-def _open(path: str):
+def open_file(path: str):
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
     if "://" not in path:
@@ -265,7 +265,7 @@ class JsonArrayReader(DataSourceReader):
             yield from self._read(span, arrow)
 
     def _read(self, span: Span, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-        with _open(span.path) as f:
+        with open_file(span.path) as f:
             def read(start: int, size: int) -> bytes:
                 f.seek(start)
                 return f.read(size)
@@ -300,7 +300,7 @@ def ranges_of(spark: SparkSession, path: str, range_bytes: int) -> list[tuple[st
 def _lexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, start, end in zip(*(batch[n].to_pylist() for n in ("path", "start", "end"))):
-            with _open(path) as f:
+            with open_file(path) as f:
                 back, slashes = start, 0
                 while back > 0:  # backslashes right before the range
                     f.seek(back - 1)

@@ -564,3 +564,26 @@ def test_missing_runs_and_coordinates_stay_in_their_row(spark):
     rings = [bow, [(x, None) for x, _ in bow], [(None, y) for _, y in bow], bow]
     df = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in r]) for k, r in enumerate(rings)], "k int, p array<struct<x:double,y:double>>").coalesce(1)
     assert {r.k: r.a for r in df.select("k", PG.repaired_area(F.col("p")).alias("a")).collect()} == {0: 0.5, 1: None, 2: 0.0, 3: 0.5}
+
+
+@pytest.mark.parametrize("opened", [True, False])
+def test_joined_parts_are_one_file_without_a_sort(spark, tmp_path, monkeypatch, opened):
+    from gaugeframe.sources import export
+
+    monkeypatch.setattr(export, "BLOCK", 1000)
+    if not opened:
+        monkeypatch.setattr(export, "OPENED", ())
+    rows = [spark.range(n).repartition(p).selectExpr("case when id % 50 = 7 then null when id % 50 = 8 then '' else concat('é', repeat('x', id % 300), id) end as value") for n, p in ((2000, 3), (0, 1), (900, 4))]
+    parts = ["head", rows[0], "between", rows[1], rows[2], "end"]
+    asked = []
+    plain = type(rows[0]).sortWithinPartitions
+    monkeypatch.setattr(type(rows[0]), "sortWithinPartitions", lambda self, *a, **k: asked.append(a) or plain(self, *a, **k))
+    export.write_joined(spark, f"{tmp_path}/one", parts)
+    assert bool(asked) != opened
+    assert [f.name for f in tmp_path.iterdir()] == ["one"]
+    (file,) = (tmp_path / "one").glob("part-*")
+    lines = file.read_text().split("\n")
+    assert lines.pop() == "" and len(lines) == 2903
+    assert (lines[0], lines[2001], lines[-1]) == ("head", "between", "end")
+    for got, wanted in ((lines[1:2001], rows[0]), (lines[2002:-1], rows[2])):
+        assert sorted(got) == sorted(r.value or "" for r in wanted.collect())
