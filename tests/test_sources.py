@@ -587,3 +587,16 @@ def test_joined_parts_are_one_file_without_a_sort(spark, tmp_path, monkeypatch,
     assert (lines[0], lines[2001], lines[-1]) == ("head", "between", "end")
     for got, wanted in ((lines[1:2001], rows[0]), (lines[2002:-1], rows[2])):
         assert sorted(got) == sorted(r.value or "" for r in wanted.collect())
+
+
+def test_label_rows_are_parsed_as_characters_with_the_rows_of_the_byte_parser(spark, tmp_path):
+    good = json.dumps({"label_hash": "é ", "data_type": "video", "data_units": {"u": {"data_hash": "h", "data_fps": 2, "labels": {"0": {"objects": []}, "3": {}}}}}, ensure_ascii=False).encode()
+    lines = [b"\xef\xbb\xbf" + good, good, b"", b"  ", b"{broken", b'{"label_hash": "\xff\xfe"}', b'{"label_hash": 5, "data_units": []}', b"[" + good + b"," + good + b"]", b"[]", b"null", good + b" tail", b'"text"', good]
+    (tmp_path / "rows.json").write_bytes(b"\n".join(lines))
+    found = LR.read_label_rows(spark, str(tmp_path))
+    assert found._jdf.queryExecution().analyzed().collectLeaves().apply(0).relation().options().get("encoding").get() == "UTF-8"
+    by_bytes = spark.read.schema(LR.LABEL_ROW).json(str(tmp_path))
+    # nested text comes without the blanks of its line
+    plain = [r.replace(": ", ":").replace(", ", ",") for r in map(str, by_bytes.collect())]
+    assert sorted(r.replace(": ", ":").replace(", ", ",") for r in map(str, found.collect())) == sorted(plain)
+    assert LR.scan_frames(found).count() == LR.scan_frames(by_bytes).count() >= 8
